@@ -52,12 +52,16 @@ def _remove(spark: SparkSession) -> None:
         return
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows as a reliable checkpoint in the shared folder, without their lineage."""
-    shared_dir(df.sparkSession)
-    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """The rows written to the shared folder and read again, so that nothing before is computed twice."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sized_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
+    """df marked for broadcast if a count shows that it has at most most_rows rows, else as it is."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -131,6 +135,79 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
+SPACE = np.zeros(256, np.bool_)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
+
+_R = 0x5851F42D4C957F2D
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """r**i and r**-i modulo 2**64 for 0 <= i < n."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, SLICE_BYTES + 1)
+        both = []
+        for base in (_R, pow(_R, -1, 1 << 64)):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            both.append(np.multiply.accumulate(x))
+        _POWERS[:] = both
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def prefix_hash(values: np.ndarray) -> np.ndarray:
+    """Sums of values[j] * r**j over j < i, for 0 <= i <= n; span_hash reads the hash of any span from them."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values.astype(np.uint64) * powers(len(values))[0], out=out[1:])
+    return out
+
+
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the spans start:end, equal for equal contents wherever they stand."""
+    return mix((prefix[end] - prefix[start]) * powers(len(prefix))[1][start] + (end - start).astype(np.uint64))
+
+
+def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends in raw of the words [^\\x20\\x09-\\x0D]+ of every text, and the text of each."""
+    blank = SPACE[raw]
+    before = np.concatenate([[True], blank[:-1]]) if len(raw) else blank
+    after = np.concatenate([blank[1:], [True]]) if len(raw) else blank
+    filled = np.flatnonzero(np.diff(offsets))
+    before[offsets[:-1][filled]] = True
+    after[offsets[1:][filled] - 1] = True
+    starts = np.flatnonzero(~blank & before)
+    ends = np.flatnonzero(~blank & after) + 1
+    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+
+
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's word windows, A-Z in lower case; fewer words make one window."""
+    raw = LOWER[raw]
+    starts, ends, doc = words_of(raw, offsets)
+    word = span_hash(prefix_hash(raw + np.uint64(1)), starts, ends)
+    sums = prefix_hash(word)
+    first = np.searchsorted(doc, np.arange(len(offsets)))
+    out = []
+    n = len(word)
+    windows = span_hash(sums, np.arange(n - width + 1), np.arange(width, n + 1)) if n >= width else np.empty(0, np.uint64)
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        if b - a >= width:
+            got = np.sort(windows[a : b - width + 1])
+            keep = np.ones(len(got), np.bool_)
+            np.not_equal(got[1:], got[:-1], out=keep[1:])
+            out.append(got[keep])
+        else:
+            out.append(span_hash(sums, np.array([a]), np.array([b])) if b > a else np.empty(0, np.uint64))
+    return out
+
+
+def binary_rows(arrays: list[np.ndarray], kind: str) -> pa.Array:
+    """Each array's bytes as one binary value."""
+    return pa.array([np.ascontiguousarray(a, kind).tobytes() for a in arrays], pa.binary())
+
+
 def or_bits(flags: DataFrame, column: str, bits: int) -> bytes:
     """A bitmap of 2**bits bits with the column's values (0 <= value < 2**bits) set.
 

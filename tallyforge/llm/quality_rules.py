@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import as_bytes, cut, mix, ragged, raw_text, text_slices
+from tallyforge.llm.common import SPACE, as_bytes, cut, mix, ragged, raw_text, text_slices
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, n_tokens long, chars_per_token double, byte_share double, token_entropy double"
 
@@ -47,8 +47,6 @@ class Rules:
     min_tokens: int = 30
 
 
-_SPACE = np.zeros(256, np.bool_)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SYMBOL = np.zeros(256, np.bool_)
 _SYMBOL[list(b"#*$%&|<>")] = True
 #: Scripts by the lead bytes of their UTF-8 forms; ASCII letters are Latin.
@@ -66,7 +64,7 @@ _SCRIPT_OF[0xEE:0xF8] = 6
 class _Pieces:
     """The piece ids of words; distinct words are encoded once until the table is full."""
 
-    def __init__(self, model: str, most: int = 1_500_000):
+    def __init__(self, model: str, most: int = 400_000):
         from sentencepiece import SentencePieceProcessor
 
         self.model, self.most = SentencePieceProcessor(model_file=model), most
@@ -134,7 +132,7 @@ def measures(docs: DataFrame, model: str, keep: list[str]) -> DataFrame:
             n_words = np.fromiter(map(len, words), np.int64, len(words))
             ends, doc = np.cumsum(n_words), np.repeat(np.arange(len(words)), n_words)
             codes = pieces.codes(words)
-            chars = _sums(~_SPACE[raw] & (raw & 0xC0 != 0x80), offsets[1:])
+            chars = _sums(~SPACE[raw] & (raw & 0xC0 != 0x80), offsets[1:])
             symbols = _sums(_SYMBOL[raw], offsets[1:])
             lines = np.zeros(len(texts), np.int64)
             for i, t in enumerate(texts):

@@ -11,7 +11,7 @@ import numpy as np
 from tallyforge.llm.common import ragged
 
 #: Distinct words kept by a task before its table starts anew.
-MAX_WORDS = 1_500_000
+MAX_WORDS = 400_000
 
 _RUN = re.compile(r"\s \s")
 _WORD = re.compile(r"\S+")
