@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import packing, quality_rules, token_blocks
-from tallyforge.llm.common import table
+from tallyforge.llm import decontamination, html_text, ordinal_quality, packing, quality_rules, sharding, token_blocks, toxicity
+from tallyforge.llm.common import scratch, table
 
 
 def vocabulary(name: str) -> str:
@@ -17,6 +17,21 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = ordinal_quality.fit(docs, labels.select("doc_id", ordinal_quality.grade(F.col("quality"), F.col("toxic")).alias("grade")))
+    return ordinal_quality.score(docs, model)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.stored(table(spark, sf_dir, "documents"), scratch(spark, "shards"))
+    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"), "lang", "source", "n_chars")
+
+
 def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_blocks.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -27,13 +42,27 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+_QUERIES = (op1_ordinal_quality, op4_decontamination, op5_sharding, op6_token_blocks, op7_toxicity, op8_html_text, op9_quality_rules, op10_best_fit_packing)
+
+_SHARDS = """SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, lang, source, n_chars FROM documents"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_token_blocks, op9_quality_rules, op10_best_fit_packing)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": decontamination.ORACLE, "op5_sharding": _SHARDS}
