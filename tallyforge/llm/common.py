@@ -206,38 +206,3 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[n
 def binary_rows(arrays: list[np.ndarray], kind: str) -> pa.Array:
     """Each array's bytes as one binary value."""
     return pa.array([np.ascontiguousarray(a, kind).tobytes() for a in arrays], pa.binary())
-
-
-def or_bits(flags: DataFrame, column: str, bits: int) -> bytes:
-    """A bitmap of 2**bits bits with the column's values (0 <= value < 2**bits) set.
-
-    Partitions make partial bitmaps that are or-ed slice by slice; the driver gets 2**bits / 8 bytes,
-    whatever the number of rows.
-    """
-    slices = 1 << max(0, bits - 18)
-    width = (1 << bits) // slices
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.zeros(1 << bits, np.bool_)
-        for b in batches:
-            mask[b.column(0).to_numpy(zero_copy_only=False)] = True
-        rows = [(i, np.packbits(m).tobytes()) for i, m in enumerate(mask.reshape(slices, width)) if m.any()]
-        yield pa.RecordBatch.from_pydict({"slice": pa.array([r[0] for r in rows], pa.int32()), "mask": pa.array([r[1] for r in rows], pa.binary())})
-
-    def merged(key, batches):
-        got = None
-        for b in batches:
-            for m in b.column(1).to_pylist():
-                x = np.frombuffer(m, np.uint8)
-                got = x.copy() if got is None else got | x
-        yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "mask": pa.array([got.tobytes()], pa.binary())})
-
-    rows = flags.select(F.col(column).cast("long")).mapInArrow(partial, "slice int, mask binary").groupBy("slice").applyInArrow(merged, "slice int, mask binary").collect()
-    out = np.zeros((slices, (width + 7) // 8), np.uint8)
-    for r in rows:
-        out[r["slice"]] = np.frombuffer(r["mask"], np.uint8)
-    return out.tobytes()
-
-
-def has_bit(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    return (bitmap[values >> 3] >> (7 - (values & 7)).astype(np.uint8)) & 1 == 1

@@ -72,8 +72,8 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     return docs.join(leaks(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-_SETS = r"""SELECT DISTINCT {key}, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), i -> array_to_string(w[i:i+4], ' '))) AS g
-FROM (SELECT {key}, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM {table} WHERE {key} IS NOT NULL) WHERE len(w) > 0"""
+_SETS = r"""SELECT DISTINCT {key}, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i+4], ' '))) AS g
+FROM (SELECT {key}, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM {table} WHERE {key} IS NOT NULL) WHERE len(w) > 0"""
 
 ORACLE = f"""WITH d AS ({_SETS.format(key="doc_id", table="documents")}), b AS ({_SETS.format(key="item_id", table="benchmark")}),
 n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY 1)
