@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontamination, html_text, jaccard_join, ordinal_quality, packing, quality_rules, sharding, token_blocks, toxicity
+from tallyforge.llm import decontamination, html_text, jaccard_join, ordinal_quality, packing, quality_rules, sharding, suffix_dedup, token_blocks, toxicity
 from tallyforge.llm.common import scratch, table
 
 
@@ -27,6 +27,11 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.groups(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.dedupe(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,7 +64,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-_QUERIES = (op1_ordinal_quality, op2_jaccard_join, op4_decontamination, op5_sharding, op6_token_blocks, op7_toxicity, op8_html_text, op9_quality_rules, op10_best_fit_packing)
+_QUERIES = (op1_ordinal_quality, op2_jaccard_join, op3_suffix_dedup, op4_decontamination, op5_sharding, op6_token_blocks, op7_toxicity, op8_html_text, op9_quality_rules, op10_best_fit_packing)
 
 _SHARDS = """SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, lang, source, n_chars FROM documents"""
 
