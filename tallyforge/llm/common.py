@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: Text handled at once inside a task, in bytes; a longer single text is handled alone.
 SLICE_BYTES = 2 << 20
 
+#: Texts handed to a Python worker at once, in bytes.
+BATCH_BYTES = 8 << 20
+
 _MADE: list[str] = []
 
 
@@ -34,7 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
+    """A new path in the shared folder, removed when the driver ends.
+
+    Whatever writes there also hands texts to Python in batches of BATCH_BYTES at most: long texts at
+    10,000 rows a batch would not fit beside the JVM.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     path = f"{shared_dir(spark)}/tallyforge/{uuid.uuid4().hex}-{name}"
     if not _MADE:
         atexit.register(_remove, spark)
