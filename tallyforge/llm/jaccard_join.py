@@ -18,7 +18,9 @@ shared elements without the limit. Candidates are verified exactly on the sets.
 
 Groups of copies: equal sets are one set throughout. Near copies are first gathered into stars (a set
 and its verified links to one leader, found by minimum hashes), and in a signature's group each star is
-seen once. If two stars meet there, their two members at hand are verified; Jaccard distance is a
+seen once. Candidates first meet by their sketches (counts and sums of the shingles in hash ranges, some
+eight to a range), which bound their difference from below; only pairs that may still link bring their
+sets together. If two stars meet there, their two members at hand are verified; Jaccard distance is a
 metric, so members of either star can only link if those two are not too far apart, and then all
 members are compared. Links inside a star need no check: its members are in one component already.
 
@@ -30,7 +32,6 @@ returned; a row without doc_id is in no pair and has no component. An empty tabl
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from tallyforge.llm.common import binary_rows, cut, mix, pack6, ragged, raw_text
 
 PERCENT = 75
 #: Distinct stars of a signature beyond which it counts as no evidence.
-HOT = 12
+HOT = 8
 #: Ratio of a size band's ends, and signing schemes after the first.
 BAND = 2.0
 SCHEMES = 4
@@ -60,14 +61,13 @@ def bands() -> np.ndarray:
     return np.unique((BAND ** np.arange(40)).astype(np.int64))
 
 
-@cache
 def segments(upper: int, percent: int, scheme: int) -> int:
     """How many segments a band with sets of up to upper elements uses."""
     need = int(most_different(np.array(upper), percent)) + 1
     m = need
     while m * (1 - np.exp(-upper / m)) < need * 1.04 + 2 * np.sqrt(need) * 0.35 and m < 4 * upper:
-        m += max(1, m // 50)
-    return m * max(1, 4 ** (scheme - 1))
+        m += max(1, m // 25)
+    return m * (4 ** (scheme - 1) if scheme > 1 else 1)
 
 
 def need(size: np.ndarray, percent: int, largest: np.ndarray | None = None) -> np.ndarray:
@@ -122,7 +122,7 @@ def signatures(sets: list[np.ndarray], percent: int, scheme: int) -> tuple[np.nd
 
 
 def documents(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, print (128 bits of the set), keys (MINHASHES minimum hashes)."""
+    """Per row: doc_id, n_shingles, print (128 bits of the set), keys (MINHASHES minimum hashes), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
@@ -138,9 +138,55 @@ def documents(docs: DataFrame) -> DataFrame:
                 for k in range(MINHASHES):
                     keys[filled, k] = np.minimum.reduceat(mix(flat ^ np.uint64(0xD1B54A32 * (k + 1))), at[filled])
             lists = pa.FixedSizeListArray.from_arrays(pa.array((keys >> np.uint64(1)).astype(np.int64).ravel()), MINHASHES).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), binary_rows(list(prints), "<u8"), lists], names=["doc_id", "n_shingles", "print", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), binary_rows(list(prints), "<u8"), lists, binary_rows(sketches(flat, size), "u1")], names=["doc_id", "n_shingles", "print", "keys", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, print binary, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, print binary, keys array<long>, sketch binary")
+
+
+def sketches(flat: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """For each set the counts, then the sums modulo 256, of its elements in a power of two of hash ranges."""
+    bits = np.maximum(np.log2(np.maximum(size, 1) / 8).astype(np.int64), 0)
+    ranges = np.where(size > 0, 1 << bits, 0)
+    first = np.cumsum(ranges) - ranges
+    owner = np.repeat(np.arange(len(size)), size)
+    place = first[owner] + np.where(bits[owner] > 0, flat >> (64 - bits[owner]).astype(np.uint64) % np.uint64(64), 0).astype(np.int64)
+    total = int(ranges.sum())
+    count = np.minimum(np.bincount(place, minlength=total), 255).astype(np.uint8)
+    value = (np.bincount(place, (mix(flat) & np.uint64(255)).astype(np.float64), total).astype(np.int64) & 255).astype(np.uint8)
+    return [np.concatenate([count[a : a + k], value[a : a + k]]) for a, k in zip(first, ranges, strict=True)]
+
+
+def least_different(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the symmetric difference of two sets by their sketches; the finer one is folded."""
+    x, y = x.reshape(2, -1).astype(np.int64), y.reshape(2, -1).astype(np.int64)
+    while x.shape[1] > y.shape[1]:
+        x = x.reshape(2, -1, 2).sum(axis=2)
+    while y.shape[1] > x.shape[1]:
+        y = y.reshape(2, -1, 2).sum(axis=2)
+    gap = np.abs(x[0] - y[0])
+    # ranges of equal counts but other sums differ by one element on each side
+    return int(gap.sum() + 2 * np.count_nonzero((gap == 0) & ((x[1] - y[1]) & 255 != 0)))
+
+
+def likely(pairs: DataFrame, ends: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) that may link, or whose stars may, by sizes and sketches; ends: node, n_shingles, sketch, reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m, reach = (b.column(i).to_numpy() for i in (2, 3, 4))
+            low = [least_different(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) for x, y in zip(b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True)]
+            low = np.maximum(np.array(low, np.int64), np.abs(n - m))
+            distance = 2 * low / np.maximum(n + m + low, 1)
+            yield b.filter(pa.array(distance <= _limit(percent) + reach)).select(["a", "b"])
+
+    end = lambda c, n, r, x: ends.select(F.col("node").alias(c), F.col("n_shingles").alias(n), F.col("reach").alias(r), F.col("sketch").alias(x))
+    both = pairs.join(end("a", "n", "p", "x"), "a").join(end("b", "m", "q", "y"), "b")
+    return both.select("a", "b", "n", "m", (F.col("p") + F.col("q")).alias("reach"), "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
+def _limit(percent: int) -> float:
+    """The largest Jaccard distance of a link."""
+    return 1 - percent / 100 + 1e-9
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -154,8 +200,8 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text").mapInArrow(run, "node long, items binary")
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs(a, b) with shared and total, the sizes of intersection and union of their sets."""
+def verify(pairs: DataFrame, docs: DataFrame, ends: DataFrame, percent: int) -> DataFrame:
+    """Of pairs(a, b) those that may link, with shared and total, the sizes of intersection and union of their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,7 +215,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 total.append(len(x) + len(y) - same)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "shared", "total"])
 
-    pairs = cut(pairs, "pairs")
+    pairs = cut(likely(pairs, ends, percent), "pairs")
     sets = cut(sets_of(docs, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))), "sets")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
@@ -346,27 +392,31 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id."""
     rows = cut(documents(docs), "prints")
     filled = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = cut(filled.groupBy("print").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "same")
+    same = cut(filled.groupBy("print").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "same")
+    sketched = same.select("node", "n_shingles", "sketch", F.lit(0.0).alias("reach"))
     copies = filled.select("doc_id", "print").join(same.select("print", "node"), "print").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
 
     keys = same.select("node", F.posexplode("keys").alias("k", "key"))
     leaders = keys.groupBy("k", "key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    nearest = keys.join(leaders, ["k", "key"]).where("node <> leader").groupBy("node").agg(F.min("leader").alias("leader"))
-    tested = verify(nearest.select(F.col("leader").alias("a"), F.col("node").alias("b")), docs)
+    met = keys.join(leaders, ["k", "key"]).where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
+    nearest = met.groupBy("node").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
+    tested = verify(nearest.select(F.col("leader").alias("a"), F.col("node").alias("b")), docs, sketched, percent)
     linked = tested.where(100 * F.col("shared") >= percent * F.col("total"))
     links = linked.select("a", "b")
     stars = cut(same.select("node").distinct().join(linked.select(F.col("b").alias("node"), F.col("a").alias("star")), "node", "left").select("node", F.coalesce("star", "node").alias("star")), "stars")
+    member = cut(_members(stars, linked), "members")
+    ends = same.select("node", "n_shingles", "sketch").join(member.select("node", F.when(F.col("n") > 1, F.col("r") + F.col("wide")).otherwise(0.0).alias("reach")), "node")
     todo, checked = stars, None
     for scheme in range(SCHEMES + 1):
         texts = docs.select(F.col("doc_id").alias("node"), "text").join(sized_broadcast(todo, MOST_BROADCAST), "node")
         pairs, short = _meet(texts, percent, scheme, HOT if scheme < SCHEMES else None)
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        found = verify(pairs, docs)
+        found = verify(pairs, docs, ends, percent)
         checked = found.select("a", "b") if checked is None else checked.unionByName(found.select("a", "b"))
         links = links.unionByName(found.where(100 * F.col("shared") >= percent * F.col("total")).select("a", "b"))
-        far = found.where((100 * F.col("shared") < percent * F.col("total")) & (F.col("shared") > 0))
-        links = links.unionByName(_expanded(far, stars, linked, docs, percent))
+        far = found.where(100 * F.col("shared") < percent * F.col("total"))
+        links = links.unionByName(_expanded(far, member, docs, sketched, percent))
         if short is None:
             break
         todo = cut(todo.join(short, "node", "left_semi"), "short")
@@ -376,30 +426,33 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return rows.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def _expanded(far: DataFrame, stars: DataFrame, linked: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _members(stars: DataFrame, linked: DataFrame) -> DataFrame:
+    """node, star, r (distance to the leader), wide and n (the largest r and the number of members of the star)."""
+    radius = linked.select(F.col("b").alias("node"), (1 - F.col("shared") / F.col("total")).alias("r"))
+    member = stars.join(radius, "node", "left").select("node", "star", F.coalesce("r", F.lit(0.0)).alias("r"))
+    return member.join(member.groupBy("star").agg(F.max("r").alias("wide"), F.count("*").alias("n")), "star")
+
+
+def _expanded(far: DataFrame, member: DataFrame, docs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
     """Links between the other members of two stars whose members a and b met but don't link.
 
     With d the Jaccard distance, members x and y of the stars of leaders p and q satisfy
     d(x, y) >= d(a, b) - d(a, p) - d(p, x) - d(b, q) - d(q, y); only pairs for which this allows a link
     are verified.
     """
-    limit = 1 - percent / 100 + 1e-9
-    distance = 1 - F.col("shared") / F.col("total")
-    radius = linked.select(F.col("b").alias("node"), distance.alias("r"))
-    member = stars.join(radius, "node", "left").select("node", "star", F.coalesce("r", F.lit(0.0)).alias("r"))
-    widest = member.groupBy("star").agg(F.max("r").alias("wide"), F.count("*").alias("n"))
+    limit = _limit(percent)
 
     def end(c: str) -> DataFrame:
-        return member.join(widest, "star").select(F.col("node").alias(c), F.col("star").alias(f"{c}_star"), F.col("r").alias(f"{c}_r"), F.col("wide").alias(f"{c}_wide"), F.col("n").alias(f"{c}_n"))
+        return member.select(F.col("node").alias(c), F.col("star").alias(f"{c}_star"), F.col("r").alias(f"{c}_r"), F.col("wide").alias(f"{c}_wide"), F.col("n").alias(f"{c}_n"))
 
-    met = far.withColumn("d", distance).join(end("a"), "a").join(end("b"), "b").where("(a_n > 1 OR b_n > 1) AND a_star <> b_star")
+    met = far.withColumn("d", 1 - F.col("shared") / F.col("total")).join(end("a"), "a").join(end("b"), "b").where("(a_n > 1 OR b_n > 1) AND a_star <> b_star")
     met = met.where(F.col("d") - F.col("a_r") - F.col("a_wide") - F.col("b_r") - F.col("b_wide") <= limit)
     met = met.groupBy("a_star", "b_star").agg(F.max(F.col("d") - F.col("a_r") - F.col("b_r")).alias("gap"))
     left = member.select(F.col("node").alias("x"), F.col("star").alias("a_star"), F.col("r").alias("x_r"))
     right = member.select(F.col("node").alias("y"), F.col("star").alias("b_star"), F.col("r").alias("y_r"))
     pairs = met.join(left, "a_star").join(right, "b_star").where(F.col("gap") - F.col("x_r") - F.col("y_r") <= limit)
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
-    return verify(pairs, docs).where(100 * F.col("shared") >= percent * F.col("total")).select("a", "b")
+    return verify(pairs, docs, sketched, percent).where(100 * F.col("shared") >= percent * F.col("total")).select("a", "b")
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
