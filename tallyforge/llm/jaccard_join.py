@@ -13,8 +13,8 @@ the same segments with their one-deletion neighbourhoods (budget 2: a segment ma
 element), then ever finer segments. A pair meets where one of its sets first has budget enough; the
 other one signs there too, as it has
 not enough either; if it has, the pair meets in an earlier scheme by the same argument. Sets that no
-scheme gives enough budget (most of their shingles are in many unrelated texts) are joined by their
-shared elements without the limit. Candidates are verified exactly on the sets.
+scheme gives enough budget (most of their shingles are in many unrelated texts) are joined by the rarest
+elements of both (prefix filtering), without a limit. Candidates are verified exactly on the sets.
 
 Groups of copies: equal sets are one set throughout. Near copies are first gathered into stars (a set
 and its verified links to one leader, found by minimum hashes), and in a signature's group each star is
@@ -80,14 +80,11 @@ def signatures(sets: list[np.ndarray], percent: int, scheme: int) -> tuple[np.nd
     """Of each signature: its set (index), its value, its role (0: own band, 1: next band). Then of each set its slack
     in both roles: the budget of its segments less what it needs to have more than (a large number where it has no part).
 
-    scheme 0: segments; 1: segments with one-deletion neighbourhoods; 2 and more: finer segments;
-    SCHEMES: single elements, without slack.
+    scheme 0: segments; 1: segments with one-deletion neighbourhoods; 2 and more: finer segments.
     """
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     starts = np.cumsum(size) - size
     flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    if scheme >= SCHEMES:
-        return np.repeat(np.arange(len(sets)), size), mix(flat + np.uint64(0x51ED270B)), np.zeros(len(flat), np.int64), np.zeros((len(sets), 2), np.int64)
     low = bands()
     own = np.searchsorted(low, size, "right") - 1
     filled, reach = np.flatnonzero(size), np.flatnonzero((size > 0) & (100 * size >= percent * low[own + 1]))
@@ -271,7 +268,7 @@ def _packed(names: list[int], bucket: int, value: np.ndarray, node: np.ndarray,
     return pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], names=["place", "bucket", "value", "node", "star", "role"])
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], percent: int, scheme: int, names: list[int], hot: int | None) -> Iterator[pa.RecordBatch]:
+def _buckets(batches: Iterator[pa.RecordBatch], percent: int, scheme: int, names: list[int], hot: int) -> Iterator[pa.RecordBatch]:
     """Signatures of (node, star, text), packed by bucket: of a value each star once, and few more stars than make it hot.
 
     Rows of bucket -1 - b tell bucket b the slack of nodes (value empty, role the slack of both roles by turns);
@@ -286,7 +283,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], percent: int, scheme: int, names
             return
         value, nodes, stars, roles, rank = _first_of_stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
         held, many = [], 0
-        if hot is not None and (over := np.flatnonzero(rank >= hot + 2)).size:
+        if (over := np.flatnonzero(rank >= hot + 2)).size:
             star, slot = np.unique(np.stack([stars[over], roles[over]], axis=1), axis=0, return_inverse=True)
             times = np.bincount(slot.ravel(), minlength=len(star))
             lost = np.zeros((len(star), 2), np.int64)
@@ -306,14 +303,13 @@ def _buckets(batches: Iterator[pa.RecordBatch], percent: int, scheme: int, names
         who, value, role, slack = signatures(shingle_sets(*raw_text(b.column(2))), percent, scheme)
         held.append((value & np.uint64((1 << 48) - 1), node[who], star[who], role))
         many += len(value)
-        if hot is not None:
-            yield _packed(names, -1 - int(node[0] % len(names)), np.empty(0, np.uint64), node, star, np.clip(slack, -1, 1 << 30).ravel())
+        yield _packed(names, -1 - int(node[0] % len(names)), np.empty(0, np.uint64), node, star, np.clip(slack, -1, 1 << 30).ravel())
         if many > 1_200_000:
             yield from flush()
     yield from flush()
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], hot: int | None) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
     """kind 0: pairs (a, b) of members of different stars with a common value; 1: slack (b, c) of node a in star d; 2: lost budget (b, c) of star a."""
 
     def out(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -325,24 +321,18 @@ def _candidates(batches: Iterator[pa.RecordBatch], hot: int | None) -> Iterator[
         value, nodes, stars, roles, _ = _first_of_stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
         edge = np.flatnonzero(np.diff(value.view(np.int64), prepend=-1))
         size = np.diff(edge, append=len(value))
-        usual = size > 1 if hot is None else (size > 1) & (size <= hot)
+        usual = (size > 1) & (size <= hot)
         pairs = []
         for k in np.unique(size[usual]):
             rows = edge[usual & (size == k)]
-            if k <= 64:
-                left, right = np.triu_indices(int(k), 1)
-                pairs.append(np.stack([nodes[(rows[:, None] + left).ravel()], nodes[(rows[:, None] + right).ravel()]], axis=1))
-            else:
-                for r in rows:
-                    for i in range(int(k) - 1):
-                        rest = nodes[r + i + 1 : r + k]
-                        pairs.append(np.stack([np.full(len(rest), nodes[r + i]), rest], axis=1))
+            left, right = np.triu_indices(int(k), 1)
+            pairs.append(np.stack([nodes[(rows[:, None] + left).ravel()], nodes[(rows[:, None] + right).ravel()]], axis=1))
         if pairs:
             pair = np.concatenate(pairs)
             pair.sort(axis=1)
             pair = np.unique(pair, axis=0)
             yield from out(0, pair[:, 0], pair[:, 1], pair[:, 0] * 0, pair[:, 0] * 0)
-        if hot is not None and (over := np.flatnonzero(np.repeat(size > hot, size))).size:
+        if (over := np.flatnonzero(np.repeat(size > hot, size))).size:
             star, slot = np.unique(stars[over], return_inverse=True)
             lost = np.zeros((len(star), 2), np.int64)
             np.add.at(lost, (slot.ravel(), roles[over]), 1)
@@ -369,7 +359,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], hot: int | None) -> Iterator[
         yield from of(held)
 
 
-def _meet(nodes: DataFrame, percent: int, scheme: int, hot: int | None) -> tuple[DataFrame, DataFrame | None]:
+def _meet(nodes: DataFrame, percent: int, scheme: int, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs of nodes(node, star, text) under a scheme, and the nodes whose budget there is not enough."""
     spark = nodes.sparkSession
     n = shuffle_partitions(spark)
@@ -378,8 +368,6 @@ def _meet(nodes: DataFrame, percent: int, scheme: int, hot: int | None) -> tuple
     dealt = packed.repartition(n, "place").drop("place").sortWithinPartitions("bucket")
     found = cut(dealt.mapInArrow(lambda it: _candidates(it, hot), "kind int, a long, b long, c long, d long"), "met")
     pairs = found.where("kind = 0").select("a", "b").distinct()
-    if hot is None:
-        return pairs, None
     lost = found.where("kind = 2").groupBy(F.col("a").alias("star")).agg(F.sum("b").alias("lost_own"), F.sum("c").alias("lost_up"))
     have = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("own"), F.col("c").alias("up"), F.col("d").alias("star"))
     each = 2 if scheme == 1 else 1
@@ -399,33 +387,63 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     keys = same.select("node", F.posexplode("keys").alias("k", "key"))
     leaders = keys.groupBy("k", "key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
     met = keys.join(leaders, ["k", "key"]).where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
-    nearest = met.groupBy("node").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
-    tested = verify(nearest.select(F.col("leader").alias("a"), F.col("node").alias("b")), docs, sketched, percent)
-    linked = tested.where(100 * F.col("shared") >= percent * F.col("total"))
+    nearest = met.where("n > 1").groupBy("node").agg(F.array_distinct(F.array(F.min("leader"), F.max_by("leader", F.struct("n", -F.col("leader"))))).alias("leaders"))
+    tested = verify(nearest.select(F.explode("leaders").alias("a"), F.col("node").alias("b")), docs, sketched, percent)
+    linked = tested.where(100 * F.col("shared") >= percent * F.col("total")).groupBy("b").agg(F.min(F.struct("a", "shared", "total")).alias("m")).select("m.a", "b", "m.shared", "m.total")
     links = linked.select("a", "b")
     stars = cut(same.select("node").distinct().join(linked.select(F.col("b").alias("node"), F.col("a").alias("star")), "node", "left").select("node", F.coalesce("star", "node").alias("star")), "stars")
     member = cut(_members(stars, linked), "members")
     ends = same.select("node", "n_shingles", "sketch").join(member.select("node", F.when(F.col("n") > 1, F.col("r") + F.col("wide")).otherwise(0.0).alias("reach")), "node")
-    todo, checked = stars, None
+    todo, checked, far = stars, None, None
     for scheme in range(SCHEMES + 1):
-        texts = docs.select(F.col("doc_id").alias("node"), "text").join(sized_broadcast(todo, MOST_BROADCAST), "node")
-        pairs, short = _meet(texts, percent, scheme, HOT if scheme < SCHEMES else None)
+        if scheme < SCHEMES:
+            texts = docs.select(F.col("doc_id").alias("node"), "text").join(sized_broadcast(todo, MOST_BROADCAST), "node")
+            pairs, short = _meet(texts, percent, scheme)
+        else:
+            pairs, short = _prefix_pairs(sets_of(docs, todo), todo, percent), None
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         found = verify(pairs, docs, ends, percent)
         checked = found.select("a", "b") if checked is None else checked.unionByName(found.select("a", "b"))
-        links = links.unionByName(found.where(100 * F.col("shared") >= percent * F.col("total")).select("a", "b"))
-        far = found.where(100 * F.col("shared") < percent * F.col("total"))
-        links = links.unionByName(_expanded(far, member, docs, sketched, percent))
+        near = 100 * F.col("shared") >= percent * F.col("total")
+        links = links.unionByName(found.where(near).select("a", "b"))
+        far = found.where(~near) if far is None else far.unionByName(found.where(~near))
         if short is None:
             break
         todo = cut(todo.join(short, "node", "left_semi"), "short")
         if not todo.limit(1).count():
             break
-    roots = components(links.unionByName(copies))
+    links = links.unionByName(copies)
+    roots = cut(components(links), "roots")
+    more = cut(_expanded(far, member, roots, docs, sketched, percent), "more")
+    if more.limit(1).count():
+        roots = components(links.unionByName(more))
     return rows.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
+def _prefix_pairs(sets: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the last sets, whose shingles are nearly all common: those that share one of the rarest of both.
+
+    With the elements in one order (rarest first), two sets that link share one among the first
+    |X| - ceil(P |X| / 100) + 1 of each.
+    """
+    from pyspark.sql.window import Window
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(items, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), node)), pa.array(x), pa.array(np.full(len(x), len(x)))], names=["node", "item", "n"])
+
+    rows = cut(sets.mapInArrow(run, "node long, item long, n long"), "elements")
+    often = rows.groupBy("item").agg(F.count("*").alias("df"))
+    first = F.row_number().over(Window.partitionBy("node").orderBy("df", "item"))
+    prefix = rows.join(often, "item").withColumn("k", first).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    one = cut(prefix.where("df > 1").join(stars, "node").groupBy("item", "star").agg(F.min("node").alias("node")), "prefixes")
+    other = one.select("item", F.col("star").alias("star_b"), F.col("node").alias("b"))
+    return one.join(other, "item").where("star <> star_b AND node < b").select(F.col("node").alias("a"), "b").distinct()
+
+
 def _members(stars: DataFrame, linked: DataFrame) -> DataFrame:
     """node, star, r (distance to the leader), wide and n (the largest r and the number of members of the star)."""
     radius = linked.select(F.col("b").alias("node"), (1 - F.col("shared") / F.col("total")).alias("r"))
@@ -433,8 +451,8 @@ def _members(stars: DataFrame, linked: DataFrame) -> DataFrame:
     return member.join(member.groupBy("star").agg(F.max("r").alias("wide"), F.count("*").alias("n")), "star")
 
 
-def _expanded(far: DataFrame, member: DataFrame, docs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
-    """Links between the other members of two stars whose members a and b met but don't link.
+def _expanded(far: DataFrame, member: DataFrame, roots: DataFrame, docs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """Links between the other members of two stars, not in one component yet, whose members a and b met but don't link.
 
     With d the Jaccard distance, members x and y of the stars of leaders p and q satisfy
     d(x, y) >= d(a, b) - d(a, p) - d(p, x) - d(b, q) - d(q, y); only pairs for which this allows a link
@@ -446,6 +464,8 @@ def _expanded(far: DataFrame, member: DataFrame, docs: DataFrame, sketched: Data
         return member.select(F.col("node").alias(c), F.col("star").alias(f"{c}_star"), F.col("r").alias(f"{c}_r"), F.col("wide").alias(f"{c}_wide"), F.col("n").alias(f"{c}_n"))
 
     met = far.withColumn("d", 1 - F.col("shared") / F.col("total")).join(end("a"), "a").join(end("b"), "b").where("(a_n > 1 OR b_n > 1) AND a_star <> b_star")
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    met = met.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
     met = met.where(F.col("d") - F.col("a_r") - F.col("a_wide") - F.col("b_r") - F.col("b_wide") <= limit)
     met = met.groupBy("a_star", "b_star").agg(F.max(F.col("d") - F.col("a_r") - F.col("b_r")).alias("gap"))
     left = member.select(F.col("node").alias("x"), F.col("star").alias("a_star"), F.col("r").alias("x_r"))
