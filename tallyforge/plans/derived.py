@@ -101,15 +101,30 @@ def with_tables(sql: str) -> str:
     return f"WITH {head},\n{sql[5:]}" if sql.startswith("WITH ") else f"WITH {head}\n{sql}"
 
 
+#: Tables that many others are made from; kept in memory and on disk once made.
+KEPT = ("priced", "fee_lines", "batches", "bank_credits")
+
+
 class Derived:
-    """The derived tables as DataFrames: derived(spark, dir).payments and so on."""
+    """The derived tables as DataFrames: Derived(spark, dir).payments and so on."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._made = spark, sf_dir, {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name not in TABLES:
+        if name not in TABLES and name not in BASE:
             raise AttributeError(name)
-        sql = with_tables(f"SELECT * FROM {name}")
-        used = [t for t in BASE if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", sql)]
-        return self.spark.sql(re.sub(r"^WITH ", "WITH " + "".join(f"{t} AS (SELECT * FROM parquet.`{self.sf_dir}/{t}.parquet`),\n" for t in used), sql))
+        if name not in self._made:
+            if name in BASE:
+                made = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            else:
+                sql = TABLES[name]
+                for other in (*TABLES, *BASE):
+                    pattern = rf"\b(FROM|JOIN) {other}\b"
+                    if re.search(pattern, sql):
+                        getattr(self, other).createOrReplaceTempView(f"tallyforge_{other}")
+                        sql = re.sub(pattern, rf"\1 tallyforge_{other}", sql)
+                made = self.spark.sql(sql)
+                made = made.persist() if name in KEPT else made
+            self._made[name] = made
+        return self._made[name]
