@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import sized_broadcast
+from tallyforge.llm.common import cut, sized_broadcast
 
 WIDTH = 5
 PERCENT = 75
@@ -56,13 +56,14 @@ def item_keys(items: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Pairs doc_id, item_id with n_shingles (of the item) and n_found (of them in the document), at PERCENT or more."""
     docs, items = docs.where("doc_id IS NOT NULL").select("doc_id", "text"), items.where("item_id IS NOT NULL").select("item_id", "text")
-    pairs = _hashed(docs, "doc_id").join(sized_broadcast(item_keys(items), MOST_BROADCAST), "h").select("doc_id", "item_id").distinct()
-    texts = items.select("item_id", F.explode(F.array_distinct(shingle_texts(words(F.col("text"))))).alias("g")).distinct()
+    pairs = cut(_hashed(docs, "doc_id").join(sized_broadcast(item_keys(items), MOST_BROADCAST), "h").select("doc_id", "item_id").distinct(), "leak-pairs")
+    # the words stand in a column of their own: an expression over the text would be worked out anew for every window
+    worded = items.select("item_id", words(F.col("text")).alias("w"))
+    texts = worded.select("item_id", F.explode(F.array_distinct(shingle_texts(F.col("w")))).alias("g")).distinct()
     sizes = texts.groupBy("item_id").agg(F.count("*").alias("n_shingles"))
-    asked = pairs.join(sized_broadcast(sizes, MOST_BROADCAST), "item_id")
-    found = asked.groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
-    grams = docs.join(found, "doc_id").select("doc_id", "items", F.explode(F.array_distinct(shingle_texts(words(F.col("text"))))).alias("g"))
-    hits = grams.join(sized_broadcast(texts, MOST_BROADCAST), "g").where(F.array_contains("items", F.col("item_id"))).select("doc_id", "item_id", "g").distinct()
+    asked = sized_broadcast(pairs.select("doc_id").distinct(), MOST_BROADCAST)
+    grams = docs.join(asked, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(shingle_texts(F.col("w"))).alias("g"))
+    hits = grams.join(sized_broadcast(texts, MOST_BROADCAST), "g").distinct().join(sized_broadcast(pairs, MOST_BROADCAST), ["doc_id", "item_id"], "left_semi")
     counts = hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_found"))
     return counts.join(sized_broadcast(sizes, MOST_BROADCAST), "item_id").where(100 * F.col("n_found") >= PERCENT * F.col("n_shingles")).select("doc_id", "item_id", "n_shingles", "n_found")
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import cut, text_slices
-from tallyforge.llm.tokens import WordwiseTokenizer
+from tallyforge.llm.tokens import ByteTokenizer
 
 FAN = 8
 CARRY = 4096
@@ -66,7 +66,7 @@ def tokenise(docs: DataFrame, vocabulary: str, end_id: int, size: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, tokenizer = TaskContext.get().partitionId(), WordwiseTokenizer(vocabulary, "byte")
+        part, tokenizer = TaskContext.get().partitionId(), ByteTokenizer(vocabulary)
         best, n_bins, held, n_held = BestFit(size), 0, [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,10 @@
-"""Token ids of whole texts by a public tokenizer, with each distinct word encoded once per task."""
+"""Token ids of whole texts by public tokenizer files, as tokenizers.Tokenizer.encode(text, add_special_tokens=False) gives them."""
 
 from __future__ import annotations
 
-import re
+import json
 from collections import defaultdict
-from itertools import count, islice
+from itertools import chain, count, islice
 
 import numpy as np
 
@@ -12,87 +12,101 @@ from tallyforge.llm.common import ragged
 
 #: Distinct words kept by a task before its table starts anew.
 MAX_WORDS = 400_000
+#: Fixed value: the splitting pattern of byte-level BPE files.
+BYTE_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fixed value: the splitting pattern of word BPE files.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-_RUN = re.compile(r"\s \s")
-_WORD = re.compile(r"\S+")
 
+def byte_letters() -> list[str]:
+    """The printable character that byte-level files write for each byte: itself where it is printable Latin-1, else one from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = count(0x100)
+    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
-class WordwiseTokenizer:
-    """The ids of tokenizers.Tokenizer.encode(text, add_special_tokens=False).ids for many texts.
 
-    Both kinds of vocabulary file cut a text at blanks before they merge, so the ids of a text are those
-    of its words in a row. kind "byte": the byte-level BPE, whose words keep the blank before them; a
-    text in which blanks stand between other white space is encoded as a whole. kind "word": the BPE
-    with word ends, which drops white space.
-    """
+class ByteTokenizer:
+    """Byte-level BPE. The file's vocabulary is read as merge ranks, which encode several times as fast as the file's own
+    pipeline and give the same ids; a text that holds the name of a special token goes through the file's own pipeline."""
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.kind, self.tokenizer = kind, Tokenizer.from_file(path)
-        self.mark = "\n" if kind == "byte" else " 7 "
-        self.mark_id = self.tokenizer.encode(self.mark.strip(" "), add_special_tokens=False).ids[0]
+        self.own = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+        self.special = [t["content"] for t in data.get("added_tokens", [])]
+        byte_of = {c: b for b, c in enumerate(byte_letters())}
+        ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in data["model"]["vocab"].items() if t not in self.special}
+        self.fast = tiktoken.Encoding("vocabulary", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the number of ids of each text."""
+        ids = [self.own.encode(t, add_special_tokens=False).ids if any(s in t for s in self.special) else self.fast.encode_ordinary(t) for t in texts]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
+
+
+class WordTokenizer:
+    """BPE with word ends, which drops white space: the ids of a text are those of its words in a row, and each
+    distinct word is encoded once per task. Plain words are cut as the file's pipeline does and merged by its model;
+    words with other characters go through the whole pipeline one by one."""
+
+    def __init__(self, path: str):
+        import regex
+        from tokenizers import Tokenizer
+
+        self.own = Tokenizer.from_file(path)
+        self.model = self.own.model
+        self.plain = regex.compile(r"[\x21-\x7EÀ-ÖØ-öø-ÿ]+")
+        self.cut = regex.compile(WORD_PATTERN)
+        self.letters = {b: c for b, c in enumerate(byte_letters())}
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict = defaultdict(count().__next__)
+        self.pieces: dict[str, list[int]] = {}
         self.flat, self.start, self.length = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list) -> None:
-        """Encodes new words: plain ones many at a time between marks, the others one by one."""
-        if self.kind == "byte":
-            plain = [bool(_WORD.fullmatch(w)) for w in words]
-            texts = [f" {w}" if not w.startswith(" ") else w[1:] for w in words]
-        else:
-            texts = [w.decode() for w in words]
-            plain = ["7" not in t for t in texts]
-        got: list = [None] * len(words)
-        many = [i for i, p in enumerate(plain) if p]
-        for at in range(0, len(many), 2000):
-            part = many[at : at + 2000]
-            ids = self._whole([self.mark.join(texts[i] for i in part)])[0]
-            ends = np.flatnonzero(ids == self.mark_id)
-            if len(ends) != len(part) - 1:  # a word holds the mark after all
-                plain = [p and i not in set(part) for i, p in enumerate(plain)]
-                continue
-            for i, ids_i in zip(part, np.split(ids, ends), strict=True):
-                got[i] = ids_i if i == part[0] else ids_i[1:]
-        alone = [i for i in range(len(words)) if got[i] is None]
-        for i, ids_i in zip(alone, self._whole([texts[i] for i in alone]), strict=True):
-            got[i] = ids_i
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.length = np.concatenate([self.length, lengths])
-        self.flat = np.concatenate([self.flat, *got])
+    def _piece(self, piece: str) -> list[int]:
+        data = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(data)]
+
+    def _word(self, word: bytes) -> list[int]:
+        text = word.decode()
+        if "<|" in text or not self.plain.fullmatch(text):
+            return self.own.encode(text, add_special_tokens=False).ids
+        text = text.lower()
+        if text.isascii() and text.isalpha():
+            return self._piece(text)
+        out: list[int] = []
+        for piece in self.cut.findall(text):
+            if len(piece) < 4:  # marks and endings come again and again
+                got = self.pieces.get(piece)
+                if got is None:
+                    got = self.pieces[piece] = self._piece(piece)
+                out += got
+            else:
+                out += self._piece(piece)
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text."""
         if len(self.index) > MAX_WORDS:
             self._clear()
-        known, get, codes, whole = len(self.index), self.index.__getitem__, [], {}
-        for i, text in enumerate(texts):
-            if self.kind == "word":
-                words = text.encode().split()
-            elif " " in text and _RUN.search(text):
-                whole[i], words = text, []
-            else:
-                words = text.split(" ")
-                words[0] = f" {words[0]}"
+        known, get, codes = len(self.index), self.index.__getitem__, []
+        for text in texts:
+            words = text.encode().split()
             codes.append(np.fromiter(map(get, words), np.int64, len(words)))
         if len(self.index) > known:
-            self._learn(list(islice(self.index, known, None)))
+            ids = [self._word(w) for w in islice(self.index, known, None)]
+            length = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
+            self.length = np.concatenate([self.length, length])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))])
         words_of = np.fromiter(map(len, codes), np.int64, len(codes))
         code = np.concatenate(codes) if codes else np.empty(0, np.int64)
-        lengths = self.length[code]
-        flat = self.flat[ragged(self.start[code], lengths)]
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(words_of)] if codes else np.empty(0, np.int64)
-        counts = np.diff(ends, prepend=0)
-        if whole:
-            parts = np.split(flat, ends[:-1])
-            for i, ids in zip(whole, self._whole(list(whole.values())), strict=True):
-                parts[i] = ids
-            flat, counts = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
-        return flat, counts
+        length = self.length[code]
+        ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum(words_of)]
+        return self.flat[ragged(self.start[code], length)], np.diff(ends, prepend=0)
