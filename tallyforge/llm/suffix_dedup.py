@@ -40,7 +40,7 @@ GRAM = 32
 STEP = 23
 #: A text is parsed in blocks of so many bytes.
 BLOCK = 2 << 20
-#: Phrases of one trigger that a task sends to the parse; others of it go to the suffixes directly.
+#: Phrases of one trigger that a task sends to the parse (2 at least, so that the parse sees that there are several); others of it go to the suffixes directly.
 MANY = 16
 #: Ids that may be broadcast; beyond it the join shuffles.
 MOST_BROADCAST = 500_000
