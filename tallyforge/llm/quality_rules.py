@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import SPACE, as_bytes, cut, mix, ragged, raw_text, text_slices
+from tallyforge.llm.common import SPACE, as_bytes, cut, mix, ragged, raw_text, sized_broadcast, text_slices
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, n_tokens long, chars_per_token double, byte_share double, token_entropy double"
 
@@ -179,7 +179,7 @@ def judge(measured: DataFrame, rules: Rules = Rules()) -> DataFrame:
     )
     long_enough = F.col("n_tokens") >= rules.min_tokens
     return (
-        rows.join(limits, "band", "left")
+        rows.join(sized_broadcast(limits, 10_000), "band", "left")
         .withColumn("few_chars", long_enough & (F.col("chars_per_token") < F.col("least_chars")))
         .withColumn("many_bytes", long_enough & (F.col("byte_share") > F.col("most_bytes")))
         .withColumn("low_entropy", long_enough & (F.col("token_entropy") < F.col("least_entropy")))
