@@ -394,6 +394,7 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stars = cut(same.select("node").distinct().join(linked.select(F.col("b").alias("node"), F.col("a").alias("star")), "node", "left").select("node", F.coalesce("star", "node").alias("star")), "stars")
     member = cut(_members(stars, linked), "members")
     ends = same.select("node", "n_shingles", "sketch").join(member.select("node", F.when(F.col("n") > 1, F.col("r") + F.col("wide")).otherwise(0.0).alias("reach")), "node")
+    known = cut(components(links), "known")
     todo, checked, far = stars, None, None
     for scheme in range(SCHEMES + 1):
         if scheme < SCHEMES:
@@ -401,6 +402,7 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             pairs, short = _meet(texts, percent, scheme)
         else:
             pairs, short = _prefix_pairs(sets_of(docs, todo), todo, percent), None
+        pairs = _apart(pairs, known)
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         found = verify(pairs, docs, ends, percent)
@@ -421,6 +423,13 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return rows.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
+def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component already: for the others a link would tell nothing new."""
+    root = lambda c: known.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    both = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    return both.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
+
 def _prefix_pairs(sets: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
     """Pairs of the last sets, whose shingles are nearly all common: those that share one of the rarest of both.
 
@@ -464,8 +473,7 @@ def _expanded(far: DataFrame, member: DataFrame, roots: DataFrame, docs: DataFra
         return member.select(F.col("node").alias(c), F.col("star").alias(f"{c}_star"), F.col("r").alias(f"{c}_r"), F.col("wide").alias(f"{c}_wide"), F.col("n").alias(f"{c}_n"))
 
     met = far.withColumn("d", 1 - F.col("shared") / F.col("total")).join(end("a"), "a").join(end("b"), "b").where("(a_n > 1 OR b_n > 1) AND a_star <> b_star")
-    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    met = met.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+    met = met.join(_apart(met.select("a", "b").distinct(), roots), ["a", "b"], "left_semi")
     met = met.where(F.col("d") - F.col("a_r") - F.col("a_wide") - F.col("b_r") - F.col("b_wide") <= limit)
     met = met.groupBy("a_star", "b_star").agg(F.max(F.col("d") - F.col("a_r") - F.col("b_r")).alias("gap"))
     left = member.select(F.col("node").alias("x"), F.col("star").alias("a_star"), F.col("r").alias("x_r"))
