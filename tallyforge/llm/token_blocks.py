@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import ragged, scratch, shuffle_partitions, text_slices
+from tallyforge.llm.common import ragged, scratch, shuffle_partitions, sized_broadcast, text_slices
 from tallyforge.llm.tokens import WordTokenizer
 
 BLOCK = 1024
@@ -174,7 +174,7 @@ def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
     path = scratch(spark, "token-files")
     write(docs, path, vocabulary, end_id)
     files = spark.read.schema("part int, seq int, n_ids long, file binary").parquet(path)
-    return read(files).join(file_starts(files), ["part", "seq"]).select("doc_id", (F.col("first") + F.col("place")).alias("start"), "n_tokens", "ids")
+    return read(files).join(sized_broadcast(file_starts(files), 1_000_000), ["part", "seq"]).select("doc_id", (F.col("first") + F.col("place")).alias("start"), "n_tokens", "ids")
 
 
 def crc32(ids: bytes) -> int:
