@@ -427,7 +427,7 @@ def fee_convention(d: Derived) -> DataFrame:
     return ingest.fee_convention(_recon(d))
 
 
-_FLAGGED = _RECON + ", q AS (SELECT rc.*, CASE WHEN type = 'transfer' THEN 'unsupported_type' WHEN NOT settled THEN 'unsettled' WHEN settlement_id LIKE 'STL-03%' THEN 'settlement_without_credit' WHEN k % 229 = 13 THEN 'missing_payment_detail' WHEN credit <> amount - fee - tax THEN 'credit_does_not_reconcile' END AS reason FROM rc)"
+_FLAGGED = _RECON + ", q AS (SELECT rc.*, CASE WHEN type = 'transfer' THEN 'unsupported_type' WHEN NOT settled THEN 'unsettled' WHEN settlement_id LIKE 'STL-03%' OR settlement_id NOT IN (SELECT id FROM batches) THEN 'settlement_without_credit' WHEN k % 229 = 13 THEN 'missing_payment_detail' WHEN credit <> amount - fee - tax THEN 'credit_does_not_reconcile' END AS reason FROM rc)"
 
 
 def _flagged(d: Derived) -> DataFrame:
