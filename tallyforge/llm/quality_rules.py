@@ -4,7 +4,8 @@ A public vocabulary with byte fallback is a yardstick for text: prose of a langu
 many characters per token, no byte tokens and a broad mix of tokens; junk takes few characters, bytes,
 or the same tokens again and again. Each text gets three measures (characters per token, share of byte
 tokens, entropy of its tokens relative to the most that its length allows). Each language, or script
-where a row names no language, gets bands from the quartiles of all its documents; a text outside a
+where a row names no language, gets bands from the quartiles of all its documents, apart for each class
+of length (powers of two of the tokens), as short texts spread more and have more entropy; a text outside a
 band on the bad side is rejected, and so is one that fails the base rules (too few words, or too many
 words in repeated five-word windows).
 
@@ -32,18 +33,24 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 
 @dataclass(frozen=True)
 class Rules:
-    """min_words, repeat_percent: base rules. reach: quartile ranges that a band extends beyond the quartiles.
+    """min_words, repeat_percent: base rules. reach, entropy_reach: quartile ranges that a band extends beyond the quartiles.
 
-    The floors keep a band from closing in on a language whose texts are all alike: only a text worse
-    than the floor and outside its band is rejected. min_tokens: shorter texts say too little to judge.
+    A class of length with fewer than min_group texts is judged by its language or script as a whole,
+    with a wider band of characters for short texts, and there only a text that is also worse than the
+    floor is rejected. byte_floor always holds: a language without byte tokens has a band of no width.
+    min_spread: the least quartile range, so that a band doesn't close in on texts that are all alike.
+    min_tokens: shorter texts say too little to judge.
     """
 
     min_words: int = 10
     repeat_percent: int = 20
-    reach: float = 4.0
+    reach: float = 2.5
+    entropy_reach: float = 1.5
+    min_group: int = 50
+    min_spread: float = 0.02
     chars_floor: float = 1.9
     byte_floor: float = 0.02
-    entropy_floor: float = 0.55
+    entropy_floor: float = 0.5
     min_tokens: int = 30
 
 
@@ -164,27 +171,32 @@ def measures(docs: DataFrame, model: str, keep: list[str]) -> DataFrame:
 
 
 def judge(measured: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Adds base_failed, the band's verdicts and kept. The bands are quartiles over all rows of a language or script."""
+    """Adds base_failed, the band's verdicts and kept. The bands are quartiles over all rows of a language or script and length."""
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.repeat_percent * F.col("n_words"))
-    rows = measured.withColumn("band", F.coalesce("lang", F.concat(F.lit("script:"), "script"))).withColumn("base_failed", failed)
+    length = F.least(F.greatest(F.length(F.bin("n_tokens")), F.lit(6)), F.lit(12))
+    rows = measured.withColumn("band", F.coalesce("lang", F.concat(F.lit("script:"), "script"))).withColumn("base_failed", failed).withColumn("_length", length)
     spread = lambda c: F.expr(f"percentile(round({c}, 3), array(0.25, 0.75))").alias(c)  # noqa: E731  rounding bounds what a group keeps
-    bands = rows.where(~F.col("base_failed")).groupBy("band").agg(spread("chars_per_token"), spread("byte_share"), spread("token_entropy"))
-    low = lambda c: F.col(c)[0] - rules.reach * (F.col(c)[1] - F.col(c)[0])
-    high = lambda c: F.col(c)[1] + rules.reach * (F.col(c)[1] - F.col(c)[0])
-    limits = bands.select(
-        "band",
-        F.least(low("chars_per_token"), F.lit(rules.chars_floor)).alias("least_chars"),
-        F.greatest(high("byte_share"), F.lit(rules.byte_floor)).alias("most_bytes"),
-        F.least(low("token_entropy"), F.lit(rules.entropy_floor)).alias("least_entropy"),
-    )
+    span = lambda c: F.greatest(F.col(c)[1] - F.col(c)[0], F.lit(rules.min_spread))
+    most = F.greatest(F.col("byte_share")[1] + rules.reach * (F.col("byte_share")[1] - F.col("byte_share")[0]), F.lit(rules.byte_floor))
+    least = F.col("token_entropy")[0] - rules.entropy_reach * span("token_entropy")
+
+    def bands(*by: str) -> DataFrame:
+        return rows.where(~F.col("base_failed")).groupBy(*by).agg(F.count("*").alias("n"), F.expr("percentile(n_tokens, 0.5)").alias("usual"), spread("chars_per_token"), spread("byte_share"), spread("token_entropy"))
+
+    narrow = bands("band", "_length").where(F.col("n") >= rules.min_group).select("band", "_length", (F.col("chars_per_token")[0] - rules.reach * span("chars_per_token")).alias("_chars"), most.alias("_bytes"), least.alias("_entropy"))
+    wide = bands("band").select("band", F.col("chars_per_token")[0].alias("_low"), (rules.reach * span("chars_per_token")).alias("_reach"), "usual", most.alias("_all_bytes"), F.least(least, F.lit(rules.entropy_floor)).alias("_all_entropy"))
+    # a mean over fewer tokens spreads more, by the root of their number
+    shorter = F.sqrt(F.greatest(F.col("usual") / F.col("n_tokens"), F.lit(1.0)))
+    least_chars = F.coalesce("_chars", F.least(F.col("_low") - F.col("_reach") * shorter, F.lit(rules.chars_floor)))
     long_enough = F.col("n_tokens") >= rules.min_tokens
     return (
-        rows.join(sized_broadcast(limits, 10_000), "band", "left")
-        .withColumn("few_chars", long_enough & (F.col("chars_per_token") < F.col("least_chars")))
-        .withColumn("many_bytes", long_enough & (F.col("byte_share") > F.col("most_bytes")))
-        .withColumn("low_entropy", long_enough & (F.col("token_entropy") < F.col("least_entropy")))
+        rows.join(sized_broadcast(narrow, 10_000), ["band", "_length"], "left")
+        .join(sized_broadcast(wide, 10_000), "band", "left")
+        .withColumn("few_chars", long_enough & (F.col("chars_per_token") < least_chars))
+        .withColumn("many_bytes", long_enough & (F.col("byte_share") > F.coalesce("_bytes", "_all_bytes")))
+        .withColumn("low_entropy", long_enough & (F.col("token_entropy") < F.coalesce("_entropy", "_all_entropy")))
         .withColumn("kept", ~(F.col("base_failed") | F.coalesce(F.col("few_chars") | F.col("many_bytes") | F.col("low_entropy"), F.lit(False))))
-        .drop("least_chars", "most_bytes", "least_entropy")
+        .drop("_length", "_chars", "_bytes", "_entropy", "_low", "_reach", "usual", "_all_bytes", "_all_entropy")
     )
 
 

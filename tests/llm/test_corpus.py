@@ -230,6 +230,27 @@ def test_quality_rules(docs, empty):
     assert quality_rules.score(empty, vocabulary("piece_bpe_32k.model")).count() == 0
 
 
+def test_quality_bands_reject_junk_by_each_measure(spark):
+    rng = random.Random(4)
+    words = "the of and river house morning people water small letter garden window between without number country other winter story teacher".split()
+    words += ["".join(w) for w in zip([rng.choice(words) for _ in range(400)], [rng.choice(["", "s", "ing", "er"]) for _ in range(400)])]
+    clean = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, clean(rng.choice([40, 80, 200, 400])), "en") for i in range(600)]
+    short = [(1000 + i, clean(30) + " 5555-2748", "en") for i in range(20)]
+    symbols = [(2000 + i, " ".join(rng.choice(words) + "#$%&|<>"[k % 7] * 3 for k in range(200)), "en") for i in range(10)]
+    glyphs = [(3000 + i, clean(150) + " " + " ".join(chr(0x13000 + rng.randrange(900)) for _ in range(30)), "en") for i in range(10)]
+    few = [rng.choice(words) for _ in range(12)]
+    dull = [(4000 + i, " ".join(rng.choice(few) for _ in range(200)), "en") for i in range(10)]
+    rare = [(5000 + i, clean(60), "sv") for i in range(5)]
+    docs = spark.createDataFrame([*rows, *short, *symbols, *glyphs, *dull, *rare], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules.score(docs, vocabulary("piece_bpe_32k.model")).collect()}
+    assert all(got[r[0]].few_chars and not got[r[0]].kept for r in symbols)
+    assert all(got[r[0]].many_bytes and not got[r[0]].kept for r in glyphs)
+    assert all(got[r[0]].low_entropy and not got[r[0]].base_failed for r in dull)
+    assert all(got[r[0]].kept for r in [*short, *rare])
+    assert sum(got[r[0]].kept for r in rows) >= 0.98 * len(rows)
+
+
 def _labelled(spark, n=900):
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
