@@ -5,8 +5,8 @@ whose URL path is nearest in path order (of two equally near ones, the one more
 lines outside an article element that both pages have are deleted: that is what the site's template
 puts on every page. Two pages that carry one sentence in their articles both own it, so article lines
 stay. What no page shows as text (scripts, styles, forms) or what markup itself names as navigation,
-header, footer, sidebar, notice, advert or comments is left out before pairing. A page with an article
-or main element keeps the lines inside it, another page all lines that differencing leaves.
+header, footer, sidebar, notice, advert or comments is left out before pairing (an article element too, if its
+class or id says that it is a comment). Every page keeps all lines that differencing leaves, in or beside an article.
 
 Null, empty and broken html give the text that can be read, at least the empty one. Rows that repeat and
 pages of equal URL are extracted row by row; a null or odd URL has its own host "". A page alone on its
@@ -35,10 +35,13 @@ _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _OUT = frozenset("nav aside footer form head button menu dialog select option label fieldset title audio video canvas map".split())
-#: Pages without article that may be broadcast with their deleted lines; beyond it the join shuffles.
+#: Pages that lose lines and may be broadcast with their deleted lines; beyond it the join shuffles.
 MOST_BROADCAST = 100_000
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _MAIN = frozenset("article main".split())
+#: Whole class or id of an article that is a reader's comment; a post's article may well be of class has-comments.
+_COMMENT = re.compile(r"(?:[a-z]+-)?(?:comment|comments|reply|replies)(?:-(?:body|content|item|\d+))?")
+_NOT_COMMENT = frozenset("has no with post".split())
 #: Words of class, id and role that name what is not main text.
 _WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar side aside rail widget "
@@ -50,6 +53,9 @@ _WORDS = frozenset(
 def _named_out(tag: str, attrs: str, inside: bool) -> bool:
     if tag in _OUT or (tag == "header" and not inside):
         return True
+    if tag == "article":
+        names = (x for m in _NAMED.finditer(attrs or "") for x in (m[1] or m[2] or m[3] or "").lower().split())
+        return any(_COMMENT.fullmatch(x) and x.split("-")[0] not in _NOT_COMMENT for x in names)
     if not attrs or tag in ("html", "body") or tag in _MAIN:
         return False
     if _HIDDEN.search(attrs):
@@ -198,7 +204,7 @@ def _keyed(pages: DataFrame) -> DataFrame:
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """page_id, url, print and shared (a byte for each line, 1 if differencing deletes it) of the pages without article that lose lines.
+    """page_id, url, print and shared (a byte for each line, 1 if differencing deletes it) of the pages that lose lines.
 
     Only hashes of lines travel; pages stay where they are.
     """
@@ -214,13 +220,13 @@ def shared_lines(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def resolved(before: tuple | None, row: tuple, after: tuple | None) -> list[tuple]:
-            if row[1] or any(row[7]):
+            if row[1]:
                 return []
             near = [x for x in (before, after) if x is not None and x[0] == row[0] and x[2] == row[2]]  # part, host
             most = max((_nearness(x[3], row[3]) for x in near), default=0)
             mine = np.frombuffer(row[5], "<u8").tolist()
             aligned = [common_lines(mine, np.frombuffer(x[5], "<u8").tolist()) for x in near if _nearness(x[3], row[3]) == most]
-            shared = max(aligned, key=np.count_nonzero, default=np.zeros(0, np.bool_))
+            shared = max(aligned, key=np.count_nonzero, default=np.zeros(len(mine), np.bool_)) & (np.frombuffer(row[7], np.uint8) == 0)
             return [(row[4], row[6], row[8], shared.astype(np.uint8).tobytes())] if shared.any() else []
 
         def batch(done: list[tuple]) -> pa.RecordBatch:
@@ -253,12 +259,8 @@ def extract(pages: DataFrame) -> DataFrame:
             texts, counts = [], []
             for page, shared in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 got = lines(page)
-                if any(core for _, core in got):
-                    kept = [t for t, core in got if core]
-                else:
-                    gone = shared or bytes(len(got))
-                    kept = [t for (t, _), g in zip(got, gone, strict=True) if not g]
-                texts.append("\n\n".join(kept))
+                gone = shared or bytes(len(got))
+                texts.append("\n\n".join(t for (t, _), g in zip(got, gone, strict=True) if not g))
                 counts.append(len(got))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), pa.array(counts, pa.int32())], names=["page_id", "url", "text", "n_chars", "n_lines"])
 

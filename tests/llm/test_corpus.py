@@ -301,6 +301,16 @@ def test_html_differencing(spark):
     assert got[10].text == "A\n\nb c" and got[11].text == "" and got[12].text == "lone < text" and got[13].n_chars == 0
 
 
+def test_html_differencing_of_pages_with_articles(spark):
+    page = "<div>Slogan</div><div>Headline {i}</div><article><p>Teaser {i}</p><p>Both say this</p></article><article class='comment' id='comment-{i}'><p>Nice {i}!</p></article><div>Rights</div>"
+    rows = [(i, f"https://a.example/{i}", page.replace("{i}", str(i))) for i in range(4)]
+    rows += [(9, "https://alone.example/1", page.replace("{i}", "9")), (10, "https://p.example/1", "<article class='post has-comments'><p>Post</p></article>")]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(4):
+        assert got[i] == f"Headline {i}\n\nTeaser {i}\n\nBoth say this"
+    assert got[9] == "Slogan\n\nHeadline 9\n\nTeaser 9\n\nBoth say this\n\nRights" and got[10] == "Post"
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     rng = random.Random(6)
     for _ in range(200):
