@@ -243,7 +243,10 @@ def bucket_names(spark: SparkSession, n: int) -> list[int]:
 
 
 def _first_of_stars(value: np.ndarray, nodes: np.ndarray, stars: np.ndarray, roles: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Rows in the order of value and star, one for each star (its smallest node), with the row's rank within its value."""
+    """Rows in the order of value and star, one for each star (its smallest node), with the row's rank within its value.
+
+    roles are bits (1: own band, 2: next band); a star's row has those of all its members.
+    """
     order = np.argsort(value, kind="stable")
     value, nodes, stars, roles = value[order], nodes[order], stars[order], roles[order]
     same = value[1:] == value[:-1]
@@ -253,7 +256,9 @@ def _first_of_stars(value: np.ndarray, nodes: np.ndarray, stars: np.ndarray, rol
         nodes[again], stars[again], roles[again] = nodes[inner], stars[inner], roles[inner]
     new = np.ones(len(value), np.bool_)
     new[1:] = ~same | (stars[1:] != stars[:-1])
-    value, nodes, stars, roles = value[new], nodes[new], stars[new], roles[new]
+    if len(value):
+        roles = np.bitwise_or.reduceat(roles, np.flatnonzero(new))
+    value, nodes, stars = value[new], nodes[new], stars[new]
     edge = np.flatnonzero(np.diff(value.view(np.int64), prepend=-1))
     rank = np.arange(len(value)) - np.repeat(edge, np.diff(edge, append=len(value)))
     return value, nodes, stars, roles, rank
@@ -262,6 +267,13 @@ def _first_of_stars(value: np.ndarray, nodes: np.ndarray, stars: np.ndarray, rol
 _PACKED = "place int, bucket int, value binary, node binary, star binary, role binary"
 
 
+def _lost(stars: np.ndarray, roles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stars of rows of hot values, with the number of rows of each in both roles."""
+    star, slot = np.unique(stars, return_inverse=True)
+    lost = np.stack([np.bincount(slot.ravel(), roles & 1, len(star)), np.bincount(slot.ravel(), roles >> 1, len(star))], axis=1)
+    return star, lost.astype(np.int64)
+
+
 def _packed(names: list[int], bucket: int, value: np.ndarray, node: np.ndarray, star: np.ndarray, role: np.ndarray) -> pa.RecordBatch:
     blobs = (pack6(value), node.astype("<i8").tobytes(), star.astype("<i8").tobytes(), role.astype("<i4").tobytes())
     place = names[bucket if bucket >= 0 else -1 - bucket]
@@ -284,11 +296,8 @@ def _buckets(batches: Iterator[pa.RecordBatch], percent: int, scheme: int, names
         value, nodes, stars, roles, rank = _first_of_stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
         held, many = [], 0
         if (over := np.flatnonzero(rank >= hot + 2)).size:
-            star, slot = np.unique(np.stack([stars[over], roles[over]], axis=1), axis=0, return_inverse=True)
-            times = np.bincount(slot.ravel(), minlength=len(star))
-            lost = np.zeros((len(star), 2), np.int64)
-            lost[np.arange(len(star)), star[:, 1]] = times
-            yield _packed(names, -1 - int(star[0, 0] % len(names)), np.empty(0, np.uint64), np.full(len(star), -1), star[:, 0], lost.ravel())
+            star, lost = _lost(stars[over], roles[over])
+            yield _packed(names, -1 - int(star[0] % len(names)), np.empty(0, np.uint64), np.full(len(star), -1), star, lost.ravel())
             few = rank < hot + 2
             value, nodes, stars, roles = value[few], nodes[few], stars[few], roles[few]
         bucket = (value % np.uint64(len(names))).astype(np.int64)
@@ -301,7 +310,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], percent: int, scheme: int, names
     for b in text_slices(batches, column=2):
         node, star = b.column(0).to_numpy(), b.column(1).to_numpy()
         who, value, role, slack = signatures(shingle_sets(*raw_text(b.column(2))), percent, scheme)
-        held.append((value & np.uint64((1 << 48) - 1), node[who], star[who], role))
+        held.append((value & np.uint64((1 << 48) - 1), node[who], star[who], 1 << role))
         many += len(value)
         yield _packed(names, -1 - int(node[0] % len(names)), np.empty(0, np.uint64), node, star, np.clip(slack, -1, 1 << 30).ravel())
         if many > 1_200_000:
@@ -333,9 +342,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.Reco
             pair = np.unique(pair, axis=0)
             yield from out(0, pair[:, 0], pair[:, 1], pair[:, 0] * 0, pair[:, 0] * 0)
         if (over := np.flatnonzero(np.repeat(size > hot, size))).size:
-            star, slot = np.unique(stars[over], return_inverse=True)
-            lost = np.zeros((len(star), 2), np.int64)
-            np.add.at(lost, (slot.ravel(), roles[over]), 1)
+            star, lost = _lost(stars[over], roles[over])
             yield from out(2, star, lost[:, 0], lost[:, 1], star * 0)
 
     held: list[tuple] = []

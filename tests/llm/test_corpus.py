@@ -78,6 +78,25 @@ def test_jaccard_groups(spark, docs, hot, monkeypatch):
     assert got == groups(corpus())
 
 
+def _met(monkeypatch, rows, hot):
+    """kind and columns of what _candidates finds of rows (node, star, role) that share one value."""
+    import pyarrow as pa
+
+    node, star, role = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+    monkeypatch.setattr(jaccard_join, "signatures", lambda *_: (np.arange(len(node)), np.full(len(node), 7, np.uint64), role, np.ones((len(node), 2), np.int64)))
+    batch = pa.RecordBatch.from_arrays([pa.array(node), pa.array(star), pa.array(["a"] * len(node))], names=["node", "star", "text"])
+    packed = [b.drop_columns(["place"]) for b in jaccard_join._buckets(iter([batch]), 75, 0, [0], hot)]
+    return [tuple(r.values()) for b in jaccard_join._candidates(iter(packed), hot) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("others", [[11], [1, 2, 3]])
+@pytest.mark.parametrize("roles", [(1, 0), (0, 1)])
+def test_lost_budget_counts_for_both_sides_of_a_band_border(monkeypatch, others, roles):
+    rows = [(10, 10, roles[0]), (12, 10, roles[1]), *((k, k, 0) for k in others)]
+    lost = {a: (b, c) for kind, a, b, c, _ in _met(monkeypatch, rows, 1) if kind == 2}
+    assert lost == {10: (1, 1)} | {k: (1, 0) for k in others}
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard_join.groups(empty).count() == 0
 
