@@ -264,7 +264,7 @@ def _first_of_stars(value: np.ndarray, nodes: np.ndarray, stars: np.ndarray, rol
     return value, nodes, stars, roles, rank
 
 
-_PACKED = "place int, bucket int, value binary, node binary, star binary, role binary"
+_PACKED = "place int, bucket int, told boolean, value binary, node binary, star binary, role binary"
 
 
 def _lost(stars: np.ndarray, roles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -274,17 +274,17 @@ def _lost(stars: np.ndarray, roles: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return star, lost.astype(np.int64)
 
 
-def _packed(names: list[int], bucket: int, value: np.ndarray, node: np.ndarray, star: np.ndarray, role: np.ndarray) -> pa.RecordBatch:
+def _packed(names: list[int], bucket: int, value: np.ndarray, node: np.ndarray, star: np.ndarray, role: np.ndarray, told: bool = True) -> pa.RecordBatch:
     blobs = (pack6(value), node.astype("<i8").tobytes(), star.astype("<i8").tobytes(), role.astype("<i4").tobytes())
     place = names[bucket if bucket >= 0 else -1 - bucket]
-    return pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], names=["place", "bucket", "value", "node", "star", "role"])
+    return pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([bucket], pa.int32()), pa.array([told]), *(pa.array([x], pa.binary()) for x in blobs)], names=["place", "bucket", "told", "value", "node", "star", "role"])
 
 
 def _buckets(batches: Iterator[pa.RecordBatch], percent: int, scheme: int, names: list[int], hot: int) -> Iterator[pa.RecordBatch]:
     """Signatures of (node, star, text), packed by bucket: of a value each star once, and few more stars than make it hot.
 
     Rows of bucket -1 - b tell bucket b the slack of nodes (value empty, role the slack of both roles by turns);
-    those with node -1 tell how many hot values a star has that were left out.
+    those not told (of no node) say how many hot values a star has that were left out.
     """
     held: list[tuple[np.ndarray, ...]] = []
     many = 0
@@ -297,7 +297,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], percent: int, scheme: int, names
         held, many = [], 0
         if (over := np.flatnonzero(rank >= hot + 2)).size:
             star, lost = _lost(stars[over], roles[over])
-            yield _packed(names, -1 - int(star[0] % len(names)), np.empty(0, np.uint64), np.full(len(star), -1), star, lost.ravel())
+            yield _packed(names, -1 - int(star[0] % len(names)), np.empty(0, np.uint64), star * 0, star, lost.ravel(), told=False)
             few = rank < hot + 2
             value, nodes, stars, roles = value[few], nodes[few], stars[few], roles[few]
         bucket = (value % np.uint64(len(names))).astype(np.int64)
@@ -348,11 +348,11 @@ def _candidates(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.Reco
     held: list[tuple] = []
     now = None
     for b in batches:
-        for bucket, value, node, star, role in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+        for bucket, told, value, node, star, role in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
             node, star, role = np.frombuffer(node, "<i8"), np.frombuffer(star, "<i8"), np.frombuffer(role, "<i4").astype(np.int64)
             if bucket < 0:
-                two, told = role.reshape(-1, 2), node >= 0
-                if told.all():
+                two = role.reshape(-1, 2)
+                if told:
                     yield from out(1, node, two[:, 0], two[:, 1], star)
                 else:
                     yield from out(2, star, two[:, 0], two[:, 1], star * 0)

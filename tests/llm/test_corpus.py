@@ -97,6 +97,13 @@ def test_lost_budget_counts_for_both_sides_of_a_band_border(monkeypatch, others,
     assert lost == {10: (1, 1)} | {k: (1, 0) for k in others}
 
 
+def test_slack_of_negative_ids_is_told(monkeypatch):
+    rows = [(-5, -5, 0), (3, 3, 0), (4, 4, 0), (6, 6, 0)]
+    met = _met(monkeypatch, rows, 1)
+    assert sorted(a for kind, a, *_ in met if kind == 1) == [-5, 3, 4, 6]
+    assert {a: (b, c) for kind, a, b, c, _ in met if kind == 2} == {a: (1, 0) for a in (-5, 3, 4, 6)}
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard_join.groups(empty).count() == 0
 
