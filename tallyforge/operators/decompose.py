@@ -43,12 +43,12 @@ def jaccard_bps(a: Column, b: Column) -> Column:
 def candidates(credits: DataFrame, units: DataFrame, before: int = 5, after: int = 5) -> DataFrame:
     """Credits with the units of their merchant whose day is in [value_date - before, value_date + after).
 
-    The band is an equi join on day buckets of the window's width, so a long history doesn't meet itself.
+    A text of the units comes along as unit_text. The band is an equi join on day buckets of the window's width, so a long history doesn't meet itself.
     """
     width = before + after
     bucket = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / width)
     c = credits.withColumn("_slot", F.explode(F.sequence(bucket(F.date_sub("value_date", before)), bucket(F.date_add("value_date", after)))))
-    u = units.select(F.col("id").alias("unit_id"), "merchant_id", F.col("net_paise").alias("unit_paise"), F.col("day").alias("unit_day"), bucket(F.col("day")).alias("_slot"))
+    u = units.select(F.col("id").alias("unit_id"), "merchant_id", F.col("net_paise").alias("unit_paise"), F.col("day").alias("unit_day"), bucket(F.col("day")).alias("_slot"), *([F.col("text").alias("unit_text")] if "text" in units.columns else []))
     on = ["merchant_id", "_slot"]
     return c.join(u, on).where((F.col("unit_day") >= F.date_sub("value_date", before)) & (F.col("unit_day") < F.date_add("value_date", after))).drop("_slot")
 
@@ -88,7 +88,8 @@ def _solve(credits: list[dict], before: int, after: int) -> list[tuple]:
     free = sorted(k for k in units if k not in claimed)
     if rest and free:
         far = 1 << 40
-        cost = [[(abs((c["value_date"] - units[k][2]).days - LAG_DAYS) * 1000 + min(abs(c["amount_paise"] - units[k][1]) // 100, 1_000_000)) if any(u["unit_id"] == k for u in c["units"]) else far for k in free] for c, _ in rest]
+        costs = [{u["unit_id"]: int(u["cost"]) for u in c["units"]} for c, _ in rest]
+        cost = [[own.get(k, far) for k in free] for own in costs]
         chosen, total = search.assign(cost)
         tie = search.margin(cost, chosen, total) == 0
         for (c, _), j in zip(rest, chosen, strict=True):
@@ -105,14 +106,19 @@ def _solve(credits: list[dict], before: int, after: int) -> list[tuple]:
 def searched(credits: DataFrame, units: DataFrame, before: int = 5, after: int = 5) -> DataFrame:
     """credits without a key solved by search: credit_id, tier, outcome, reason, unit_ids, residual_paise.
 
+    The assignment's cost is pair_cost(); a credit without narration and a unit without text are unlike all others.
+
     Claims only meet between credits of one merchant whose windows overlap, so each run of overlapping
     windows is a group of its own; its size is that of a few days of one merchant, whatever the history.
     """
     starts = Window.partitionBy("merchant_id").orderBy("value_date", "id")
     gap = F.datediff("value_date", F.lag("value_date").over(starts)) >= before + after
     islands = credits.withColumn("island", F.sum(F.coalesce(gap, F.lit(True)).cast("int")).over(starts))
-    near = candidates(islands, units, before, after).groupBy("id").agg(F.collect_list(F.struct("unit_id", "unit_paise", "unit_day")).alias("units"))
-    ready = islands.join(near, "id", "left").select("merchant_id", "island", "id", "amount_paise", "value_date", F.coalesce("units", F.array().cast("array<struct<unit_id:string,unit_paise:bigint,unit_day:date>>")).alias("units"))
+    met = candidates(islands, units, before, after)
+    says = lambda c: F.coalesce(c, F.lit("")) if c in met.columns else F.lit("")
+    met = met.withColumn("cost", pair_cost(F.col("value_date"), F.col("amount_paise"), says("narration"), F.col("unit_day"), F.col("unit_paise"), says("unit_text")))
+    near = met.groupBy("id").agg(F.collect_list(F.struct("unit_id", "unit_paise", "unit_day", "cost")).alias("units"))
+    ready = islands.join(near, "id", "left").select("merchant_id", "island", "id", "amount_paise", "value_date", F.coalesce("units", F.array().cast("array<struct<unit_id:string,unit_paise:bigint,unit_day:date,cost:bigint>>")).alias("units"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [r | {"amount_paise": int(r["amount_paise"]), "units": list(r["units"])} for r in pdf.to_dict("records")]

@@ -169,7 +169,7 @@ def pair_cost(d: Derived) -> DataFrame:
 def _units(d: Derived) -> DataFrame:
     """Batches that no credit has by key, and the payments of split batches as units of their own are left to the search."""
     taken = _matched(d).where("settlement_id IS NOT NULL").select(F.col("settlement_id").alias("id"))
-    return d.batches.join(taken, "id", "left_anti").select("id", "merchant_id", "net_paise", F.col("cycle_end").alias("day"))
+    return d.batches.join(taken, "id", "left_anti").select("id", "merchant_id", "net_paise", F.col("cycle_end").alias("day"), F.concat_ws(" ", "id", "utr").alias("text"))
 
 
 @_query()

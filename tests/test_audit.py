@@ -88,6 +88,19 @@ def test_split_credits_resolve(spark):
     assert got == {"C1": ("resolved", ["U0", "U1"], 0), "C2": ("resolved", ["U2", "U3"], 0)}
 
 
+def test_assignment_by_narration_alone(spark):
+    from datetime import date
+
+    names = ["alpha", "beta", "gamma"]
+    for order in itertools.permutations(range(3)):
+        credits = spark.createDataFrame([(f"C{i}", "M", 905, date(2026, 7, 3), f"NEFT {names[k]}") for i, k in enumerate(order)], "id string, merchant_id string, amount_paise long, value_date date, narration string")
+        units = spark.createDataFrame([(f"U{k}", "M", 900, date(2026, 7, 1), f"U{k} {names[k]}") for k in range(3)], "id string, merchant_id string, net_paise long, day date, text string")
+        unlike = [[int((10_000 - (10_000 // 3 if names[k] == names[u] else 0)) * 5_000 // 10_000) for u in range(3)] for k in order]
+        best = min(itertools.permutations(range(3)), key=lambda p: sum(unlike[i][p[i]] for i in range(3)))
+        got = {r.credit_id: (r.tier, r.outcome, r.unit_ids, r.residual_paise) for r in decompose.searched(credits, units).collect()}
+        assert got == {f"C{i}": ("assignment", "resolved", [f"U{best[i]}"], 5) for i in range(3)}
+
+
 def test_conflicting_records_fail(spark):
     rows = spark.createDataFrame([("payment", "1", 5), ("payment", "1", 5), ("refund", "1", 5)], "type string, id string, amount long")
     assert ledger.deduplicated(rows).count() == 2
