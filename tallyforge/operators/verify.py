@@ -35,7 +35,7 @@ def findings(cell_rows: DataFrame, payments: DataFrame) -> DataFrame:
     )
     rows = cell_rows.where("fee_delta <> 0 OR tax_delta <> 0").join(own, "payment_id").where("settlement_id IS NOT NULL").withColumn("f", F.explode(F.filter(kinds, lambda k: k["class"].isNotNull())))
     seq = F.row_number().over(Window.partitionBy("settlement_id").orderBy("f.rank", "payment_id", "fee_type"))
-    return rows.select(F.concat(F.lit("FND-"), "settlement_id", F.lit("-"), F.lpad(seq.cast("string"), 3, "0")).alias("id"), "settlement_id", "payment_id", "fee_type", "f.class", "f.impact_paise", "gross_paise")
+    return rows.select(F.concat(F.lit("FND-"), "settlement_id", F.lit("-"), F.when(seq < 1000, F.lpad(seq.cast("string"), 3, "0")).otherwise(seq.cast("string"))).alias("id"), "settlement_id", "payment_id", "fee_type", "f.class", "f.impact_paise", "gross_paise")
 
 
 def reversal_findings(chargebacks: DataFrame, credits: DataFrame) -> DataFrame:

@@ -101,6 +101,18 @@ def test_assignment_by_narration_alone(spark):
         assert got == {f"C{i}": ("assignment", "resolved", [f"U{best[i]}"], 5) for i in range(3)}
 
 
+def test_ids_of_findings_beyond_999_differ(spark):
+    from tallyforge.operators import verify
+
+    n = 1005
+    cells = spark.range(n).select(F.concat(F.lit("P"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("payment_id"), F.lit("rate").alias("fee_type"), F.lit(5).cast("long").alias("fee_delta"), F.lit(0).cast("long").alias("tax_delta"))
+    payments = cells.select(F.col("payment_id").alias("id"), F.lit("S").alias("settlement_id"), F.lit(100).cast("long").alias("amount_paise"))
+    found = verify.findings(cells, payments)
+    assert {r.id for r in found.select("id").collect()} == {f"FND-S-{i:03d}" for i in range(1, n + 1)}
+    posted = spark.createDataFrame([], "idempotency_key string")
+    assert verify.journal_entries(found, "h", posted).count() == n
+
+
 def test_conflicting_records_fail(spark):
     rows = spark.createDataFrame([("payment", "1", 5), ("payment", "1", 5), ("refund", "1", 5)], "type string, id string, amount long")
     assert ledger.deduplicated(rows).count() == 2
