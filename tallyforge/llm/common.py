@@ -67,6 +67,15 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that cut() wrote, when nothing that is still to run reads them."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sparkContext().hadoopConfiguration()
+        for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
 def sized_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
     """df marked for broadcast if a count shows that it has at most most_rows rows, else as it is."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

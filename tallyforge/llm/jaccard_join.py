@@ -16,13 +16,16 @@ not enough either; if it has, the pair meets in an earlier scheme by the same ar
 scheme gives enough budget (most of their shingles are in many unrelated texts) are joined by the rarest
 elements of both (prefix filtering), without a limit. Candidates are verified exactly on the sets.
 
-Groups of copies: equal sets are one set throughout. Near copies are first gathered into stars (a set
-and its verified links to one leader, found by minimum hashes), and in a signature's group each star is
-seen once. Candidates first meet by their sketches (counts and sums of the shingles in hash ranges, some
-eight to a range), which bound their difference from below; only pairs that may still link bring their
-sets together. If two stars meet there, their two members at hand are verified; Jaccard distance is a
-metric, so members of either star can only link if those two are not too far apart, and then all
-members are compared. Links inside a star need no check: its members are in one component already.
+Groups of copies: equal sets are one set throughout. Near copies are first gathered into stars (a leader
+and sets with a verified link to it, found by minimum hashes), and in a signature's group each star is
+seen once, so candidates are pairs of stars. Of two stars the members of the smaller one meet the leader
+P of the larger one. They first meet by their sketches (counts and sums of the shingles in hash ranges,
+some four to a range), which bound their difference from below; only pairs that may still matter bring
+their sets together. With D(x) the symmetric difference of x and P, members x of P's star and the others y
+satisfy |x & y| = |P| - |P - x| - |P - y| + |D(x) & D(y)|, so if y doesn't link with P, a link of x and y
+needs a common element of D(x) and D(y), and that number of them decides. Those pairs are found by prefix
+filtering on the differences (rarest elements first), so no members are paired for being in one star. Links
+inside a star need no check: its members are in one component already.
 
 Null, empty and blank texts have no shingles and link with nothing, not even with each other. A text of
 1 to 4 words is one shingle. Rows with one doc_id count as one document's texts, and each row is
@@ -37,8 +40,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tallyforge.llm.common import binary_rows, cut, mix, pack6, ragged, raw_text, shingle_sets, shuffle_partitions, sized_broadcast, text_slices, unpack6
+from tallyforge.llm.common import binary_rows, cut, discard, mix, pack6, ragged, raw_text, shingle_sets, shuffle_partitions, sized_broadcast, text_slices, unpack6
 
 PERCENT = 75
 #: Distinct stars of a signature beyond which it counts as no evidence.
@@ -47,8 +51,10 @@ HOT = 8
 BAND = 2.0
 SCHEMES = 4
 MINHASHES = 6
-#: Rows of (node, star) that may be broadcast; beyond it the join shuffles.
+#: Rows of two ids that may be broadcast; beyond it the join shuffles.
 MOST_BROADCAST = 500_000
+#: Elements to a range of a sketch.
+RANGE = 4
 
 
 def most_different(size: np.ndarray, percent: int) -> np.ndarray:
@@ -142,7 +148,7 @@ def documents(docs: DataFrame) -> DataFrame:
 
 def sketches(flat: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     """For each set the counts, then the sums modulo 256, of its elements in a power of two of hash ranges."""
-    bits = np.maximum(np.log2(np.maximum(size, 1) / 8).astype(np.int64), 0)
+    bits = np.maximum(np.log2(np.maximum(size, 1) / RANGE).astype(np.int64), 0)
     ranges = np.where(size > 0, 1 << bits, 0)
     first = np.cumsum(ranges) - ranges
     owner = np.repeat(np.arange(len(size)), size)
@@ -165,25 +171,24 @@ def least_different(x: np.ndarray, y: np.ndarray) -> int:
     return int(gap.sum() + 2 * np.count_nonzero((gap == 0) & ((x[1] - y[1]) & 255 != 0)))
 
 
+def lacking(a_only: np.ndarray, b_only: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """What the elements that only a or only b has cost, less what a set a of that size allows: at most 0 if the two link."""
+    return 100 * a_only + percent * b_only - (100 - percent) * size
+
+
 def likely(pairs: DataFrame, ends: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) that may link, or whose stars may, by sizes and sketches; ends: node, n_shingles, sketch, reach."""
+    """The pairs(a, b, wide) that may lack wide at most, by sizes and sketches; ends: node, n_shingles, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, m, reach = (b.column(i).to_numpy() for i in (2, 3, 4))
+            wide, n, m = (b.column(i).to_numpy() for i in (2, 3, 4))
             low = [least_different(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) for x, y in zip(b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True)]
             low = np.maximum(np.array(low, np.int64), np.abs(n - m))
-            distance = 2 * low / np.maximum(n + m + low, 1)
-            yield b.filter(pa.array(distance <= _limit(percent) + reach)).select(["a", "b"])
-
-    end = lambda c, n, r, x: ends.select(F.col("node").alias(c), F.col("n_shingles").alias(n), F.col("reach").alias(r), F.col("sketch").alias(x))
-    both = pairs.join(end("a", "n", "p", "x"), "a").join(end("b", "m", "q", "y"), "b")
-    return both.select("a", "b", "n", "m", (F.col("p") + F.col("q")).alias("reach"), "x", "y").mapInArrow(run, "a long, b long").distinct()
-
+            yield b.filter(pa.array(lacking(low + n - m, low + m - n, 2 * n, percent) <= 2 * wide)).select(["a", "b", "wide"])
 
-def _limit(percent: int) -> float:
-    """The largest Jaccard distance of a link."""
-    return 1 - percent / 100 + 1e-9
+    end = lambda c, n, x: ends.select(F.col("node").alias(c), F.col("n_shingles").alias(n), F.col("sketch").alias(x))
+    both = pairs.join(end("a", "n", "x"), "a").join(end("b", "m", "y"), "b")
+    return both.select("a", "b", "wide", "n", "m", "x", "y").mapInArrow(run, "a long, b long, wide long")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -198,41 +203,55 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, ends: DataFrame, percent: int) -> DataFrame:
-    """Of pairs(a, b) those that may link, with shared and total, the sizes of intersection and union of their sets."""
+    """Of pairs(a, b, wide) those that lack wide at most: with size (of a), lack, a_only and b_only (numbers) and, where
+    wide is not 0 or the two link, delta (the elements that only one of them has)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            shared, total = [], []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            got = []
+            for wide, x, y in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
-                same = int(np.count_nonzero(both[1:] == both[:-1]))
-                shared.append(same)
-                total.append(len(x) + len(y) - same)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "shared", "total"])
+                twice = both[1:] == both[:-1]
+                same = int(np.count_nonzero(twice))
+                lack = int(lacking(len(x) - same, len(y) - same, len(x), percent))
+                single = ~(np.append(twice, False) | np.append(False, twice)) if lack <= wide else None
+                got.append((len(x), lack, len(x) - same, len(y) - same, None if single is None else both[single].view("<i8")))
+            cols = list(zip(*got, strict=True)) or [[]] * 5
+            kinds = (*[pa.int64()] * 4, pa.list_(pa.int64()))
+            found = pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["a", "b", "wide", "size", "lack", "a_only", "b_only", "delta"])
+            yield found.filter(pa.array([x[4] is not None for x in got], pa.bool_()))
 
     pairs = cut(likely(pairs, ends, percent), "pairs")
     sets = cut(sets_of(docs, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))), "sets")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
-    found = both.mapInArrow(run, "a long, b long, shared long, total long")
-    return cut(found.groupBy("a", "b").agg(F.max(F.struct(F.col("shared") / F.col("total"), "shared", "total")).alias("m")).select("a", "b", "m.shared", "m.total"), "verified")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "wide", "x", "y")
+    found = cut(both.mapInArrow(run, "a long, b long, wide long, size long, lack long, a_only long, b_only long, delta array<long>"), "verified")
+    discard(sets, pairs)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) of the nodes of links(a, b), by large-star and small-star rounds."""
+
+    def told(df: DataFrame) -> tuple[int, int]:
+        row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        return row["n"], row["h"]
+
     links = cut(links.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct(), "links")
+    now = told(links)
     while True:
+        few = F.broadcast if 2 * now[0] <= MOST_BROADCAST else (lambda df: df)
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = cut(both.join(few(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(few(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         new = cut(small, "small")
-        change = new.exceptAll(links.select("u", "v")).limit(1).count() + links.select("u", "v").exceptAll(new).limit(1).count()
-        links = new
-        if not change:
+        discard(large, links)
+        before, now, links = now, told(new), new
+        if before == now:
             return links.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -264,7 +283,7 @@ def _first_of_stars(value: np.ndarray, nodes: np.ndarray, stars: np.ndarray, rol
     return value, nodes, stars, roles, rank
 
 
-_PACKED = "place int, bucket int, told boolean, value binary, node binary, star binary, role binary"
+_PACKED = "place int, bucket int, told boolean, value binary, node binary, run binary, star binary, role binary"
 
 
 def _lost(stars: np.ndarray, roles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -275,9 +294,19 @@ def _lost(stars: np.ndarray, roles: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _packed(names: list[int], bucket: int, value: np.ndarray, node: np.ndarray, star: np.ndarray, role: np.ndarray, told: bool = True) -> pa.RecordBatch:
-    blobs = (pack6(value), node.astype("<i8").tobytes(), star.astype("<i8").tobytes(), role.astype("<i4").tobytes())
+    """One row of rows: six bytes a value, one a role; of a run of one node the node and the run's length, and the stars only if some differ from the nodes."""
+    edge = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (star[1:] != star[:-1]))) if len(node) else np.empty(0, np.int64)
+    heads = star[edge]
+    blobs = (pack6(value), node[edge].astype("<i8").tobytes(), np.diff(edge, append=len(node)).astype("<u4").tobytes(), b"" if (heads == node[edge]).all() else heads.astype("<i8").tobytes(), role.astype("u1" if bucket >= 0 else "<i4").tobytes())
     place = names[bucket if bucket >= 0 else -1 - bucket]
-    return pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([bucket], pa.int32()), pa.array([told]), *(pa.array([x], pa.binary()) for x in blobs)], names=["place", "bucket", "told", "value", "node", "star", "role"])
+    return pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([bucket], pa.int32()), pa.array([told]), *(pa.array([x], pa.binary()) for x in blobs)], names=["place", "bucket", "told", "value", "node", "run", "star", "role"])
+
+
+def _unpacked(bucket: int, node: bytes, run: bytes, star: bytes, role: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """node, star and role as _packed got them."""
+    n, run = np.frombuffer(node, "<i8"), np.frombuffer(run, "<u4")
+    heads = np.frombuffer(star, "<i8") if star else n
+    return np.repeat(n, run), np.repeat(heads, run), np.frombuffer(role, "u1" if bucket >= 0 else "<i4").astype(np.int64)
 
 
 def _buckets(batches: Iterator[pa.RecordBatch], percent: int, scheme: int, names: list[int], hot: int) -> Iterator[pa.RecordBatch]:
@@ -319,7 +348,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], percent: int, scheme: int, names
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
-    """kind 0: pairs (a, b) of members of different stars with a common value; 1: slack (b, c) of node a in star d; 2: lost budget (b, c) of star a."""
+    """kind 0: pairs (a, b) of different stars with a common value; 1: slack (b, c) of node a in star d; 2: lost budget (b, c) of star a."""
 
     def out(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(a), 100_000):
@@ -335,7 +364,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.Reco
         for k in np.unique(size[usual]):
             rows = edge[usual & (size == k)]
             left, right = np.triu_indices(int(k), 1)
-            pairs.append(np.stack([nodes[(rows[:, None] + left).ravel()], nodes[(rows[:, None] + right).ravel()]], axis=1))
+            pairs.append(np.stack([stars[(rows[:, None] + left).ravel()], stars[(rows[:, None] + right).ravel()]], axis=1))
         if pairs:
             pair = np.concatenate(pairs)
             pair.sort(axis=1)
@@ -348,8 +377,8 @@ def _candidates(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.Reco
     held: list[tuple] = []
     now = None
     for b in batches:
-        for bucket, told, value, node, star, role in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-            node, star, role = np.frombuffer(node, "<i8"), np.frombuffer(star, "<i8"), np.frombuffer(role, "<i4").astype(np.int64)
+        for bucket, told, value, *rest in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+            node, star, role = _unpacked(bucket, *rest)
             if bucket < 0:
                 two = role.reshape(-1, 2)
                 if told:
@@ -367,7 +396,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.Reco
 
 
 def _meet(nodes: DataFrame, percent: int, scheme: int, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of nodes(node, star, text) under a scheme, and the nodes whose budget there is not enough."""
+    """Candidate pairs of the stars of nodes(node, star, text) under a scheme, and the nodes whose budget there is not enough."""
     spark = nodes.sparkSession
     n = shuffle_partitions(spark)
     names = bucket_names(spark, n)
@@ -387,63 +416,55 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id."""
     rows = cut(documents(docs), "prints")
     filled = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = cut(filled.groupBy("print").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "same")
-    sketched = same.select("node", "n_shingles", "sketch", F.lit(0.0).alias("reach"))
-    copies = filled.select("doc_id", "print").join(same.select("print", "node"), "print").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
+    same = cut(filled.groupBy("print").agg(F.min(F.struct("doc_id", "n_shingles", "keys", "sketch")).alias("m")).select("print", F.col("m.doc_id").alias("node"), "m.n_shingles", "m.keys", "m.sketch"), "same")
+    ends = same.select("node", "n_shingles", "sketch")
 
-    keys = same.select("node", F.posexplode("keys").alias("k", "key"))
+    # ids with several texts stay stars of their own, and their sets meet one by one
+    single = same.groupBy("node").agg(F.count("*").alias("n"), F.first("keys").alias("keys")).where("n = 1")
+    keys = single.select("node", F.posexplode("keys").alias("k", "key"))
     leaders = keys.groupBy("k", "key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
     met = keys.join(leaders, ["k", "key"]).where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
     nearest = met.where("n > 1").groupBy("node").agg(F.array_distinct(F.array(F.min("leader"), F.max_by("leader", F.struct("n", -F.col("leader"))))).alias("leaders"))
-    tested = verify(nearest.select(F.explode("leaders").alias("a"), F.col("node").alias("b")), docs, sketched, percent)
-    linked = tested.where(100 * F.col("shared") >= percent * F.col("total")).groupBy("b").agg(F.min(F.struct("a", "shared", "total")).alias("m")).select("m.a", "b", "m.shared", "m.total")
-    links = linked.select("a", "b")
-    stars = cut(same.select("node").distinct().join(linked.select(F.col("b").alias("node"), F.col("a").alias("star")), "node", "left").select("node", F.coalesce("star", "node").alias("star")), "stars")
-    member = cut(_members(stars, linked), "members")
-    ends = same.select("node", "n_shingles", "sketch").join(member.select("node", F.when(F.col("n") > 1, F.col("r") + F.col("wide")).otherwise(0.0).alias("reach")), "node")
-    known = cut(components(links), "known")
-    todo, checked, far = stars, None, None
+    tested = verify(nearest.select(F.explode("leaders").alias("a"), F.col("node").alias("b"), F.lit(0).cast("long").alias("wide")), docs, ends, percent)
+    linked = tested.groupBy("b").agg(F.min(F.struct("a", "a_only", "b_only", "delta")).alias("m"))
+    member = cut(same.select("node").distinct().join(linked.select(F.col("b").alias("node"), "m.*"), "node", "left").select("node", F.coalesce("a", "node").alias("star"), "a_only", "b_only", "delta"), "members")
+    stars = member.select("node", "star")
+
+    todo, met_stars = stars, None
     for scheme in range(SCHEMES + 1):
         if scheme < SCHEMES:
             texts = docs.select(F.col("doc_id").alias("node"), "text").join(sized_broadcast(todo, MOST_BROADCAST), "node")
             pairs, short = _meet(texts, percent, scheme)
         else:
             pairs, short = _prefix_pairs(sets_of(docs, todo), todo, percent), None
-        pairs = _apart(pairs, known)
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        found = verify(pairs, docs, ends, percent)
-        checked = found.select("a", "b") if checked is None else checked.unionByName(found.select("a", "b"))
-        near = 100 * F.col("shared") >= percent * F.col("total")
-        links = links.unionByName(found.where(near).select("a", "b"))
-        far = found.where(~near) if far is None else far.unionByName(found.where(~near))
+        met_stars = pairs if met_stars is None else met_stars.unionByName(pairs)
         if short is None:
             break
         todo = cut(todo.join(short, "node", "left_semi"), "short")
         if not todo.limit(1).count():
             break
-    links = links.unionByName(copies)
-    roots = cut(components(links), "roots")
-    more = cut(_expanded(far, member, roots, docs, sketched, percent), "more")
-    if more.limit(1).count():
-        roots = components(links.unionByName(more))
-    return rows.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    tested = verify(_outside(met_stars, member, percent), docs, ends, percent)
+    links = member.where("node <> star").select(F.col("star").alias("a"), F.col("node").alias("b"))
+    links = links.unionByName(tested.where("lack <= 0").select("a", "b"))
+    links = links.unionByName(_by_difference(tested.where("lack > 0"), member, percent)).unionByName(_of_one_id(filled, same))
+    roots = components(links)
+    mine = same.select("print", "node").join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("root"))
+    return rows.join(mine, "print", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 
 
-def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one component already: for the others a link would tell nothing new."""
-    root = lambda c: known.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    both = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
-    return both.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+def _of_one_id(filled: DataFrame, same: DataFrame) -> DataFrame:
+    """Links between the sets of one doc_id: each with that of the least print."""
+    several = filled.groupBy("doc_id").agg(F.min("print").alias("least"), F.max("print").alias("print")).where("least <> print").select("doc_id", "least")
+    node = lambda c, n: same.select(F.col("print").alias(c), F.col("node").alias(n))
+    return filled.select("doc_id", "print").join(several, "doc_id").join(node("print", "a"), "print").join(node("least", "b"), "least").where("a <> b").select("a", "b").distinct()
 
 
 def _prefix_pairs(sets: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the last sets, whose shingles are nearly all common: those that share one of the rarest of both.
+    """Pairs of stars of the last sets, whose shingles are nearly all common: those that share one of the rarest of both.
 
     With the elements in one order (rarest first), two sets that link share one among the first
     |X| - ceil(P |X| / 100) + 1 of each.
     """
-    from pyspark.sql.window import Window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -455,39 +476,47 @@ def _prefix_pairs(sets: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
     often = rows.groupBy("item").agg(F.count("*").alias("df"))
     first = F.row_number().over(Window.partitionBy("node").orderBy("df", "item"))
     prefix = rows.join(often, "item").withColumn("k", first).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    one = cut(prefix.where("df > 1").join(stars, "node").groupBy("item", "star").agg(F.min("node").alias("node")), "prefixes")
-    other = one.select("item", F.col("star").alias("star_b"), F.col("node").alias("b"))
-    return one.join(other, "item").where("star <> star_b AND node < b").select(F.col("node").alias("a"), "b").distinct()
-
-
-def _members(stars: DataFrame, linked: DataFrame) -> DataFrame:
-    """node, star, r (distance to the leader), wide and n (the largest r and the number of members of the star)."""
-    radius = linked.select(F.col("b").alias("node"), (1 - F.col("shared") / F.col("total")).alias("r"))
-    member = stars.join(radius, "node", "left").select("node", "star", F.coalesce("r", F.lit(0.0)).alias("r"))
-    return member.join(member.groupBy("star").agg(F.max("r").alias("wide"), F.count("*").alias("n")), "star")
-
-
-def _expanded(far: DataFrame, member: DataFrame, roots: DataFrame, docs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
-    """Links between the other members of two stars, not in one component yet, whose members a and b met but don't link.
-
-    With d the Jaccard distance, members x and y of the stars of leaders p and q satisfy
-    d(x, y) >= d(a, b) - d(a, p) - d(p, x) - d(b, q) - d(q, y); only pairs for which this allows a link
-    are verified.
-    """
-    limit = _limit(percent)
-
-    def end(c: str) -> DataFrame:
-        return member.select(F.col("node").alias(c), F.col("star").alias(f"{c}_star"), F.col("r").alias(f"{c}_r"), F.col("wide").alias(f"{c}_wide"), F.col("n").alias(f"{c}_n"))
-
-    met = far.withColumn("d", 1 - F.col("shared") / F.col("total")).join(end("a"), "a").join(end("b"), "b").where("(a_n > 1 OR b_n > 1) AND a_star <> b_star")
-    met = met.join(_apart(met.select("a", "b").distinct(), roots), ["a", "b"], "left_semi")
-    met = met.where(F.col("d") - F.col("a_r") - F.col("a_wide") - F.col("b_r") - F.col("b_wide") <= limit)
-    met = met.groupBy("a_star", "b_star").agg(F.max(F.col("d") - F.col("a_r") - F.col("b_r")).alias("gap"))
-    left = member.select(F.col("node").alias("x"), F.col("star").alias("a_star"), F.col("r").alias("x_r"))
-    right = member.select(F.col("node").alias("y"), F.col("star").alias("b_star"), F.col("r").alias("y_r"))
-    pairs = met.join(left, "a_star").join(right, "b_star").where(F.col("gap") - F.col("x_r") - F.col("y_r") <= limit)
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
-    return verify(pairs, docs, sketched, percent).where(100 * F.col("shared") >= percent * F.col("total")).select("a", "b")
+    one = cut(prefix.where("df > 1").join(stars, "node").select("item", "star").distinct(), "prefixes")
+    other = one.select("item", F.col("star").alias("b"))
+    return one.join(other, "item").where("star < b").select(F.col("star").alias("a"), "b").distinct()
+
+
+def _outside(met: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """Of met stars (a, b) not in one component already: pairs of the larger one's leader a and the other's members b, with wide,
+    the most that a set may lack to link with a and still link with a member of a's star."""
+    wide = F.coalesce(F.max(percent * F.col("a_only") + 100 * F.col("b_only")), F.lit(0)).cast("long")
+    size = cut(member.groupBy("star").agg(F.count("*").alias("n"), wide.alias("wide"), F.max(F.when(F.col("node") == F.col("star"), 1)).alias("own")), "sizes")
+    end = lambda c: size.select(F.col("star").alias(c), F.col("n").alias(f"{c}_n"), F.col("wide").alias(f"{c}_wide"))
+    chained = size.where("own IS NULL").select(F.col("star").alias("node"))
+    above = cut(member.join(chained, "node").where("node <> star").select("node", F.col("star").alias("up")), "above")
+    few = sized_broadcast(above, MOST_BROADCAST)
+    both = met.distinct().join(end("a"), "a").join(end("b"), "b")
+    for c in "ab":
+        both = both.join(few.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up")), c, "left")
+    top = lambda c: F.coalesce(f"{c}_up", c)
+    both = both.where(top("a") != top("b"))
+    larger = (F.col("a_n") > F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b")))
+    turned = both.select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("star"), F.when(larger, F.col("a_wide")).otherwise(F.col("b_wide")).alias("wide"))
+    return turned.join(member.select(F.col("node").alias("b"), "star"), "star").where("a <> b").select("a", "b", "wide").distinct()
+
+
+def _by_difference(far: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """Links of sets b that lack something to link with a leader a, and members of a's star, by their differences to a."""
+    inside = member.where("node <> star").join(far.select(F.col("a").alias("star")).distinct(), "star", "left_semi")
+    inside = inside.select(F.col("star").alias("a"), F.col("node").alias("x"), (100 * F.col("a_only") + percent * F.col("b_only")).alias("cost"), F.col("delta").alias("inner"))
+    per = 100 + percent
+    often = inside.select("a", F.explode("inner").alias("item")).groupBy("a", "item").agg(F.count("*").alias("df"))
+
+    def rarest(rows: DataFrame, node: str, delta: str, least: F.Column) -> DataFrame:
+        """The elements of which two sets with least common ones share one."""
+        each = rows.select("a", node, (F.size(delta) - F.ceil(least / per) + 1).alias("most"), F.explode(delta).alias("item")).join(often, ["a", "item"], "left")
+        order = Window.partitionBy("a", node).orderBy(F.coalesce("df", F.lit(0)), "item")
+        return each.withColumn("k", F.row_number().over(order)).where("k <= most AND df IS NOT NULL").select("a", "item", node)
+
+    outer = far.select("a", F.xxhash64("b", "delta").alias("y"), "b", "lack", "delta")
+    met = rarest(inside, "x", "inner", F.col("cost") + 1).join(rarest(outer, "y", "delta", F.col("lack") + percent), ["a", "item"]).select("a", "x", "y").distinct()
+    both = met.join(inside, ["a", "x"]).join(outer, ["a", "y"])
+    return both.where(per * F.size(F.array_intersect("inner", "delta")) >= F.col("cost") + F.col("lack")).select(F.col("x").alias("a"), "b").distinct()
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -104,6 +104,41 @@ def test_slack_of_negative_ids_is_told(monkeypatch):
     assert {a: (b, c) for kind, a, b, c, _ in met if kind == 2} == {a: (1, 0) for a in (-5, 3, 4, 6)}
 
 
+@pytest.mark.parametrize("edits", ["words", "cuts", "both"])
+def test_jaccard_of_one_large_group_of_near_copies(spark, edits, monkeypatch):
+    rng = random.Random(edits)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(120)]
+    same = [word() for _ in range(3)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 260):
+        w = list(base)
+        if edits != "cuts":
+            for _ in range(rng.randint(1, 9)):
+                w[rng.randrange(120)] = rng.choice([word(), *same])
+        if edits != "words":
+            w = w[rng.randint(0, 40) :] if i % 2 else w[: 120 - rng.randint(0, 40)]
+        rows.append((i, " ".join(w)))
+    rows += [(300 + i, " ".join([word() for _ in range(60)] + base[: rng.randint(30, 110)])) for i in range(60)]
+    rows += [(400 + i, " ".join(word() for _ in range(rng.randint(1, 90)))) for i in range(60)]
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == groups(rows)
+
+
+def test_jaccard_of_null_ids_and_of_two_texts_of_one_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(None, a), (5, a), (5, b), (2, a + " end"), (7, b), (9, c), (None, c), (9, None), (8, "")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, 26, None), (5, 26, 2), (5, 26, 2), (2, 27, 2), (7, 26, 2), (9, 26, 9), (None, 26, None), (9, 0, 9), (8, 0, 8)], key=str)
+
+
+def test_jaccard_keep_one_keeps_clashing_columns(spark):
+    rows = [(1, "a b c d e f g", 1, 2, 3), (2, "a b c d e f g", 4, 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id long, n_shingles long, node long")
+    assert [tuple(r) for r in jaccard_join.keep_one(docs).collect()] == rows[:1]
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard_join.groups(empty).count() == 0
 
