@@ -462,8 +462,9 @@ def _of_one_id(filled: DataFrame, same: DataFrame) -> DataFrame:
 def _prefix_pairs(sets: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
     """Pairs of stars of the last sets, whose shingles are nearly all common: those that share one of the rarest of both.
 
-    With the elements in one order (rarest first), two sets that link share one among the first
-    |X| - ceil(P |X| / 100) + 1 of each.
+    With the elements in one order (rarest first), the smaller set X and the larger set Y of a link share one among
+    the first |X| - ceil(2 P |X| / (100 + P)) + 1 of X and the first |Y| - ceil(P |Y| / 100) + 1 of Y, and what is left
+    behind it must suffice for the common elements that a link needs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,10 +476,16 @@ def _prefix_pairs(sets: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
     rows = cut(sets.mapInArrow(run, "node long, item long, n long"), "elements")
     often = rows.groupBy("item").agg(F.count("*").alias("df"))
     first = F.row_number().over(Window.partitionBy("node").orderBy("df", "item"))
-    prefix = rows.join(often, "item").withColumn("k", first).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    one = cut(prefix.where("df > 1").join(stars, "node").select("item", "star").distinct(), "prefixes")
-    other = one.select("item", F.col("star").alias("b"))
-    return one.join(other, "item").where("star < b").select(F.col("star").alias("a"), "b").distinct()
+    size, place = F.col("n"), F.col("k")
+    prefix = rows.join(often, "item").withColumn("k", first).where(place <= size - F.ceil(size * percent / 100) + 1)
+    less = F.max(place <= size - F.ceil(2 * percent * size / (100 + percent)) + 1)
+    found = prefix.where("df > 1").join(stars, "node").groupBy("item", "star").agg(less.alias("less"), F.min(size).alias("low"), F.max(size).alias("high"), F.max(size - place + 1).alias("rest"))
+    one = cut(found, "prefixes")
+    other = one.select("item", *(F.col(c).alias(f"b_{c}") for c in ("star", "low", "high", "rest")))
+    fits = (F.col("star") != F.col("b_star")) & (F.col("low") <= F.col("b_high")) & (percent * F.col("b_low") <= 100 * F.col("high"))
+    enough = (100 + percent) * F.least("rest", "b_rest") >= percent * (F.col("low") + F.col("b_low"))
+    pairs = one.where("less").join(other, "item").where(fits & enough)
+    return pairs.select(F.least("star", "b_star").alias("a"), F.greatest("star", "b_star").alias("b")).distinct()
 
 
 def _outside(met: DataFrame, member: DataFrame, percent: int) -> DataFrame:
