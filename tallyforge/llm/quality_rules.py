@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import count, islice
 
 import numpy as np
@@ -100,6 +101,12 @@ class _Pieces:
         return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
+@cache
+def _pieces(model: str) -> _Pieces:
+    """One for each Python worker, with the words that its earlier tasks met."""
+    return _Pieces(model)
+
+
 def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sums of values up to each end, from the end before."""
     return np.diff(np.concatenate([[0], np.cumsum(values)])[ends], prepend=0)
@@ -131,7 +138,7 @@ def measures(docs: DataFrame, model: str, keep: list[str]) -> DataFrame:
     """The columns of keep with MEASURES of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _Pieces(model)
+        pieces = _pieces(model)
         for b in text_slices(batches, column=0):
             raw, offsets = raw_text(b.column(0))
             texts = as_bytes(b.column(0))

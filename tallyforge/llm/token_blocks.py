@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import ragged, scratch, shuffle_partitions, sized_broadcast, text_slices
-from tallyforge.llm.tokens import WordTokenizer
+from tallyforge.llm.tokens import word_tokenizer
 
 BLOCK = 1024
 PERCENTILE = 95
@@ -128,7 +128,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, tokenizer = TaskContext.get().partitionId(), WordTokenizer(vocabulary)
+        part, tokenizer = TaskContext.get().partitionId(), word_tokenizer(vocabulary)
         for seq, b in enumerate(text_slices(batches)):
             flat, counts = tokenizer.encode(b.column(1).to_pylist())
             ends = np.cumsum(counts)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 from collections import defaultdict
+from functools import cache
 from itertools import chain, count, islice
 
 import numpy as np
 
 from tallyforge.llm.common import ragged
 
-#: Distinct words kept by a task before its table starts anew.
+#: Distinct words kept by a Python worker before its table starts anew.
 MAX_WORDS = 400_000
 #: Fixed value: the splitting pattern of byte-level BPE files.
 BYTE_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -25,6 +26,18 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+@cache
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each Python worker, with the words that its earlier tasks met."""
+    return WordTokenizer(path)
+
+
+@cache
+def byte_tokenizer(path: str) -> ByteTokenizer:
+    """One for each Python worker."""
+    return ByteTokenizer(path)
+
+
 class ByteTokenizer:
     """Byte-level BPE. The file's vocabulary is read as merge ranks, which encode several times as fast as the file's own
     pipeline and give the same ids; a text that holds the name of a special token goes through the file's own pipeline."""
@@ -50,7 +63,7 @@ class ByteTokenizer:
 
 class WordTokenizer:
     """BPE with word ends, which drops white space: the ids of a text are those of its words in a row, and each
-    distinct word is encoded once per task. Plain words are cut as the file's pipeline does and merged by its model;
+    distinct word is encoded once per Python worker. Plain words are cut as the file's pipeline does and merged by its model;
     words with other characters go through the whole pipeline one by one."""
 
     def __init__(self, path: str):
