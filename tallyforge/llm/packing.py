@@ -3,8 +3,9 @@
 Each task packs its own pieces best-fit (a window of pieces at a time, longest first) into bins of at
 most `size` tokens. Nearly full bins are sequences at once. The underfull bins of FAN neighbouring
 partitions then meet as items in one task, which packs them best-fit again, and so on up the tree.
-A task hands up at most CARRY of its emptiest bins, since only they can still take anything in; the
-others are sequences as they are. So no task ever holds more than FAN * CARRY bins, whatever the input.
+All underfull bins go up to the root. If a task has more than CARRY of them, they go up in several lanes,
+dealt in turn by their room, so that each lane holds bins of all kinds; equal lanes of neighbours meet. So no
+task ever holds more than FAN * CARRY bins, whatever the input, and none is left out.
 
 Null and empty texts make one piece, the end id. Rows that repeat are packed one by one. A document
 longer than a sequence is cut into whole sequences, its first piece being the shorter rest. An empty
@@ -19,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyforge.llm.common import cut, text_slices
-from tallyforge.llm.tokens import ByteTokenizer
+from tallyforge.llm.tokens import byte_tokenizer
 
 FAN = 8
 CARRY = 4096
@@ -66,7 +68,7 @@ def tokenise(docs: DataFrame, vocabulary: str, end_id: int, size: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, tokenizer = TaskContext.get().partitionId(), ByteTokenizer(vocabulary)
+        part, tokenizer = TaskContext.get().partitionId(), byte_tokenizer(vocabulary)
         best, n_bins, held, n_held = BestFit(size), 0, [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -127,17 +129,17 @@ def tokenise(docs: DataFrame, vocabulary: str, end_id: int, size: int) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, bin long, place long, room long")
 
 
-def merge(bins: DataFrame, size: int) -> DataFrame:
-    """One round: the bins (node, bin, room, parts) of each node packed as items. parts: the local bins inside, with their places.
+def merge(bins: DataFrame, size: int, carry: int = CARRY) -> DataFrame:
+    """One round: the bins (node, lane, bin, room, parts) of each lane of a node packed as items. parts: the local bins inside, with their places.
 
     Bins with done set are sequences; the others are the items of the next round.
     """
 
     def run(key: tuple, got: pa.Table) -> pa.Table:
-        items = list(zip(*(got.column(c).to_pylist() for c in ("node", "bin", "room", "parts")), strict=True))
-        items.sort(key=lambda x: (x[2], x[1]))
+        items = list(zip(*(got.column(c).to_pylist() for c in ("node", "lane", "bin", "room", "parts")), strict=True))
+        items.sort(key=lambda x: (x[3], x[2]))
         best, inside = BestFit(size), {}
-        for _, name, room, parts in items:
+        for _, _, name, room, parts in items:
             found = best.take(size - room)
             if found is None:
                 inside[name] = list(parts)
@@ -149,15 +151,16 @@ def merge(bins: DataFrame, size: int) -> DataFrame:
         rooms = dict(best.bins())
         names = sorted(rooms, key=lambda x: (-rooms[x], x))
         slack = int(size * NEARLY_FULL)
-        done = [i >= CARRY or rooms[x] <= slack for i, x in enumerate(names)]
+        lanes = -(-sum(rooms[x] > slack for x in names) // carry)
+        lane = [items[0][1] * FAN + i % max(lanes, 1) for i in range(len(names))]
         return pa.table(
             {
-                "node": pa.array([items[0][0] // FAN] * len(names), pa.int64()), "bin": pa.array(names, pa.int64()), "room": pa.array([rooms[x] for x in names], pa.int64()),
-                "parts": pa.array([inside[x] for x in names], pa.list_(pa.struct([("bin", pa.int64()), ("place", pa.int64())]))), "done": pa.array(done, pa.bool_()),
+                "node": pa.array([items[0][0] // FAN] * len(names), pa.int64()), "lane": pa.array(lane, pa.int64()), "bin": pa.array(names, pa.int64()), "room": pa.array([rooms[x] for x in names], pa.int64()),
+                "parts": pa.array([inside[x] for x in names], pa.list_(pa.struct([("bin", pa.int64()), ("place", pa.int64())]))), "done": pa.array([rooms[x] <= slack for x in names], pa.bool_()),
             }
         )
 
-    return bins.groupBy("node").applyInArrow(run, "node long, bin long, room long, parts array<struct<bin:long,place:long>>, done boolean")
+    return bins.groupBy("node", "lane").applyInArrow(run, "node long, lane long, bin long, room long, parts array<struct<bin:long,place:long>>, done boolean")
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, size: int = 2048) -> DataFrame:
@@ -168,8 +171,10 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, size: int = 2048) ->
     top = open_bins.agg(F.max(part)).first()[0]
     if top is None:
         return pieces.select("doc_id", "piece", "start", "length", "ids", F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
-    rank = F.row_number().over(_emptiest(part))
-    state = open_bins.select((part / FAN).cast("long").alias("node"), "bin", "room", F.array(F.struct("bin", F.lit(0).cast("long").alias("place"))).alias("parts"), rank.alias("rank")).where(F.col("rank") <= CARRY).drop("rank")
+    of_part = Window.partitionBy(part)
+    rank, lanes = F.row_number().over(of_part.orderBy(F.desc("room"), "bin")) - 1, F.ceil(F.count("*").over(of_part) / CARRY)
+    parts = F.array(F.struct("bin", F.lit(0).cast("long").alias("place"))).alias("parts")
+    state = open_bins.select((part / FAN).cast("long").alias("node"), (rank % lanes).cast("long").alias("lane"), "bin", "room", parts)
     moved = []
     width = int(top) // FAN
     while True:
@@ -187,8 +192,3 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, size: int = 2048) ->
         "doc_id", "piece", "start", "length", "ids", F.coalesce("sequence_id", "bin").alias("sequence_id"), (F.coalesce("before", F.lit(0)) + F.col("place")).alias("offset")
     )
 
-
-def _emptiest(part):
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy(part).orderBy(F.desc("room"), "bin")
