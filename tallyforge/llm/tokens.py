@@ -63,46 +63,57 @@ class ByteTokenizer:
 
 class WordTokenizer:
     """BPE with word ends, which drops white space: the ids of a text are those of its words in a row, and each
-    distinct word is encoded once per Python worker. Plain words are cut as the file's pipeline does and merged by its model;
-    words with other characters go through the whole pipeline one by one."""
+    distinct word is encoded once per Python worker. Plain words are cut as the file's pipeline does; their pieces are
+    merged by the file's vocabulary read as merge ranks, with one byte in the place of the word end. Words with other
+    characters go through the file's own pipeline one by one."""
+
+    #: Bytes that no plain word has: the end of a piece, and what stands between words.
+    END, NEXT = "\x01", "\x02"
+    #: Fixed value: the mark of a word's end in word BPE files.
+    SUFFIX = "</w>"
 
     def __init__(self, path: str):
         import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.model = self.own.model
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+        special = {t["content"] for t in data.get("added_tokens", [])}
+        byte_of = {c: b for b, c in enumerate(byte_letters())}
+
+        def raw(token: str) -> bytes:
+            ends = token.endswith(self.SUFFIX)
+            return bytes(map(byte_of.__getitem__, token.removesuffix(self.SUFFIX) if ends else token)) + self.END.encode() * ends
+
+        ranks = {raw(t): i for t, i in data["model"]["vocab"].items() if t not in special}
+        self.fast = tiktoken.Encoding("vocabulary", pat_str=r"\x02|[^\x01\x02]+\x01", mergeable_ranks=ranks, special_tokens={})
+        self.next = ranks[self.NEXT.encode()]
         self.plain = regex.compile(r"[\x21-\x7EÀ-ÖØ-öø-ÿ]+")
-        self.cut = regex.compile(WORD_PATTERN)
-        self.letters = {b: c for b, c in enumerate(byte_letters())}
+        self.cut = regex.compile(WORD_PATTERN.replace(r"[^\s", r"[^\s\x02"))
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict = defaultdict(count().__next__)
-        self.pieces: dict[str, list[int]] = {}
         self.flat, self.start, self.length = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def _piece(self, piece: str) -> list[int]:
-        data = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.model.tokenize(data)]
-
-    def _word(self, word: bytes) -> list[int]:
-        text = word.decode()
-        if "<|" in text or not self.plain.fullmatch(text):
-            return self.own.encode(text, add_special_tokens=False).ids
-        text = text.lower()
-        if text.isascii() and text.isalpha():
-            return self._piece(text)
-        out: list[int] = []
-        for piece in self.cut.findall(text):
-            if len(piece) < 4:  # marks and endings come again and again
-                got = self.pieces.get(piece)
-                if got is None:
-                    got = self.pieces[piece] = self._piece(piece)
-                out += got
-            else:
-                out += self._piece(piece)
-        return out
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words in a row, and the number of ids of each."""
+        texts = [w.decode() for w in words]
+        odd = [i for i, t in enumerate(texts) if "<|" in t or not self.plain.fullmatch(t)]
+        own = [self.own.encode(texts[i], add_special_tokens=False).ids for i in odd]
+        for i in odd:
+            texts[i] = ""
+        line = self.cut.sub(lambda m: m[0] + self.END, self.NEXT.join([*texts, ""]).lower())
+        ids = np.array(self.fast.encode_ordinary(line), np.uint32)
+        ends = np.flatnonzero(ids == self.next)
+        length = np.diff(ends, prepend=-1) - 1
+        ids = np.delete(ids, ends)
+        if odd:
+            ids = np.insert(ids, np.repeat(np.cumsum(length)[odd], [len(x) for x in own]), np.fromiter(chain.from_iterable(own), np.uint32))
+            length[odd] = [len(x) for x in own]
+        return ids, length
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text."""
@@ -113,11 +124,10 @@ class WordTokenizer:
             words = text.encode().split()
             codes.append(np.fromiter(map(get, words), np.int64, len(words)))
         if len(self.index) > known:
-            ids = [self._word(w) for w in islice(self.index, known, None)]
-            length = np.fromiter(map(len, ids), np.int64, len(ids))
+            ids, length = self._words(list(islice(self.index, known, None)))
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
             self.length = np.concatenate([self.length, length])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))])
+            self.flat = np.concatenate([self.flat, ids])
         words_of = np.fromiter(map(len, codes), np.int64, len(codes))
         code = np.concatenate(codes) if codes else np.empty(0, np.int64)
         length = self.length[code]
