@@ -14,12 +14,15 @@ of a trigger that no other phrase has are unlike all others.
 Suffixes: the other dictionary phrases (near the ends of repeated passages) are compared suffix by
 suffix: their suffixes, cut off at LENGTH bytes, are sorted as strings, ties in corpus order, within
 buckets of a common core that every one of them contains. Within a run of equal suffixes all but the
-first start earlier.
+first start earlier. Where more than HOT dictionary phrases have one trigger (at the ends of a passage that
+very many documents share), no bucket could hold their suffixes: those meet by 128-bit hashes of the
+suffixes, spread by the hash, and a minimum takes the first.
 
 Null and empty texts have no bytes. A null doc_id comes before all others. Rows of one doc_id are
 documents of their own in the order of a hash of their texts; equal rows of one doc_id don't repeat
 each other, but both lose what starts before. Whole texts of any length are parsed, long ones block by
-block. Other columns are left as they are. An empty table gives no rows.
+block. Other columns are left as they are; dedupe() replaces those named like its results. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import as_bytes, cut, mix, pack6, prefix_hash, ragged, raw_text, shuffle_partitions, sized_broadcast, span_hash, text_slices, unpack6
+from tallyforge.llm.common import as_bytes, cut, mix, pack6, powers, prefix_hash, ragged, raw_text, shuffle_partitions, sized_broadcast, span_hash, text_slices, unpack6
 from tallyforge.llm.jaccard_join import bucket_names
 
 LENGTH = 100
@@ -42,6 +45,8 @@ STEP = 23
 BLOCK = 2 << 20
 #: Phrases of one trigger that a task sends to the parse (2 at least, so that the parse sees that there are several); others of it go to the suffixes directly.
 MANY = 16
+#: Dictionary phrases of one trigger beyond which suffixes meet by their hashes.
+HOT = 4096
 #: Ids that may be broadcast; beyond it the join shuffles.
 MOST_BROADCAST = 500_000
 _NO_ID = -(1 << 63)
@@ -124,7 +129,8 @@ def _parse(batches: Iterator[pa.RecordBatch], names: list[int]) -> Iterator[pa.R
         for odd, rows in ((1, repeat), (0, edge)):
             for i in range(0, len(rows), 200_000):
                 r = rows[i : i + 200_000]
-                yield _packed(names, -1 - (2 * int(cols[2][r[0]] % len(names)) + odd), np.empty(0, np.uint8), *(x[r] for x in cols[2:]))
+                key = np.frombuffer(pack6(cols[0][r]), np.uint8) if not odd else np.empty(0, np.uint8)
+                yield _packed(names, -1 - (2 * int(cols[2][r[0]] % len(names)) + odd), key, *(x[r] for x in cols[2:]))
         bucket = (cols[0][keep] % np.uint64(len(names))).astype(np.int64)
         keep = keep[np.lexsort((cols[3][keep], cols[2][keep], bucket))]
         edges = np.searchsorted((cols[0][keep] % np.uint64(len(names))).astype(np.int64), np.arange(len(names) + 1))
@@ -174,15 +180,16 @@ def _settle(cols: list[np.ndarray], most: int | None) -> tuple[np.ndarray, np.nd
     return order[repeat], order[new & (rank >= most)], order[new & (rank < most)]
 
 
-_MET = "kind int, doc long, spot long, n int, rel int"
+_MET = "kind int, doc long, spot long, n int, rel int, key long"
 
 
-def _met(kind: int, doc: np.ndarray, spot: np.ndarray, n: np.ndarray, rel: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _met(kind: int, doc: np.ndarray, spot: np.ndarray, n: np.ndarray, rel: np.ndarray, key: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(doc), 100_000):
         s = slice(i, i + 100_000)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(doc[s]), kind), pa.int32()), pa.array(doc[s], pa.int64()), pa.array(spot[s], pa.int64()), pa.array(n[s].astype(np.int32)), pa.array(rel[s].astype(np.int32))], names=["kind", "doc", "spot", "n", "rel"]
-        )
+            [pa.array(np.full(len(doc[s]), kind), pa.int32()), pa.array(doc[s], pa.int64()), pa.array(spot[s], pa.int64()), pa.array(n[s].astype(np.int32)), pa.array(rel[s].astype(np.int32)), pa.nulls(len(doc[s]), pa.int64()) if key is None else pa.array(key[s], pa.int64())],
+            names=["kind", "doc", "spot", "n", "rel", "key"],
+        )
 
 
 def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,13 +201,14 @@ def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [np.concatenate(x) for x in zip(*held, strict=True)]
         repeat, shared, _ = _settle(cols, None)
         for kind, rows in ((0, repeat), (1, shared)):
-            yield from _met(kind, *(x[rows] for x in cols[2:]))
+            yield from _met(kind, *(x[rows] for x in cols[2:]), cols[0][rows].astype(np.int64) if kind else None)
 
     for b in batches:
         for bucket, key, *rest in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
             doc, spot, n, rel = (np.frombuffer(x, k) for x, k in zip(rest, ("<i8", "<i8", "u1", "u1"), strict=True))
             if bucket < 0:
-                yield from _met(0 if (-1 - bucket) % 2 else 1, doc, spot, n, rel)
+                odd = (-1 - bucket) % 2
+                yield from _met(0 if odd else 1, doc, spot, n, rel, None if odd else unpack6(key).astype(np.int64))
                 continue
             if bucket != now and held:
                 yield from of()
@@ -215,6 +223,34 @@ def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _ENTRY = "place int, core long, doc long, spot long, first int, bytes binary"
 
 
+def _sub_ranges(rows: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """Of phrases (first window, windows, trigger's distance): number of the sub-range, place of its core, first and last window."""
+    for start, n, rel in rows:
+        trigger, end = start + rel, start + n - 1
+        for j in range(-(-(LENGTH - GRAM + 1) // STEP)):
+            lo, hi = max(start, trigger - STEP * j - STEP + 1), min(end, trigger - STEP * j)
+            if lo <= hi:
+                yield j, trigger - STEP * j, lo, hi
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of the hot phrases (doc, text, spans) by their hashes."""
+    for b in text_slices(batches):
+        raw, offsets = raw_text(b.column(1))
+        tp = text_prints(raw, offsets)
+        for i, (doc, spans) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+            rows = [(x["spot"] & 0xFFFFFFFF, x["n"]) for x in spans if x["hot"] and x["spot"] >> 32 == tp[i]]
+            if not rows:
+                continue
+            first, n = np.array(rows).T
+            at = ragged(first, n)
+            for a in range(0, len(at), 20_000):
+                some = at[a : a + 20_000]
+                window = np.lib.stride_tricks.sliding_window_view(raw[offsets[i] : offsets[i + 1]], LENGTH)[some].astype(np.uint64) + np.uint64(1)
+                two = [mix((mix(window + np.uint64(k)) * powers(LENGTH)[0]).sum(axis=1, dtype=np.uint64)).view(np.int64) for k in (1 << 20, 3 << 20)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, two), pa.array(np.full(len(some), doc)), pa.array((int(tp[i]) << 32) + some)], names=["h", "g", "doc", "spot"])
+
+
 def _suffixes(batches: Iterator[pa.RecordBatch], names: list[int]) -> Iterator[pa.RecordBatch]:
     """The bytes of each phrase's windows by sub-range (doc, text, spans), with the hash of their core; equal ones of a task once.
 
@@ -243,25 +279,20 @@ def _suffixes(batches: Iterator[pa.RecordBatch], names: list[int]) -> Iterator[p
         for i, (doc, spans) in enumerate(zip(docs, b.column(2).to_pylist(), strict=True)):
             base = int(offsets[i])
             text = raw[base : int(offsets[i + 1])].tobytes()
-            rows = sorted((x["spot"] & 0xFFFFFFFF, x["n"], x["rel"]) for x in spans if x["spot"] >> 32 == tp[i])
-            for start, n, rel in rows:
-                trigger, end = start + rel, start + n - 1
-                for j in range(-(-(LENGTH - GRAM + 1) // STEP)):
-                    lo, hi = max(start, trigger - STEP * j - STEP + 1), min(end, trigger - STEP * j)
-                    if lo > hi:
-                        continue
-                    core = text[trigger - STEP * j : trigger - STEP * j - STEP + 1 + LENGTH]
-                    h = (hash_bytes(core) ^ j) & ((1 << 63) - 1)
-                    name = h.to_bytes(8, "little") + bytes([trigger - STEP * j - lo]) + text[lo : hi + LENGTH]
-                    mine = (doc, (int(tp[i]) << 32) + lo)
-                    had = held.get(name)
-                    if had is None:
-                        held[name] = mine
-                        full += len(name)
-                    elif had != mine:
-                        if mine < had:
-                            held[name], mine = mine, had
-                        gone.append((*mine, hi - lo + 1))
+            rows = sorted((x["spot"] & 0xFFFFFFFF, x["n"], x["rel"]) for x in spans if not x["hot"] and x["spot"] >> 32 == tp[i])
+            for j, at, lo, hi in _sub_ranges(rows):
+                core = text[at : at - STEP + 1 + LENGTH]
+                h = (hash_bytes(core) ^ j) & ((1 << 63) - 1)
+                name = h.to_bytes(8, "little") + bytes([at - lo]) + text[lo : hi + LENGTH]
+                mine = (doc, (int(tp[i]) << 32) + lo)
+                had = held.get(name)
+                if had is None:
+                    held[name] = mine
+                    full += len(name)
+                elif had != mine:
+                    if mine < had:
+                        held[name], mine = mine, had
+                    gone.append((*mine, hi - lo + 1))
             if full > 24 << 20 or len(gone) > 400_000:
                 yield from flush()
     yield from flush()
@@ -330,18 +361,34 @@ def repeats(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     parsed = texts.mapInArrow(lambda it: _parse(it, names), _PACKED).repartition(n, "place").drop("place").sortWithinPartitions("bucket")
     met = cut(parsed.mapInArrow(_dictionary, _MET), "dictionary")
-    edges = met.where("kind = 1").groupBy("doc").agg(F.collect_list(F.struct("spot", "n", "rel")).alias("spans"))
+    edge = met.where("kind = 1")
+    hot = cut(edge.groupBy("key").agg(F.count("*").alias("often")).where(F.col("often") > HOT).select("key", F.lit(True).alias("hot")), "hot")
+    marked = edge.join(sized_broadcast(hot, MOST_BROADCAST), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    edges = marked.groupBy("doc").agg(F.collect_list(F.struct("spot", "n", "rel", "hot")).alias("spans"))
     with_edges = texts.join(sized_broadcast(edges.select("doc"), MOST_BROADCAST), "doc", "left_semi").join(edges, "doc").select("doc", "text", "spans")
     entries = with_edges.mapInArrow(lambda it: _suffixes(it, names), _ENTRY).repartition(n, "place").drop("place").sortWithinPartitions("core")
     late = cut(entries.mapInArrow(_sorted_suffixes, _MET), "suffixes")
-    return met.where("kind = 0").unionByName(late).groupBy("doc").agg(F.collect_list(F.struct("spot", "n")).alias("spans"))
+    spans = met.where("kind = 0").unionByName(late).select("doc", "spot", "n")
+    if hot.limit(1).count():
+        windows = cut(with_edges.where(F.exists("spans", lambda x: x["hot"])).mapInArrow(_hashed, "h long, g long, doc long, spot long"), "windows")
+        first = cut(windows.groupBy("h", "g").agg(F.min(F.struct("doc", "spot")).alias("m"), F.count("*").alias("c")).where("c > 1").select("h", "g", "m"), "first")
+        again = windows.join(first, ["h", "g"]).where(F.struct("doc", "spot") != F.col("m")).select("doc", "spot", F.lit(1).alias("n"))
+        spans = spans.unionByName(again)
+    return spans.groupBy("doc").agg(F.collect_list(F.struct("spot", "n")).alias("spans"))
+
+
+RESULTS = ("n_bytes", "n_removed", "spans", "kept")
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
     """docs with n_bytes, n_removed, spans (array of start and end of the removed runs, in bytes) and kept (the other bytes)."""
-    columns = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "spans", "kept")]
+    return _deduped(docs).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in RESULTS), *RESULTS)
+
+
+def _deduped(docs: DataFrame) -> DataFrame:
+    """_row (the columns of docs) and the results of dedupe."""
     spans = cut(repeats(docs), "repeats")
-    rows = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"))
+    rows = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     ids = sized_broadcast(spans.select(F.col("doc").alias("_doc")), MOST_BROADCAST)
     hit = rows.join(ids, "_doc", "left_semi").join(spans.select(F.col("doc").alias("_doc"), F.col("spans").alias("_spans")), "_doc")
     row_type = rows.schema["_row"].dataType.simpleString()
@@ -371,7 +418,7 @@ def dedupe(docs: DataFrame) -> DataFrame:
     whole = rows.join(ids, "_doc", "left_anti").select(
         "_row", F.octet_length("_text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.col("_text").cast("binary").alias("kept")
     )
-    return done.unionByName(whole).select("_row.*", "n_bytes", "n_removed", "spans", "kept")
+    return done.unionByName(whole)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -393,9 +440,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
                 out.append(b"".join([*parts, text[at:]]).decode())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), b.column(2)], names=["_new", "_row"])
 
-    rows = dedupe(docs)
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("n_bytes", "n_removed", "spans", "kept")))
-    packed = rows.select("text", "spans", row.alias("_row"))
+    packed = _deduped(docs).select(F.col("_row.text").alias("text"), "spans", "_row")
     new = packed.mapInArrow(run, f"_new string, _row {packed.schema['_row'].dataType.simpleString()}")
     changed = {"text": F.when(F.col("_row.text").isNotNull(), F.col("_new")).alias("text"), "n_chars": F.length("_new").cast("long").alias("n_chars")}
     return new.select(*(changed.get(c, F.col(f"_row.`{c}`").alias(c)) for c in docs.columns))
