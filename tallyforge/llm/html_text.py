@@ -1,24 +1,29 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages are cut into lines (the text of block elements). Each page is paired with the page of its host
-whose URL path is nearest in path order (of two equally near ones, the one more alike); their lines are aligned by longest common subsequence, and
-lines outside an article element that both pages have are deleted: that is what the site's template
-puts on every page. Two pages that carry one sentence in their articles both own it, so article lines
-stay. What no page shows as text (scripts, styles, forms) or what markup itself names as navigation,
-header, footer, sidebar, notice, advert or comments is left out before pairing (an article element too, if its
-class or id says that it is a comment). Every page keeps all lines that differencing leaves, in or beside an article.
+Pages are cut into lines (the text of block elements). Each page meets the pages of its host whose URL paths
+are nearest in path order (MOST of up to NEAR on either side, of other text and another path: equal pages never meet).
+Their lines are aligned by longest common subsequence. A line outside an article element that any of them has
+too is deleted: that is what the site's template puts on every page. Two pages that carry one sentence in
+their articles both own it, so lines inside an article stay; with inside_articles they are deleted if there are
+MANY or more such pages and all of them have the line aligned, not counting copies (pages that share half of the
+article's lines or more). That is for sites that put notices into their article elements. What no page shows as text (scripts, styles, forms) or what markup
+itself names as navigation, header, footer, sidebar, notice, advert or comments is left out before (an article
+element too, if its class or id says that it is a comment); inside an article only elements whose whole class
+or id says so, as class names there mostly describe the text. Every page keeps all lines that differencing
+leaves, in or beside an article.
 
 Null, empty and broken html give the text that can be read, at least the empty one. Rows that repeat and
 pages of equal URL are extracted row by row; a null or odd URL has its own host "". A page alone on its
-host has no partner and loses no line by differencing. The order of the pages is spread by ranges of
-(host, path), so no host meets in one task; the pages at the ends of the ranges travel to their
-neighbours.
+host has no partner and loses no line by differencing. Pages of equal text on one host count once. The order
+of the pages is spread by ranges of (host, path), so no host meets in one task; the pages at the ends of the
+ranges travel to their neighbours. Alignment takes memory in proportion to the lines of two pages.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import deque
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -42,6 +47,12 @@ _MAIN = frozenset("article main".split())
 #: Whole class or id of an article that is a reader's comment; a post's article may well be of class has-comments.
 _COMMENT = re.compile(r"(?:[a-z]+-)?(?:comment|comments|reply|replies)(?:-(?:body|content|item|\d+))?")
 _NOT_COMMENT = frozenset("has no with post".split())
+#: Pages looked at on either side of a page, in path order; how many it is aligned with; how many must share a line inside an article.
+NEAR = 3
+MOST = 4
+MANY = 3
+#: Classes and ids, as wholes, that name what is not main text inside an article.
+_INSIDE = frozenset("ad ads advert adverts advertisement advertising adsense banner promo sponsor sponsored sidebar newsletter comments disqus breadcrumb breadcrumbs pagination cookie-notice share-buttons".split())
 #: Words of class, id and role that name what is not main text.
 _WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar side aside rail widget "
@@ -60,11 +71,10 @@ def _named_out(tag: str, attrs: str, inside: bool) -> bool:
         return False
     if _HIDDEN.search(attrs):
         return True
-    for m in _NAMED.finditer(attrs):
-        for word in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()):
-            if word in _WORDS and not (word == "header" and inside):
-                return True
-    return False
+    names = [x for m in _NAMED.finditer(attrs) for x in (m[1] or m[2] or m[3] or "").lower().split()]
+    if inside:
+        return not _INSIDE.isdisjoint(names)
+    return any(word in _WORDS for name in names for word in re.split(r"[^a-z0-9]+", name))
 
 
 def lines(page: str) -> list[tuple[str, bool]]:
@@ -126,37 +136,44 @@ def lines(page: str) -> list[tuple[str, bool]]:
     return out
 
 
-def common_lines(a: list, b: list) -> np.ndarray:
-    """For each line of a, whether it is in the longest common subsequence with b."""
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of a with b[:0], b[:1], ..."""
+    row = np.zeros(len(b) + 1, np.int32)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(np.where(b == x, row[:-1] + 1, 0), row[1:]))
+    return row
+
+
+def _align(a: np.ndarray, b: np.ndarray, at: int, shared: np.ndarray) -> None:
+    """Marks in shared the rows (a's first is row at) of a longest common subsequence, halving a so that memory stays linear."""
+    if not len(a) or not len(b):
+        return
+    if len(a) == 1:
+        shared[at] = bool((b == a[0]).any())
+        return
+    half = len(a) // 2
+    best = int(np.argmax(_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]))
+    _align(a[:half], b[:best], at, shared)
+    _align(a[half:], b[best:], at + half, shared)
+
+
+def common_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each line of a, whether it is in a longest common subsequence with b."""
+    a, b = np.asarray(a), np.asarray(b)
     shared = np.zeros(len(a), np.bool_)
-    lo = 0
-    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
-        hi += 1
+    most = min(len(a), len(b))
+    differ = np.flatnonzero(a[:most] != b[:most])
+    lo = int(differ[0]) if len(differ) else most
+    differ = np.flatnonzero(a[lo:][::-1][: most - lo] != b[lo:][::-1][: most - lo])
+    hi = int(differ[0]) if len(differ) else most - lo
     shared[:lo] = True
     shared[len(a) - hi :] = True
-    also = set(b[lo : len(b) - hi])
-    rows = [i for i in range(lo, len(a) - hi) if a[i] in also]
-    if rows:
-        have = {a[i] for i in rows}
-        right = [x for x in b[lo : len(b) - hi] if x in have]
-        code = {x: k for k, x in enumerate(have)}
-        right = np.array([code[x] for x in right])
-        table = np.zeros((len(rows) + 1, len(right) + 1), np.int32)
-        for i, row in enumerate(rows):
-            match = np.where(right == code[a[row]], table[i, :-1] + 1, 0)
-            table[i + 1, 1:] = np.maximum.accumulate(np.maximum(match, table[i, 1:]))
-        i, j = len(rows), len(right)
-        while i and j:
-            if table[i, j] == table[i - 1, j]:
-                i -= 1
-            elif table[i, j] == table[i, j - 1]:
-                j -= 1
-            else:
-                shared[rows[i - 1]] = True
-                i, j = i - 1, j - 1
+    left, right = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    rows = np.flatnonzero(np.isin(left, right))
+    if len(rows):
+        found = np.zeros(len(rows), np.bool_)
+        _align(left[rows], right[np.isin(right, left)], 0, found)
+        shared[lo + rows] = found
     return shared
 
 
@@ -179,79 +196,90 @@ def _nearness(a: str, b: str) -> int:
     return n
 
 
-_KEY = ("page_id", "url", "print")
+_LINES = "url string, print long, host string, path string, line binary, core binary"
 
 
 def read_lines(pages: DataFrame) -> DataFrame:
-    """page_id, url, print (hash of the html), host, path, line (hashes of the page's lines), core (for each, if inside an article)."""
+    """url, print (hash of the html), host, path, line (hashes of the page's lines), core (for each, if inside an article)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in text_slices(batches, column=3):
-            got = [lines(x) for x in b.column(3).to_pylist()]
-            hosts, paths = zip(*(address(u) for u in b.column(1).to_pylist()), strict=True)
+        for b in text_slices(batches, column=2):
+            got = [lines(x) for x in b.column(2).to_pylist()]
+            hosts, paths = zip(*(address(u) for u in b.column(0).to_pylist()), strict=True)
             hashes = [np.fromiter((xxhash.xxh3_64_intdigest(x) for x, _ in g), np.uint64, len(g)) for g in got]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array(hosts, pa.string()), pa.array(paths, pa.string()), binary_rows(hashes, "<u8"), binary_rows([np.array([c for _, c in g], np.uint8) for g in got], "u1")], names=[*_KEY, "host", "path", "line", "core"]
+                [*b.columns[:2], pa.array(hosts, pa.string()), pa.array(paths, pa.string()), binary_rows(hashes, "<u8"), binary_rows([np.array([c for _, c in g], np.uint8) for g in got], "u1")], names=["url", "print", "host", "path", "line", "core"]
             )
 
-    return _keyed(pages).mapInArrow(run, "page_id long, url string, print long, host string, path string, line binary, core binary")
+    return _keyed(pages).select("url", "print", "html").mapInArrow(run, _LINES)
 
 
 def _keyed(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.xxhash64("html").alias("print"), "html")
 
 
-def shared_lines(pages: DataFrame) -> DataFrame:
-    """page_id, url, print and shared (a byte for each line, 1 if differencing deletes it) of the pages that lose lines.
+def _shared(row: tuple, near: list[tuple], inside_articles: bool) -> np.ndarray:
+    """A byte for each line of row (host, path, content, line, core), 1 if the pages near it say that it goes."""
+    mine, core = np.frombuffer(row[3], "<u8"), np.frombuffer(row[4], np.uint8) > 0
+    aligned = [common_lines(mine, np.frombuffer(x[3], "<u8")) for x in [x for x in near if x[0] == row[0] and x[1] != row[1]][:MOST]]
+    if not aligned:
+        return np.zeros(len(mine), np.uint8)
+    others = [x for x in aligned if 2 * np.count_nonzero(x & core) < np.count_nonzero(core)]
+    template = np.all(others, axis=0) if inside_articles and len(others) >= MANY else np.zeros(len(mine), np.bool_)
+    return np.where(core, template, np.any(aligned, axis=0)).astype(np.uint8)
+
+
+def shared_lines(pages: DataFrame, inside_articles: bool = False) -> DataFrame:
+    """url, print and shared (a byte for each line, 1 if differencing deletes it) of the pages that lose lines.
 
     Only hashes of lines travel; pages stay where they are.
     """
     n = shuffle_partitions(pages.sparkSession)
-    rows = cut(read_lines(pages).repartitionByRange(n, "host", "path", "page_id").withColumn("part", F.spark_partition_id()), "lines")
-    ends = rows.groupBy("part").agg(F.min(F.struct("host", "path", "page_id", "line")).alias("first"), F.max(F.struct("host", "path", "page_id", "line")).alias("last"))
+    read = cut(read_lines(pages).withColumn("content", F.xxhash64("line", "core")), "lines")
+    names = ("host", "path", "content", "line", "core")
+    texts = read.groupBy("host", "content").agg(F.min(F.struct("path", "line", "core")).alias("m")).select("host", "m.path", "content", "m.line", "m.core")
+    rows = cut(texts.repartitionByRange(n, "host", "path", "content").withColumn("part", F.spark_partition_id()), "order")
+    ends = rows.groupBy("part").agg(F.min(F.struct(*names)).alias("first"), F.max(F.struct(*names)).alias("last"))
     order = Window.orderBy("part")
     near = ends.select("part", F.lag("last").over(order).alias("before"), F.lead("first").over(order).alias("after"))
-    guests = near.select("part", F.explode(F.array_compact(F.array("before", "after"))).alias("g")).select("part", F.lit(True).alias("guest"), "g.*")
-    own = rows.select("part", F.lit(False).alias("guest"), "host", "path", "page_id", "line", "url", "core", "print")
-    both = own.unionByName(guests, allowMissingColumns=True).repartition(n, "part").sortWithinPartitions("part", "host", "path", "page_id", "guest")
-    names = ("part", "guest", "host", "path", "page_id", "line", "url", "core", "print")
+    guests = near.select("part", F.explode(F.array_compact(F.array("before", "after"))).alias("g")).select("part", "g.*", F.lit(True).alias("guest"))
+    both = rows.select("part", *names, F.lit(False).alias("guest")).unionByName(guests).repartition(n, "part").sortWithinPartitions("part", "host", "path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def resolved(before: tuple | None, row: tuple, after: tuple | None) -> list[tuple]:
-            if row[1]:
-                return []
-            near = [x for x in (before, after) if x is not None and x[0] == row[0] and x[2] == row[2]]  # part, host
-            most = max((_nearness(x[3], row[3]) for x in near), default=0)
-            mine = np.frombuffer(row[5], "<u8").tolist()
-            aligned = [common_lines(mine, np.frombuffer(x[5], "<u8").tolist()) for x in near if _nearness(x[3], row[3]) == most]
-            shared = max(aligned, key=np.count_nonzero, default=np.zeros(len(mine), np.bool_)) & (np.frombuffer(row[7], np.uint8) == 0)
-            return [(row[4], row[6], row[8], shared.astype(np.uint8).tobytes())] if shared.any() else []
-
         def batch(done: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=[*_KEY, "shared"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["host", "content", "shared"])
+
+        window: deque = deque([None] * (2 * NEAR + 1), 2 * NEAR + 1)
+        done: list[tuple] = []
+
+        def step(row: tuple | None) -> None:
+            window.append(row)
+            mid = window[NEAR]
+            if mid is not None and not mid[6]:
+                turns = sorted(range(2 * NEAR + 1), key=lambda i: abs(i - NEAR))[1:]
+                near = [window[i][1:] for i in turns if window[i] is not None and window[i][0] == mid[0]]
+                gone = _shared(mid[1:], near, inside_articles)
+                if gone.any():
+                    done.append((mid[1], mid[3], gone.tobytes()))
 
-        before, row, done = None, None, []
         for b in batches:
-            for after in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
-                if row is not None:
-                    done += resolved(before, row, after)
-                before, row = row, after
+            for row in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                step(row)
                 if len(done) >= 1000:
                     yield batch(done)
-                    done = []
-        if row is not None:
-            done += resolved(before, row, None)
+                    done.clear()
+        for _ in range(NEAR):
+            step(None)
         if done:
             yield batch(done)
 
-    found = both.mapInArrow(run, "page_id long, url string, print long, shared binary")
-    return found.groupBy(*_KEY).agg(F.max("shared").alias("shared"))
+    found = both.select("part", *names, "guest").mapInArrow(run, "host string, content long, shared binary")
+    return read.select("url", "print", "host", "content").join(found, ["host", "content"]).select("url", "print", "shared").distinct()
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, inside_articles: bool = False) -> DataFrame:
     """Per page: page_id, url, text, n_chars and n_lines (before differencing)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,9 +292,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 counts.append(len(got))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), pa.array(counts, pa.int32())], names=["page_id", "url", "text", "n_chars", "n_lines"])
 
-    found = sized_broadcast(cut(shared_lines(pages), "shared").select(*(F.col(c).alias(f"s_{c}") for c in _KEY), "shared"), MOST_BROADCAST)
+    found = sized_broadcast(cut(shared_lines(pages, inside_articles), "shared").select(F.col("url").alias("s_url"), F.col("print").alias("s_print"), "shared"), MOST_BROADCAST)
     rows = _keyed(pages)
-    same = rows["print"] == found["s_print"]
-    for c in ("page_id", "url"):
-        same &= rows[c].eqNullSafe(found[f"s_{c}"])
+    same = (rows["print"] == found["s_print"]) & rows["url"].eqNullSafe(found["s_url"])
     return rows.join(found, same, "left").select("page_id", "url", "html", "shared").mapInArrow(run, "page_id long, url string, text string, n_chars long, n_lines int")
