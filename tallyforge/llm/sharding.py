@@ -1,13 +1,18 @@
 """Size-tiered compaction of immutable Parquet runs under a versioned manifest.
 
 Arrivals are appended as small runs that are never changed. Runs of about the same size form a tier;
-when a tier has FAN runs, they are merged into one run of target-sized files. A manifest names the runs
-of a version; committing one is a single rename onto a name that must not exist yet, so readers see a
-version whole or not at all, two writers cannot both commit the same version, and a job that dies before
-it leaves the last version as it was. Only the manifest's entries (one for each run) come to the driver.
-
-Nulls, empty texts, repeated rows and other columns are stored as they come. A run without rows is
-recorded with no files. Reading a store without runs gives no rows of the schema that the store was made with.
+when a tier has FAN runs, they are merged into one run of target-sized files (split by bytes a row, as
+written). A manifest names the runs of a version. It is committed by creating its file, which the file system
+must refuse if the name is there (HDFS and local disks do, object stores with conditional writes do; on others
+one writer at a time must commit), so two writers cannot both commit the same version. A manifest says its own
+length first: one that is cut short by a dying writer is no version. A job that dies before it commits leaves
+the last version as it was, and folders that no manifest names; sweep() removes those once they are old.
+Merged runs stay until vacuum() finds that none of the versions to retain names them, so readers of those
+versions go on. Only the manifest's entries (one for each run) come to the driver.
+
+Nulls, empty texts, repeated rows and other columns are stored as they come; a null doc_id is dealt by all its
+row. A run without rows is recorded with no files. Reading a store without runs gives no rows of the schema
+that the store was made with.
 """
 
 from __future__ import annotations
@@ -39,37 +44,54 @@ class ShardStore:
     def _fs(self):
         return self._path("").getFileSystem(self._conf)
 
-    def version(self) -> int:
-        """The last committed version, 0 if none."""
+    def versions(self) -> list[int]:
+        """The committed versions, oldest first."""
         fs, folder = self._fs(), self._path("manifest")
         if not fs.exists(folder):
-            return 0
+            return []
         names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return max((int(n[1:9]) for n in names if n.startswith("v") and n.endswith(".json")), default=0)
+        found = sorted(int(n[1:9]) for n in names if n.startswith("v") and n.endswith(".json"))
+        while found and self._read(found[-1]) is None:  # only the last can be one that is being written
+            found.pop()
+        return found
+
+    def version(self) -> int:
+        """The last committed version, 0 if none."""
+        return (self.versions() or [0])[-1]
+
+    def _read(self, version: int) -> dict | None:
+        data = self.spark.read.text(f"{self.root}/manifest/v{version:08d}.json", wholetext=True).first()
+        size, _, body = (data[0] if data else "").partition("\n")
+        return json.loads(body) if size.isdigit() and int(size) == len(body) else None
 
     def manifest(self, version: int | None = None) -> dict:
         version = self.version() if version is None else version
         if not version:
             return {"version": 0, "runs": []}
-        data = self.spark.read.text(f"{self.root}/manifest/v{version:08d}.json", wholetext=True).first()[0]
-        return json.loads(data)
+        if (got := self._read(version)) is None:
+            raise ValueError(f"version {version} is not committed")
+        return got
 
     def _commit(self, base: int, runs: list[dict]) -> int:
-        fs, temp = self._fs(), self._path(f"manifest/.{uuid.uuid4().hex}")
-        out = fs.create(temp, True)
-        out.write(bytearray(json.dumps({"version": base + 1, "runs": runs}).encode()))
+        from py4j.protocol import Py4JJavaError
+
+        fs, final = self._fs(), self._path(f"manifest/v{base + 1:08d}.json")
+        body = json.dumps({"version": base + 1, "runs": runs})
+        try:
+            out = fs.create(final, False)
+        except Py4JJavaError as e:
+            if fs.exists(final):
+                raise CommitConflict(f"version {base + 1} is there already") from e
+            raise
+        out.write(bytearray(f"{len(body)}\n{body}".encode()))
         out.close()
-        final = self._path(f"manifest/v{base + 1:08d}.json")
-        if fs.exists(final) or not fs.rename(temp, final):
-            fs.delete(temp, False)
-            raise CommitConflict(f"version {base + 1} is there already")
         return base + 1
 
     def _run(self, name: str) -> dict:
         """The entry of a written run."""
         fs, folder = self._fs(), self._path(name)
         sizes = [s.getLen() for s in fs.listStatus(folder) if s.getPath().getName().endswith(".parquet")] if fs.exists(folder) else []
-        return {"path": name, "bytes": sum(sizes), "files": len(sizes)}
+        return {"path": name, "bytes": sum(sizes), "files": len(sizes), "largest": max(sizes, default=0)}
 
     def _tier(self, run: dict) -> int:
         return int(math.log(max(run["bytes"], 1), self.fan))
@@ -82,11 +104,14 @@ class ShardStore:
 
     def append_all(self, rows: DataFrame, arrivals: int) -> int:
         """Several arrivals written by one pass over rows (those of one hash of doc_id arrive together), committed one by one."""
-        name = f"runs/{uuid.uuid4().hex}"
-        rows.withColumn("_arrival", F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))).write.partitionBy("_arrival").parquet(f"{self.root}/{name}")
+        name, by = f"runs/{uuid.uuid4().hex}", "arrival"
+        while by in self.schema.names:
+            by = f"_{by}"
+        key = F.when(F.col("doc_id").isNull(), F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns))).otherwise(F.xxhash64("doc_id"))
+        rows.withColumn(by, F.pmod(key, F.lit(arrivals))).write.partitionBy(by).parquet(f"{self.root}/{name}")
         for i in range(arrivals):
             old = self.manifest()
-            if (run := self._run(f"{name}/_arrival={i}"))["files"]:
+            if (run := self._run(f"{name}/{by}={i}"))["files"]:
                 self._commit(old["version"], [*old["runs"], run])
         return self.version()
 
@@ -101,17 +126,35 @@ class ShardStore:
             if not full:
                 return old["version"]
             merged, name = tiers[full[0]][: self.fan], f"runs/{uuid.uuid4().hex}"
-            files = max(1, -(-sum(r["bytes"] for r in merged) // self.target_bytes))
-            self._rows(merged).coalesce(files).write.parquet(f"{self.root}/{name}")
+            size, rows = sum(r["bytes"] for r in merged), self._rows(merged)
+            files, n = max(1, -(-size // self.target_bytes)), rows.count() if size > self.target_bytes else 0
+            # coalesce evens out what it is given only roughly, so no file takes more rows than a target's share
+            rows.coalesce(files).write.option("maxRecordsPerFile", max(1, -(-n // files)) if n else 0).parquet(f"{self.root}/{name}")
             self._commit(old["version"], [r for r in old["runs"] if r not in merged] + [self._run(name)])
-            self.vacuum(merged)
 
-    def vacuum(self, runs: list[dict]) -> None:
-        """Deletes runs that the last version no longer names."""
-        live = {r["path"] for r in self.manifest()["runs"]}
-        for r in runs:
-            if r["path"] not in live:
-                self._fs().delete(self._path(r["path"]), True)
+    def vacuum(self, retain: int = 1) -> int:
+        """Deletes manifests but the last retain ones, and the runs that only those named; returns how many runs."""
+        versions = self.versions()
+        old, kept = versions[:-retain], versions[-retain:]
+        live = {r["path"] for v in kept for r in self.manifest(v)["runs"]}
+        gone = {r["path"] for v in old for r in self.manifest(v)["runs"]} - live
+        for v in old:
+            self._fs().delete(self._path(f"manifest/v{v:08d}.json"), False)
+        for path in gone:
+            self._fs().delete(self._path(path), True)
+        return len(gone)
+
+    def sweep(self, older_than_s: float = 7 * 86400) -> int:
+        """Deletes folders of runs that no version names and nobody has touched for so long (jobs that died); returns how many."""
+        import time
+
+        fs, folder = self._fs(), self._path("runs")
+        live = {r["path"].split("/")[1] for v in self.versions() for r in self.manifest(v)["runs"]}
+        gone = 0
+        for s in fs.listStatus(folder) if fs.exists(folder) else []:
+            if s.getPath().getName() not in live and s.getModificationTime() / 1000 <= time.time() - older_than_s:
+                gone += bool(fs.delete(s.getPath(), True))
+        return gone
 
     def _rows(self, runs: list[dict]) -> DataFrame:
         paths = [f"{self.root}/{r['path']}" for r in runs if r["files"]]
@@ -128,4 +171,5 @@ def stored(docs: DataFrame, root: str, arrivals: int = 8) -> DataFrame:
     store = ShardStore(docs.sparkSession, root, docs.schema)
     store.append_all(docs, arrivals)
     store.compact()
+    store.vacuum()
     return store.read()
