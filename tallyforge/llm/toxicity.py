@@ -3,7 +3,9 @@
 Features of a text: density of a lexicon learned from the training labels (by the log-odds of its words,
 also of words undone of obfuscation), how near its hits stand to second-person words, capitals,
 punctuation and obfuscation rates, length. Labels are learned only from rows whose crc32(doc_id) mod 5
-is not 0, at most MOST_ROWS of them chosen by hash; labels, lang, source and doc_id are never features.
+is not 0, at most MOST_ROWS of them chosen by hash; labels, lang, source and doc_id are never features. The
+lexicon is the MOST_LEXICON words that stand out most. Calibration uses margins out of fold: each of FOLDS models
+has its own lexicon and trees, learned without the rows that it scores.
 
 Null and empty texts have features of zero and get a score like any other. A null doc_id is not held
 out and has no label. Rows that repeat are scored row by row; of several labels of one doc_id the
@@ -26,7 +28,9 @@ from tallyforge.llm.word_table import WordTable
 
 #: Labelled rows that a model is fitted on.
 MOST_ROWS = 20_000
+#: Words of a lexicon.
 MOST_LEXICON = 400
+FOLDS = 5
 NAMES = ("lexicon", "hits", "strongest", "distinct", "near_you", "you", "capitals", "shouted", "exclaim", "question", "symbols", "obfuscated", "undone_hits", "log_words", "mean_length")
 
 _SECOND = frozenset("you your yours yourself u ur du dich dir dein deine deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros vuestra".split())
@@ -230,17 +234,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most_rows: i
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
     sample = cut(labelled_sample(docs, labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")), "toxic", most_rows), "toxic-sample")
-    lexicon = learn_lexicon(sample)
-    rows = features(sample, lexicon).join(sample.select("doc_id", "toxic").distinct(), "doc_id").select("doc_id", "f", "toxic").orderBy("doc_id").collect()
-    y = np.array([r["toxic"] for r in rows], np.float64)
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FOLDS))
+
+    def measured(learn: F.Column, keep: F.Column) -> tuple[dict[str, float], np.ndarray, np.ndarray, np.ndarray]:
+        """The lexicon of the rows of learn, and features, labels and folds of the rows of keep."""
+        lexicon = learn_lexicon(sample.where(learn))
+        told = sample.select("doc_id", "toxic").distinct()
+        rows = features(sample.where(keep), lexicon).join(told, "doc_id").select("f", "toxic", fold.alias("k")).orderBy("doc_id", "f").collect()
+        return lexicon, np.array([r["f"] for r in rows], np.float32), np.array([r["toxic"] for r in rows], np.float64), np.array([r["k"] for r in rows])
+
+    every = F.lit(True)
+    lexicon, x, y, k = measured(every, every)
     if not len(y) or y.min() == y.max():
         return Model({}, None, (np.zeros(1), np.zeros(1)), float(y.mean()) if len(y) else 0.0)
-    x = np.array([r["f"] for r in rows], np.float32)
-    fold = np.arange(len(y)) % 5
-    margin = np.zeros(len(y))
-    for k in range(5):  # out-of-fold margins calibrate; the final trees see all rows
-        margin[fold == k] = BoostedTrees().fit(x[fold != k], y[fold != k]).margin(x[fold == k])
-    return Model(lexicon, BoostedTrees().fit(x, y), isotonic(margin, y), float(y.mean()))
+    margin, truth = [], []
+    for i in range(FOLDS):  # neither words nor trees of a fold's model have seen the rows that calibrate it
+        _, fx, fy, fk = measured(fold != i, every)
+        if (fk == i).any() and (fk != i).any():
+            margin.append(BoostedTrees().fit(fx[fk != i], fy[fk != i]).margin(fx[fk == i]))
+            truth.append(fy[fk == i])
+    knots = isotonic(np.concatenate(margin), np.concatenate(truth)) if margin else (np.zeros(1), np.full(1, y.mean()))
+    return Model(lexicon, BoostedTrees().fit(x, y), knots, float(y.mean()))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
