@@ -171,13 +171,31 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("many", [16, 2])
-def test_suffix_dedup(docs, many, monkeypatch):
+@pytest.mark.parametrize(("many", "hot"), [(16, 4096), (2, 4096), (16, 2)])
+def test_suffix_dedup(docs, many, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "MANY", many)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     got = {r.doc_id: (r.n_bytes, r.n_removed, [[s.start, s.end] for s in r.spans], bytes(r.kept)) for r in suffix_dedup.dedupe(docs).collect()}
     assert got == brute_repeats(corpus())
 
 
+def test_suffix_dedup_of_null_and_equal_ids(spark):
+    rng = random.Random(2)
+    passage = "".join(rng.choice("abcd ") for _ in range(150))
+    rows = [(None, passage), (1, "x" + passage), (1, "y" + passage), (2, None), (2, passage)]
+    got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed) for r in suffix_dedup.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(-1, 150, 0), (1, 151, 150), (1, 151, 150), (2, 0, 0), (2, 150, 150)]
+
+
+def test_suffix_dedup_of_clashing_columns(spark):
+    rows = [(1, "a" * 50, 9, "s", 8, "k", "r"), (2, "b" * 350, 9, "s", 8, "k", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_bytes long, spans string, n_removed long, kept string, _row string")
+    got = [tuple(r) for r in suffix_dedup.keep_first(docs).orderBy("doc_id").collect()]
+    assert got == [rows[0], (2, "b", *rows[1][2:])]
+    out = suffix_dedup.dedupe(docs)
+    assert out.columns == ["doc_id", "text", "_row", "n_bytes", "n_removed", "spans", "kept"] and out.count() == 2
+
+
 def test_suffix_dedup_long_text_by_blocks(spark, monkeypatch):
     rng = random.Random(4)
     text = "".join(rng.choice("ab ") for _ in range(9000))
@@ -212,12 +230,50 @@ def test_sharding(spark, docs, tmp_path):
     store = sharding.ShardStore(spark, root, docs.schema)
     version = store.version()
     store.append(docs)
-    assert store.read(version + 1).count() == 2 * docs.count()
+    assert store.read(version + 1).count() == 2 * docs.count() and store.read(version).count() == docs.count()
     with pytest.raises(sharding.CommitConflict):
         store._commit(version, [])
     assert sharding.ShardStore(spark, str(tmp_path / "none"), docs.schema).read().count() == 0
 
 
+def test_sharding_of_clashing_columns_and_null_ids(spark, tmp_path):
+    rows = [(None, "a", 1, None), (None, "b", None, "x"), (3, None, 2, "y"), (3, None, 2, "y")] + [(None, str(i), i, "z") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, arrival int, _arrival string")
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), docs.schema)
+    store.append_all(docs, 4)
+    assert sorted(map(str, store.read().collect())) == sorted(map(str, docs.collect()))
+    assert len(store.manifest()["runs"]) == 4
+    store.append(docs.limit(0))
+    assert store.read().count() == len(rows)
+
+
+def test_sharding_tiers_sizes_and_retained_versions(spark, tmp_path):
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "sha2(CAST(id AS STRING), 512) AS text")
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), docs.schema, target_bytes=300_000)
+    for i in range(5):
+        store.append(docs.where(f"doc_id % 5 = {i}").coalesce(2))
+    before = store.version()
+    after = store.compact()
+    runs = store.manifest()["runs"]
+    assert after > before and len(runs) < sharding.FAN
+    assert all(r["largest"] <= 2 * 300_000 for r in runs) and sum(r["files"] for r in runs) >= 8
+    assert store.read(before).count() == store.read(after).count() == 40_000  # readers of the version before go on
+    assert store.vacuum() > 0 and store.read().count() == 40_000
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|not exist"):
+        store.read(before).count()
+
+
+def test_sharding_survives_dying_writers(spark, docs, tmp_path):
+    root = tmp_path / "s"
+    store = sharding.ShardStore(spark, str(root), docs.schema)
+    version = store.append(docs)
+    docs.write.parquet(str(root / "runs" / "dead"))  # a job that died before its commit
+    (root / "manifest" / f"v{version + 1:08d}.json").write_text('999\n{"version"')  # and one that died in it
+    assert store.version() == version and store.read().count() == docs.count()
+    assert store.sweep(older_than_s=3600) == 0 and store.sweep(older_than_s=-60) == 1
+    assert store.read().count() == docs.count()
+
+
 @pytest.mark.parametrize("n", [0, 1, 1023, 1024, 5000])
 def test_blocks_round_trip(n):
     rng = np.random.default_rng(n)
@@ -370,7 +426,7 @@ def test_html_differencing(spark):
     rows += [(10, "https://h.example/de/1", "<nav>x</nav><article><h1>A</h1><p>b<br>c</p></article><footer>f</footer>"), (11, None, None), (12, "http://[bad", "<p>lone &lt; text"), (13, "https://h.example/en/1", "")]
     got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for i in range(5):
-        assert got[i].text == f"Title {i}\n\nBody of {i} & more\n\nSecond {i}" or i in (1,), got[i].text
+        assert got[i].text == f"Title {i}\n\nBody of {i} & more\n\nSecond {i}", got[i].text
     assert got[10].text == "A\n\nb c" and got[11].text == "" and got[12].text == "lone < text" and got[13].n_chars == 0
 
 
@@ -393,6 +449,30 @@ def test_common_lines_is_a_longest_common_subsequence():
             for j in range(len(b)):
                 best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
         assert int(html_text.common_lines(a, b).sum()) == best[-1][-1]
+    a = np.arange(50_000, dtype=np.uint64)
+    assert html_text.common_lines(a, np.delete(a, [7, 30_000])).sum() == 49_998
+
+
+def test_html_of_equal_alone_and_long_pages(spark):
+    page = "<div>Slogan</div><p>Body {i}</p><div>Rights</div>"
+    rows = [(1, "https://e.example/1", page), (1, "https://e.example/1", page), (2, "https://e.example/2", page), (3, "https://f.example/1", page), (4, "https://f.example/1", page + "<p>new")]
+    rows += [(5, "https://g.example/1", ""), (6, "https://g.example/2", page.replace("{i}", "6")), (7, "https://g.example/3", page.replace("{i}", "7"))]
+    rows += [(8, "https://l.example/1", "".join(f"<p>line {i}" for i in range(50_000))), (9, "https://l.example/2", "<p>line 9<p>own")]
+    got = sorted((r.page_id, r.text) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect() if r.page_id != 8)
+    whole = "Slogan\n\nBody {i}\n\nRights"
+    assert got == [(1, whole), (1, whole), (2, whole), (3, whole), (4, whole + "\n\nnew"), (5, ""), (6, "Body 6"), (7, "Body 7"), (9, "own")]
+
+
+def test_html_differencing_inside_articles(spark):
+    page = "<article><p>Text {i}</p><p class='related-work'>Work {i}</p><p>Follow us</p><div class='ad'>Buy</div></article>"
+    rows = [(i, f"https://h.example/{i}", page.replace("{i}", str(i))) for i in range(60)] + [(109, "https://two.example/1", page), (110, "https://two.example/2", page.replace("Text", "Two"))]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), inside_articles=True).collect()}
+    assert all(got[i] == f"Text {i}\n\nWork {i}" for i in range(60)), got
+    assert got[109] == "Text {i}\n\nWork {i}\n\nFollow us" and got[110].startswith("Two")
+
+
+def test_html_of_an_empty_table(spark):
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string, text string, shared int")).count() == 0
 
 
 def test_pipeline_runs_through(spark):
