@@ -342,7 +342,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], percent: int, scheme: int, names
         held.append((value & np.uint64((1 << 48) - 1), node[who], star[who], 1 << role))
         many += len(value)
         yield _packed(names, -1 - int(node[0] % len(names)), np.empty(0, np.uint64), node, star, np.clip(slack, -1, 1 << 30).ravel())
-        if many > 1_200_000:
+        if many > 600_000:
             yield from flush()
     yield from flush()
 

@@ -69,13 +69,19 @@ _SCRIPT_OF[0xE1:0xEE] = 5
 _SCRIPT_OF[0xEE:0xF8] = 6
 
 
+@cache
+def _processor(model: str):
+    """One for each Python worker; the tables of words go with the task, so that later stages have their memory."""
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_file=model)
+
+
 class _Pieces:
     """The piece ids of words; distinct words are encoded once until the table is full."""
 
     def __init__(self, model: str, most: int = 400_000):
-        from sentencepiece import SentencePieceProcessor
-
-        self.model, self.most = SentencePieceProcessor(model_file=model), most
+        self.model, self.most = _processor(model), most
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.vocab_size())])
         self._clear()
 
@@ -101,12 +107,6 @@ class _Pieces:
         return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-@cache
-def _pieces(model: str) -> _Pieces:
-    """One for each Python worker, with the words that its earlier tasks met."""
-    return _Pieces(model)
-
-
 def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sums of values up to each end, from the end before."""
     return np.diff(np.concatenate([[0], np.cumsum(values)])[ends], prepend=0)
@@ -138,7 +138,7 @@ def measures(docs: DataFrame, model: str, keep: list[str]) -> DataFrame:
     """The columns of keep with MEASURES of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pieces(model)
+        pieces = _Pieces(model)
         for b in text_slices(batches, column=0):
             raw, offsets = raw_text(b.column(0))
             texts = as_bytes(b.column(0))
