@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once inside a task, in bytes; a longer single text is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: Texts handed to a Python worker at once, in bytes.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _MADE: list[str] = []
 

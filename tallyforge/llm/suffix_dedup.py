@@ -42,7 +42,7 @@ GRAM = 32
 #: Sub-ranges of a phrase's windows by their distance to the trigger; each has a core of LENGTH - STEP + 1 bytes.
 STEP = 23
 #: A text is parsed in blocks of so many bytes.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Phrases of one trigger that a task sends to the parse (2 at least, so that the parse sees that there are several); others of it go to the suffixes directly.
 MANY = 16
 #: Dictionary phrases of one trigger beyond which suffixes meet by their hashes.
@@ -149,7 +149,7 @@ def _parse(batches: Iterator[pa.RecordBatch], names: list[int]) -> Iterator[pa.R
         spot = (tp[text] << 32) + before[text] + first - offsets[text]
         held.append((mix(gram) & bits, phrase & bits, doc[text], spot, (last - first + 1), (trigger - first)))
         many += len(first)
-        if many > 600_000:
+        if many > 300_000:
             yield from flush()
     yield from flush()
 
@@ -293,7 +293,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], names: list[int]) -> Iterator[p
                     if mine < had:
                         held[name], mine = mine, had
                     gone.append((*mine, hi - lo + 1))
-            if full > 24 << 20 or len(gone) > 400_000:
+            if full > 12 << 20 or len(gone) > 200_000:
                 yield from flush()
     yield from flush()
 

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import ragged, scratch, shuffle_partitions, sized_broadcast, text_slices
 from tallyforge.llm.tokens import word_tokenizer
 
+#: Text of one file, in bytes.
+FILE_BYTES = 2 << 20
 BLOCK = 1024
 PERCENTILE = 95
 _MAGIC = b"TFB1"
@@ -129,7 +131,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1) -> None:
         from pyspark import TaskContext
 
         part, tokenizer = TaskContext.get().partitionId(), word_tokenizer(vocabulary)
-        for seq, b in enumerate(text_slices(batches)):
+        for seq, b in enumerate(text_slices(batches, FILE_BYTES)):
             flat, counts = tokenizer.encode(b.column(1).to_pylist())
             ends = np.cumsum(counts)
             ids = np.insert(flat, ends, np.uint32(end_id))
