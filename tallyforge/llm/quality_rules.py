@@ -80,7 +80,7 @@ def _processor(model: str):
 class _Pieces:
     """The piece ids of words; distinct words are encoded once until the table is full."""
 
-    def __init__(self, model: str, most: int = 400_000):
+    def __init__(self, model: str, most: int = 200_000):
         self.model, self.most = _processor(model), most
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.vocab_size())])
         self._clear()
