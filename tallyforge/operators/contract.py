@@ -84,5 +84,9 @@ def uncovered(rules: DataFrame, column: str, values: tuple[str, ...]) -> DataFra
 
 def version_as_of(events: DataFrame, rules: DataFrame, at: str) -> DataFrame:
     """For each event the latest effective_from of the rules that is not after it (null if none)."""
-    versions = rules.select("effective_from").distinct()
-    return events.join(_small(versions), F.col("effective_from") <= F.col(at), "left").groupBy(*events.columns).agg(F.max("effective_from").alias("version_from"))
+    versions = rules.select("effective_from").where("effective_from IS NOT NULL").distinct()
+    known = [r[0] for r in versions.limit(MOST_RULES + 1).collect()]
+    if len(known) <= MOST_RULES:  # so few that each event finds its own among them, without a join
+        every = F.array(*map(F.lit, known)) if known else F.array().cast("array<date>")
+        return events.withColumn("version_from", F.array_max(F.filter(every, lambda v: v <= F.col(at))))
+    return events.join(versions, F.col("effective_from") <= F.col(at), "left").groupBy(*events.columns).agg(F.max("effective_from").alias("version_from"))

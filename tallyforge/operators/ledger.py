@@ -61,3 +61,11 @@ def fee_chain(payments: DataFrame, fee_lines: DataFrame, tax_lines: DataFrame) -
 def unclaimed(ledger: DataFrame, claims: DataFrame) -> DataFrame:
     """Contributing records that no proof claims."""
     return ledger.join(claims.select("type", "id").distinct(), ["type", "id"], "left_anti")
+
+
+def unsettled(ledger: DataFrame, matched: DataFrame) -> DataFrame:
+    """Contributing records of no settlement that a credit has by key: orphans, and those whose settlement no credit has.
+
+    A proof by key claims whole settlements, so settlement ids are enough; the ledger is made once.
+    """
+    return ledger.join(matched.where("settlement_id IS NOT NULL").select("settlement_id").distinct(), "settlement_id", "left_anti")

@@ -27,15 +27,15 @@ def cells(reported_fees: DataFrame, reported_taxes: DataFrame, priced: DataFrame
 
 
 def findings(cell_rows: DataFrame, payments: DataFrame) -> DataFrame:
-    """One finding for each fee or tax difference of a payment's fee type, numbered within its settlement."""
+    """One finding for each fee or tax difference of a payment's fee type, numbered within its settlement; impact is the size of the difference, delta has its sign."""
     own = payments.select(F.col("id").alias("payment_id"), "settlement_id", F.col("amount_paise").alias("gross_paise"))
     kinds = F.array(
-        F.struct(F.lit(0).alias("rank"), F.when(F.col("fee_delta") < 0, "fee_undercharge").when(F.col("fee_delta") > 0, "fee_overcharge").alias("class"), F.col("fee_delta").alias("impact_paise")),
-        F.struct(F.lit(1).alias("rank"), F.when(F.col("tax_delta") != 0, "tax_miscalculation").alias("class"), F.col("tax_delta").alias("impact_paise")),
+        F.struct(F.lit(0).alias("rank"), F.when(F.col("fee_delta") < 0, "fee_undercharge").when(F.col("fee_delta") > 0, "fee_overcharge").alias("class"), F.col("fee_delta").alias("delta_paise")),
+        F.struct(F.lit(1).alias("rank"), F.when(F.col("tax_delta") != 0, "tax_miscalculation").alias("class"), F.col("tax_delta").alias("delta_paise")),
     )
     rows = cell_rows.where("fee_delta <> 0 OR tax_delta <> 0").join(own, "payment_id").where("settlement_id IS NOT NULL").withColumn("f", F.explode(F.filter(kinds, lambda k: k["class"].isNotNull())))
     seq = F.row_number().over(Window.partitionBy("settlement_id").orderBy("f.rank", "payment_id", "fee_type"))
-    return rows.select(F.concat(F.lit("FND-"), "settlement_id", F.lit("-"), F.when(seq < 1000, F.lpad(seq.cast("string"), 3, "0")).otherwise(seq.cast("string"))).alias("id"), "settlement_id", "payment_id", "fee_type", "f.class", "f.impact_paise", "gross_paise")
+    return rows.select(F.concat(F.lit("FND-"), "settlement_id", F.lit("-"), F.when(seq < 1000, F.lpad(seq.cast("string"), 3, "0")).otherwise(seq.cast("string"))).alias("id"), "settlement_id", "payment_id", "fee_type", "f.class", F.abs("f.delta_paise").alias("impact_paise"), "f.delta_paise", "gross_paise")
 
 
 def reversal_findings(chargebacks: DataFrame, credits: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ TABLES = {
  UNION ALL SELECT 'adjustment', id, stl, amount_paise, day FROM adjustments
  UNION ALL SELECT 'fee_line', f.id, p.stl, -f.amount_paise, p.day FROM fee_lines f JOIN payments p ON f.applies_to_id = p.id
  UNION ALL SELECT 'tax_line', t.id, p.stl, -t.amount_paise, p.day FROM tax_lines t JOIN payments p ON t.payment_id = p.id""",
-    "batches": """SELECT settlement_id AS id, CAST(row_number() OVER (ORDER BY settlement_id) AS BIGINT) AS b, concat('UTR', substr(settlement_id, 5, 2), substr(settlement_id, 8, 6), '000000000') AS utr, concat('M-', substr(settlement_id, 5, 2)) AS merchant_id,
+    "batches": """SELECT settlement_id AS id, CAST(substr(settlement_id, 5, 2) AS BIGINT) + 25 * (12 * CAST(substr(settlement_id, 8, 4) AS BIGINT) + CAST(substr(settlement_id, 12, 2) AS BIGINT)) AS b, concat('UTR', substr(settlement_id, 5, 2), substr(settlement_id, 8, 6), '000000000') AS utr, concat('M-', substr(settlement_id, 5, 2)) AS merchant_id,
  last_day(max(day)) AS cycle_end, CAST(sum(signed_paise) AS BIGINT) AS net_paise FROM ledger WHERE settlement_id IS NOT NULL GROUP BY settlement_id""",
     "first_refunds": """SELECT stl, min(id) AS id FROM refunds GROUP BY stl""",
     "bank_credits": """SELECT concat('BC-', lpad(CAST(b AS STRING), 6, '0'), '-', CAST(half AS STRING)) AS id, merchant_id, CASE WHEN b % 17 = 4 THEN substr(utr, 1, 12) ELSE utr END AS utr,

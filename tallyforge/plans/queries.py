@@ -178,12 +178,12 @@ def search_resolve(d: Derived) -> DataFrame:
     return decompose.searched(rest, _units(d))
 
 
-@_query("SELECT count(*) AS n_wrong FROM bank_credits WHERE false")
+@_query()
 def search_sums(d: Derived) -> DataFrame:
-    """Resolved searches whose units and residual don't come to the credit: none."""
+    """Each credit that the search resolves, with what its units come to and the residual; the two make the credit."""
     got = search_resolve(d.spark, d.sf_dir).where("outcome = 'resolved'").select("credit_id", "residual_paise", F.explode("unit_ids").alias("id")).join(d.batches.select("id", "net_paise"), "id")
-    sums = got.groupBy("credit_id", "residual_paise").agg(F.sum("net_paise").alias("s")).join(d.bank_credits.select(F.col("id").alias("credit_id"), "amount_paise"), "credit_id")
-    return sums.where("s + residual_paise <> amount_paise").agg(F.count("*").alias("n_wrong"))
+    sums = got.groupBy("credit_id", "residual_paise").agg(F.sum("net_paise").alias("terms_paise"), F.count("*").alias("n_terms"))
+    return sums.join(d.bank_credits.select(F.col("id").alias("credit_id"), "amount_paise"), "credit_id").select("credit_id", "amount_paise", "terms_paise", "n_terms", "residual_paise")
 
 
 @_query("WITH " + _MATCHED + """ SELECT m.id AS credit_id, m.settlement_id, count(*) AS n_terms, sha256(concat_ws('|', m.id, m.settlement_id, string_agg(concat_ws(':', l.type, l.id, CAST(l.signed_paise AS STRING)), ',' ORDER BY l.type, l.id))) AS proof_hash
@@ -212,9 +212,7 @@ def conservation_balances(d: Derived) -> DataFrame:
 
 @_query("WITH " + _MATCHED + " SELECT l.type, l.id, l.signed_paise FROM ledger l WHERE l.settlement_id IS NULL OR l.settlement_id NOT IN (SELECT settlement_id FROM m WHERE settlement_id IS NOT NULL)")
 def unclaimed_records(d: Derived) -> DataFrame:
-    rows = _ledger(d)
-    claims = rows.join(_matched(d).select("settlement_id").where("settlement_id IS NOT NULL"), "settlement_id")
-    return ledger.unclaimed(rows, claims).select("type", "id", "signed_paise")
+    return ledger.unsettled(_ledger(d), _matched(d)).select("type", "id", "signed_paise")
 
 
 @_query("WITH " + _MATCHED + " SELECT l.type, CAST(sum(l.signed_paise) AS BIGINT) AS unclaimed_paise, count(*) AS n FROM ledger l WHERE l.settlement_id IS NULL OR l.settlement_id NOT IN (SELECT settlement_id FROM m WHERE settlement_id IS NOT NULL) GROUP BY ROLLUP (l.type)")
@@ -242,8 +240,8 @@ def _findings(d: Derived) -> DataFrame:
 
 
 _FINDINGS = _CELLS + """, y AS (SELECT x.*, p.stl AS settlement_id, p.amount_paise AS gross_paise FROM x JOIN tagged p ON p.id = x.payment_id WHERE p.defect <> 'orphan'),
- z AS (SELECT settlement_id, payment_id, fee_type, 0 AS rnk, CASE WHEN fee_delta < 0 THEN 'fee_undercharge' ELSE 'fee_overcharge' END AS class, fee_delta AS impact_paise, gross_paise FROM y WHERE fee_delta <> 0 UNION ALL SELECT settlement_id, payment_id, fee_type, 1, 'tax_miscalculation', tax_delta, gross_paise FROM y WHERE tax_delta <> 0),
- f AS (SELECT concat('FND-', settlement_id, '-', lpad(CAST(row_number() OVER (PARTITION BY settlement_id ORDER BY rnk, payment_id, fee_type) AS STRING), 3, '0')) AS id, settlement_id, payment_id, fee_type, class, impact_paise, gross_paise FROM z)"""
+ z AS (SELECT settlement_id, payment_id, fee_type, 0 AS rnk, CASE WHEN fee_delta < 0 THEN 'fee_undercharge' ELSE 'fee_overcharge' END AS class, abs(fee_delta) AS impact_paise, fee_delta AS delta_paise, gross_paise FROM y WHERE fee_delta <> 0 UNION ALL SELECT settlement_id, payment_id, fee_type, 1, 'tax_miscalculation', abs(tax_delta), tax_delta, gross_paise FROM y WHERE tax_delta <> 0),
+ f AS (SELECT concat('FND-', settlement_id, '-', lpad(CAST(row_number() OVER (PARTITION BY settlement_id ORDER BY rnk, payment_id, fee_type) AS STRING), 3, '0')) AS id, settlement_id, payment_id, fee_type, class, impact_paise, delta_paise, gross_paise FROM z)"""
 
 
 @_query("WITH " + _FINDINGS + " SELECT * FROM f")
