@@ -21,12 +21,22 @@ def mcc_matches(pattern: Column, mcc: Column) -> Column:
     return pattern.isNull() | F.when(F.endswith(pattern, F.lit("*")), prefix).otherwise(mcc == pattern)
 
 
+def mcc_meet(a: Column, b: Column) -> Column:
+    """Whether some code matches both patterns."""
+    stem = lambda p: F.rtrim(p, F.lit("*"))
+    reaches = lambda p, q: F.endswith(p, F.lit("*")) & F.startswith(stem(q), stem(p))
+    return a.isNull() | b.isNull() | (a == b) | reaches(a, b) | reaches(b, a)
+
+
 def _small(rules: DataFrame) -> DataFrame:
     return F.broadcast(rules) if rules.limit(MOST_RULES + 1).count() <= MOST_RULES else rules
 
 
 def match(payments: DataFrame, rules: DataFrame) -> DataFrame:
-    """payments joined with every rule that applies. The method is an equi key (a rule for any method is expanded), the rest filters."""
+    """payments joined with every rule that applies. The method is an equi key (a rule for any method is expanded), the rest filters.
+
+    rules may have columns network and mcc_pattern; then payments have network and mcc.
+    """
     methods = F.when(F.col("method").isNull(), F.array(*map(F.lit, METHODS))).otherwise(F.array("method"))
     r = rules.withColumn("method", F.explode(methods)).select(*(F.col(c).alias(f"r_{c}") for c in rules.columns))
     on = (
@@ -36,6 +46,10 @@ def match(payments: DataFrame, rules: DataFrame) -> DataFrame:
         & (F.col("amount_paise") >= F.col("r_amount_min")) & (F.col("r_amount_max").isNull() | (F.col("amount_paise") < F.col("r_amount_max")))
         & (F.col("day") >= F.col("r_effective_from")) & (F.col("r_effective_to").isNull() | (F.col("day") < F.col("r_effective_to")))
     )
+    if "network" in rules.columns:
+        on &= F.col("r_network").isNull() | (F.col("r_network") == F.col("network"))
+    if "mcc_pattern" in rules.columns:
+        on &= mcc_matches(F.col("r_mcc_pattern"), F.col("mcc"))
     return payments.join(_small(r), on)
 
 
@@ -53,6 +67,35 @@ def price(payments: DataFrame, rules: DataFrame) -> DataFrame:
     return parts.select(*payments.columns, F.col("r_rule_id").alias("rule_id"), F.col("r_cap").alias("cap"), "c.part", "c.fee_type", "c.fee_paise", "c.uncapped").withColumn("tax_paise", apply_bps(F.col("fee_paise"), F.lit(GST_BPS)))
 
 
+def taxes(payments: DataFrame, rules: DataFrame, treatments: DataFrame) -> DataFrame:
+    """Taxes by treatments(rule_id, tax_type, rate_bps, base): id, rule_id, tax_type, on_fee_type, base_paise, tax_paise.
+
+    A tax on fee_amount is charged for each component of its rule, one on transaction_gross once for
+    each rule that applies, whatever components that gives; its on_fee_type is null.
+    """
+    t = _small(treatments)
+    fee = price(payments, rules).select("id", "rule_id", F.col("fee_type").alias("on_fee_type"), F.col("fee_paise").alias("base_paise")).join(t.where("base = 'fee_amount'"), "rule_id")
+    gross = match(payments, rules).select("id", F.col("r_rule_id").alias("rule_id"), F.lit(None).cast("string").alias("on_fee_type"), F.col("amount_paise").alias("base_paise")).join(t.where("base = 'transaction_gross'"), "rule_id")
+    return fee.unionByName(gross).select("id", "rule_id", "tax_type", "on_fee_type", "base_paise", apply_bps(F.col("base_paise"), F.col("rate_bps")).alias("tax_paise"))
+
+
+def supersession_faults(rules: DataFrame) -> DataFrame:
+    """Rules whose hand-over from the rule they supersede is not right, with the first fault: rule_id, supersedes, fault."""
+    scope = [c for c in ("method", "network", "card_type", "is_international", "mcc_pattern", "amount_min", "amount_max") if c in rules.columns]
+    before = rules.select(F.col("rule_id").alias("supersedes"), *(F.col(c).alias(f"b_{c}") for c in (*scope, "fee_type", "effective_to")), F.lit(True).alias("known"))
+    equal = F.lit(True)
+    for c in scope:
+        equal &= F.col(c).eqNullSafe(F.col(f"b_{c}"))
+    fault = (
+        F.when(F.col("known").isNull(), "unknown_rule")
+        .when(~F.col("b_effective_to").eqNullSafe(F.col("effective_from")), "not_contiguous")
+        .when(~equal, "scope_changed")
+        .when(F.col("b_fee_type") != F.col("fee_type"), "fee_type_changed")
+    )
+    rows = rules.where("supersedes IS NOT NULL").join(before, "supersedes", "left")
+    return rows.select("rule_id", "supersedes", fault.alias("fault")).where("fault IS NOT NULL")
+
+
 def gaps(payments: DataFrame, rules: DataFrame) -> DataFrame:
     """Payments that no rule applies to."""
     return payments.join(match(payments, rules).select("id").distinct(), "id", "left_anti")
@@ -65,6 +108,10 @@ def overlaps(rules: DataFrame) -> DataFrame:
     meets = lambda lo, hi, top: F.greatest(f"a_{lo}", f"b_{lo}") < F.least(F.coalesce(f"a_{hi}", top), F.coalesce(f"b_{hi}", top))
     on = (F.col("a_rule_id") < F.col("b_rule_id")) & (F.col("a_fee_type") == F.col("b_fee_type")) & same("method") & same("card_type") & same("is_international")
     on &= meets("amount_min", "amount_max", F.lit((1 << 62))) & meets("effective_from", "effective_to", F.lit("9999-12-31").cast("date"))
+    if "network" in rules.columns:
+        on &= same("network")
+    if "mcc_pattern" in rules.columns:
+        on &= mcc_meet(F.col("a_mcc_pattern"), F.col("b_mcc_pattern"))
     return a.join(b, on).select(F.col("a_rule_id").alias("rule_a"), F.col("b_rule_id").alias("rule_b"))
 
 

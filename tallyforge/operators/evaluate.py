@@ -6,6 +6,7 @@ from math import comb
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def outcomes(finding_rows: DataFrame, truth: DataFrame) -> DataFrame:
@@ -25,6 +26,72 @@ def confusion(finding_rows: DataFrame, truth: DataFrame) -> DataFrame:
     return outcomes(finding_rows, truth).groupBy(F.coalesce("true_class", F.lit("none")).alias("true_class"), "class").agg(F.count("*").alias("n"))
 
 
+def full_confusion(finding_rows: DataFrame, truth: DataFrame, *by: str) -> DataFrame:
+    """true_class by class with both sentinels: no_discrepancy (a finding on nothing) and not_detected (planted, nothing found).
+
+    by: columns of both sides that tell runs apart. Pool runs with pooled().
+    """
+    found = outcomes(finding_rows.drop(*by), truth.drop(*by)) if by else outcomes(finding_rows, truth)
+    if by:
+        found = found.join(finding_rows.select("id", *by), "id")
+    touched = finding_rows.select("payment_id").distinct()
+    missed = truth.join(touched, "payment_id", "left_anti").select(*by, F.col("class").alias("true_class"), F.lit("not_detected").alias("class"))
+    rows = found.select(*by, F.coalesce("true_class", F.lit("no_discrepancy")).alias("true_class"), "class").unionByName(missed)
+    return rows.groupBy(*by, "true_class", "class").agg(F.count("*").alias("n"))
+
+
+def pooled(confusions: DataFrame) -> DataFrame:
+    """Runs put together by adding counts, never by averaging rates."""
+    return confusions.groupBy("true_class", "class").agg(F.sum("n").alias("n"))
+
+
+def class_rows(confusion_rows: DataFrame) -> DataFrame:
+    """Per class support, tp, fp, fn, precision, recall and F1 (0 without a denominator); the sentinels are no classes."""
+    same = F.col("true_class") == F.col("class")
+    sides = confusion_rows.select(F.explode(F.array(F.struct(F.col("true_class").alias("name"), F.lit(True).alias("planted")), F.struct(F.col("class").alias("name"), F.lit(False).alias("planted")))).alias("s"), same.alias("same"), "n")
+    add = lambda on: F.sum(F.when(on, F.col("n")).otherwise(0))
+    sums = sides.where("s.name NOT IN ('no_discrepancy', 'not_detected')").groupBy(F.col("s.name").alias("class")).agg(
+        add(F.col("same") & F.col("s.planted")).alias("tp"), add(~F.col("same") & ~F.col("s.planted")).alias("fp"), add(~F.col("same") & F.col("s.planted")).alias("fn")
+    )
+    return _rates(sums.withColumn("support", F.col("tp") + F.col("fn")))
+
+
+def _rates(rows: DataFrame) -> DataFrame:
+    part = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    rows = rows.withColumn("precision", part(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", part(F.col("tp"), F.col("tp") + F.col("fn")))
+    return rows.withColumn("f1", part(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+def averages(rows: DataFrame) -> DataFrame:
+    """One row for each of macro (mean over classes planted or predicted) and micro (over all counts): precision, recall, f1."""
+    rates = ("precision", "recall", "f1")
+    macro = rows.where("support > 0 OR tp > 0 OR fp > 0").agg(*(F.coalesce(F.avg(r), F.lit(0.0)).alias(r) for r in rates)).withColumn("average", F.lit("macro"))
+    micro = _rates(rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")))).select(*rates, F.lit("micro").alias("average"))
+    return macro.unionByName(micro)
+
+
+def recall_by_record(finding_rows: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: planted items, those that any finding touches, their share in bps."""
+    hit = truth.join(finding_rows.select("payment_id").distinct().withColumn("hit", F.lit(1)), "payment_id", "left")
+    counts = hit.agg(F.count("*").alias("planted"), F.count("hit").alias("touched"))
+    product = 10_000 * F.col("touched")
+    return counts.withColumn("recall_bps", F.when(F.col("planted") > 0, ((product - product % F.col("planted")) / F.col("planted")).cast("long")).otherwise(0).cast("long"))
+
+
+def undetected(finding_rows: DataFrame, truth: DataFrame) -> DataFrame:
+    """Codes of which nothing was found right, the most planted money first. truth has amount_paise."""
+    money = truth.groupBy("code").agg(F.sum("amount_paise").alias("planted_paise"))
+    return by_code(finding_rows, truth.drop("amount_paise")).where("detected = 0").join(money, "code").select("code", "planted", "planted_paise").orderBy(F.desc("planted_paise"), "code")
+
+
+def escalate_threshold(points: DataFrame) -> DataFrame:
+    """One row: the highest confidence up to which no more than half are right (0 if none). The window runs over counts by value, 10,001 rows at most."""
+    counts = points.groupBy("confidence_bps").agg(F.count("*").alias("n"), F.sum("correct").alias("right"))
+    upto = Window.orderBy("confidence_bps")
+    rows = counts.select("confidence_bps", F.sum("n").over(upto).alias("n"), F.sum("right").over(upto).alias("right"))
+    return rows.agg(F.coalesce(F.max(F.when(2 * F.col("right") <= F.col("n"), F.col("confidence_bps"))), F.lit(0)).cast("long").alias("escalate_max_bps"))
+
+
 def class_scores(finding_rows: DataFrame, truth: DataFrame) -> DataFrame:
     """Per class true and false positives, missed items; precision and recall in bps, floored (0 without a denominator)."""
     o = outcomes(finding_rows, truth)
@@ -74,11 +141,11 @@ def _tail(errors: int, n: int, p: float) -> float:
 
 
 def auto_threshold(points: DataFrame, target_bps: int = 50) -> int | None:
-    """The lowest confidence from which every source's error bound is on target (None: unreachable)."""
+    """The lowest confidence from which every source's error bound is on target (None: unreachable); a source without points there risks nothing."""
     rows = points.groupBy("source", "confidence_bps").agg(F.count("*").alias("n"), F.sum("correct").alias("right")).collect()
     sources = {r["source"] for r in rows}
     for t in sorted({r["confidence_bps"] for r in rows}):
         at = {s: [(r["n"], r["right"]) for r in rows if r["source"] == s and r["confidence_bps"] >= t] for s in sources}
-        if all(v and clopper_pearson_upper_bps(sum(n - k for n, k in v), sum(n for n, _ in v)) <= target_bps for v in at.values()):
+        if all(not v or clopper_pearson_upper_bps(sum(n - k for n, k in v), sum(n for n, _ in v)) <= target_bps for v in at.values()):
             return t
     return None

@@ -52,6 +52,57 @@ def refund_findings(conserved: DataFrame, refunds: DataFrame) -> DataFrame:
     return hit.withColumn("n", F.count("*").over(Window.partitionBy("credit_id"))).where("n = 1").select("credit_id", "refund_id", "refund_paise")
 
 
+def run_findings(run_id: str, cell_rows: DataFrame, payments: DataFrame, proven: DataFrame, conserved: DataFrame, chargebacks: DataFrame, adjustments: DataFrame, refunds: DataFrame) -> DataFrame:
+    """Every finding of the resolved credits, proven(credit_id, settlement_id), numbered within its credit.
+
+    Order: each payment's fees and then its taxes by fee type, won chargebacks without a reversal, the
+    refund that a shortfall equals. Reversals are used up in the order of credits and chargebacks.
+    id, credit_id, class, ref_id (payment, chargeback or refund), fee_type, impact_paise, gross_paise.
+    """
+    credit = proven.select("credit_id", "settlement_id")
+    none = F.lit(None)
+    own = payments.where("settlement_id IS NOT NULL").select(F.col("id").alias("payment_id"), "settlement_id", F.col("amount_paise").alias("gross_paise"))
+    sides = F.array(
+        F.struct(F.lit(0).alias("side"), F.when(F.col("fee_delta") < 0, "fee_undercharge").when(F.col("fee_delta") > 0, "fee_overcharge").alias("class"), F.abs("fee_delta").alias("impact")),
+        F.struct(F.lit(1).alias("side"), F.when(F.col("tax_delta") != 0, "tax_miscalculation").alias("class"), F.abs("tax_delta").alias("impact")),
+    )
+    off = cell_rows.where("fee_delta <> 0 OR tax_delta <> 0").join(own, "payment_id").join(credit, "settlement_id").withColumn("s", F.explode(F.filter(sides, lambda s: s["class"].isNotNull())))
+    rows = off.select("credit_id", F.lit(0).alias("kind"), F.col("payment_id").alias("ref_id"), "s.side", "s.class", "fee_type", F.col("s.impact").alias("impact_paise"), "gross_paise")
+
+    pool = adjustments.where("kind = 'manual_credit'").groupBy("amount_paise").agg(F.count("*").alias("n_credits"))
+    nth = F.row_number().over(Window.partitionBy("amount_paise").orderBy("credit_id", "id"))
+    won = chargebacks.where("stage = 'won'").join(credit, "settlement_id").withColumn("nth", nth).join(pool, "amount_paise", "left").where(F.col("nth") > F.coalesce("n_credits", F.lit(0)))
+    short = refund_findings(conserved, refunds).select("credit_id", F.col("refund_id").alias("id"), F.col("refund_paise").alias("amount_paise"))
+    for df, kind, name in ((won, 1, "chargeback_amount_mismatch"), (short, 2, "refund_amount_mismatch")):
+        rows = rows.unionByName(df.select("credit_id", F.lit(kind).alias("kind"), F.col("id").alias("ref_id"), F.lit(0).alias("side"), F.lit(name).alias("class"), none.cast("string").alias("fee_type"), F.col("amount_paise").alias("impact_paise"), none.cast("long").alias("gross_paise")))
+    n = F.row_number().over(Window.partitionBy("credit_id").orderBy("kind", "ref_id", "side", "fee_type"))
+    number = F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))
+    return rows.withColumn("id", F.concat(F.lit(f"FND-{run_id}-"), "credit_id", F.lit("-"), number)).select("id", "credit_id", "class", "ref_id", "fee_type", "impact_paise", "gross_paise")
+
+
+def cluster_members(run_id: str, finding_rows: DataFrame, fee_lines: DataFrame) -> DataFrame:
+    """run_findings() with rule_id, bucket_bps and cluster_id: one row for each finding, so no list grows with a cluster.
+
+    The rule is that of the first fee line (by id) of the payment and fee type; other findings have none.
+    """
+    rule = fee_lines.groupBy(F.col("applies_to_id").alias("ref_id"), "fee_type").agg(F.min_by("rule_id", "id").alias("rule_id"))
+    rows = finding_rows.join(rule, ["ref_id", "fee_type"], "left").withColumn("bucket_bps", delta_bucket(F.col("impact_paise"), F.col("gross_paise")))
+    name = F.concat_ws("-", F.lit(f"CLU-{run_id}"), "class", F.coalesce("rule_id", F.lit("none")), F.coalesce(F.col("bucket_bps").cast("string"), F.lit("none")))
+    return rows.withColumn("cluster_id", name)
+
+
+def coverage_bps(explained: Column, residual: Column) -> Column:
+    """What part of a residual cited records explain: 0 without a residual or with the wrong sign, 10,000 at most."""
+    size = F.abs(residual)
+    product = 10_000 * F.least(F.abs(explained), size)
+    agrees = (residual != 0) & (explained != 0) & ((explained > 0) == (residual > 0))
+    return F.when(agrees, ((product - product % size) / size).cast("long")).otherwise(0).cast("long")
+
+
+def strength(bps: Column) -> Column:
+    return F.when(bps >= 8000, "strong").when(bps >= 4000, "moderate").otherwise("weak")
+
+
 def delta_bucket(impact: Column, gross: Column) -> Column:
     """The difference in basis points of the gross amount, to the nearest 50; null without a gross amount."""
     product = F.abs(impact) * 10_000
@@ -59,6 +110,51 @@ def delta_bucket(impact: Column, gross: Column) -> Column:
     return F.when(gross != 0, ((raw - raw % 50) / 50).cast("long") * 50)
 
 
+def proof_failures(proofs: DataFrame, terms: DataFrame, credits: DataFrame, ledger: DataFrame, batches: DataFrame) -> DataFrame:
+    """What is wrong with proofs, told from the ledger alone: credit_id, failure; nothing for a sound proof.
+
+    proofs: credit_id, tier, outcome, reason, settlement_id, credit_paise, sum_paise, residual_paise;
+    terms: credit_id, pos, type, id, signed_paise. A term that comes twice counts once in the sum. Each
+    check is a join or an aggregate on (type, id) or credit_id; no proof is held whole in one task.
+    """
+    own = credits.select(F.col("id").alias("credit_id"), F.col("amount_paise").alias("is_paise"), "utr")
+    p = proofs.join(own, "credit_id", "left")
+    by_place = Window.partitionBy("credit_id").orderBy("pos")
+    key = F.struct("type", "id")
+    t = terms.withColumn("before", F.lag(key).over(by_place)).withColumn("out_of_order", F.col("before") > key)
+    once = t.groupBy("credit_id", "type", "id").agg(F.count("*").alias("n"), F.min_by("signed_paise", "pos").alias("says_paise"), F.max("out_of_order").alias("out_of_order"))
+    real = ledger.select("type", "id", F.col("signed_paise").alias("is_paise"), F.col("settlement_id").alias("of"))
+    met = once.join(real, ["type", "id"], "left")
+    owner = batches.where("trim(utr) <> ''").groupBy("utr").agg(F.count("*").alias("n_batches"), F.min("id").alias("of_batch"))
+    p = p.join(owner, "utr", "left")
+    size = real.where("of IS NOT NULL").groupBy(F.col("of").alias("of_batch")).agg(F.count("*").alias("n_members"))
+    sums = met.join(p.select("credit_id", "of_batch"), "credit_id", "left").groupBy("credit_id").agg(
+        F.sum("is_paise").alias("recomputed"), F.count("*").alias("n_terms"), F.count(F.when(F.col("of") == F.col("of_batch"), 1)).alias("n_own"),
+        F.max((F.col("n") > 1).cast("int")).alias("repeated"), F.max(F.col("is_paise").isNull().cast("int")).alias("unknown"),
+        F.max((F.col("is_paise") != F.col("says_paise")).cast("int")).alias("differs"), F.max(F.col("out_of_order").cast("int")).alias("disordered"),
+    )
+    all_ = p.join(sums, "credit_id", "left").join(size, "of_batch", "left").na.fill(0, ["recomputed", "n_terms", "n_own", "repeated", "unknown", "differs", "disordered", "n_members"])
+    resolved = F.col("outcome") == "resolved"
+    by_key = resolved & (F.col("tier") == "structural")
+    checks = {
+        "credit_unknown": F.col("is_paise").isNull(),
+        "credit_differs": F.col("is_paise") != F.col("credit_paise"),
+        "term_repeated": F.col("repeated") == 1,
+        "term_unknown": F.col("unknown") == 1,
+        "term_differs": F.col("differs") == 1,
+        "terms_disordered": F.col("disordered") == 1,
+        "sum_differs": F.col("recomputed") != F.col("sum_paise"),
+        "residual_differs": F.col("sum_paise") + F.col("residual_paise") != F.col("credit_paise"),
+        "answer_without_resolution": ~resolved & (F.col("n_terms") > 0),
+        "reason_lacks": ~resolved & F.col("reason").isNull(),
+        "reason_of_resolved": resolved & F.col("reason").isNotNull(),
+        "no_single_batch": by_key & (F.coalesce("n_batches", F.lit(0)) != 1),
+        "not_the_batch": by_key & (F.col("n_batches") == 1) & ((F.col("n_own") != F.col("n_terms")) | (F.col("n_own") != F.col("n_members"))),
+    }
+    found = F.filter(F.array(*(F.when(c, n) for n, c in checks.items())), lambda x: x.isNotNull())
+    return all_.select("credit_id", F.explode(found).alias("failure"))
+
+
 def clusters(finding_rows: DataFrame, rule_of: DataFrame) -> DataFrame:
     """Findings by class, rule and size of the difference, the largest sums first. rule_of: payment_id, fee_type, rule_id."""
     rows = finding_rows.join(rule_of, ["payment_id", "fee_type"], "left").withColumn("bucket_bps", delta_bucket(F.col("impact_paise"), F.col("gross_paise")))
