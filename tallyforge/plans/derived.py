@@ -102,7 +102,7 @@ def with_tables(sql: str) -> str:
 
 
 #: Tables that many others are made from; kept in memory and on disk once made.
-KEPT = ("priced", "fee_lines", "batches", "bank_credits")
+KEPT = ("tagged", "priced", "fee_lines", "batches", "bank_credits")
 
 
 class Derived:

@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import money
-from tallyforge.operators import contract, decompose, evaluate, ledger, search
+from tallyforge.operators import contract, decompose, evaluate, ingest, ledger, search, verify
 from tallyforge.plans import queries as audit
+from tallyforge.plans import run_queries  # noqa: F401  registers its queries with the others
 from tallyforge.plans.derived import RULES
 from tallyforge.sources import run_dir
 
@@ -179,3 +180,58 @@ def test_entry_has_rows(spark):
     import __spark_entry__
 
     assert os.path.isdir(SF) and __spark_entry__.entry(spark).count() > 0
+
+
+def test_gross_tax_once_for_each_rule(spark):
+    p = spark.createDataFrame([("P", "netbanking", None, False, 200000, "1997-01-01")], "id string, method string, card_type string, is_international boolean, amount_paise long, d string").withColumn("day", F.to_date("d"))
+    treatments = spark.createDataFrame([("netbanking", "gst", 1800, "fee_amount"), ("netbanking", "tds", 100, "transaction_gross")], "rule_id string, tax_type string, rate_bps int, base string")
+    got = sorted((r.tax_type, r.on_fee_type, r.tax_paise) for r in contract.taxes(p, spark.sql(RULES), treatments).collect())
+    assert got == [("gst", "fixed", 180), ("gst", "mdr", 630), ("tds", None, 2000)]
+
+
+@pytest.mark.parametrize(("a", "b", "want"), [("57*", "5712", True), ("57*", "5*", True), ("57*", "5211", False), ("5211", "5211", True), ("5211", "5212", False), (None, "5211", True)])
+def test_mcc_patterns_meet(spark, a, b, want):
+    row = spark.createDataFrame([(a, b)], "a string, b string").select(contract.mcc_meet(F.col("a"), F.col("b")), contract.mcc_meet(F.col("b"), F.col("a"))).first()
+    assert tuple(row) == (want, want)
+
+
+@pytest.mark.parametrize(("explained", "residual", "want"), [(-500, -1000, 5000), (-1500, -1000, 10000), (500, -1000, 0), (0, -1000, 0), (5, 0, 0), (1, 3, 3333)])
+def test_coverage(spark, explained, residual, want):
+    assert spark.range(1).select(verify.coverage_bps(F.lit(explained), F.lit(residual))).first()[0] == want
+
+
+def test_a_source_without_points_above_a_threshold_risks_nothing(spark):
+    points = spark.createDataFrame([("a", 9000, 1)] * 800 + [("b", 100, 0)] * 5, "source string, confidence_bps long, correct long")
+    assert evaluate.auto_threshold(points) == 9000
+
+
+def test_escalate_threshold(spark):
+    points = spark.createDataFrame([(100, 0), (200, 1), (300, 1), (400, 0), (500, 1)], "confidence_bps long, correct long")
+    assert evaluate.escalate_threshold(points).first()[0] == 400
+    assert evaluate.escalate_threshold(points.where("correct = 1")).first()[0] == 0
+
+
+def test_scores_of_no_findings(spark):
+    truth = spark.createDataFrame([("P", "c", "fee_overcharge")], "payment_id string, code string, class string")
+    none = spark.createDataFrame([], "id string, payment_id string, class string")
+    rows = evaluate.class_rows(evaluate.full_confusion(none, truth))
+    assert [(r["class"], r.tp, r.fp, r.fn, r.f1) for r in rows.collect()] == [("fee_overcharge", 0, 0, 1, 0.0)]
+    assert {r.average: r.recall for r in evaluate.averages(rows).collect()} == {"macro": 0.0, "micro": 0.0}
+    assert {r.average: r.f1 for r in evaluate.averages(rows.where("false")).collect()} == {"macro": 0.0, "micro": 0.0}
+
+
+def test_proof_of_another_outcome_carries_nothing(spark):
+    proofs = spark.createDataFrame([("C1", "subset_sum", "ambiguous", None, None, 5, 0, 5), ("C2", "subset_sum", "unresolved", "none", None, 5, 0, 5), ("C3", "structural", "resolved", None, "S", 5, 0, 5)], "credit_id string, tier string, outcome string, reason string, settlement_id string, credit_paise long, sum_paise long, residual_paise long")
+    terms = spark.createDataFrame([("C2", 1, "refund", "R", -5)], "credit_id string, pos int, type string, id string, signed_paise long")
+    credits = spark.createDataFrame([("C1", 5, ""), ("C2", 6, "")], "id string, amount_paise long, utr string")
+    records = spark.createDataFrame([("payment", "P", "S", 5)], "type string, id string, settlement_id string, signed_paise long")
+    batches = spark.createDataFrame([("S", "U")], "id string, utr string")
+    got = sorted(tuple(r) for r in verify.proof_failures(proofs, terms, credits, records, batches).collect())
+    assert got == [("C1", "reason_lacks"), ("C2", "answer_without_resolution"), ("C2", "credit_differs"), ("C2", "term_unknown"), ("C3", "credit_unknown"), ("C3", "no_single_batch")]
+
+
+def test_settlements_of_no_row_and_without_money(spark):
+    recon = spark.createDataFrame([("S1", 5), ("S1", 3), ("S2", 4), (None, 1)], "settlement_id string, created_at long")
+    settlements = spark.createDataFrame([("S1", "processed"), ("S2", None), ("S3", "processed")], "id string, status string")
+    got = sorted((r.id, r.cycle_start, r.cycle_end, r.reason) for r in ingest.settlement_spans(recon, settlements).collect())
+    assert got == [("S1", 3, 5, None), ("S2", 4, 4, "settlement_not_processed")]
