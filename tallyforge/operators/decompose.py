@@ -43,13 +43,14 @@ def jaccard_bps(a: Column, b: Column) -> Column:
 def candidates(credits: DataFrame, units: DataFrame, before: int = 5, after: int = 5) -> DataFrame:
     """Credits with the units of their merchant whose day is in [value_date - before, value_date + after).
 
-    A text of the units comes along as unit_text. The band is an equi join on day buckets of the window's width, so a long history doesn't meet itself.
+    A text of the units comes along as unit_text. Where both have a currency, it must be the same. The band is an equi join on day buckets of the window's width, so a long history doesn't meet itself.
     """
     width = before + after
+    same = "currency" in credits.columns and "currency" in units.columns
     bucket = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / width)
     c = credits.withColumn("_slot", F.explode(F.sequence(bucket(F.date_sub("value_date", before)), bucket(F.date_add("value_date", after)))))
-    u = units.select(F.col("id").alias("unit_id"), "merchant_id", F.col("net_paise").alias("unit_paise"), F.col("day").alias("unit_day"), bucket(F.col("day")).alias("_slot"), *([F.col("text").alias("unit_text")] if "text" in units.columns else []))
-    on = ["merchant_id", "_slot"]
+    u = units.select(F.col("id").alias("unit_id"), "merchant_id", F.col("net_paise").alias("unit_paise"), F.col("day").alias("unit_day"), bucket(F.col("day")).alias("_slot"), *([F.col("text").alias("unit_text")] if "text" in units.columns else []), *(["currency"] if same else []))
+    on = ["merchant_id", "_slot", *(["currency"] if same else [])]
     return c.join(u, on).where((F.col("unit_day") >= F.date_sub("value_date", before)) & (F.col("unit_day") < F.date_add("value_date", after))).drop("_slot")
 
 
@@ -61,6 +62,38 @@ def pair_cost(value_date: Column, amount: Column, narration: Column, unit_day: C
     return days * 1_000 + F.least(((gap - gap % 100) / 100).cast("long"), F.lit(1_000_000).cast("long")) + ((unlike - unlike % 10_000) / 10_000).cast("long")
 
 
+def units(moves: DataFrame, batches: DataFrame, matched: DataFrame) -> DataFrame:
+    """What the search may put together: id, merchant_id, net_paise, n_records, day, text (and currency).
+
+    moves as of ledger.movements(); batches: id, utr, merchant_id, day; matched as of structural(). A batch
+    is one unit, but one whose UTR several credits share falls apart into its records, each payment with
+    its fee and tax lines; records of no settlement are units likewise. Batches that a credit has by key
+    are left out, and so are units whose records have several currencies. Ids of records and batches must
+    differ. The text of a batch is its id and UTR, that of other units their records' ids.
+    """
+    shared = matched.where("reason = 'structural_key_shared'").select("utr").distinct()
+    split = batches.join(shared, "utr", "left_semi").select(F.col("id").alias("settlement_id"), F.col("merchant_id").alias("owner"))
+    taken = matched.where("settlement_id IS NOT NULL").select("settlement_id").distinct()
+    left = moves.join(taken, "settlement_id", "left_anti").join(split.withColumn("is_split", F.lit(True)), "settlement_id", "left")
+    whole = F.col("settlement_id").isNotNull() & F.col("is_split").isNull()
+    sums = [F.sum("signed_paise").alias("net_paise"), F.count("*").alias("n_records"), F.min("day").alias("own_day"), F.min(F.coalesce("owner", "merchant_id")).alias("own_merchant"), F.array_sort(F.collect_set(F.when(~whole, F.col("id")))).alias("ids")]
+    if coined := "currency" in moves.columns:
+        sums += [F.min("currency").alias("currency"), F.max("currency").alias("other")]
+    parts = left.groupBy(F.when(whole, F.col("settlement_id")).otherwise(F.col("unit_id")).alias("unit"), whole.alias("whole")).agg(*sums)
+    parts = parts.where("currency = other") if coined else parts
+    of = batches.select(F.col("id").alias("unit"), "utr", F.col("merchant_id").alias("batch_merchant"), F.col("day").alias("batch_day"), F.lit(True).alias("whole"))
+    rows = parts.join(of, ["unit", "whole"], "left").where(~F.col("whole") | F.col("batch_day").isNotNull())
+    text = F.when(F.col("whole"), F.concat_ws(" ", "unit", "utr")).otherwise(F.array_join("ids", " "))
+    return rows.select(F.col("unit").alias("id"), F.coalesce("batch_merchant", "own_merchant").alias("merchant_id"), "net_paise", "n_records", F.coalesce("batch_day", "own_day").alias("day"), text.alias("text"), *(["currency"] if coined else []))
+
+
+def search_terms(found: DataFrame, moves: DataFrame) -> DataFrame:
+    """The records behind what searched() resolved: credit_id, type, id, signed_paise. A unit names its records by their settlement or by their unit."""
+    took = found.where("outcome = 'resolved'").select("credit_id", F.explode("unit_ids").alias("unit"))
+    keyed = moves.withColumn("unit", F.explode(F.array_compact(F.array("settlement_id", "unit_id"))))
+    return keyed.join(took, "unit").select("credit_id", "type", "id", "signed_paise")
+
+
 _SOLVED = "credit_id string, tier string, outcome string, reason string, unit_ids array<string>, residual_paise long"
 
 
@@ -85,21 +118,15 @@ def _solve(credits: list[dict], before: int, after: int) -> list[tuple]:
             out.append((c["id"], "subset_sum", "unresolved", "node_budget", [], c["amount_paise"]))
         else:
             rest.append((c, state))
-    free = sorted(k for k in units if k not in claimed)
-    if rest and free:
-        far = 1 << 40
-        costs = [{u["unit_id"]: int(u["cost"]) for u in c["units"]} for c, _ in rest]
-        cost = [[own.get(k, far) for k in free] for own in costs]
-        chosen, total = search.assign(cost)
-        tie = search.margin(cost, chosen, total) == 0
-        for (c, _), j in zip(rest, chosen, strict=True):
-            ok = j >= 0 and cost[rest.index((c, _))][j] < far
-            if ok and not tie:
-                out.append((c["id"], "assignment", "resolved", None, [free[j]], c["amount_paise"] - units[free[j]][1]))
-            else:
-                out.append((c["id"], "assignment", "ambiguous" if ok else "unresolved", "assignment_tie" if ok else "no_assignment_feasible", [], c["amount_paise"]))
-    else:
-        out += [(c["id"], "assignment" if state == "too_many_units" else "subset_sum", "unresolved", state, [], c["amount_paise"]) for c, state in rest]
+    costs = [{u["unit_id"]: int(u["cost"]) for u in c["units"] if u["unit_id"] not in claimed} for c, _ in rest]
+    for (c, state), own, (unit, tied) in zip(rest, costs, search.pair_up(costs), strict=True):
+        if unit is not None and not tied:
+            out.append((c["id"], "assignment", "resolved", None, [unit], c["amount_paise"] - units[unit][1]))
+        elif unit is not None:
+            out.append((c["id"], "assignment", "ambiguous", "assignment_tie", [], c["amount_paise"]))
+        else:
+            reason = "no_assignment_feasible" if own or c["units"] else state
+            out.append((c["id"], "assignment" if own or c["units"] else "subset_sum", "unresolved", reason, [], c["amount_paise"]))
     return out
 
 

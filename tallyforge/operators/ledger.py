@@ -35,6 +35,29 @@ def long_ledger(payments: DataFrame, refunds: DataFrame, chargebacks: DataFrame,
     return out.unionByName(rows(adjustments, "adjustment", F.col("kind")))
 
 
+def movements(payments: DataFrame, refunds: DataFrame, chargebacks: DataFrame, adjustments: DataFrame, fee_lines: DataFrame, tax_lines: DataFrame) -> DataFrame:
+    """type, id, unit_id, settlement_id, merchant_id, day, signed_paise (and currency, where payments have one).
+
+    The unit of a fee or tax line is the payment that it is charged on, whose settlement, merchant and
+    day it takes; other records are units of their own. Tables without a merchant give none.
+    """
+    held = [c for c in ("currency",) if c in payments.columns]
+
+    def rows(df: DataFrame, type_: str, kind: Column | None = None) -> DataFrame:
+        merchant = F.col("merchant_id") if "merchant_id" in df.columns else F.lit(None).cast("string").alias("merchant_id")
+        unit = F.col("unit_id") if "unit_id" in df.columns else F.col("id").alias("unit_id")
+        return df.select(F.lit(type_).alias("type"), "id", unit, "settlement_id", merchant, "day", signed(F.lit(type_), kind if kind is not None else F.lit(None), F.col("amount_paise")).alias("signed_paise"), *held)
+
+    own = payments.select(F.col("id").alias("unit_id"), "settlement_id", "merchant_id", "day")
+    fees = fee_lines.select("id", "amount_paise", F.col("applies_to_id").alias("unit_id"), *held).join(own, "unit_id")
+    paid = fees.select(F.col("id").alias("applies_to_fee_id"), "unit_id", "settlement_id", "merchant_id", "day")
+    taxes = tax_lines.select("id", "amount_paise", "applies_to_fee_id", *held).join(paid, "applies_to_fee_id")
+    out = rows(payments, "payment")
+    for df, type_ in ((refunds, "refund"), (chargebacks, "chargeback"), (fees, "fee_line"), (taxes, "tax_line")):
+        out = out.unionByName(rows(df, type_))
+    return out.unionByName(rows(adjustments, "adjustment", F.col("kind")))
+
+
 def deduplicated(records: DataFrame) -> DataFrame:
     """Equal records once; records of one (type, id) that differ end the job."""
     once = records.dropDuplicates()
@@ -69,3 +92,8 @@ def unsettled(ledger: DataFrame, matched: DataFrame) -> DataFrame:
     A proof by key claims whole settlements, so settlement ids are enough; the ledger is made once.
     """
     return ledger.join(matched.where("settlement_id IS NOT NULL").select("settlement_id").distinct(), "settlement_id", "left_anti")
+
+
+def left_by_cascade(moves: DataFrame, matched: DataFrame, terms: DataFrame) -> DataFrame:
+    """Contributing records that neither a proof by key (whole settlements) nor one by search (terms) claims."""
+    return unclaimed(unsettled(moves, matched), terms)

@@ -7,6 +7,7 @@ Every table is a common table expression; with_tables() gives the ones that a qu
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -111,6 +112,12 @@ class Derived:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self._made = spark, sf_dir, {}
 
+    def keep(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """make()'s rows, kept for all that uses them under this name."""
+        if name not in self._made:
+            self._made[name] = make().persist()
+        return self._made[name]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES and name not in BASE:
             raise AttributeError(name)

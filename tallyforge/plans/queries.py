@@ -166,24 +166,62 @@ def pair_cost(d: Derived) -> DataFrame:
     return near.select("id", "unit_id", decompose.pair_cost(F.col("value_date"), F.col("amount_paise"), F.col("narration"), F.col("unit_day"), F.col("unit_paise"), F.col("text")).alias("cost"))
 
 
+def _moves(d: Derived) -> DataFrame:
+    own = lambda t: getattr(d, t).withColumnRenamed("stl", "settlement_id")
+    return d.keep("moves", lambda: ledger.movements(_payments(d), own("refunds"), own("chargebacks"), own("adjustments"), d.fee_lines, d.tax_lines))
+
+
+def _by_key(d: Derived) -> DataFrame:
+    return d.keep("by_key", lambda: _matched(d))
+
+
 def _units(d: Derived) -> DataFrame:
-    """Batches that no credit has by key, and the payments of split batches as units of their own are left to the search."""
-    taken = _matched(d).where("settlement_id IS NOT NULL").select(F.col("settlement_id").alias("id"))
-    return d.batches.join(taken, "id", "left_anti").select("id", "merchant_id", "net_paise", F.col("cycle_end").alias("day"), F.concat_ws(" ", "id", "utr").alias("text"))
+    """Batches that no credit has by key, the records of split batches with their lines, and those of no settlement."""
+    return decompose.units(_moves(d), d.batches.withColumnRenamed("cycle_end", "day"), _by_key(d))
+
+
+@_query("WITH " + _MATCHED + """, s AS (SELECT b.id FROM batches b WHERE b.utr IN (SELECT utr FROM m WHERE reason = 'structural_key_shared')),
+ v AS (SELECT l.*, (settlement_id IS NOT NULL AND settlement_id NOT IN (SELECT id FROM s)) AS whole, CASE type WHEN 'fee_line' THEN substr(id, 5, 14) WHEN 'tax_line' THEN substr(id, 9, 14) ELSE id END AS unit FROM ledger l
+ WHERE settlement_id IS NULL OR settlement_id NOT IN (SELECT settlement_id FROM m WHERE settlement_id IS NOT NULL))
+ SELECT v.key AS id, coalesce(b.merchant_id, 'M-' || substr(min(v.settlement_id), 5, 2), min(p.merchant_id)) AS merchant_id, CAST(sum(signed_paise) AS BIGINT) AS net_paise, count(*) AS n_records, CAST(coalesce(b.cycle_end, min(v.day)) AS STRING) AS day
+ FROM (SELECT *, CASE WHEN whole THEN settlement_id ELSE unit END AS key FROM v) v LEFT JOIN batches b ON b.id = v.key LEFT JOIN payments p ON p.id = v.key GROUP BY v.key, b.merchant_id, b.cycle_end""")
+def unit_nets(d: Derived) -> DataFrame:
+    return _units(d).select("id", "merchant_id", "net_paise", "n_records", F.col("day").cast("string"))
+
+
+def _searched(d: Derived) -> DataFrame:
+    rest = _by_key(d).where("settlement_id IS NULL").drop("settlement_id", "reason")
+    return d.keep("searched", lambda: decompose.searched(rest, _units(d)))
 
 
 @_query()
 def search_resolve(d: Derived) -> DataFrame:
-    rest = _matched(d).where("settlement_id IS NULL").drop("settlement_id", "reason")
-    return decompose.searched(rest, _units(d))
+    return _searched(d)
 
 
 @_query()
 def search_sums(d: Derived) -> DataFrame:
-    """Each credit that the search resolves, with what its units come to and the residual; the two make the credit."""
-    got = search_resolve(d.spark, d.sf_dir).where("outcome = 'resolved'").select("credit_id", "residual_paise", F.explode("unit_ids").alias("id")).join(d.batches.select("id", "net_paise"), "id")
-    sums = got.groupBy("credit_id", "residual_paise").agg(F.sum("net_paise").alias("terms_paise"), F.count("*").alias("n_terms"))
-    return sums.join(d.bank_credits.select(F.col("id").alias("credit_id"), "amount_paise"), "credit_id").select("credit_id", "amount_paise", "terms_paise", "n_terms", "residual_paise")
+    """Each credit that the search resolves, with what the records of its units come to and the residual; the two make the credit."""
+    found = _searched(d)
+    sums = decompose.search_terms(found, _moves(d)).groupBy("credit_id").agg(F.sum("signed_paise").alias("terms_paise"), F.count("*").alias("n_terms"))
+    own = d.bank_credits.select(F.col("id").alias("credit_id"), "amount_paise")
+    return sums.join(found.select("credit_id", "residual_paise"), "credit_id").join(own, "credit_id").select("credit_id", "amount_paise", "terms_paise", "n_terms", "residual_paise")
+
+
+@_query()
+def cascade_unclaimed(d: Derived) -> DataFrame:
+    """What neither proofs by key nor those by search claim, by type."""
+    moves = _moves(d)
+    left = ledger.left_by_cascade(moves, _by_key(d), decompose.search_terms(_searched(d), moves))
+    return left.groupBy("type").agg(F.count("*").alias("n"), F.sum("signed_paise").alias("unclaimed_paise"))
+
+
+@_query()
+def cascade_outcomes(d: Derived) -> DataFrame:
+    """How many credits each tier resolves or leaves, why, and what stays unexplained of them."""
+    key = _conserved(d).select(F.lit("structural").alias("tier"), F.lit("resolved").alias("outcome"), F.lit(None).cast("string").alias("reason"), F.col("unexplained_paise").alias("residual_paise"))
+    rows = key.unionByName(_searched(d).select("tier", "outcome", "reason", "residual_paise"))
+    return rows.groupBy("tier", "outcome", "reason").agg(F.count("*").alias("n"), F.sum("residual_paise").alias("unexplained_paise"))
 
 
 @_query("WITH " + _MATCHED + """ SELECT m.id AS credit_id, m.settlement_id, count(*) AS n_terms, sha256(concat_ws('|', m.id, m.settlement_id, string_agg(concat_ws(':', l.type, l.id, CAST(l.signed_paise AS STRING)), ',' ORDER BY l.type, l.id))) AS proof_hash

@@ -70,7 +70,8 @@ def test_assignment_is_least():
         assert total == min(totals) and len({c for c in chosen if c >= 0}) == min(rows, cols)
         if rows <= cols and len(totals) > 1 and len(set(totals)) > 0:
             tie = totals.count(min(totals)) > 1
-            assert (search.margin(cost, chosen, total) == 0) == tie
+            assert (search.margin(cost, chosen) == 0) == tie
+            assert search.margin(cost, chosen) == sorted(totals)[1] - total
 
 
 def test_structural_reasons(spark):
@@ -235,3 +236,61 @@ def test_settlements_of_no_row_and_without_money(spark):
     settlements = spark.createDataFrame([("S1", "processed"), ("S2", None), ("S3", "processed")], "id string, status string")
     got = sorted((r.id, r.cycle_start, r.cycle_end, r.reason) for r in ingest.settlement_spans(recon, settlements).collect())
     assert got == [("S1", 3, 5, None), ("S2", 4, 4, "settlement_not_processed")]
+
+
+def test_pairs_of_credits_that_share_no_unit_are_judged_apart():
+    tie = [{"A": 5, "B": 5}, {"A": 5, "B": 5}]
+    assert search.pair_up([*tie, {"C": 7, "D": 9}, {}])[2:] == [("C", False), (None, False)]
+    assert [t for _, t in search.pair_up(tie)] == [True, True]
+    assert search.pair_up([{"A": 1}, {"A": 9}]) == [("A", False), (None, False)]
+    rng = random.Random(5)
+    for _ in range(100):
+        costs = [{u: rng.randint(0, 6) for u in "ABC" if rng.random() < 0.6} for _ in range(3)]
+        ways = [w for w in itertools.product(*([None, *c] for c in costs)) if len({u for u in w if u}) == sum(u is not None for u in w)]
+        dear = lambda w: sum(1_000 if u is None else c[u] for u, c in zip(w, costs, strict=True))  # noqa: B023, E731
+        least = min(map(dear, ways))
+        best = [w for w in ways if dear(w) == least]
+        got = search.pair_up(costs)
+        assert tuple(u for u, _ in got) in best
+        assert any(t for _, t in got) == (len(best) > 1)
+
+
+def _moves_of_split(spark):
+    from datetime import date
+
+    d = date(2026, 7, 1)
+    pay = spark.createDataFrame([("P1", "S1", "M", d, 500, "INR"), ("P2", "S1", "M", d, 300, "INR"), ("P3", None, "M", d, 77, "INR"), ("P4", "S2", "M", d, 40, "INR"), ("P5", "S3", "M", d, 10, "INR"), ("P6", "S3", "M", d, 10, "USD")], "id string, settlement_id string, merchant_id string, day date, amount_paise long, currency string")
+    fees = spark.createDataFrame([("F1", "P1", 10, "INR"), ("F4", "P4", 4, "INR")], "id string, applies_to_id string, amount_paise long, currency string")
+    taxes = spark.createDataFrame([("T1", "F1", 2, "INR")], "id string, applies_to_fee_id string, amount_paise long, currency string")
+    other = spark.createDataFrame([("R1", "S1", d, 50, "INR", "x")], "id string, settlement_id string, day date, amount_paise long, currency string, kind string")
+    batches = spark.createDataFrame([("S1", "U1", "M", d), ("S2", "U2", "M", d), ("S3", "U3", "M", d)], "id string, utr string, merchant_id string, day date")
+    credits = spark.createDataFrame([("C1", "M", "U1", 488, date(2026, 7, 3), "INR"), ("C2", "M", "U1", 250, date(2026, 7, 3), "INR"), ("C3", "M", "lost", 77, date(2026, 7, 3), "INR"), ("C4", "M", "U2", 36, date(2026, 7, 3), "INR"), ("C5", "M", "off", 20, date(2026, 7, 3), "USD")], "id string, merchant_id string, utr string, amount_paise long, value_date date, currency string")
+    return ledger.movements(pay, other, other.limit(0), other.limit(0), fees, taxes), batches, credits
+
+
+def test_split_batches_and_orphans_are_units(spark):
+    moves, batches, credits = _moves_of_split(spark)
+    matched = decompose.structural(credits, batches)
+    units = decompose.units(moves, batches, matched)
+    got = {r.id: (r.merchant_id, r.net_paise, r.n_records, r.text) for r in units.collect()}
+    # P1 with its fee and tax; the refund alone; S2 is taken by key; S3 has two currencies
+    assert got == {"P1": ("M", 488, 3, "F1 P1 T1"), "P2": ("M", 300, 1, "P2"), "R1": ("M", -50, 1, "R1"), "P3": ("M", 77, 1, "P3")}
+    found = decompose.searched(matched.where("settlement_id IS NULL").drop("settlement_id", "reason"), units)
+    assert {r.credit_id: (r.outcome, sorted(r.unit_ids)) for r in found.where("outcome = 'resolved'").collect()} == {"C1": ("resolved", ["P1"]), "C2": ("resolved", ["P2", "R1"]), "C3": ("resolved", ["P3"])}
+    terms = decompose.search_terms(found, moves)
+    assert {(r.credit_id, r.type, r.id, r.signed_paise) for r in terms.collect()} == {("C1", "payment", "P1", 500), ("C1", "fee_line", "F1", -10), ("C1", "tax_line", "T1", -2), ("C2", "payment", "P2", 300), ("C2", "refund", "R1", -50), ("C3", "payment", "P3", 77)}
+    assert {r.id for r in ledger.left_by_cascade(moves, matched, terms).collect()} == {"P5", "P6"}
+
+
+def test_search_claims_each_record_once_and_adds_up(spark):
+    from tallyforge.plans import queries
+    from tallyforge.plans.derived import Derived
+
+    got = audit.queries()["search_sums"](spark, SF).collect()
+    assert got and all(r.terms_paise + r.residual_paise == r.amount_paise for r in got)
+    d = Derived(spark, SF)
+    terms = decompose.search_terms(queries._searched(d), queries._moves(d))
+    assert terms.groupBy("type", "id").count().where("count > 1").count() == 0
+    every, left = queries._moves(d).count(), {r.type: r.n for r in audit.queries()["cascade_unclaimed"](spark, SF).collect()}
+    by_key = queries._moves(d).join(queries._matched(d).select("settlement_id"), "settlement_id", "left_semi").count()
+    assert sum(left.values()) == every - by_key - terms.count()
