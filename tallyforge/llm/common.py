@@ -188,9 +188,9 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * powers(len(prefix))[1][start] + (end - start).astype(np.uint64))
 
 
-def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends in raw of the words [^\\x20\\x09-\\x0D]+ of every text, and the text of each."""
-    blank = SPACE[raw]
+def words_of(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends in raw of the words of every text (by default [^\\x20\\x09-\\x0D]+; space tells what ends a word), and the text of each."""
+    blank = space[raw]
     before = np.concatenate([[True], blank[:-1]]) if len(raw) else blank
     after = np.concatenate([blank[1:], [True]]) if len(raw) else blank
     filled = np.flatnonzero(np.diff(offsets))

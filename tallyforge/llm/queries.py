@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontamination, html_text, jaccard_join, ordinal_quality, packing, quality_rules, sharding, suffix_dedup, token_blocks, toxicity
+from tallyforge.llm import collocations, decontamination, html_text, jaccard_join, ordinal_quality, packing, quality_rules, sharding, simhash, suffix_dedup, token_blocks, toxicity, turn_repair
 from tallyforge.llm.common import scratch, table
 
 
@@ -64,7 +64,19 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-_QUERIES = (op1_ordinal_quality, op2_jaccard_join, op3_suffix_dedup, op4_decontamination, op5_sharding, op6_token_blocks, op7_toxicity, op8_html_text, op9_quality_rules, op10_best_fit_packing)
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repaired(turn_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+_QUERIES = (op1_ordinal_quality, op2_jaccard_join, op3_suffix_dedup, op4_decontamination, op5_sharding, op6_token_blocks, op7_toxicity, op8_html_text, op9_quality_rules, op10_best_fit_packing, op11_phrase_collocations, op12_simhash_near_dedup, op13_turn_repair)
 
 _SHARDS = """SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, lang, source, n_chars FROM documents"""
 
