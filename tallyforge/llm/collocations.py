@@ -5,8 +5,10 @@ occurs LEAST times has only parts that do, so candidates grow word by word: nomi
 hash of language and words) of those windows whose parts may all be frequent. Mappers send their counts as sparse
 arrays in key order, a range of keys is summed in one place, and what reaches LEAST sets a bit in a table of
 TABLE_BITS bits. The table is what travels back: it has one size whatever the corpus, and bits that several keys
-share only let more candidates through. candidates() takes the windows all of whose parts have their bit, each
-once. A minimal perfect hash over them and their parts gives every key a slot; keys are stored by slot, so a
+share only let more candidates through. Counts travel with the tag (16 bits of a hash) of one text that has the
+window; a second table holds, for each key that may be frequent, one such tag, so that a common phrase is
+taken from few texts, not from every task. candidates() takes the windows all of whose parts have their bit from texts with
+that tag, each once. A minimal perfect hash over them and their parts gives every key a slot; keys are stored by slot, so a
 window that is no candidate is told from one. Mappers count slots in arrays (bincount), the arrays are summed
 block by block in a tree, and the counts of a phrase and of its parts are read by slot. The hash is built in
 shards of about SHARD_KEYS keys; at most ROUND_SHARDS of them are broadcast at once, and further rounds over the
@@ -70,9 +72,11 @@ class Pieces:
         self.starts, self.ends, doc = words_of(self.raw, offsets, _ENDS > 0)
         known: dict[str, int] = {}
         of = np.fromiter((known.setdefault(x, xxhash.xxh3_64_intdigest(x)) for x in batch.column(0).to_pylist()), np.uint64, batch.num_rows)
-        word = mix(span_hash(prefix_hash(self.raw + np.uint64(1)), self.starts, self.ends) ^ of[doc])
+        letters = prefix_hash(self.raw + np.uint64(1))
+        word = mix(span_hash(letters, self.starts, self.ends) ^ of[doc])
         self.piece = np.cumsum(ends == 2, dtype=np.int64)[self.starts] + doc
         self.doc, self.sums = doc, prefix_hash(word)
+        self.tag = (span_hash(letters, offsets[:-1], offsets[1:]) >> np.uint64(48))[doc]
 
     def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Places (first words) and keys of the windows of size words inside a piece."""
@@ -102,53 +106,78 @@ def has(table: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
+def _told(key48: np.ndarray, tag: np.ndarray, bits: int) -> np.ndarray:
+    """The last so many bits of the place of a key and tag in a table."""
+    return mix(key48 ^ (tag << np.uint64(48))) & np.uint64((1 << bits) - 1)
+
+
+def witnessed(table: np.ndarray, key: np.ndarray, tag: np.ndarray, step: int) -> np.ndarray:
+    """Whether keys are to be taken from texts with these tags; the first step bits of a key's place are its own."""
+    rest = TABLE_BITS - step
+    place = key >> np.uint64(64 - step) << np.uint64(rest) | _told(key >> np.uint64(16), tag, rest)
+    return (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def nominate(docs: DataFrame, tables: list[bytes], sizes: range, least: int, ranges: int) -> bytes:
-    """The table of the keys of windows of these sizes that may occur least times. tables are those of the sizes below."""
+def nominate(docs: DataFrame, tables: list[bytes], sizes: range, least: int, ranges: int) -> tuple[bytes, bytes]:
+    """The tables of the keys of windows of these sizes that may occur least times, and of their tags. tables are those of the sizes below."""
     spark, step = docs.sparkSession, int(ranges).bit_length() - 1
     told, seen = spark.sparkContext.broadcast(tables), min(least, 255)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [np.frombuffer(t, np.uint8) for t in told.value]
         held: list[np.ndarray] = []
+        tags: list[np.ndarray] = []
 
         def sent() -> pa.RecordBatch:
-            key, n = np.unique(np.concatenate(held), return_counts=True)
+            key, first, n = np.unique(np.concatenate(held), return_index=True, return_counts=True)
+            tag = np.concatenate(tags)[first].astype("<u2")
             held.clear()
+            tags.clear()
             n = np.minimum(n, seen).astype(np.uint8)  # what alone reaches least says no more by more
             at = np.append(np.flatnonzero(np.diff(key >> np.uint64(48 - step), prepend=np.uint64(1 << 63))), len(key))
             spans = list(zip(at[:-1], at[1:], strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([int(key[a]) >> (48 - step) for a, _ in spans], pa.int32()), pa.array([pack6(key[a:b]) for a, b in spans], pa.binary()), pa.array([n[a:b].tobytes() for a, b in spans], pa.binary())], names=["part", "keys", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([int(key[a]) >> (48 - step) for a, _ in spans], pa.int32()), pa.array([pack6(key[a:b]) for a, b in spans], pa.binary()), pa.array([n[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([tag[a:b].tobytes() for a, b in spans], pa.binary())], names=["part", "keys", "counts", "tags"])
 
         for b in text_slices(batches):
-            held += [key >> np.uint64(16) for size, _, key in Pieces(b).likely(known, sizes[-1]) if size in sizes]
+            p = Pieces(b)
+            for size, at, key in p.likely(known, sizes[-1]):
+                if size in sizes:
+                    held.append(key >> np.uint64(16))
+                    tags.append(p.tag[at].astype(np.uint16))
             if sum(map(len, held)) > FULL:
                 yield sent()
         if sum(map(len, held)):
             yield sent()
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def closed(part: int, held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-            key, n = unpack6(b"".join(k for k, _ in held)), np.frombuffer(b"".join(c for _, c in held), np.uint8)
+        def closed(part: int, held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+            keys, counts, tags = (b"".join(x) for x in zip(*held, strict=True))
+            key, n, tag = unpack6(keys), np.frombuffer(counts, np.uint8), np.frombuffer(tags, "<u2")
             order = np.argsort(key, kind="stable")
-            key, n = key[order], n[order]
+            key, n, tag = key[order], n[order], tag[order]
             first = np.flatnonzero(np.diff(key, prepend=np.uint64(1 << 63)))
-            often = key[first][np.add.reduceat(n, first, dtype=np.int64) >= least]
-            table = np.zeros(1 << (TABLE_BITS - step), np.bool_)
-            table[(often >> np.uint64(48 - TABLE_BITS)).astype(np.int64) & (len(table) - 1)] = True
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(table, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+            often = first[np.add.reduceat(n, first, dtype=np.int64) >= least]
+            rest = TABLE_BITS - step
+            out = [pa.array([part], pa.int32())]
+            for place in (key[often] >> np.uint64(48 - TABLE_BITS) & np.uint64((1 << rest) - 1), _told(key[often], tag[often].astype(np.uint64), rest)):
+                table = np.zeros(1 << rest, np.bool_)
+                table[place] = True
+                out.append(pa.array([np.packbits(table, bitorder="little").tobytes()], pa.binary()))
+            return pa.RecordBatch.from_arrays(out, names=["part", "bits", "told"])
 
         for part, rows in _runs(batches, 1):
             yield closed(part[0], rows)
 
-    sums = _texts(docs).mapInArrow(tally, "part int, keys binary, counts binary").repartition(max(shuffle_partitions(spark), ranges // 8), "part").sortWithinPartitions("part")
-    table = np.zeros((ranges, 1 << (TABLE_BITS - step - 3)), np.uint8)
-    for part, got in sums.mapInArrow(bits, "part int, bits binary").collect():
-        table[part] = np.frombuffer(got, np.uint8)
-    return table.tobytes()
+    sums = _texts(docs).mapInArrow(tally, "part int, keys binary, counts binary, tags binary").repartition(max(shuffle_partitions(spark), ranges // 8), "part").sortWithinPartitions("part")
+    both = np.zeros((2, ranges, 1 << (TABLE_BITS - step - 3)), np.uint8)
+    for part, *got in sums.mapInArrow(bits, "part int, bits binary, told binary").collect():
+        for table, part_bits in zip(both, got, strict=True):
+            table[part] = np.frombuffer(part_bits, np.uint8)
+    return both[0].tobytes(), both[1].tobytes()
 
 
 def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -165,19 +194,22 @@ def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tupl
         yield now, held
 
 
-def candidates(docs: DataFrame, tables: list[bytes], longest: int = LONGEST) -> DataFrame:
-    """Every window of two words or more that the tables let through, once: key, lang, phrase, size, keys (its own, then its parts')."""
-    told = docs.sparkSession.sparkContext.broadcast(tables)
+def candidates(docs: DataFrame, tables: list[bytes], tags: list[bytes], ranges: int, longest: int = LONGEST) -> DataFrame:
+    """Every window of two words or more that the tables let through, once: key, lang, phrase, size, keys (its own, then its parts').
+    tags are the tables of tags for two words, three words and so on."""
+    told, step = docs.sparkSession.sparkContext.broadcast((tables, tags)), int(ranges).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [np.frombuffer(t, np.uint8) for t in told.value]
+        known, tagged = ([np.frombuffer(t, np.uint8) for t in x] for x in told.value)
         seen = np.empty(0, np.uint64)
         for b in text_slices(batches):
             p = Pieces(b)
             langs, text = b.column(0).to_pylist(), p.raw.tobytes()
             for size, at, key in p.likely(known, longest):
-                if size == 1 or not len(at):
+                if size == 1:
                     continue
+                mine = witnessed(tagged[size - 2], key, p.tag[at], step)
+                at, key = at[mine], key[mine]
                 key, first = np.unique(key, return_index=True)
                 if len(seen):
                     new = seen[np.minimum(np.searchsorted(seen, key), len(seen) - 1)] != key
@@ -366,11 +398,13 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, kept: int
     """
     ranges = 1 << max(6, (total_bytes(docs) // RANGE_BYTES).bit_length())
     ranges = min(ranges, 1 << 16)
-    tables = [nominate(docs, [], range(1, 2), least, ranges)]
-    tables.append(nominate(docs, tables, range(2, 3), least, ranges))
-    if longest > 2:  # longer windows are few after these tables, so they are counted together
-        tables += [nominate(docs, tables, range(3, longest + 1), least, ranges)] * (longest - 2)
-    found = cut(candidates(docs, tables, longest), "candidates")
+    tables, tags = [nominate(docs, [], range(1, 2), least, ranges)[0]], []
+    for sizes in (range(2, 3), range(3, longest + 1)):  # longer windows are few after two tables, so they are counted together
+        if sizes:
+            table, tag = nominate(docs, tables, sizes, least, ranges)
+            tables += [table] * len(sizes)
+            tags += [tag] * len(sizes)
+    found = cut(candidates(docs, tables, tags, ranges, longest), "candidates")
     rows = counted(docs, found, tables, longest).where(F.col("f")[0] >= least).withColumn("a", F.col("f")[0])
     inside = F.lit(None)
     for size in range(longest, 2, -1):
