@@ -5,8 +5,10 @@ when a tier has FAN runs, they are merged into one run of target-sized files (sp
 written). A manifest names the runs of a version. It is committed by creating its file, which the file system
 must refuse if the name is there (HDFS and local disks do, object stores with conditional writes do; on others
 one writer at a time must commit), so two writers cannot both commit the same version. A manifest says its own
-length first: one that is cut short by a dying writer is no version. A job that dies before it commits leaves
-the last version as it was, and folders that no manifest names; sweep() removes those once they are old.
+length first: one that is cut short by a dying writer is no version. Once such a one is older than STALE_S, the
+next writer passes over its number; a manifest names the version that it follows, so one that a slow writer ends
+after all is in no chain of versions, and that writer gets a CommitConflict. A job that dies before it commits leaves
+the last version as it was, and folders that no manifest names; sweep() removes those, and cut manifests, once they are old.
 Merged runs stay until vacuum() finds that none of the versions to retain names them, so readers of those
 versions go on. Only the manifest's entries (one for each run) come to the driver.
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +30,8 @@ from pyspark.sql.types import StructType
 
 FAN = 4
 TARGET_BYTES = 64 << 20
+#: Seconds after which a manifest that is cut short is taken for a dead writer's.
+STALE_S = 600.0
 
 
 class CommitConflict(RuntimeError):
@@ -34,8 +39,8 @@ class CommitConflict(RuntimeError):
 
 
 class ShardStore:
-    def __init__(self, spark: SparkSession, root: str, schema: StructType, target_bytes: int = TARGET_BYTES, fan: int = FAN):
-        self.spark, self.root, self.schema, self.target_bytes, self.fan = spark, root.rstrip("/"), schema, target_bytes, fan
+    def __init__(self, spark: SparkSession, root: str, schema: StructType, target_bytes: int = TARGET_BYTES, fan: int = FAN, stale_s: float = STALE_S):
+        self.spark, self.root, self.schema, self.target_bytes, self.fan, self.stale_s = spark, root.rstrip("/"), schema, target_bytes, fan, stale_s
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
 
     def _path(self, name: str):
@@ -44,16 +49,24 @@ class ShardStore:
     def _fs(self):
         return self._path("").getFileSystem(self._conf)
 
-    def versions(self) -> list[int]:
-        """The committed versions, oldest first."""
+    def _numbers(self) -> list[int]:
+        """The numbers that have a manifest, whole or cut short, in order."""
         fs, folder = self._fs(), self._path("manifest")
-        if not fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        found = sorted(int(n[1:9]) for n in names if n.startswith("v") and n.endswith(".json"))
-        while found and self._read(found[-1]) is None:  # only the last can be one that is being written
-            found.pop()
-        return found
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
+
+    def versions(self) -> list[int]:
+        """The committed versions, oldest first: the last whole manifest, the one that it follows, and so on as far as they are kept."""
+        numbers, found = self._numbers(), []
+        at = len(numbers) - 1
+        while at >= 0 and (got := self._read(numbers[at])) is None:
+            at -= 1
+        while at >= 0 and got is not None:
+            found.append(numbers[at])
+            base = got.get("base", numbers[at] - 1)
+            at = numbers.index(base) if base in numbers else -1
+            got = self._read(base) if at >= 0 else None
+        return found[::-1]
 
     def version(self) -> int:
         """The last committed version, 0 if none."""
@@ -72,20 +85,31 @@ class ShardStore:
             raise ValueError(f"version {version} is not committed")
         return got
 
+    def _age_s(self, number: int) -> float:
+        """Seconds since a manifest was last written, by the clock of the file system's server as far as it tells."""
+        return time.time() - self._fs().getFileStatus(self._path(f"manifest/v{number:08d}.json")).getModificationTime() / 1000
+
     def _commit(self, base: int, runs: list[dict]) -> int:
         from py4j.protocol import Py4JJavaError
 
-        fs, final = self._fs(), self._path(f"manifest/v{base + 1:08d}.json")
-        body = json.dumps({"version": base + 1, "runs": runs})
+        later = [n for n in self._numbers() if n > base]
+        for n in later:
+            if self._read(n) is not None or self._age_s(n) < self.stale_s:
+                raise CommitConflict(f"version {n} is there already or is being written")
+        number = max([base, *later]) + 1
+        fs, final = self._fs(), self._path(f"manifest/v{number:08d}.json")
+        body = json.dumps({"version": number, "base": base, "runs": runs})
         try:
             out = fs.create(final, False)
         except Py4JJavaError as e:
             if fs.exists(final):
-                raise CommitConflict(f"version {base + 1} is there already") from e
+                raise CommitConflict(f"version {number} is there already") from e
             raise
         out.write(bytearray(f"{len(body)}\n{body}".encode()))
         out.close()
-        return base + 1
+        if number not in self.versions():
+            raise CommitConflict(f"version {number} came so late that it was passed over")
+        return number
 
     def _run(self, name: str) -> dict:
         """The entry of a written run."""
@@ -105,7 +129,7 @@ class ShardStore:
     def append_all(self, rows: DataFrame, arrivals: int) -> int:
         """Several arrivals written by one pass over rows (those of one hash of doc_id arrive together), committed one by one."""
         name, by = f"runs/{uuid.uuid4().hex}", "arrival"
-        while by in self.schema.names:
+        while by in {n.lower() for n in self.schema.names}:  # Spark's names don't differ by case
             by = f"_{by}"
         key = F.when(F.col("doc_id").isNull(), F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns))).otherwise(F.xxhash64("doc_id"))
         rows.withColumn(by, F.pmod(key, F.lit(arrivals))).write.partitionBy(by).parquet(f"{self.root}/{name}")
@@ -145,11 +169,13 @@ class ShardStore:
         return len(gone)
 
     def sweep(self, older_than_s: float = 7 * 86400) -> int:
-        """Deletes folders of runs that no version names and nobody has touched for so long (jobs that died); returns how many."""
-        import time
-
+        """Deletes folders of runs that no version names and nobody has touched for so long (jobs that died), and cut manifests below the last version; returns how many folders."""
         fs, folder = self._fs(), self._path("runs")
-        live = {r["path"].split("/")[1] for v in self.versions() for r in self.manifest(v)["runs"]}
+        committed = self.versions()
+        for n in self._numbers():
+            if committed and n < committed[-1] and n not in committed and self._age_s(n) >= max(older_than_s, self.stale_s):
+                fs.delete(self._path(f"manifest/v{n:08d}.json"), False)
+        live = {r["path"].split("/")[1] for v in committed for r in self.manifest(v)["runs"]}
         gone = 0
         for s in fs.listStatus(folder) if fs.exists(folder) else []:
             if s.getPath().getName() not in live and s.getModificationTime() / 1000 <= time.time() - older_than_s:
