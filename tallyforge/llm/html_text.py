@@ -2,15 +2,20 @@
 
 Pages are cut into lines (the text of block elements). Each page meets the pages of its host whose URL paths
 are nearest in path order (MOST of up to NEAR on either side, of other text and another path: equal pages never meet).
-Their lines are aligned by longest common subsequence. A line outside an article element that any of them has
-too is deleted: that is what the site's template puts on every page. Two pages that carry one sentence in
-their articles both own it, so lines inside an article stay; with inside_articles they are deleted if there are
-MANY or more such pages and all of them have the line aligned, not counting copies (pages that share half of the
-article's lines or more). That is for sites that put notices into their article elements. What no page shows as text (scripts, styles, forms) or what markup
+Their lines are aligned by longest common subsequence. Pages that share more than COPY of a page's characters are its
+copies (a print or mobile version): they would take its text with them, so they don't count. A line outside an article
+element goes if at least two other near pages have it and they are most of them: that is what the site's template puts
+on every page. One near page alone leaves doubt (two pages may quote one sentence), so it takes only lines that both pages
+begin or end with. Two pages that carry one sentence in their articles both own it, so lines inside an article stay; with
+inside_articles they are deleted if there are MANY or more such pages and all of them have the line aligned, not counting copies
+(pages that share half of the article's lines or more). That is for sites that put notices into their article elements.
+What no page shows as text (scripts, styles, forms, what has the attribute hidden, aria-hidden=true or display:none) or what markup
 itself names as navigation, header, footer, sidebar, notice, advert or comments is left out before (an article
-element too, if its class or id says that it is a comment); inside an article only elements whose whole class
-or id says so, as class names there mostly describe the text. Every page keeps all lines that differencing
-leaves, in or beside an article.
+element too, if its class or id says that it is a comment). Inside an article words of a class mostly describe the text
+(related-work, a hidden-gem), so only a whole class or id that says nothing else leaves an element out. Others with such a word
+are boxes, on which differencing decides: a box (comment-list, ad-slot) whose element and classes most near pages have in
+their articles too belongs to the template and goes with all its lines, whatever they say; one that stands on this page alone
+is text. Every page keeps all lines that differencing leaves, in or beside an article.
 
 Null, empty and broken html give the text that can be read, at least the empty one. Rows that repeat and
 pages of equal URL are extracted row by row; a null or odd URL has its own host "". A page alone on its
@@ -36,9 +41,11 @@ from pyspark.sql.window import Window
 from tallyforge.llm.common import binary_rows, cut, shuffle_partitions, sized_broadcast, text_slices
 
 _PART = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|select|object)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Elements that may be boxes; a paragraph or heading of such a class is text.
+_BOX = frozenset("div section aside ul ol dl details figure table".split())
 _OUT = frozenset("nav aside footer form head button menu dialog select option label fieldset title audio video canvas map".split())
 #: Pages that lose lines and may be broadcast with their deleted lines; beyond it the join shuffles.
 MOST_BROADCAST = 100_000
@@ -51,6 +58,8 @@ _NOT_COMMENT = frozenset("has no with post".split())
 NEAR = 3
 MOST = 4
 MANY = 3
+#: Hundredths of a page's characters that a copy of it shares at least.
+COPY = 67
 #: Classes and ids, as wholes, that name what is not main text inside an article.
 _INSIDE = frozenset("ad ads advert adverts advertisement advertising adsense banner promo sponsor sponsored sidebar newsletter comments disqus breadcrumb breadcrumbs pagination cookie-notice share-buttons".split())
 #: Words of class, id and role that name what is not main text.
@@ -61,41 +70,59 @@ _WORDS = frozenset(
 )
 
 
-def _named_out(tag: str, attrs: str, inside: bool) -> bool:
+def _attributes(attrs: str) -> dict[str, str]:
+    """Names in lower case and values of a tag's attributes, the first of equal names."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attrs):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _reading(tag: str, attrs: str, inside: bool) -> tuple[bool, str]:
+    """Whether an element is left out by its markup, and else, inside an article, its name as a box ("": it is none)."""
     if tag in _OUT or (tag == "header" and not inside):
-        return True
-    if tag == "article":
-        names = (x for m in _NAMED.finditer(attrs or "") for x in (m[1] or m[2] or m[3] or "").lower().split())
-        return any(_COMMENT.fullmatch(x) and x.split("-")[0] not in _NOT_COMMENT for x in names)
-    if not attrs or tag in ("html", "body") or tag in _MAIN:
-        return False
-    if _HIDDEN.search(attrs):
-        return True
-    names = [x for m in _NAMED.finditer(attrs) for x in (m[1] or m[2] or m[3] or "").lower().split()]
-    if inside:
-        return not _INSIDE.isdisjoint(names)
-    return any(word in _WORDS for name in names for word in re.split(r"[^a-z0-9]+", name))
-
-
-def lines(page: str) -> list[tuple[str, bool]]:
-    """The lines of a page that markup leaves, in order, each with whether it is inside an article or main element."""
-    out: list[tuple[str, bool]] = []
+        return True, ""
+    if not attrs or tag in ("html", "body"):
+        return False, ""
+    told = _attributes(attrs)
+    names = [x for a in ("class", "id", "role") for x in told.get(a, "").lower().split()]
+    if tag == "article" and any(_COMMENT.fullmatch(x) and x.split("-")[0] not in _NOT_COMMENT for x in names):
+        return True, ""
+    if tag in _MAIN:
+        return False, ""
+    if "hidden" in told or told.get("aria-hidden", "").strip().lower() == "true" or _NOT_SHOWN.search(entities.unescape(told.get("style", ""))):
+        return True, ""
+    named = any(word in _WORDS for name in names for word in re.split(r"[^a-z0-9]+", name))
+    if not inside:
+        return named, ""
+    if not _INSIDE.isdisjoint(names):
+        return True, ""
+    return False, " ".join([tag, *sorted(re.sub(r"[0-9]+", "#", x) for x in names)]) if named else ""
+
+
+def lines(page: str) -> tuple[list[tuple[str, bool, int]], list[str]]:
+    """The lines of a page that markup leaves, in order, each with whether it is inside an article or main element and the number of its box
+    (the outermost; -1: none), and the boxes' names."""
+    out: list[tuple[str, bool, int]] = []
+    boxes: dict[str, int] = {}
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []
     skipped = main = 0
+    box = -1
 
     def close() -> None:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                out.append((text, main > 0))
+                out.append((text, main > 0, box))
             held.clear()
 
     def pop() -> None:
-        nonlocal skipped, main
-        _, skip, core = stack.pop()
+        nonlocal skipped, main, box
+        _, skip, core, opened = stack.pop()
         skipped -= skip
         main -= core
+        box = -1 if opened else box
 
     at = 0
     for m in _PART.finditer(page):
@@ -125,15 +152,18 @@ def lines(page: str) -> list[tuple[str, bool]]:
         if tag in ("p", "li") or block:
             while stack and stack[-1][0] in (("p", "li") if tag == "li" else ("p",)):
                 pop()
-        skip = _named_out(tag, m["attrs"], main > 0)
+        skip, name = _reading(tag, m["attrs"], main > 0)
+        opens = bool(name) and tag in _BOX and box < 0 and not skipped
+        if opens:
+            box = boxes.setdefault(name, len(boxes))
         if block or skip:
-            stack.append((tag, skip, tag in _MAIN))
+            stack.append((tag, skip, tag in _MAIN, opens))
             skipped += skip
             main += tag in _MAIN
     if at < len(page) and not skipped:
         held.append(page[at:])
     close()
-    return out
+    return out, list(boxes)
 
 
 def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -196,22 +226,24 @@ def _nearness(a: str, b: str) -> int:
     return n
 
 
-_LINES = "url string, print long, host string, path string, line binary, core binary"
+_PAGE = "host string, path string, content long, line binary, size binary, core binary, box binary, boxes binary"
+_LINES = f"url string, print long, {_PAGE.replace('content long, ', '')}"
+_NAMES = tuple(x.split()[0] for x in _PAGE.split(", "))
 
 
 def read_lines(pages: DataFrame) -> DataFrame:
-    """url, print (hash of the html), host, path, line (hashes of the page's lines), core (for each, if inside an article)."""
+    """url, print (hash of the html), host, path; for each line of the page its hash, its characters, if it is inside an article, its box; the boxes' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        from xxhash import xxh3_64_intdigest
 
         for b in text_slices(batches, column=2):
-            got = [lines(x) for x in b.column(2).to_pylist()]
+            got, boxes = zip(*map(lines, b.column(2).to_pylist()), strict=True)
             hosts, paths = zip(*(address(u) for u in b.column(0).to_pylist()), strict=True)
-            hashes = [np.fromiter((xxhash.xxh3_64_intdigest(x) for x, _ in g), np.uint64, len(g)) for g in got]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:2], pa.array(hosts, pa.string()), pa.array(paths, pa.string()), binary_rows(hashes, "<u8"), binary_rows([np.array([c for _, c in g], np.uint8) for g in got], "u1")], names=["url", "print", "host", "path", "line", "core"]
-            )
+            hashed = lambda texts: np.fromiter(map(xxh3_64_intdigest, texts), np.uint64, len(texts))
+            arrays = [binary_rows([hashed([x[0] for x in g]) for g in got], "<u8"), binary_rows([np.array([len(x[0]) for x in g]) for g in got], "<u4")]
+            arrays += [binary_rows([np.array([x[i] for x in g]) for g in got], kind) for i, kind in ((1, "u1"), (2, "<i4"))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(hosts, pa.string()), pa.array(paths, pa.string()), *arrays, binary_rows([hashed(x) for x in boxes], "<u8")], names=[x.split()[0] for x in _LINES.split(", ")])
 
     return _keyed(pages).select("url", "print", "html").mapInArrow(run, _LINES)
 
@@ -221,14 +253,37 @@ def _keyed(pages: DataFrame) -> DataFrame:
 
 
 def _shared(row: tuple, near: list[tuple], inside_articles: bool) -> np.ndarray:
-    """A byte for each line of row (host, path, content, line, core), 1 if the pages near it say that it goes."""
-    mine, core = np.frombuffer(row[3], "<u8"), np.frombuffer(row[4], np.uint8) > 0
-    aligned = [common_lines(mine, np.frombuffer(x[3], "<u8")) for x in [x for x in near if x[0] == row[0] and x[1] != row[1]][:MOST]]
-    if not aligned:
-        return np.zeros(len(mine), np.uint8)
+    """A byte for each line of row (as of _NAMES), 1 if the pages near it say that it goes."""
+    host, path, _, line, size, core, box, boxes = row
+    mine, size, core, box = np.frombuffer(line, "<u8"), np.frombuffer(size, "<u4"), np.frombuffer(core, np.uint8) > 0, np.frombuffer(box, "<i4")
+    partners = [x for x in near if x[0] == host and x[1] != path and x[3]][:MOST]
+    theirs = [np.frombuffer(x[3], "<u8") for x in partners]
+    aligned = [common_lines(mine, x) for x in theirs]
+    counted = [i for i, x in enumerate(aligned) if 100 * int(size[x].sum()) < COPY * int(size.sum())]
+    gone = np.zeros(len(mine), np.bool_)
+    if not counted:
+        return gone.astype(np.uint8)
+    if len(counted) == 1:
+        gone = _ends(mine, theirs[counted[0]])
+    else:
+        votes = np.sum([aligned[i] for i in counted], axis=0)
+        gone = (votes > 1) & (2 * votes > len(counted))
     others = [x for x in aligned if 2 * np.count_nonzero(x & core) < np.count_nonzero(core)]
     template = np.all(others, axis=0) if inside_articles and len(others) >= MANY else np.zeros(len(mine), np.bool_)
-    return np.where(core, template, np.any(aligned, axis=0)).astype(np.uint8)
+    own = np.frombuffer(boxes, "<u8")
+    if len(own):
+        votes = np.sum([np.isin(own, np.frombuffer(partners[i][7], "<u8")) for i in counted], axis=0)
+        template = template | np.append(2 * votes > len(counted), False)[box]
+    return np.where(core, template, gone).astype(np.uint8)
+
+
+def _ends(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The lines of a in the head and tail that it has in common with b."""
+    out = np.zeros(len(a), np.bool_)
+    most = min(len(a), len(b))
+    for to, x, y in ((out, a[:most], b[:most]), (out[::-1], a[::-1][:most], b[::-1][:most])):
+        to[: int(np.argmin(np.append(x == y, False)))] = True
+    return out
 
 
 def shared_lines(pages: DataFrame, inside_articles: bool = False) -> DataFrame:
@@ -237,14 +292,17 @@ def shared_lines(pages: DataFrame, inside_articles: bool = False) -> DataFrame:
     Only hashes of lines travel; pages stay where they are.
     """
     n = shuffle_partitions(pages.sparkSession)
-    read = cut(read_lines(pages).withColumn("content", F.xxhash64("line", "core")), "lines")
-    names = ("host", "path", "content", "line", "core")
-    texts = read.groupBy("host", "content").agg(F.min(F.struct("path", "line", "core")).alias("m")).select("host", "m.path", "content", "m.line", "m.core")
+    read = cut(read_lines(pages).withColumn("content", F.xxhash64("line", "core", "box", "boxes")), "lines")
+    names, rest = _NAMES, [x for x in _NAMES if x not in ("host", "content")]
+    texts = read.groupBy("host", "content").agg(F.min(F.struct(*rest)).alias("m")).select("host", "content", "m.*").select(*names)
     rows = cut(texts.repartitionByRange(n, "host", "path", "content").withColumn("part", F.spark_partition_id()), "order")
-    ends = rows.groupBy("part").agg(F.min(F.struct(*names)).alias("first"), F.max(F.struct(*names)).alias("last"))
-    order = Window.orderBy("part")
-    near = ends.select("part", F.lag("last").over(order).alias("before"), F.lead("first").over(order).alias("after"))
-    guests = near.select("part", F.explode(F.array_compact(F.array("before", "after"))).alias("g")).select("part", "g.*", F.lit(True).alias("guest"))
+    order = Window.orderBy("part")  # one row for each partition
+    beside = rows.select("part").distinct().select("part", F.lag("part").over(order).alias("before"), F.lead("part").over(order).alias("after"))
+    ways = []
+    for to, by in (("before", [F.col(c).asc() for c in ("host", "path", "content")]), ("after", [F.col(c).desc() for c in ("host", "path", "content")])):
+        ends = rows.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy(*by))).where(F.col("nth") <= NEAR)
+        ways.append(ends.join(F.broadcast(beside.select("part", F.col(to).alias("to")).where("to IS NOT NULL")), "part").select(F.col("to").alias("part"), *names, F.lit(True).alias("guest")))
+    guests = ways[0].unionByName(ways[1])
     both = rows.select("part", *names, F.lit(False).alias("guest")).unionByName(guests).repartition(n, "part").sortWithinPartitions("part", "host", "path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,15 +315,15 @@ def shared_lines(pages: DataFrame, inside_articles: bool = False) -> DataFrame:
         def step(row: tuple | None) -> None:
             window.append(row)
             mid = window[NEAR]
-            if mid is not None and not mid[6]:
+            if mid is not None and not mid[-1]:
                 turns = sorted(range(2 * NEAR + 1), key=lambda i: abs(i - NEAR))[1:]
-                near = [window[i][1:] for i in turns if window[i] is not None and window[i][0] == mid[0]]
-                gone = _shared(mid[1:], near, inside_articles)
+                near = [window[i][1:-1] for i in turns if window[i] is not None and window[i][0] == mid[0]]
+                gone = _shared(mid[1:-1], near, inside_articles)
                 if gone.any():
                     done.append((mid[1], mid[3], gone.tobytes()))
 
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 step(row)
                 if len(done) >= 1000:
                     yield batch(done)
@@ -286,9 +344,9 @@ def extract(pages: DataFrame, inside_articles: bool = False) -> DataFrame:
         for b in text_slices(batches, column=2):
             texts, counts = [], []
             for page, shared in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                got = lines(page)
+                got, _ = lines(page)
                 gone = shared or bytes(len(got))
-                texts.append("\n\n".join(t for (t, _), g in zip(got, gone, strict=True) if not g))
+                texts.append("\n\n".join(t for (t, _, _), g in zip(got, gone, strict=True) if not g))
                 counts.append(len(got))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), pa.array(counts, pa.int32())], names=["page_id", "url", "text", "n_chars", "n_lines"])
 
