@@ -382,7 +382,7 @@ RESULTS = ("n_bytes", "n_removed", "spans", "kept")
 
 def dedupe(docs: DataFrame) -> DataFrame:
     """docs with n_bytes, n_removed, spans (array of start and end of the removed runs, in bytes) and kept (the other bytes)."""
-    return _deduped(docs).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in RESULTS), *RESULTS)
+    return _deduped(docs).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c.lower() not in RESULTS), *RESULTS)
 
 
 def _deduped(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small tables with nulls, empties, ties, copies and clashing columns."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -189,7 +190,7 @@ def test_suffix_dedup_of_null_and_equal_ids(spark):
 
 def test_suffix_dedup_of_clashing_columns(spark):
     rows = [(1, "a" * 50, 9, "s", 8, "k", "r"), (2, "b" * 350, 9, "s", 8, "k", "r")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n_bytes long, spans string, n_removed long, kept string, _row string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, N_Bytes long, spans string, n_removed long, KEPT string, _row string")
     got = [tuple(r) for r in suffix_dedup.keep_first(docs).orderBy("doc_id").collect()]
     assert got == [rows[0], (2, "b", *rows[1][2:])]
     out = suffix_dedup.dedupe(docs)
@@ -238,7 +239,7 @@ def test_sharding(spark, docs, tmp_path):
 
 def test_sharding_of_clashing_columns_and_null_ids(spark, tmp_path):
     rows = [(None, "a", 1, None), (None, "b", None, "x"), (3, None, 2, "y"), (3, None, 2, "y")] + [(None, str(i), i, "z") for i in range(60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, arrival int, _arrival string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Arrival int, _ARRIVAL string")
     store = sharding.ShardStore(spark, str(tmp_path / "s"), docs.schema)
     store.append_all(docs, 4)
     assert sorted(map(str, store.read().collect())) == sorted(map(str, docs.collect()))
@@ -272,6 +273,16 @@ def test_sharding_survives_dying_writers(spark, docs, tmp_path):
     assert store.version() == version and store.read().count() == docs.count()
     assert store.sweep(older_than_s=3600) == 0 and store.sweep(older_than_s=-60) == 1
     assert store.read().count() == docs.count()
+    with pytest.raises(sharding.CommitConflict):  # so fresh a manifest may still be being written
+        store.append(docs)
+    late = sharding.ShardStore(spark, str(root), docs.schema, stale_s=-60)
+    assert late.append(docs) == version + 2 and late.versions() == [version, version + 2]
+    assert late.append(docs) == version + 3 and late.read().count() == 3 * docs.count()
+    body = json.dumps({"version": version + 1, "base": version, "runs": []})  # the writer was slow, not dead
+    (root / "manifest" / f"v{version + 1:08d}.json").write_text(f"{len(body)}\n{body}")
+    assert late.versions() == [version, version + 2, version + 3] and late.read().count() == 3 * docs.count()
+    late.sweep(older_than_s=-60)
+    assert not (root / "manifest" / f"v{version + 1:08d}.json").exists() and late.vacuum() == 0 and late.read().count() == 3 * docs.count()
 
 
 @pytest.mark.parametrize("n", [0, 1, 1023, 1024, 5000])
@@ -458,9 +469,39 @@ def test_html_of_equal_alone_and_long_pages(spark):
     rows = [(1, "https://e.example/1", page), (1, "https://e.example/1", page), (2, "https://e.example/2", page), (3, "https://f.example/1", page), (4, "https://f.example/1", page + "<p>new")]
     rows += [(5, "https://g.example/1", ""), (6, "https://g.example/2", page.replace("{i}", "6")), (7, "https://g.example/3", page.replace("{i}", "7"))]
     rows += [(8, "https://l.example/1", "".join(f"<p>line {i}" for i in range(50_000))), (9, "https://l.example/2", "<p>line 9<p>own")]
-    got = sorted((r.page_id, r.text) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect() if r.page_id != 8)
-    whole = "Slogan\n\nBody {i}\n\nRights"
-    assert got == [(1, whole), (1, whole), (2, whole), (3, whole), (4, whole + "\n\nnew"), (5, ""), (6, "Body 6"), (7, "Body 7"), (9, "own")]
+    got = sorted((r.page_id, r.text) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    whole, long = "Slogan\n\nBody {i}\n\nRights", "\n\n".join(f"line {i}" for i in range(50_000))
+    assert got == [(1, whole), (1, whole), (2, whole), (3, whole), (4, whole + "\n\nnew"), (5, ""), (6, "Body 6"), (7, "Body 7"), (8, long), (9, "line 9\n\nown")]
+
+
+def _texts(spark, *pages):
+    rows = [(i, url, page) for i, (url, page) in enumerate(pages)]
+    return [r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_html_reads_attributes_as_names_and_values(spark):
+    page = """<div style="overflow:hidden">Body <a href="/the-hidden-lake">the lake</a> ends.</div><p class='hidden-gem'>Gem</p><p title='a hidden cost' data-x=hidden>Cost</p><p title="class='ad'">Title</p>
+    <p hidden>no</p><p HIDDEN="">no</p><p style="color:red;display : none">no</p><p aria-hidden="true">no</p><p aria-hidden=false>Yes</p><span hidden>no</span>"""
+    assert _texts(spark, ("https://x.example/1", page)) == ["Body the lake ends.\n\nGem\n\nCost\n\nTitle\n\nYes"]
+
+
+def test_html_copies_of_a_page_and_shared_quotes_lose_nothing(spark):
+    body = "<h1>Headline</h1>" + "".join(f"<p>Paragraph {i} says what there is to say.</p>" for i in range(6))
+    copies = _texts(spark, ("https://n.example/story", body + "<p>version 1</p>"), ("https://n.example/story-print", body + "<p>version 2</p>"))
+    assert [x.split("\n\n")[0] for x in copies] == ["Headline"] * 2 and all(x.count("Paragraph") == 6 for x in copies)
+    pages = [(f"https://q.example/{i}", f"<div>Slogan</div><h1>Title of {i}</h1><p>Own text number {i} which is long.</p>{'<p>A quote</p>' if i < 2 else ''}<p>More of {i}, and some more.</p><div>Rights</div>") for i in range(5)]
+    for n in (2, 5):
+        for i, text in enumerate(_texts(spark, *pages[:n])):
+            assert ("A quote" in text) == (i < 2) and "Slogan" not in text and "Rights" not in text and text.count(f"{i}") == 3
+
+
+def test_html_boxes_in_articles_go_if_near_pages_have_them(spark):
+    page = "<article><h1>Title {i}</h1><p>Text of {i}, long enough to be the text.</p>{own}<div class='reader-comments'><p>Reader {i} says this.</p></div><ul class=comment-list id=c{i}><li>And {i} that</ul><div class='ad-slot'>Buy {i}</div><div class='share-box'>Share</div></article>"
+    own = {2: "<section class='related-work'><p>Work of others</p></section>", 4: "<div class='hidden-notice'>A notice of old</div>"}
+    pages = [(f"https://b.example/{i}", page.replace("{own}", own.get(i, "")).replace("{i}", str(i))) for i in range(6)]
+    got = _texts(spark, *pages)
+    extra = {2: "\n\nWork of others", 4: "\n\nA notice of old"}
+    assert got == [f"Title {i}\n\nText of {i}, long enough to be the text.{extra.get(i, '')}" for i in range(6)]
 
 
 def test_html_differencing_inside_articles(spark):
