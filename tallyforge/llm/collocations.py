@@ -4,7 +4,7 @@ Lower-cased (A-Z) texts are split at [.,;:!?\\x0A-\\x0D] into pieces and those i
 occurs LEAST times has only parts that do, so candidates grow word by word: nominate() counts keys (48 bits of a
 hash of language and words) of those windows whose parts may all be frequent. Mappers send their counts as sparse
 arrays in key order, a range of keys is summed in one place, and what reaches LEAST sets a bit in a table of
-TABLE_BITS bits. The table is what travels back: it has one size whatever the corpus, and bits that several keys
+at most 2 ** TABLE_BITS bits. The table is what travels back: it grows with the text up to that size, and bits that several keys
 share only let more candidates through. Counts travel with the tag (16 bits of a hash) of one text that has the
 window; a second table holds, for each key that may be frequent, one such tag, so that a common phrase is
 taken from few texts, not from every task. candidates() takes the windows all of whose parts have their bit from texts with
@@ -37,8 +37,9 @@ LONGEST = 4
 KEPT = 2000
 #: A longer candidate with so many hundredths of a phrase's count takes its place.
 TAKES = 80
-#: Size of the table of keys that may be frequent (16 MB), whatever the corpus.
+#: The largest table of keys that may be frequent has 2 ** 27 bits (16 MB), whatever the corpus; a range of keys has 2 ** 17 of them if it can.
 TABLE_BITS = 27
+RANGE_BITS = 17
 #: Bytes of text for each range of keys that is summed in one place.
 RANGE_BYTES = 4 << 20
 #: Windows whose keys a mapper holds before it sends their counts.
@@ -100,9 +101,13 @@ class Pieces:
             yield size, at, key
 
 
+def _bits(table: np.ndarray) -> int:
+    return (8 * len(table) - 1).bit_length()
+
+
 def has(table: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Whether the bits of keys are set."""
-    place = key >> np.uint64(64 - TABLE_BITS)
+    place = key >> np.uint64(64 - _bits(table))
     return (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
@@ -113,7 +118,7 @@ def _told(key48: np.ndarray, tag: np.ndarray, bits: int) -> np.ndarray:
 
 def witnessed(table: np.ndarray, key: np.ndarray, tag: np.ndarray, step: int) -> np.ndarray:
     """Whether keys are to be taken from texts with these tags; the first step bits of a key's place are its own."""
-    rest = TABLE_BITS - step
+    rest = _bits(table) - step
     place = key >> np.uint64(64 - step) << np.uint64(rest) | _told(key >> np.uint64(16), tag, rest)
     return (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
@@ -125,6 +130,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 def nominate(docs: DataFrame, tables: list[bytes], sizes: range, least: int, ranges: int) -> tuple[bytes, bytes]:
     """The tables of the keys of windows of these sizes that may occur least times, and of their tags. tables are those of the sizes below."""
     spark, step = docs.sparkSession, int(ranges).bit_length() - 1
+    wide = min(TABLE_BITS, step + RANGE_BITS)
     told, seen = spark.sparkContext.broadcast(tables), min(least, 255)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,9 +167,9 @@ def nominate(docs: DataFrame, tables: list[bytes], sizes: range, least: int, ran
             key, n, tag = key[order], n[order], tag[order]
             first = np.flatnonzero(np.diff(key, prepend=np.uint64(1 << 63)))
             often = first[np.add.reduceat(n, first, dtype=np.int64) >= least]
-            rest = TABLE_BITS - step
+            rest = wide - step
             out = [pa.array([part], pa.int32())]
-            for place in (key[often] >> np.uint64(48 - TABLE_BITS) & np.uint64((1 << rest) - 1), _told(key[often], tag[often].astype(np.uint64), rest)):
+            for place in (key[often] >> np.uint64(48 - wide) & np.uint64((1 << rest) - 1), _told(key[often], tag[often].astype(np.uint64), rest)):
                 table = np.zeros(1 << rest, np.bool_)
                 table[place] = True
                 out.append(pa.array([np.packbits(table, bitorder="little").tobytes()], pa.binary()))
@@ -173,10 +179,11 @@ def nominate(docs: DataFrame, tables: list[bytes], sizes: range, least: int, ran
             yield closed(part[0], rows)
 
     sums = _texts(docs).mapInArrow(tally, "part int, keys binary, counts binary, tags binary").repartition(max(shuffle_partitions(spark), ranges // 8), "part").sortWithinPartitions("part")
-    both = np.zeros((2, ranges, 1 << (TABLE_BITS - step - 3)), np.uint8)
+    both = np.zeros((2, ranges, 1 << (wide - step - 3)), np.uint8)
     for part, *got in sums.mapInArrow(bits, "part int, bits binary, told binary").collect():
         for table, part_bits in zip(both, got, strict=True):
             table[part] = np.frombuffer(part_bits, np.uint8)
+    told.destroy()
     return both[0].tobytes(), both[1].tobytes()
 
 
@@ -228,7 +235,9 @@ def candidates(docs: DataFrame, tables: list[bytes], tags: list[bytes], ranges:
                     names=["key", "lang", "phrase", "size", "keys"],
                 )
 
-    return _texts(docs).mapInArrow(run, "key long, lang string, phrase string, size int, keys array<long>").dropDuplicates(["key"])
+    rows = cut(_texts(docs).mapInArrow(run, "key long, lang string, phrase string, size int, keys array<long>").dropDuplicates(["key"]), "candidates")
+    told.destroy()
+    return rows
 
 
 class PerfectHash:
@@ -342,6 +351,7 @@ def _round(docs: DataFrame, rows: list, step: int, tables: list[bytes], longest:
     for r in sums.collect():
         got = np.frombuffer(r["counts"], np.int64)
         out[r["shard"]][r["block"] * BLOCK : r["block"] * BLOCK + len(got)] = got
+    told.destroy()
     return out
 
 
@@ -373,6 +383,7 @@ def counted(docs: DataFrame, found: DataFrame, tables: list[bytes], longest: int
                 yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.ListArray.from_arrays(offsets, pa.array(f))], names=["key", "lang", "phrase", "size", "keys", "f"])
 
         rows = cut(rows.mapInArrow(read, "key long, lang string, phrase string, size int, keys array<long>, f array<long>"), "counts")
+        told.destroy()
     discard(keys, hashes)
     return rows
 
@@ -404,7 +415,7 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, kept: int
             table, tag = nominate(docs, tables, sizes, least, ranges)
             tables += [table] * len(sizes)
             tags += [tag] * len(sizes)
-    found = cut(candidates(docs, tables, tags, ranges, longest), "candidates")
+    found = candidates(docs, tables, tags, ranges, longest)
     rows = counted(docs, found, tables, longest).where(F.col("f")[0] >= least).withColumn("a", F.col("f")[0])
     inside = F.lit(None)
     for size in range(longest, 2, -1):
