@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     if set_dir:
         return set_dir.rstrip("/")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyforge-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")

@@ -3,7 +3,9 @@
 A public vocabulary with byte fallback is a yardstick for text: prose of a language that it knows takes
 many characters per token, no byte tokens and a broad mix of tokens; junk takes few characters, bytes,
 or the same tokens again and again. Each text gets three measures (characters per token, share of byte
-tokens, entropy of its tokens relative to the most that its length allows). Each language, or script
+tokens, entropy of its tokens relative to the most that its length allows). A second vocabulary, of byte
+pairs, measures characters per token too; where it is given, a text has too few only if both say so, as a
+word that one vocabulary happens to lack is no sign of junk. Each language, or script
 where a row names no language, gets bands from the quartiles of all its documents, apart for each class
 of length (powers of two of the tokens), as short texts spread more and have more entropy; a text outside a
 band on the bad side is rejected, and so is one that fails the base rules (too few words, or too many
@@ -28,8 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import SPACE, as_bytes, cut, mix, ragged, raw_text, sized_broadcast, text_slices
+from tallyforge.llm.tokens import BYTE_PATTERN
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, n_tokens long, chars_per_token double, byte_share double, token_entropy double"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, n_tokens long, chars_per_token double, byte_share double, token_entropy double, chars_per_pair_token double"
 
 
 @dataclass(frozen=True)
@@ -77,17 +80,30 @@ def _processor(model: str):
     return SentencePieceProcessor(model_file=model)
 
 
+@cache
+def _pairs(path: str):
+    """A file of byte-pair ranks (a token in base 64 and its rank on each line); one for each Python worker."""
+    import base64
+
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("pairs", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class _Pieces:
-    """The piece ids of words; distinct words are encoded once until the table is full."""
+    """The piece ids of words; distinct words are encoded once until the table is full. pairs: how many tokens the second vocabulary needs for each."""
 
-    def __init__(self, model: str, most: int = 200_000):
-        self.model, self.most = _processor(model), most
+    def __init__(self, model: str, second: str | None = None, most: int = 200_000):
+        self.model, self.second, self.most = _processor(model), _pairs(second) if second else None, most
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.vocab_size())])
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict = defaultdict(count().__next__)
         self.flat, self.start, self.length, self.bytes = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pairs = np.empty(0, np.int64)
 
     def codes(self, words: list[list[bytes]]) -> np.ndarray:
         """A number for each word, the same for the same word."""
@@ -96,7 +112,11 @@ class _Pieces:
         known, get = len(self.index), self.index.__getitem__
         out = [np.fromiter(map(get, w), np.int64, len(w)) for w in words]
         if len(self.index) > known:
-            ids = self.model.encode([w.decode() for w in islice(self.index, known, None)], num_threads=1)
+            new = [w.decode() for w in islice(self.index, known, None)]
+            ids = self.model.encode(new, num_threads=1)
+            if self.second:
+                cut_ = self.second.encode_ordinary
+                self.pairs = np.concatenate([self.pairs, np.fromiter((len(cut_(f" {w}")) for w in new), np.int64, len(new))])
             length = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((i for x in ids for i in x), np.int64, int(length.sum()))
             ends = np.cumsum(length)
@@ -134,11 +154,11 @@ def _repeated(codes: np.ndarray, doc: np.ndarray, ends: np.ndarray) -> np.ndarra
     return _sums(np.cumsum(edge[:n]) > 0, ends)
 
 
-def measures(docs: DataFrame, model: str, keep: list[str]) -> DataFrame:
-    """The columns of keep with MEASURES of every whole text."""
+def measures(docs: DataFrame, model: str, keep: list[str], second: str | None = None) -> DataFrame:
+    """The columns of keep with MEASURES of every whole text; the last is null without a second vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _Pieces(model)
+        pieces = _Pieces(model, second)
         for b in text_slices(batches, column=0):
             raw, offsets = raw_text(b.column(0))
             texts = as_bytes(b.column(0))
@@ -171,7 +191,8 @@ def measures(docs: DataFrame, model: str, keep: list[str]) -> DataFrame:
                 np.array(_SCRIPTS)[by_script.argmax(1)], n_tokens, chars / n,
                 _sums(pieces.bytes[codes], ends) / n, entropy / np.log2(np.maximum(n, 2)),
             ]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *map(pa.array, out)], names=[*b.schema.names[1:], *(x.split()[0] for x in MEASURES.split(", "))])
+            pairs = pa.array(chars / np.maximum(_sums(pieces.pairs[codes], ends), 1)) if second else pa.nulls(len(texts), pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *map(pa.array, out), pairs], names=[*b.schema.names[1:], *(x.split()[0] for x in MEASURES.split(", "))])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), MEASURES])
     return docs.select("text", *keep).mapInArrow(run, schema)
@@ -188,36 +209,38 @@ def judge(measured: DataFrame, rules: Rules = Rules()) -> DataFrame:
     least = F.col("token_entropy")[0] - rules.entropy_reach * span("token_entropy")
 
     def bands(*by: str) -> DataFrame:
-        return rows.where(~F.col("base_failed")).groupBy(*by).agg(F.count("*").alias("n"), F.expr("percentile(n_tokens, 0.5)").alias("usual"), spread("chars_per_token"), spread("byte_share"), spread("token_entropy"))
+        return rows.where(~F.col("base_failed")).groupBy(*by).agg(F.count("*").alias("n"), F.expr("percentile(n_tokens, 0.5)").alias("usual"), spread("chars_per_token"), spread("byte_share"), spread("token_entropy"), spread("chars_per_pair_token"))
 
-    narrow = bands("band", "_length").where(F.col("n") >= rules.min_group).select("band", "_length", (F.col("chars_per_token")[0] - rules.reach * span("chars_per_token")).alias("_chars"), most.alias("_bytes"), least.alias("_entropy"))
-    wide = bands("band").select("band", F.col("chars_per_token")[0].alias("_low"), (rules.reach * span("chars_per_token")).alias("_reach"), "usual", most.alias("_all_bytes"), F.least(least, F.lit(rules.entropy_floor)).alias("_all_entropy"))
+    narrow = bands("band", "_length").where(F.col("n") >= rules.min_group).select("band", "_length", (F.col("chars_per_token")[0] - rules.reach * span("chars_per_token")).alias("_chars"), most.alias("_bytes"), least.alias("_entropy"), (F.col("chars_per_pair_token")[0] - rules.reach * span("chars_per_pair_token")).alias("_pairs"))
+    wide = bands("band").select("band", F.col("chars_per_token")[0].alias("_low"), (rules.reach * span("chars_per_token")).alias("_reach"), "usual", most.alias("_all_bytes"), F.least(least, F.lit(rules.entropy_floor)).alias("_all_entropy"), F.col("chars_per_pair_token")[0].alias("_low_pairs"), (rules.reach * span("chars_per_pair_token")).alias("_reach_pairs"))
     # a mean over fewer tokens spreads more, by the root of their number
     shorter = F.sqrt(F.greatest(F.col("usual") / F.col("n_tokens"), F.lit(1.0)))
     least_chars = F.coalesce("_chars", F.least(F.col("_low") - F.col("_reach") * shorter, F.lit(rules.chars_floor)))
+    least_pairs = F.coalesce("_pairs", F.least(F.col("_low_pairs") - F.col("_reach_pairs") * shorter, F.lit(rules.chars_floor)))
+    agreed = F.col("chars_per_pair_token").isNull() | (F.col("chars_per_pair_token") < least_pairs)
     long_enough = F.col("n_tokens") >= rules.min_tokens
     return (
         rows.join(sized_broadcast(narrow, 10_000), ["band", "_length"], "left")
         .join(sized_broadcast(wide, 10_000), "band", "left")
-        .withColumn("few_chars", long_enough & (F.col("chars_per_token") < least_chars))
+        .withColumn("few_chars", long_enough & (F.col("chars_per_token") < least_chars) & agreed)
         .withColumn("many_bytes", long_enough & (F.col("byte_share") > F.coalesce("_bytes", "_all_bytes")))
         .withColumn("low_entropy", long_enough & (F.col("token_entropy") < F.coalesce("_entropy", "_all_entropy")))
         .withColumn("kept", ~(F.col("base_failed") | F.coalesce(F.col("few_chars") | F.col("many_bytes") | F.col("low_entropy"), F.lit(False))))
-        .drop("_length", "_chars", "_bytes", "_entropy", "_low", "_reach", "usual", "_all_bytes", "_all_entropy")
+        .drop("_length", "_chars", "_bytes", "_entropy", "_low", "_reach", "usual", "_all_bytes", "_all_entropy", "_pairs", "_low_pairs", "_reach_pairs")
     )
 
 
-def score(docs: DataFrame, model: str, rules: Rules = Rules()) -> DataFrame:
+def score(docs: DataFrame, model: str, rules: Rules = Rules(), second: str | None = None) -> DataFrame:
     """Per row: doc_id, the measures, the language or script it is judged by, and kept."""
-    return judge(cut(measures(docs, model, ["doc_id", "lang"])), rules)
+    return judge(cut(measures(docs, model, ["doc_id", "lang"], second)), rules)
 
 
-def keep_good(docs: DataFrame, model: str, rules: Rules = Rules()) -> DataFrame:
+def keep_good(docs: DataFrame, model: str, rules: Rules = Rules(), second: str | None = None) -> DataFrame:
     """The rows of docs that pass, with the columns of docs."""
     own = [c for c in docs.columns if c not in ("text", "lang")]
     clash = {c: f"_own_{i}" for i, c in enumerate(own)}
     renamed = docs.select("text", "lang", F.col("text").alias("_own_text"), *(F.col(f"`{c}`").alias(clash[c]) for c in own))
-    judged = judge(cut(measures(renamed, model, ["lang", "_own_text", *clash.values()])), rules)
+    judged = judge(cut(measures(renamed, model, ["lang", "_own_text", *clash.values()], second)), rules)
     back = {new: old for old, new in clash.items()} | {"_own_text": "text", "lang": "lang"}
     order = {old: new for new, old in back.items()}
     return judged.where("kept").select(*(F.col(f"`{order[c]}`").alias(c) for c in docs.columns))
