@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyforge.operators import search
+from tallyforge.operators.components import connected, kept
 
 LAG_DAYS = 2
 
@@ -94,11 +95,12 @@ def search_terms(found: DataFrame, moves: DataFrame) -> DataFrame:
     return keyed.join(took, "unit").select("credit_id", "type", "id", "signed_paise")
 
 
-_SOLVED = "credit_id string, tier string, outcome string, reason string, unit_ids array<string>, residual_paise long"
+_SOLVED = "credit_id string, tier string, outcome string, reason string, subset_reason string, unit_ids array<string>, residual_paise long, n_candidates long, competing array<struct<unit_ids:array<string>,sum_paise:bigint>>"
 
 
-def _solve(credits: list[dict], before: int, after: int) -> list[tuple]:
-    """Subset sums in the order of credit ids with growing claims, then one assignment of the rest. credits carry their units."""
+def _solve(credits: list[dict]) -> list[tuple]:
+    """Subset sums in the order of credit ids with growing claims, then one assignment of the rest. credits carry their units,
+    the cheapest ones if most (n_units) would not do."""
     units: dict[str, tuple] = {}
     for c in credits:
         for u in c["units"]:
@@ -107,51 +109,79 @@ def _solve(credits: list[dict], before: int, after: int) -> list[tuple]:
     out, rest = [], []
     for c in sorted(credits, key=lambda x: x["id"]):
         near = sorted(u["unit_id"] for u in c["units"] if u["unit_id"] not in claimed)
-        state, ways = search.subset_sum([units[k][1] for k in near], c["amount_paise"])
-        if state == "found" and len(ways) == 1:
+        n = c["n_units"] - len(c["units"]) + len(near)
+        state, ways = search.subset_sum([units[k][1] for k in near], c["amount_paise"]) if c["n_units"] == len(c["units"]) else ("too_many_units", [])
+        if not c["n_units"] and c["foreign"]:
+            out.append((c["id"], "subset_sum", "unresolved", "currency_mismatch", None, [], c["amount_paise"], 0, []))
+        elif state == "found" and len(ways) == 1:
             took = [near[i] for i in ways[0]]
             claimed.update(took)
-            out.append((c["id"], "subset_sum", "resolved", None, took, 0))
+            out.append((c["id"], "subset_sum", "resolved", None, None, took, 0, n, []))
         elif state == "found":
-            out.append((c["id"], "subset_sum", "ambiguous", "several_subsets", [], c["amount_paise"]))
+            out.append((c["id"], "subset_sum", "ambiguous", "several_subsets", None, [], c["amount_paise"], n, [([near[i] for i in w], c["amount_paise"]) for w in ways]))
         elif state == "node_budget":
-            out.append((c["id"], "subset_sum", "unresolved", "node_budget", [], c["amount_paise"]))
+            out.append((c["id"], "subset_sum", "unresolved", "node_budget", None, [], c["amount_paise"], n, []))
         else:
-            rest.append((c, state))
-    costs = [{u["unit_id"]: int(u["cost"]) for u in c["units"] if u["unit_id"] not in claimed} for c, _ in rest]
-    for (c, state), own, (unit, tied) in zip(rest, costs, search.pair_up(costs), strict=True):
+            rest.append((c, "too_many_units" if state == "too_many_units" else "none" if n else "no_units", n))
+    costs = [{u["unit_id"]: int(u["cost"]) for u in c["units"] if u["unit_id"] not in claimed} for c, _, _ in rest]
+    for i, ((c, state, n), (unit, tied)) in enumerate(zip(rest, search.pair_up(costs), strict=True)):
         if unit is not None and not tied:
-            out.append((c["id"], "assignment", "resolved", None, [unit], c["amount_paise"] - units[unit][1]))
+            out.append((c["id"], "assignment", "resolved", None, state, [unit], c["amount_paise"] - units[unit][1], n, []))
         elif unit is not None:
-            out.append((c["id"], "assignment", "ambiguous", "assignment_tie", [], c["amount_paise"]))
+            names = [x for x in (unit, search.rival(costs, i, unit)) if x]
+            out.append((c["id"], "assignment", "ambiguous", "assignment_tie", state, [], c["amount_paise"], n, [([x], units[x][1]) for x in names]))
         else:
-            reason = "no_assignment_feasible" if own or c["units"] else state
-            out.append((c["id"], "assignment" if own or c["units"] else "subset_sum", "unresolved", reason, [], c["amount_paise"]))
+            reason = "no_assignment_feasible" if costs[i] or c["units"] else "none"
+            out.append((c["id"], "assignment" if costs[i] or c["units"] else "subset_sum", "unresolved", reason, state, [], c["amount_paise"], n, []))
     return out
 
 
+def _reach(n_credits: Column) -> Column:
+    """How many of its cheapest units a credit needs in a group of so many: the others claim up to search.MOST_UNITS each by subset
+    sums and one by assignment, and one more shows a tie; with more than that left it is over the limit of subset sums anyway."""
+    return (search.MOST_UNITS + 1) * n_credits + 1
+
+
+def grouped(credits: DataFrame, met: DataFrame) -> DataFrame:
+    """id, amount_paise, value_date, component and n_credits: which credits hang together by units of met(id, unit_id), and with how many."""
+    edges = met.select(F.concat(F.lit("c"), "id").alias("a"), F.concat(F.lit("u"), "unit_id").alias("b"))
+    parts = connected(edges).where("node LIKE 'c%'").select(F.substring("node", 2, 1 << 30).alias("id"), "component")
+    rows = credits.join(parts, "id", "left").withColumn("component", F.coalesce("component", F.concat(F.lit("c"), "id")))
+    return rows.withColumn("n_credits", F.count("*").over(Window.partitionBy("component"))).select("id", "amount_paise", "value_date", "component", "n_credits")
+
+
 def searched(credits: DataFrame, units: DataFrame, before: int = 5, after: int = 5) -> DataFrame:
-    """credits without a key solved by search: credit_id, tier, outcome, reason, unit_ids, residual_paise.
+    """credits without a key solved by search: credit_id, tier, outcome, reason, subset_reason (why subset sums gave up on what assignment
+    looked at), unit_ids, residual_paise, n_candidates, competing (sets of units that do as well).
 
     The assignment's cost is pair_cost(); a credit without narration and a unit without text are unlike all others.
 
-    Claims only meet between credits of one merchant whose windows overlap, so each run of overlapping
-    windows is a group of its own; its size is that of a few days of one merchant, whatever the history.
+    Claims only meet between credits that share a unit of their windows, directly or through others, so
+    each component of that graph is a group of its own. A window's units are counted and ranked by cost
+    before any are gathered, and a credit brings only as many as its group can make it need.
     """
-    starts = Window.partitionBy("merchant_id").orderBy("value_date", "id")
-    gap = F.datediff("value_date", F.lag("value_date").over(starts)) >= before + after
-    islands = credits.withColumn("island", F.sum(F.coalesce(gap, F.lit(True)).cast("int")).over(starts))
-    met = candidates(islands, units, before, after)
+    met = candidates(credits, units, before, after)
     says = lambda c: F.coalesce(c, F.lit("")) if c in met.columns else F.lit("")
-    met = met.withColumn("cost", pair_cost(F.col("value_date"), F.col("amount_paise"), says("narration"), F.col("unit_day"), F.col("unit_paise"), says("unit_text")))
-    near = met.groupBy("id").agg(F.collect_list(F.struct("unit_id", "unit_paise", "unit_day", "cost")).alias("units"))
-    ready = islands.join(near, "id", "left").select("merchant_id", "island", "id", "amount_paise", "value_date", F.coalesce("units", F.array().cast("array<struct<unit_id:string,unit_paise:bigint,unit_day:date,cost:bigint>>")).alias("units"))
+    cost = pair_cost(F.col("value_date"), F.col("amount_paise"), says("narration"), F.col("unit_day"), F.col("unit_paise"), says("unit_text"))
+    met = kept(met.select("id", "unit_id", "unit_paise", "unit_day", cost.alias("cost")))
+    group = kept(grouped(credits, met))
+    foreign = F.lit(False)
+    if "currency" in credits.columns and "currency" in units.columns:  # is it the currency alone that leaves a credit without units?
+        alone = credits.join(met.select("id").distinct(), "id", "left_anti").drop("currency")
+        group = group.join(candidates(alone, units.drop("currency"), before, after).select("id").distinct().withColumn("other", F.lit(True)), "id", "left")
+        foreign = F.coalesce("other", F.lit(False))
+    of = Window.partitionBy("id")
+    ranked = met.withColumn("n_units", F.count("*").over(of)).withColumn("nth", F.row_number().over(of.orderBy("cost", "unit_id"))).join(group.select("id", "n_credits"), "id").where(F.col("nth") <= _reach(F.col("n_credits")))
+    near = ranked.groupBy("id").agg(F.collect_list(F.struct("unit_id", "unit_paise", "unit_day", "cost")).alias("units"), F.first("n_units").alias("n_units"))
+    ready = group.join(near, "id", "left").select("component", "id", "amount_paise", "value_date", foreign.alias("foreign"), F.coalesce("n_units", F.lit(0)).alias("n_units"), F.coalesce("units", F.array().cast("array<struct<unit_id:string,unit_paise:bigint,unit_day:date,cost:bigint>>")).alias("units"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [r | {"amount_paise": int(r["amount_paise"]), "units": list(r["units"])} for r in pdf.to_dict("records")]
-        return pd.DataFrame(_solve(rows, before, after), columns=["credit_id", "tier", "outcome", "reason", "unit_ids", "residual_paise"])
+        rows = [r | {"amount_paise": int(r["amount_paise"]), "n_units": int(r["n_units"]), "units": list(r["units"])} for r in pdf.to_dict("records")]
+        names = [x.split()[0] for x in _SOLVED.split(", ")]
+        solved = [(*r[:-1], [{"unit_ids": u, "sum_paise": s} for u, s in r[-1]]) for r in _solve(rows)]
+        return pd.DataFrame(solved, columns=names)
 
-    return ready.groupBy("merchant_id", "island").applyInPandas(run, _SOLVED)
+    return ready.groupBy("component").applyInPandas(run, _SOLVED)
 
 
 def proofs(matched: DataFrame, ledger: DataFrame) -> DataFrame:

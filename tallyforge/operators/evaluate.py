@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyforge.operators import scoring
+
 
 def outcomes(finding_rows: DataFrame, truth: DataFrame) -> DataFrame:
     """Per finding: what it touches in truth(payment_id, code, class): true_positive, misclassified or false_positive."""
@@ -27,15 +29,15 @@ def confusion(finding_rows: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def full_confusion(finding_rows: DataFrame, truth: DataFrame, *by: str) -> DataFrame:
-    """true_class by class with both sentinels: no_discrepancy (a finding on nothing) and not_detected (planted, nothing found).
+    """true_class by class with both sentinels: no_discrepancy (a finding on nothing) and not_detected (planted, no finding is right about it).
 
     by: columns of both sides that tell runs apart. Pool runs with pooled().
     """
     found = outcomes(finding_rows.drop(*by), truth.drop(*by)) if by else outcomes(finding_rows, truth)
     if by:
         found = found.join(finding_rows.select("id", *by), "id")
-    touched = finding_rows.select("payment_id").distinct()
-    missed = truth.join(touched, "payment_id", "left_anti").select(*by, F.col("class").alias("true_class"), F.lit("not_detected").alias("class"))
+    right = finding_rows.select("payment_id", "class").distinct()
+    missed = truth.join(right, ["payment_id", "class"], "left_anti").select(*by, F.col("class").alias("true_class"), F.lit("not_detected").alias("class"))
     rows = found.select(*by, F.coalesce("true_class", F.lit("no_discrepancy")).alias("true_class"), "class").unionByName(missed)
     return rows.groupBy(*by, "true_class", "class").agg(F.count("*").alias("n"))
 
@@ -141,11 +143,7 @@ def _tail(errors: int, n: int, p: float) -> float:
 
 
 def auto_threshold(points: DataFrame, target_bps: int = 50) -> int | None:
-    """The lowest confidence from which every source's error bound is on target (None: unreachable); a source without points there risks nothing."""
-    rows = points.groupBy("source", "confidence_bps").agg(F.count("*").alias("n"), F.sum("correct").alias("right")).collect()
-    sources = {r["source"] for r in rows}
-    for t in sorted({r["confidence_bps"] for r in rows}):
-        at = {s: [(r["n"], r["right"]) for r in rows if r["source"] == s and r["confidence_bps"] >= t] for s in sources}
-        if all(not v or clopper_pearson_upper_bps(sum(n - k for n, k in v), sum(n for n, _ in v)) <= target_bps for v in at.values()):
-            return t
-    return None
+    """scoring.auto_threshold() of points(source, confidence_bps, correct) as a number (None: unreachable)."""
+    rows = points.select("source", F.col("confidence_bps").alias("calibrated_bps"), (F.col("correct") == 1).alias("label"))
+    found = scoring.auto_threshold(rows, target_bps).first()["auto_min_bps"]
+    return None if found > 10_000 else found

@@ -56,7 +56,8 @@ def run_findings(run_id: str, cell_rows: DataFrame, payments: DataFrame, proven:
     """Every finding of the resolved credits, proven(credit_id, settlement_id), numbered within its credit.
 
     Order: each payment's fees and then its taxes by fee type, won chargebacks without a reversal, the
-    refund that a shortfall equals. Reversals are used up in the order of credits and chargebacks.
+    refund that a shortfall equals. Reversals are used up in the order of credits and chargebacks, within
+    a run where chargebacks and adjustments have one.
     id, credit_id, class, ref_id (payment, chargeback or refund), fee_type, impact_paise, gross_paise.
     """
     credit = proven.select("credit_id", "settlement_id")
@@ -69,9 +70,10 @@ def run_findings(run_id: str, cell_rows: DataFrame, payments: DataFrame, proven:
     off = cell_rows.where("fee_delta <> 0 OR tax_delta <> 0").join(own, "payment_id").join(credit, "settlement_id").withColumn("s", F.explode(F.filter(sides, lambda s: s["class"].isNotNull())))
     rows = off.select("credit_id", F.lit(0).alias("kind"), F.col("payment_id").alias("ref_id"), "s.side", "s.class", "fee_type", F.col("s.impact").alias("impact_paise"), "gross_paise")
 
-    pool = adjustments.where("kind = 'manual_credit'").groupBy("amount_paise").agg(F.count("*").alias("n_credits"))
-    nth = F.row_number().over(Window.partitionBy("amount_paise").orderBy("credit_id", "id"))
-    won = chargebacks.where("stage = 'won'").join(credit, "settlement_id").withColumn("nth", nth).join(pool, "amount_paise", "left").where(F.col("nth") > F.coalesce("n_credits", F.lit(0)))
+    like = ["amount_paise", *(c for c in ("run",) if c in chargebacks.columns and c in adjustments.columns)]
+    pool = adjustments.where("kind = 'manual_credit'").groupBy(*like).agg(F.count("*").alias("n_credits"))
+    nth = F.row_number().over(Window.partitionBy(*like).orderBy("credit_id", "id"))
+    won = chargebacks.where("stage = 'won'").join(credit, "settlement_id").withColumn("nth", nth).join(pool, like, "left").where(F.col("nth") > F.coalesce("n_credits", F.lit(0)))
     short = refund_findings(conserved, refunds).select("credit_id", F.col("refund_id").alias("id"), F.col("refund_paise").alias("amount_paise"))
     for df, kind, name in ((won, 1, "chargeback_amount_mismatch"), (short, 2, "refund_amount_mismatch")):
         rows = rows.unionByName(df.select("credit_id", F.lit(kind).alias("kind"), F.col("id").alias("ref_id"), F.lit(0).alias("side"), F.lit(name).alias("class"), none.cast("string").alias("fee_type"), F.col("amount_paise").alias("impact_paise"), none.cast("long").alias("gross_paise")))
@@ -80,6 +82,17 @@ def run_findings(run_id: str, cell_rows: DataFrame, payments: DataFrame, proven:
     return rows.withColumn("id", F.concat(F.lit(f"FND-{run_id}-"), "credit_id", F.lit("-"), number)).select("id", "credit_id", "class", "ref_id", "fee_type", "impact_paise", "gross_paise")
 
 
+def finding_evidence(finding_rows: DataFrame, fee_lines: DataFrame, tax_lines: DataFrame) -> DataFrame:
+    """The records that findings of run_findings() cite: finding_id, type, id. Fees cite the payment's lines of the fee type, taxes the tax lines on those."""
+    lines = fee_lines.select(F.col("applies_to_id").alias("ref_id"), "fee_type", F.col("id").alias("fee_id"))
+    own = finding_rows.select(F.col("id").alias("finding_id"), "class", "ref_id", "fee_type")
+    met = own.join(lines, ["ref_id", "fee_type"])
+    fees = met.where("class IN ('fee_overcharge', 'fee_undercharge')").select("finding_id", F.lit("fee_line").alias("type"), F.col("fee_id").alias("id"))
+    taxes = met.where("class = 'tax_miscalculation'").join(tax_lines.select(F.col("applies_to_fee_id").alias("fee_id"), "id"), "fee_id").select("finding_id", F.lit("tax_line").alias("type"), "id")
+    kind = F.when(F.col("class") == "chargeback_amount_mismatch", "chargeback").when(F.col("class") == "refund_amount_mismatch", "refund")
+    return fees.unionByName(taxes).unionByName(own.select("finding_id", kind.alias("type"), F.col("ref_id").alias("id")).where("type IS NOT NULL"))
+
+
 def cluster_members(run_id: str, finding_rows: DataFrame, fee_lines: DataFrame) -> DataFrame:
     """run_findings() with rule_id, bucket_bps and cluster_id: one row for each finding, so no list grows with a cluster.
 

@@ -72,6 +72,21 @@ TABLES = {
     "batches": """SELECT settlement_id AS id, CAST(substr(settlement_id, 5, 2) AS BIGINT) + 25 * (12 * CAST(substr(settlement_id, 8, 4) AS BIGINT) + CAST(substr(settlement_id, 12, 2) AS BIGINT)) AS b, concat('UTR', substr(settlement_id, 5, 2), substr(settlement_id, 8, 6), '000000000') AS utr, concat('M-', substr(settlement_id, 5, 2)) AS merchant_id,
  last_day(max(day)) AS cycle_end, CAST(sum(signed_paise) AS BIGINT) AS net_paise FROM ledger WHERE settlement_id IS NOT NULL GROUP BY settlement_id""",
     "first_refunds": """SELECT stl, min(id) AS id FROM refunds GROUP BY stl""",
+    "cell_money": f"""SELECT t.id, t.defect, t.amount_paise, coalesce(r.fee, 0) AS r_fee, coalesce(r.tax, 0) AS r_tax, coalesce(e.fee, 0) AS e_fee, coalesce(e.tax, 0) AS e_tax FROM tagged t
+ LEFT JOIN (SELECT f.k, sum(f.amount_paise) AS fee, sum(x.amount_paise) AS tax FROM fee_lines f JOIN tax_lines x ON x.applies_to_fee_id = f.id GROUP BY f.k) r ON r.k = t.k
+ LEFT JOIN (SELECT k, sum(fee_paise) AS fee, sum({_bps("fee_paise", "1800")}) AS tax FROM priced GROUP BY k) e ON e.k = t.k WHERE t.defect <> 'none'""",
+    "stale_lines": """SELECT f.id, f.amount_paise, p.stl, p.card_type FROM fee_lines f JOIN tagged p ON p.id = f.applies_to_id WHERE f.defect = 'stale_rate' AND f.fee_type = 'mdr'""",
+    "planted": """SELECT concat('GT-', c.id) AS item, c.defect AS code, CASE WHEN c.defect = 'tax_on_gross' THEN 'tax_miscalculation' WHEN c.defect = 'orphan' THEN 'missing_transaction' WHEN c.defect = 'stale_rate' AND p.card_type = 'credit' THEN 'fee_undercharge' ELSE 'fee_overcharge' END AS class,
+ CAST(CASE WHEN c.defect = 'orphan' THEN c.amount_paise WHEN c.defect = 'tax_on_gross' THEN abs(c.r_tax - c.e_tax) ELSE abs(c.r_fee - c.e_fee) END AS BIGINT) AS impact_paise FROM cell_money c JOIN tagged p ON p.id = c.id
+ UNION ALL SELECT concat('GT-STALE-', stl), 'stale_settlement', 'fee_undercharge', CAST(sum(amount_paise) AS BIGINT) FROM stale_lines GROUP BY stl
+ UNION ALL SELECT concat('GT-', id), 'unreversed', 'chargeback_amount_mismatch', amount_paise FROM chargebacks WHERE stage = 'won' AND k % 5 = 2
+ UNION ALL SELECT concat('GT-TWICE-', f.id), 'refund_taken_twice', 'duplicate_settlement', r.amount_paise FROM first_refunds f JOIN refunds r ON r.id = f.id JOIN batches x ON x.id = f.stl WHERE x.b % 29 = 8""",
+    "planted_records": """SELECT concat('GT-', id) AS item, 'payment' AS type, id FROM tagged WHERE defect = 'orphan'
+ UNION ALL SELECT concat('GT-', f.applies_to_id), 'fee_line', f.id FROM fee_lines f WHERE (f.defect IN ('wrong_tier', 'cap_ignored', 'stale_rate') AND f.fee_type = 'mdr') OR (f.defect = 'duplicate_fixed' AND f.fee_type = 'fixed') OR (f.defect = 'domestic_surcharge' AND f.fee_type = 'international')
+ UNION ALL SELECT concat('GT-', t.payment_id), 'tax_line', t.id FROM tax_lines t JOIN tagged p ON p.id = t.payment_id WHERE p.defect = 'tax_on_gross'
+ UNION ALL SELECT concat('GT-STALE-', stl), 'fee_line', id FROM stale_lines
+ UNION ALL SELECT concat('GT-', id), 'chargeback', id FROM chargebacks WHERE stage = 'won' AND k % 5 = 2 UNION ALL SELECT concat('GT-', id), 'payment', payment_id FROM chargebacks WHERE stage = 'won' AND k % 5 = 2
+ UNION ALL SELECT concat('GT-TWICE-', f.id), 'refund', f.id FROM first_refunds f JOIN batches x ON x.id = f.stl WHERE x.b % 29 = 8""",
     "bank_credits": """SELECT concat('BC-', lpad(CAST(b AS STRING), 6, '0'), '-', CAST(half AS STRING)) AS id, merchant_id, CASE WHEN b % 17 = 4 THEN substr(utr, 1, 12) ELSE utr END AS utr,
  CASE WHEN b % 31 <> 10 THEN net ELSE CASE WHEN half = 1 THEN CAST((net - net % 2) / 2 AS BIGINT) ELSE net - CAST((net - net % 2) / 2 AS BIGINT) END END AS amount_paise, cycle_end + 2 AS value_date, concat('neft settlement ', lower(bid), ' ', lower(utr)) AS narration
  FROM (SELECT x.id AS bid, x.b, x.utr, x.merchant_id, x.cycle_end, x.net_paise - CASE WHEN x.b % 29 = 8 THEN coalesce(r.amount_paise, 0) ELSE 0 END AS net FROM batches x LEFT JOIN first_refunds f ON f.stl = x.id LEFT JOIN refunds r ON r.id = f.id WHERE x.b % 23 <> 6) s
@@ -118,6 +133,12 @@ class Derived:
             self._made[name] = make().persist()
         return self._made[name]
 
+    def once(self, name: str, make: Callable[[], object]) -> object:
+        """What make() gives, made once for all that asks under this name."""
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES and name not in BASE:
             raise AttributeError(name)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import money
-from tallyforge.operators import contract, decompose, evaluate, ingest, ledger, verify
+from tallyforge.operators import contract, decompose, evaluate, ingest, ledger, scoring, verify
 from tallyforge.plans.derived import Derived, _bps, with_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,27 +82,46 @@ def mcc_prefix_match(d: Derived) -> DataFrame:
     return d.payments.join(F.broadcast(patterns), contract.mcc_matches(F.col("pattern"), F.col("mcc"))).groupBy("pattern").agg(F.count("*").alias("n"))
 
 
-_MORE = "('x.card.any', 'mdr', 'card', NULL, NULL, 100000, 300000, DATE '1996-01-01', NULL, 170, 0, NULL)"
+_EXTRA = "SELECT 'x.card.any' AS rule_id, 'mdr' AS fee_type, 'card' AS method, CAST(NULL AS STRING) AS card_type, CAST(NULL AS BOOLEAN) AS is_international, 100000 AS amount_min, 300000 AS amount_max, DATE '1996-01-01' AS effective_from, CAST(NULL AS DATE) AS effective_to, 170 AS rate_bps, 0 AS fixed_fee, CAST(NULL AS BIGINT) AS cap"
+#: Whether rule r applies to payment p.
+_APPLIES = """r.method = p.method AND (r.card_type IS NULL OR r.card_type = p.card_type) AND (r.is_international IS NULL OR r.is_international = p.is_international) AND p.amount_paise >= r.amount_min AND (r.amount_max IS NULL OR p.amount_paise < r.amount_max)
+ AND p.day >= r.effective_from AND (r.effective_to IS NULL OR p.day < r.effective_to)"""
 
 
-@_query("""WITH r AS (SELECT rule_id, fee_type, method, card_type, is_international AS i, amount_min AS lo, coalesce(amount_max, 4611686018427387904) AS hi, effective_from AS f, coalesce(effective_to, DATE '9999-12-31') AS t FROM rules
- UNION ALL SELECT 'x.card.any', 'mdr', 'card', NULL, NULL, 100000, 300000, DATE '1996-01-01', DATE '9999-12-31')
- SELECT a.rule_id AS rule_a, b.rule_id AS rule_b FROM r a JOIN r b ON a.rule_id < b.rule_id AND a.fee_type = b.fee_type AND a.method = b.method AND (a.card_type IS NULL OR b.card_type IS NULL OR a.card_type = b.card_type) AND (a.i IS NULL OR b.i IS NULL OR a.i = b.i)
- AND greatest(a.lo, b.lo) < least(a.hi, b.hi) AND greatest(a.f, b.f) < least(a.t, b.t)""")
+def shared_payments(pairs: DataFrame, hits: DataFrame) -> DataFrame:
+    """pairs(rule_a, rule_b) with n_payments: how many of hits(id, rule_id) both rules apply to. A payment has few rules, so they are paired payment by payment."""
+    both = hits.groupBy("id").agg(F.array_sort(F.collect_set("rule_id")).alias("r")).where(F.size("r") > 1)
+    met = both.select(F.explode("r").alias("rule_a"), "r").select("rule_a", F.explode("r").alias("rule_b")).where("rule_a < rule_b").groupBy("rule_a", "rule_b").agg(F.count("*").alias("n_payments"))
+    return pairs.join(met, ["rule_a", "rule_b"], "left").na.fill(0, ["n_payments"])
+
+
+@_query(f"""WITH rr AS (SELECT rule_id, fee_type, method, card_type, is_international, amount_min, amount_max, effective_from, effective_to FROM rules UNION ALL SELECT rule_id, fee_type, method, card_type, is_international, amount_min, amount_max, effective_from, effective_to FROM ({_EXTRA}) e),
+ r AS (SELECT *, is_international AS i, amount_min AS lo, coalesce(amount_max, 4611686018427387904) AS hi, effective_from AS f, coalesce(effective_to, DATE '9999-12-31') AS t FROM rr), h AS (SELECT p.id, r.rule_id FROM payments p JOIN rr r ON {_APPLIES}),
+ n AS (SELECT a.rule_id AS rule_a, b.rule_id AS rule_b, count(*) AS n FROM h a JOIN h b ON a.id = b.id AND a.rule_id < b.rule_id GROUP BY ALL)
+ SELECT a.rule_id AS rule_a, b.rule_id AS rule_b, coalesce(n.n, 0) AS n_payments FROM r a JOIN r b ON a.rule_id < b.rule_id AND a.fee_type = b.fee_type AND a.method = b.method AND (a.card_type IS NULL OR b.card_type IS NULL OR a.card_type = b.card_type) AND (a.i IS NULL OR b.i IS NULL OR a.i = b.i)
+ AND greatest(a.lo, b.lo) < least(a.hi, b.hi) AND greatest(a.f, b.f) < least(a.t, b.t) LEFT JOIN n ON n.rule_a = a.rule_id AND n.rule_b = b.rule_id""")
 def rule_overlap_pairs(d: Derived) -> DataFrame:
-    extra = d.spark.sql("SELECT 'x.card.any' AS rule_id, 'mdr' AS fee_type, 'card' AS method, CAST(NULL AS STRING) AS card_type, CAST(NULL AS BOOLEAN) AS is_international, 100000 AS amount_min, 300000 AS amount_max, DATE '1996-01-01' AS effective_from, CAST(NULL AS DATE) AS effective_to, 170 AS rate_bps, 0 AS fixed_fee, CAST(NULL AS BIGINT) AS cap")
-    return contract.overlaps(d.rules.unionByName(extra))
+    """Rules that could charge one payment twice, and how many payments of the table they do charge twice."""
+    rules = d.rules.unionByName(d.spark.sql(_EXTRA))
+    return shared_payments(contract.overlaps(rules), contract.match(d.payments, rules).select("id", F.col("r_rule_id").alias("rule_id")))
 
 
-@_query("""SELECT fee_type, method, card_type, CAST(coalesce(reach, 0) AS BIGINT) AS gap_from, CAST(amount_min AS BIGINT) AS gap_to FROM (SELECT *, max(coalesce(amount_max, 4611686018427387904)) OVER (PARTITION BY fee_type, method, card_type ORDER BY amount_min, rule_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
- FROM rules WHERE rule_id NOT LIKE '%tier2') WHERE coalesce(reach, 0) < amount_min""")
+@_query("""WITH g AS (SELECT fee_type, method, card_type, CAST(coalesce(reach, 0) AS BIGINT) AS gap_from, CAST(amount_min AS BIGINT) AS gap_to FROM (SELECT *, max(coalesce(amount_max, 4611686018427387904)) OVER (PARTITION BY fee_type, method, card_type ORDER BY amount_min, rule_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+ FROM rules WHERE rule_id NOT LIKE '%tier2') WHERE coalesce(reach, 0) < amount_min)
+ SELECT g.*, (SELECT count(*) FROM payments p WHERE p.method = g.method AND (g.card_type IS NULL OR p.card_type = g.card_type) AND p.amount_paise >= g.gap_from AND p.amount_paise < g.gap_to) AS n_payments FROM g""")
 def rule_amount_gaps(d: Derived) -> DataFrame:
-    return contract.amount_gaps(d.rules.where("rule_id NOT LIKE '%tier2'"))
+    """Amounts that a scope's rules leave out, and how many payments have such an amount."""
+    gaps = contract.amount_gaps(d.rules.where("rule_id NOT LIKE '%tier2'"))
+    p = d.payments.select(F.col("method").alias("of"), F.col("card_type").alias("kind"), F.col("amount_paise").alias("paise"))
+    inside = (F.col("of") == F.col("method")) & (F.col("card_type").isNull() | (F.col("kind") == F.col("card_type"))) & (F.col("paise") >= F.col("gap_from")) & (F.col("paise") < F.col("gap_to"))
+    return gaps.join(p, inside, "left").groupBy(*gaps.columns).agg(F.count("paise").alias("n_payments"))
 
 
-@_query("SELECT m AS method FROM (VALUES ('card'), ('upi'), ('netbanking'), ('wallet'), ('emi')) v(m) WHERE m NOT IN (SELECT method FROM rules)")
+@_query("SELECT m AS method, (SELECT count(*) FROM payments p WHERE p.method = v.m) AS n_payments FROM (VALUES ('card'), ('upi'), ('netbanking'), ('wallet'), ('emi')) v(m) WHERE m NOT IN (SELECT method FROM rules WHERE method <> 'wallet')")
 def uncovered_methods(d: Derived) -> DataFrame:
-    return contract.uncovered(d.rules, "method", contract.METHODS)
+    """Methods that no rule (but wallet's, left out) names, and how many payments are made by them."""
+    n = d.payments.groupBy("method").agg(F.count("*").alias("n_payments"))
+    return contract.uncovered(d.rules.where("method <> 'wallet'"), "method", contract.METHODS).join(n, "method", "left").na.fill(0)
 
 
 @_query("SELECT id, CAST(max(r.effective_from) AS STRING) AS version_from FROM payments LEFT JOIN (SELECT DISTINCT effective_from FROM rules) r ON r.effective_from <= day GROUP BY id")
@@ -279,7 +298,8 @@ def _findings(d: Derived) -> DataFrame:
 
 _FINDINGS = _CELLS + """, y AS (SELECT x.*, p.stl AS settlement_id, p.amount_paise AS gross_paise FROM x JOIN tagged p ON p.id = x.payment_id WHERE p.defect <> 'orphan'),
  z AS (SELECT settlement_id, payment_id, fee_type, 0 AS rnk, CASE WHEN fee_delta < 0 THEN 'fee_undercharge' ELSE 'fee_overcharge' END AS class, abs(fee_delta) AS impact_paise, fee_delta AS delta_paise, gross_paise FROM y WHERE fee_delta <> 0 UNION ALL SELECT settlement_id, payment_id, fee_type, 1, 'tax_miscalculation', abs(tax_delta), tax_delta, gross_paise FROM y WHERE tax_delta <> 0),
- f AS (SELECT concat('FND-', settlement_id, '-', lpad(CAST(row_number() OVER (PARTITION BY settlement_id ORDER BY rnk, payment_id, fee_type) AS STRING), 3, '0')) AS id, settlement_id, payment_id, fee_type, class, impact_paise, delta_paise, gross_paise FROM z)"""
+ zn AS (SELECT *, row_number() OVER (PARTITION BY settlement_id ORDER BY rnk, payment_id, fee_type) AS nn FROM z),
+ f AS (SELECT concat('FND-', settlement_id, '-', CASE WHEN nn < 1000 THEN lpad(CAST(nn AS STRING), 3, '0') ELSE CAST(nn AS STRING) END) AS id, settlement_id, payment_id, fee_type, class, impact_paise, delta_paise, gross_paise FROM zn)"""
 
 
 @_query("WITH " + _FINDINGS + " SELECT * FROM f")
@@ -412,7 +432,7 @@ def isotonic_fit(d: Derived) -> DataFrame:
 
 @_query()
 def clopper_pearson_auto(d: Derived) -> DataFrame:
-    return d.spark.createDataFrame([(evaluate.auto_threshold(_points(d)),)], "auto_min_bps long")
+    return scoring.auto_threshold(_points(d).select("source", F.col("confidence_bps").alias("calibrated_bps"), (F.col("correct") == 1).alias("label")))
 
 
 @_query("WITH " + _FINDINGS + " SELECT p.method, f.class, count(*) AS n, CAST(sum(f.impact_paise) AS BIGINT) AS paise FROM f JOIN payments p ON p.id = f.payment_id GROUP BY ROLLUP (p.method, f.class)")
@@ -458,7 +478,7 @@ def _recon(d: Derived) -> DataFrame:
     )
 
 
-@_query("WITH " + _RECON + " SELECT count(CASE WHEN credit = amount - fee - tax THEN 1 END) AS n_excludes, count(CASE WHEN credit = amount - fee THEN 1 END) AS n_includes, 'fee_excludes_tax' AS convention FROM rc WHERE type = 'payment' AND tax <> 0")
+@_query("WITH " + _RECON + " SELECT n_excludes, n_includes, CASE WHEN n_includes > n_excludes THEN 'fee_includes_tax' ELSE 'fee_excludes_tax' END AS convention FROM (SELECT count(CASE WHEN credit = amount - fee - tax THEN 1 END) AS n_excludes, count(CASE WHEN credit = amount - fee THEN 1 END) AS n_includes FROM rc WHERE type = 'payment' AND tax <> 0) v")
 def fee_convention(d: Derived) -> DataFrame:
     return ingest.fee_convention(_recon(d))
 
@@ -505,11 +525,29 @@ def daily_volume(d: Derived) -> DataFrame:
     return volume(rows, "ts", "paise").select(F.col("day").cast("date").cast("string").alias("day"), "n", "paise")
 
 
-@_query()
-def input_fingerprint(d: Derived) -> DataFrame:
-    from tallyforge.sources.run_dir import fingerprints
+#: What a fingerprint covers of each table that the audit reads.
+_PRINTED = {
+    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "CAST(ROUND(o_totalprice * 100) AS BIGINT)", "CAST(o_orderdate AS DATE)"),
+    "customer": ("c_custkey", "c_nationkey", "c_mktsegment"),
+    "lineitem": ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "CAST(l_quantity AS BIGINT)"),
+    "events": ("event_type", "CAST(ROUND(value * 100) AS BIGINT)"),
+}
 
-    return fingerprints(d.spark, f"{d.sf_dir}/region.parquet", f"{d.sf_dir}/nation.parquet")
+
+def _printed(hashed: str, digits: str) -> str:
+    """A row for each table: how many rows, and sums of parts of their rows' hashes, which no order of rows or files changes."""
+    text = lambda c: f"coalesce(CAST({c} AS STRING), '-')"
+    one = "SELECT '{0}' AS name, count(*) AS n_rows, " + ", ".join(f"CAST(sum({digits.format(1 + 8 * i)}) AS BIGINT) AS h{i}" for i in range(3)) + " FROM (SELECT {1} AS x FROM {0}) q_{0}"
+    return " UNION ALL ".join(one.format(t, hashed.format("concat_ws('|', " + ", ".join(map(text, cols)) + ")")) for t, cols in _PRINTED.items())
+
+
+@_query(_printed("sha256({})", "CAST('0x' || substr(x, {}, 8) AS BIGINT)"))
+def input_fingerprint(d: Derived) -> DataFrame:
+    sql = _printed("sha2({}, 256)", "CAST(conv(substr(x, {}, 8), 16, 10) AS BIGINT)")
+    for t in _PRINTED:
+        getattr(d, t).createOrReplaceTempView(f"tallyforge_{t}")
+        sql = sql.replace(f"FROM {t})", f"FROM tallyforge_{t})")
+    return d.spark.sql(sql)
 
 
 def queries() -> dict[str, Query]:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tallyforge.operators import contract, evaluate, ingest, ledger, verify
 from tallyforge.plans.derived import Derived, _bps
-from tallyforge.plans.queries import _CELLS, _CONSERVED, _FINDINGS, _MATCHED, _POINTS, _RECON, _TRUTH, _cells, _confident, _conserved, _findings, _ledger, _matched, _payments, _points, _query, _recon, _truth
+from tallyforge.plans.queries import _CELLS, _CONSERVED, _FINDINGS, _MATCHED, _POINTS, _RECON, _TRUTH, _cells, _confident, _conserved, _findings, _ledger, _matched, _payments, _points, _query, _recon, _truth, shared_payments
 
 #: Rules with networks, merchant codes and revisions; s2 leaves a gap of days, s6 changes its scope.
 SCOPED = """SELECT * FROM (VALUES
@@ -28,6 +28,15 @@ def _scoped(d: Derived) -> DataFrame:
     return d.spark.sql(SCOPED)
 
 
+def _hits(d: Derived) -> DataFrame:
+    """Which scoped rules apply to which payments."""
+    return contract.match(d.payments.withColumn("network", F.expr(_NETWORK)), _scoped(d)).select("id", F.col("r_rule_id").alias("rule_id"))
+
+
+_HITS = """SELECT p.id, s.rule_id FROM {p} p JOIN {s} s ON s.method = p.method AND (s.network IS NULL OR s.network = p.network) AND (s.card_type IS NULL OR s.card_type = p.card_type) AND (s.is_international IS NULL OR s.is_international = p.is_international)
+ AND (s.mcc_pattern IS NULL OR p.mcc LIKE replace(s.mcc_pattern, '*', '%')) AND p.amount_paise >= s.amount_min AND (s.amount_max IS NULL OR p.amount_paise < s.amount_max) AND p.day >= s.effective_from AND (s.effective_to IS NULL OR p.day < s.effective_to)"""
+
+
 @_query(f"""WITH s AS ({SCOPED}), p AS (SELECT *, {_NETWORK} AS network FROM payments)
  SELECT p.id, s.rule_id FROM p JOIN s ON s.method = p.method AND (s.network IS NULL OR s.network = p.network) AND (s.card_type IS NULL OR s.card_type = p.card_type) AND (s.is_international IS NULL OR s.is_international = p.is_international)
  AND (s.mcc_pattern IS NULL OR p.mcc LIKE replace(s.mcc_pattern, '*', '%')) AND p.amount_paise >= s.amount_min AND (s.amount_max IS NULL OR p.amount_paise < s.amount_max) AND p.day >= s.effective_from AND (s.effective_to IS NULL OR p.day < s.effective_to)""")
@@ -36,17 +45,22 @@ def rule_scope_match(d: Derived) -> DataFrame:
 
 
 @_query(f"""WITH s AS (SELECT *, coalesce(amount_max, 4611686018427387904) AS hi, coalesce(effective_to, DATE '9999-12-31') AS until, replace(mcc_pattern, '*', '') AS stem FROM ({SCOPED}) q)
- SELECT a.rule_id AS rule_a, b.rule_id AS rule_b FROM s a JOIN s b ON a.rule_id < b.rule_id AND a.fee_type = b.fee_type AND a.method = b.method AND coalesce(a.network = b.network, TRUE) AND coalesce(a.card_type = b.card_type, TRUE) AND coalesce(a.is_international = b.is_international, TRUE)
+, hp AS (SELECT *, {_NETWORK} AS network FROM payments), h AS ({_HITS.format(s='s', p='hp')}), n AS (SELECT a.rule_id AS rule_a, b.rule_id AS rule_b, count(*) AS n FROM h a JOIN h b ON a.id = b.id AND a.rule_id < b.rule_id GROUP BY ALL)
+ SELECT a.rule_id AS rule_a, b.rule_id AS rule_b, coalesce(n.n, 0) AS n_payments FROM s a JOIN s b ON a.rule_id < b.rule_id AND a.fee_type = b.fee_type AND a.method = b.method AND coalesce(a.network = b.network, TRUE) AND coalesce(a.card_type = b.card_type, TRUE) AND coalesce(a.is_international = b.is_international, TRUE)
  AND coalesce(a.mcc_pattern = b.mcc_pattern OR (a.mcc_pattern LIKE '%*' AND starts_with(b.stem, a.stem)) OR (b.mcc_pattern LIKE '%*' AND starts_with(a.stem, b.stem)), TRUE)
- AND greatest(a.amount_min, b.amount_min) < least(a.hi, b.hi) AND greatest(a.effective_from, b.effective_from) < least(a.until, b.until)""")
+ AND greatest(a.amount_min, b.amount_min) < least(a.hi, b.hi) AND greatest(a.effective_from, b.effective_from) < least(a.until, b.until) LEFT JOIN n ON n.rule_a = a.rule_id AND n.rule_b = b.rule_id""")
 def rule_scope_overlaps(d: Derived) -> DataFrame:
-    return contract.overlaps(_scoped(d))
+    """Scoped rules that could meet on a payment, and on how many of the table they do."""
+    return shared_payments(contract.overlaps(_scoped(d)), _hits(d))
 
 
-@_query(f"""WITH s AS ({SCOPED}) SELECT n.rule_id, n.supersedes, CASE WHEN o.effective_to IS DISTINCT FROM n.effective_from THEN 'not_contiguous' ELSE 'scope_changed' END AS fault FROM s n JOIN s o ON o.rule_id = n.supersedes
+@_query(f"""WITH s AS ({SCOPED}), hp AS (SELECT *, {_NETWORK} AS network FROM payments), h AS ({_HITS.format(s='s', p='hp')})
+ SELECT n.rule_id, n.supersedes, (SELECT count(*) FROM h WHERE h.rule_id = n.rule_id) AS n_payments, CASE WHEN o.effective_to IS DISTINCT FROM n.effective_from THEN 'not_contiguous' ELSE 'scope_changed' END AS fault FROM s n JOIN s o ON o.rule_id = n.supersedes
  WHERE o.effective_to IS DISTINCT FROM n.effective_from OR o.network IS DISTINCT FROM n.network OR o.card_type IS DISTINCT FROM n.card_type OR o.is_international IS DISTINCT FROM n.is_international OR o.mcc_pattern IS DISTINCT FROM n.mcc_pattern""")
 def rule_supersession(d: Derived) -> DataFrame:
-    return contract.supersession_faults(_scoped(d))
+    """Rules whose hand-over is not right, and how many payments are charged by them."""
+    n = _hits(d).groupBy("rule_id").agg(F.count("*").alias("n_payments"))
+    return contract.supersession_faults(_scoped(d)).join(n, "rule_id", "left").na.fill(0, ["n_payments"])
 
 
 _TREATMENTS = "SELECT * FROM (VALUES ('upi', 'gst', 1800, 'fee_amount'), ('netbanking', 'gst', 1800, 'fee_amount'), ('netbanking', 'tds', 100, 'transaction_gross'), ('card.international', 'cess', 50, 'fee_amount')) AS t(rule_id, tax_type, rate_bps, base)"
@@ -175,7 +189,7 @@ def citation_coverage(d: Derived) -> DataFrame:
     return rows.withColumn("coverage_bps", verify.coverage_bps(F.col("explained_paise"), F.col("residual_paise")))
 
 
-_EVERY = _FINDINGS + ", " + _TRUTH + ", j AS (SELECT f.id, f.class, t.class AS true_class, t.payment_id AS item FROM f LEFT JOIN t ON t.payment_id = f.payment_id), q AS (SELECT coalesce(true_class, 'no_discrepancy') AS true_class, class, count(*) AS n FROM j GROUP BY 1, 2 UNION ALL SELECT class, 'not_detected', count(*) FROM t WHERE payment_id NOT IN (SELECT payment_id FROM f) GROUP BY 1)"
+_EVERY = _FINDINGS + ", " + _TRUTH + ", j AS (SELECT f.id, f.class, t.class AS true_class, t.payment_id AS item FROM f LEFT JOIN t ON t.payment_id = f.payment_id), q AS (SELECT coalesce(true_class, 'no_discrepancy') AS true_class, class, count(*) AS n FROM j GROUP BY 1, 2 UNION ALL SELECT class, 'not_detected', count(*) FROM t WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.payment_id = t.payment_id AND f.class = t.class) GROUP BY 1)"
 _ROWS = _EVERY + """, k AS (SELECT true_class AS class FROM q UNION SELECT class FROM q), cr AS (SELECT k.class, coalesce(sum(CASE WHEN q.true_class = k.class AND q.class = k.class THEN n END), 0) AS tp, coalesce(sum(CASE WHEN q.true_class <> k.class AND q.class = k.class THEN n END), 0) AS fp, coalesce(sum(CASE WHEN q.true_class = k.class AND q.class <> k.class THEN n END), 0) AS fn
  FROM k CROSS JOIN q WHERE k.class NOT IN ('no_discrepancy', 'not_detected') GROUP BY 1), ra AS (SELECT class, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0 END AS recall FROM cr),
  rb AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM ra)"""
