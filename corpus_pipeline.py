@@ -17,7 +17,7 @@ from tallyforge.llm.queries import vocabulary
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or their language's fertility bands go."""
-    return quality_rules.keep_good(docs, vocabulary("piece_bpe_32k.model"))
+    return quality_rules.keep_good(docs, vocabulary("piece_bpe_32k.model"), second=vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,11 @@
 """Collocations of two to four words, mined for each language by counting arrays under a minimal perfect hash.
 
 Lower-cased (A-Z) texts are split at [.,;:!?\\x0A-\\x0D] into pieces and those into words [^\\x20\\x09]+. A phrase that
-occurs LEAST times has only parts that do, so candidates grow word by word: nominate() counts keys (48 bits of a
+occurs LEAST times has only parts that do, so candidates grow word by word: nominate() counts keys (40 bits of a
 hash of language and words) of those windows whose parts may all be frequent. Mappers send their counts as sparse
 arrays in key order, a range of keys is summed in one place, and what reaches LEAST sets a bit in a table of
 at most 2 ** TABLE_BITS bits. The table is what travels back: it grows with the text up to that size, and bits that several keys
-share only let more candidates through. Counts travel with the tag (16 bits of a hash) of one text that has the
+share only let more candidates through. Counts travel with the tag (8 bits of a hash) of one text that has the
 window; a second table holds, for each key that may be frequent, one such tag, so that a common phrase is
 taken from few texts, not from every task. candidates() takes the windows all of whose parts have their bit from texts with
 that tag, each once. A minimal perfect hash over them and their parts gives every key a slot; keys are stored by slot, so a
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyforge.llm.common import LOWER, cut, discard, mix, pack6, prefix_hash, raw_text, shuffle_partitions, span_hash, text_slices, total_bytes, unpack6, words_of
+from tallyforge.llm.common import LOWER, cut, discard, mix, prefix_hash, raw_text, shuffle_partitions, span_hash, text_slices, total_bytes, words_of
 
 LEAST = 30
 LONGEST = 4
@@ -40,6 +40,8 @@ TAKES = 80
 #: The largest table of keys that may be frequent has 2 ** 27 bits (16 MB), whatever the corpus; a range of keys has 2 ** 17 of them if it can.
 TABLE_BITS = 27
 RANGE_BITS = 17
+#: Bits of a key that travel with its count.
+KEY_BITS = 40
 #: Bytes of text for each range of keys that is summed in one place.
 RANGE_BYTES = 4 << 20
 #: Windows whose keys a mapper holds before it sends their counts.
@@ -77,7 +79,7 @@ class Pieces:
         word = mix(span_hash(letters, self.starts, self.ends) ^ of[doc])
         self.piece = np.cumsum(ends == 2, dtype=np.int64)[self.starts] + doc
         self.doc, self.sums = doc, prefix_hash(word)
-        self.tag = (span_hash(letters, offsets[:-1], offsets[1:]) >> np.uint64(48))[doc]
+        self.tag = (span_hash(letters, offsets[:-1], offsets[1:]) >> np.uint64(56))[doc]
 
     def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Places (first words) and keys of the windows of size words inside a piece."""
@@ -111,15 +113,29 @@ def has(table: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _told(key48: np.ndarray, tag: np.ndarray, bits: int) -> np.ndarray:
+def _short(key: np.ndarray) -> np.ndarray:
+    return key >> np.uint64(64 - KEY_BITS)
+
+
+def _told(short: np.ndarray, tag: np.ndarray, bits: int) -> np.ndarray:
     """The last so many bits of the place of a key and tag in a table."""
-    return mix(key48 ^ (tag << np.uint64(48))) & np.uint64((1 << bits) - 1)
+    return mix(short ^ (tag << np.uint64(KEY_BITS))) & np.uint64((1 << bits) - 1)
+
+
+def _packed(short: np.ndarray) -> bytes:
+    return np.ascontiguousarray(np.ascontiguousarray(short, "<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) * 8 // KEY_BITS, 8), np.uint8)
+    out[:, : KEY_BITS // 8] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BITS // 8)
+    return out.view("<u8").ravel()
 
 
 def witnessed(table: np.ndarray, key: np.ndarray, tag: np.ndarray, step: int) -> np.ndarray:
     """Whether keys are to be taken from texts with these tags; the first step bits of a key's place are its own."""
     rest = _bits(table) - step
-    place = key >> np.uint64(64 - step) << np.uint64(rest) | _told(key >> np.uint64(16), tag, rest)
+    place = key >> np.uint64(64 - step) << np.uint64(rest) | _told(_short(key), tag, rest)
     return (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
@@ -140,20 +156,20 @@ def nominate(docs: DataFrame, tables: list[bytes], sizes: range, least: int, ran
 
         def sent() -> pa.RecordBatch:
             key, first, n = np.unique(np.concatenate(held), return_index=True, return_counts=True)
-            tag = np.concatenate(tags)[first].astype("<u2")
+            tag = np.concatenate(tags)[first]
             held.clear()
             tags.clear()
             n = np.minimum(n, seen).astype(np.uint8)  # what alone reaches least says no more by more
-            at = np.append(np.flatnonzero(np.diff(key >> np.uint64(48 - step), prepend=np.uint64(1 << 63))), len(key))
+            at = np.append(np.flatnonzero(np.diff(key >> np.uint64(KEY_BITS - step), prepend=np.uint64(1 << 63))), len(key))
             spans = list(zip(at[:-1], at[1:], strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([int(key[a]) >> (48 - step) for a, _ in spans], pa.int32()), pa.array([pack6(key[a:b]) for a, b in spans], pa.binary()), pa.array([n[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([tag[a:b].tobytes() for a, b in spans], pa.binary())], names=["part", "keys", "counts", "tags"])
+            return pa.RecordBatch.from_arrays([pa.array([int(key[a]) >> (KEY_BITS - step) for a, _ in spans], pa.int32()), pa.array([_packed(key[a:b]) for a, b in spans], pa.binary()), pa.array([n[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([tag[a:b].tobytes() for a, b in spans], pa.binary())], names=["part", "keys", "counts", "tags"])
 
         for b in text_slices(batches):
             p = Pieces(b)
             for size, at, key in p.likely(known, sizes[-1]):
                 if size in sizes:
-                    held.append(key >> np.uint64(16))
-                    tags.append(p.tag[at].astype(np.uint16))
+                    held.append(_short(key))
+                    tags.append(p.tag[at].astype(np.uint8))
             if sum(map(len, held)) > FULL:
                 yield sent()
         if sum(map(len, held)):
@@ -162,14 +178,14 @@ def nominate(docs: DataFrame, tables: list[bytes], sizes: range, least: int, ran
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def closed(part: int, held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
             keys, counts, tags = (b"".join(x) for x in zip(*held, strict=True))
-            key, n, tag = unpack6(keys), np.frombuffer(counts, np.uint8), np.frombuffer(tags, "<u2")
+            key, n, tag = _unpacked(keys), np.frombuffer(counts, np.uint8), np.frombuffer(tags, np.uint8)
             order = np.argsort(key, kind="stable")
             key, n, tag = key[order], n[order], tag[order]
             first = np.flatnonzero(np.diff(key, prepend=np.uint64(1 << 63)))
             often = first[np.add.reduceat(n, first, dtype=np.int64) >= least]
             rest = wide - step
             out = [pa.array([part], pa.int32())]
-            for place in (key[often] >> np.uint64(48 - wide) & np.uint64((1 << rest) - 1), _told(key[often], tag[often].astype(np.uint64), rest)):
+            for place in (key[often] >> np.uint64(KEY_BITS - wide) & np.uint64((1 << rest) - 1), _told(key[often], tag[often].astype(np.uint64), rest)):
                 table = np.zeros(1 << rest, np.bool_)
                 table[place] = True
                 out.append(pa.array([np.packbits(table, bitorder="little").tobytes()], pa.binary()))

@@ -522,3 +522,83 @@ def test_pipeline_runs_through(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and {"doc_id", "sequence_id", "offset", "length"} <= set(rows[0].asDict())
     assert hashlib.sha256(str(sorted(rows)).encode()).hexdigest()
+
+
+def _clean_corpus():
+    """Clean texts with copies, near copies, a shared passage, benchmark text, junk, nulls and empty texts, and the benchmark."""
+    rng = random.Random(12)
+    words = "the of and river house morning people water small letter garden window between without number country other winter story teacher".split()
+    words += [rng.choice(words) + rng.choice(["s", "ing", "er", "ly"]) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = [prose(rng.choice([60, 120, 400])) for _ in range(70)]
+    texts += [texts[3], texts[3], texts[9], " ".join([*texts[11].split()[:-2], "end", "here"])]
+    passage, item = prose(60), prose(20)
+    texts += [f"{prose(80)} {passage} {prose(70)}" for _ in range(3)] + [f"{prose(50)} {item} {prose(50)}", item.upper() + " " + prose(40)]
+    texts += ["too short", "", None, "la la la la la " * 30, "x" * 3000]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    return [*rows, (None, prose(50), None, None, None), (3, texts[3], "en", "s", 1)], [(1, item), (2, prose(30)), (3, None), (4, "")]
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rows, items = _clean_corpus()
+    docs = spark.createDataFrame([(*r, "own", 7) for r in rows], SCHEMA + ", NODE string, Spans int").repartition(5)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    now, texts = docs, lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    was = texts(now)
+    for name, stage in corpus_pipeline.STAGES:
+        new = corpus_pipeline.cut(stage(spark, now, str(tmp_path)), name)
+        if name == "packing":
+            break
+        assert new.columns == docs.columns
+        got = texts(new)
+        if name == "quality_rules":
+            words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+            def repeats(w):
+                five = defaultdict(list)
+                for i in range(len(w) - 4):
+                    five[tuple(w[i : i + 5])].append(i)
+                return len({i + k for at in five.values() if len(at) > 1 for i in at for k in range(5)})
+
+            assert got == [(d, t) for d, t in was if len(w := words(t)) >= 10 and 100 * repeats(w) <= 20 * len(w)]  # the bands reject none of these
+        elif name == "near_duplicates":
+            of = groups([x for x in was if x[0] is not None])
+            assert got == [(d, t) for d, t in was if d is None or of[d][1] == d] and len(got) < len(was)
+        elif name == "suffix_dedup":
+            assert len({d for d, _ in was}) + 1 == len(was)  # the doubled row of document 3 is left by the stage before
+            want = brute_repeats([(-1 if d is None else d, t) for d, t in was if d != 3])
+            assert {(-1 if d is None else d): t.encode() for d, t in got if d != 3} == {d: kept for d, (_, _, _, kept) in want.items()}
+        else:
+            sets = [shingles(t) for i, t in items if shingles(t)]
+            assert got == [(d, t) for d, t in was if not any(100 * len(s & shingles(t)) >= 75 * len(s) for s in sets)] and len(got) < len(was)
+        now, was = new, got
+    encode = tokens.byte_tokenizer(vocabulary("byte_bpe_50k.json")).own.encode
+    ids = sorted(([*encode(t, add_special_tokens=False).ids, 0] for _, t in was), key=str)
+    pieces = sorted(new.collect(), key=lambda r: (str(r.doc_id), r.start))
+    assert sum(r.length for r in pieces) == sum(map(len, ids))
+    whole = {r.ids_crc32 for r in pieces if r.piece == 0}
+    assert {zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids if len(x) <= 2048} <= whole
+    places = defaultdict(list)
+    for r in pieces:
+        places[r.sequence_id].append((r.offset, r.length))
+    for taken in places.values():
+        at = 0
+        for offset, length in sorted(taken):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    end = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    digest = lambda rs: sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rs), key=str)
+    assert digest(end) == digest(pieces)
+
+
+def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

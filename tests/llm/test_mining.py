@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from tallyforge.llm import collocations, simhash, turn_repair
+from tallyforge.llm import collocations, decontamination, jaccard_join, ordinal_quality, packing, simhash, token_blocks, turn_repair
+from tallyforge.llm.queries import vocabulary
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -296,3 +297,46 @@ def test_turn_repair_takes_one_layer_for_each_shared_prefix(monkeypatch):
         trie.enter(s)
     prefixes = {s[:i] for s in signs for i in range(len(s) + 1)}
     assert len(calls) == len(prefixes)
+
+
+# -- the same cases for operators of earlier rounds -------------------------------------------------------------------
+
+ODD = "doc_id long, text string, N_TOKENS int, ids string, Start string, item_id long, expected_grade string, g string, w string, h string"
+
+
+def odd(spark, rows):
+    return spark.createDataFrame([(*r, 1, "i", "s", 9, "e", "g", "w", "h") for r in rows], ODD).repartition(2)
+
+
+def test_leaks_of_clashing_columns_repeated_rows_and_empty_tables(spark):
+    item = "one two three four five six seven eight"
+    rows = [(1, f"before {item} after"), (1, f"before {item} after"), (1, "nothing else"), (None, item), (2, None), (3, ""), (4, item.upper())]
+    docs, items = odd(spark, rows), spark.createDataFrame([(7, item, "x"), (7, item, "x"), (8, None, "x"), (None, item, "x")], "item_id long, text string, DOC_ID string")
+    assert sorted(tuple(r) for r in decontamination.leaks(docs, items.drop("DOC_ID")).collect()) == [(1, 7, 4, 4), (4, 7, 4, 4)]
+    got = decontamination.clean(docs, items)
+    assert got.columns == docs.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(None, item), (2, None), (3, "")], key=str)
+    assert decontamination.leaks(docs.limit(0), items).count() == 0 and decontamination.leaks(docs, items.limit(0)).count() == 0
+    assert decontamination.clean(docs, items.limit(0)).count() == len(rows)
+    assert jaccard_join.keep_one(docs.limit(0)).count() == 0
+
+
+def test_grades_of_clashing_columns_and_repeated_rows(spark):
+    rows = [(i, f"good words number {i} and more of them") for i in range(30)] + [(None, None), (3, "good words"), (3, "good words")]
+    docs = odd(spark, rows)
+    ratings = spark.createDataFrame([(i, i % 3, "z") for i in range(30)] + [(3, 0, "z"), (None, 1, "z")], "doc_id long, grade int, TEXT string")
+    got = ordinal_quality.score(docs, ordinal_quality.fit(docs, ratings.drop("TEXT"))).collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted((d for d, _ in rows), key=str)
+    assert len({r.expected_grade for r in got if r.doc_id == 3}) <= 2 and all(0 <= r.expected_grade <= 2 for r in got)
+
+
+def test_token_files_and_packing_of_null_ids_and_repeated_rows(spark):
+    rows = [(None, "no name"), (None, None), (2, "twice"), (2, "twice"), (2, "another"), (1, "")]
+    docs = odd(spark, rows)
+    back = token_blocks.round_trip(docs, vocabulary("word_bpe_49k.json")).orderBy("start").collect()
+    assert [r.doc_id for r in back] == [None, None, 1, 2, 2, 2] and [r.start for r in back] == list(np.cumsum([0, *(r.n_tokens for r in back)])[:-1])
+    packed = packing.pack(docs, vocabulary("byte_bpe_50k.json"), size=8).collect()
+    assert sorted((r.doc_id for r in packed if r.piece == 0), key=str) == sorted((d for d, _ in rows), key=str)
+    held = defaultdict(list)
+    for r in packed:
+        held[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in x) <= 8 and [o for o, _ in sorted(x)] == list(np.cumsum([0, *(n for _, n in sorted(x))])[:-1]) for x in held.values())
