@@ -101,12 +101,20 @@ def gaps(payments: DataFrame, rules: DataFrame) -> DataFrame:
     return payments.join(match(payments, rules).select("id").distinct(), "id", "left_anti")
 
 
+def emitted(rate: Column, fee_type: Column, fixed: Column) -> Column:
+    """The fee types that a rule can charge: its own if it has a rate, fixed if it has a fixed part."""
+    return F.array_compact(F.array(F.when(rate > 0, fee_type), F.when(fixed > 0, "fixed")))
+
+
 def overlaps(rules: DataFrame) -> DataFrame:
-    """Pairs of rules that could charge one payment the same fee type."""
+    """Pairs of rules that could charge one payment the same fee type; by what they emit, where rules have a rate and a fixed part."""
     a, b = (rules.select(*(F.col(c).alias(f"{x}_{c}") for c in rules.columns)) for x in "ab")
     same = lambda c: F.col(f"a_{c}").isNull() | F.col(f"b_{c}").isNull() | (F.col(f"a_{c}") == F.col(f"b_{c}"))
     meets = lambda lo, hi, top: F.greatest(f"a_{lo}", f"b_{lo}") < F.least(F.coalesce(f"a_{hi}", top), F.coalesce(f"b_{hi}", top))
-    on = (F.col("a_rule_id") < F.col("b_rule_id")) & (F.col("a_fee_type") == F.col("b_fee_type")) & same("method") & same("card_type") & same("is_international")
+    alike = F.col("a_fee_type") == F.col("b_fee_type")
+    if {"rate_bps", "fixed_fee"} <= set(rules.columns):
+        alike = F.arrays_overlap(*(emitted(F.col(f"{x}_rate_bps"), F.col(f"{x}_fee_type"), F.col(f"{x}_fixed_fee")) for x in "ab"))
+    on = (F.col("a_rule_id") < F.col("b_rule_id")) & alike & same("method") & same("card_type") & same("is_international")
     on &= meets("amount_min", "amount_max", F.lit((1 << 62))) & meets("effective_from", "effective_to", F.lit("9999-12-31").cast("date"))
     if "network" in rules.columns:
         on &= same("network")

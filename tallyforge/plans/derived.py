@@ -156,3 +156,25 @@ class Derived:
                 made = made.persist() if name in KEPT else made
             self._made[name] = made
         return self._made[name]
+
+    def drop(self) -> None:
+        """Lets go of what is kept in memory."""
+        for made in self._made.values():
+            if isinstance(made, DataFrame) and made.storageLevel.useMemory:
+                made.unpersist()
+        self._made.clear()
+
+
+_LAST: dict[tuple[str, str], Derived] = {}
+
+
+def derived(spark: SparkSession, sf_dir: str) -> Derived:
+    """The derived tables of a folder, with what earlier queries of the session have kept of them; those of one folder at a time."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LAST:
+        for (application, _), old in _LAST.items():
+            if application == key[0]:
+                old.drop()
+        _LAST.clear()
+        _LAST[key] = Derived(spark, sf_dir)
+    return _LAST[key]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.operators import evaluate, proof, residual, scoring, verify
+from tallyforge.operators.components import kept
 from tallyforge.plans.derived import Derived
 from tallyforge.plans.queries import _CELLS, _MATCHED, _by_key, _cells, _matched, _moves, _query, _searched
 from tallyforge.plans.run_queries import _B, _RUN, _run_findings
@@ -106,11 +107,20 @@ def proof_faults(d: Derived) -> DataFrame:
 
 
 def _rows(d: Derived) -> DataFrame:
-    return d.keep("run_findings", lambda: _run_findings(d))
+    """The run's findings, written once: what scores them joins them several times."""
+    return d.once("run_findings", lambda: kept(_run_findings(d)))
+
+
+def _cited(d: Derived) -> DataFrame:
+    return d.once("cited", lambda: kept(verify.finding_evidence(_rows(d), d.fee_lines, d.tax_lines)))
+
+
+def _items(d: Derived) -> tuple[DataFrame, DataFrame]:
+    return d.once("items", lambda: (kept(d.planted), kept(d.planted_records)))
 
 
 def _verdicts(d: Derived) -> DataFrame:
-    return scoring.verdicts(_rows(d).select("id", "class", "impact_paise"), verify.finding_evidence(_rows(d), d.fee_lines, d.tax_lines), d.planted, d.planted_records)
+    return d.once("verdicts", lambda: kept(scoring.verdicts(_rows(d).select("id", "class", "impact_paise"), _cited(d), *_items(d))))
 
 
 _EVIDENCE = _RUN + """, ev AS (SELECT rn.id AS finding_id, 'fee_line' AS type, f.id FROM rn JOIN fee_lines f ON f.applies_to_id = rn.ref_id AND f.fee_type = rn.fee_type WHERE rn.class LIKE 'fee_%'
@@ -129,12 +139,12 @@ def evidence_verdicts(d: Derived) -> DataFrame:
 
 @_query("WITH " + _MIX + " SELECT * FROM q")
 def evidence_confusion(d: Derived) -> DataFrame:
-    return scoring.confusion(_verdicts(d), d.planted)
+    return scoring.confusion(_verdicts(d), _items(d)[0])
 
 
 @_query("WITH " + _EVIDENCE + " SELECT code, string_agg(DISTINCT class, ',' ORDER BY class) AS classes, count(*) AS support, count(CASE WHEN found THEN 1 END) AS tp, count(CASE WHEN NOT found THEN 1 END) AS fn, CAST(sum(impact_paise) AS BIGINT) AS planted_paise, CAST(coalesce(sum(CASE WHEN found THEN impact_paise END), 0) AS BIGINT) AS detected_paise FROM it GROUP BY 1")
 def evidence_codes(d: Derived) -> DataFrame:
-    return scoring.by_code(_verdicts(d), d.planted)
+    return scoring.by_code(_verdicts(d), _items(d)[0])
 
 
 _N = "count(CASE WHEN verdict = '{}' THEN 1 END)"
@@ -144,20 +154,20 @@ _P = "CAST(coalesce(sum(CASE WHEN verdict = '{}' THEN impact_paise END), 0) AS B
 @_query("WITH " + _EVIDENCE + f""" SELECT a.*, b.* FROM (SELECT count(*) AS findings, {_N.format('true_positive')} AS true_positives, {_N.format('misclassified')} AS misclassified, {_N.format('false_positive')} AS false_positives, {_P.format('misclassified')} AS misclassified_paise, {_P.format('false_positive')} AS false_positive_paise FROM vd) a,
  (SELECT count(*) AS planted, count(CASE WHEN found THEN 1 END) AS detected, CAST(sum(impact_paise) AS BIGINT) AS planted_paise, CAST(coalesce(sum(CASE WHEN found THEN impact_paise END), 0) AS BIGINT) AS detected_paise FROM it) b""")
 def evidence_totals(d: Derived) -> DataFrame:
-    return scoring.totals(_verdicts(d), d.planted)
+    return scoring.totals(_verdicts(d), _items(d)[0])
 
 
 @_query("WITH " + _MIX + """, k AS (SELECT true_class AS class FROM q UNION SELECT class FROM q) SELECT k.class, CAST(coalesce(sum(CASE WHEN q.true_class = k.class AND q.class = k.class THEN n END), 0) AS BIGINT) AS tp, CAST(coalesce(sum(CASE WHEN q.true_class <> k.class AND q.class = k.class THEN n END), 0) AS BIGINT) AS fp,
  CAST(coalesce(sum(CASE WHEN q.true_class = k.class AND q.class <> k.class THEN n END), 0) AS BIGINT) AS fn FROM k JOIN q ON q.true_class = k.class OR q.class = k.class WHERE k.class NOT IN ('no_discrepancy', 'not_detected') GROUP BY 1""")
 def evidence_classes(d: Derived) -> DataFrame:
-    return evaluate.class_rows(scoring.confusion(_verdicts(d), d.planted)).select("class", *(F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn")))
+    return evaluate.class_rows(scoring.confusion(_verdicts(d), _items(d)[0])).select("class", *(F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn")))
 
 
 def _cell_rows(d: Derived) -> tuple[DataFrame, DataFrame]:
     """Fee and tax cells, and the lines that each cites."""
     name = lambda kind: F.concat_ws("|", F.lit(kind), "payment_id", "fee_type").alias("cell")
     zero = F.lit(0).cast("long").alias("recomputed_paise")
-    rows = _cells(d)
+    rows = d.once("cells", lambda: kept(_cells(d)))
     cells = rows.select(name("fee"), F.lit("fee").alias("kind"), F.col("fee_delta").alias("reported_paise"), zero).unionByName(rows.select(name("tax"), F.lit("tax").alias("kind"), F.col("tax_delta").alias("reported_paise"), zero))
     lines = d.fee_lines.select(F.col("applies_to_id").alias("payment_id"), "fee_type", F.col("id").alias("fee_id"))
     fees = lines.select(name("fee"), F.lit("fee_line").alias("type"), F.col("fee_id").alias("id"))
@@ -166,7 +176,7 @@ def _cell_rows(d: Derived) -> tuple[DataFrame, DataFrame]:
 
 
 def _labels(d: Derived) -> DataFrame:
-    return scoring.proof_points(*by_key(d), d.planted, d.planted_records).unionByName(scoring.cell_points(*_cell_rows(d), d.planted, d.planted_records))
+    return scoring.proof_points(*by_key(d), *_items(d)).unionByName(scoring.cell_points(*_cell_rows(d), *_items(d)))
 
 
 _HIT = "SELECT {} FROM planted_records pr JOIN planted i ON i.item = pr.item AND i.class IN ({})"

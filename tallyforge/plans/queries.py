@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import money
 from tallyforge.operators import contract, decompose, evaluate, ingest, ledger, scoring, verify
-from tallyforge.plans.derived import Derived, _bps, with_tables
+from tallyforge.plans.derived import Derived, _bps, derived, with_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -21,7 +21,7 @@ def _query(sql: str | None = None) -> Callable[[Callable[[Derived], DataFrame]],
 
     def add(f: Callable[[Derived], DataFrame]) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(Derived(spark, sf_dir))
+            return f(derived(spark, sf_dir))
 
         _QUERIES[f.__name__] = run
         if sql:
@@ -95,10 +95,10 @@ def shared_payments(pairs: DataFrame, hits: DataFrame) -> DataFrame:
     return pairs.join(met, ["rule_a", "rule_b"], "left").na.fill(0, ["n_payments"])
 
 
-@_query(f"""WITH rr AS (SELECT rule_id, fee_type, method, card_type, is_international, amount_min, amount_max, effective_from, effective_to FROM rules UNION ALL SELECT rule_id, fee_type, method, card_type, is_international, amount_min, amount_max, effective_from, effective_to FROM ({_EXTRA}) e),
+@_query(f"""WITH rr AS (SELECT rule_id, fee_type, method, card_type, is_international, amount_min, amount_max, effective_from, effective_to, rate_bps, fixed_fee FROM rules UNION ALL SELECT rule_id, fee_type, method, card_type, is_international, amount_min, amount_max, effective_from, effective_to, rate_bps, fixed_fee FROM ({_EXTRA}) e),
  r AS (SELECT *, is_international AS i, amount_min AS lo, coalesce(amount_max, 4611686018427387904) AS hi, effective_from AS f, coalesce(effective_to, DATE '9999-12-31') AS t FROM rr), h AS (SELECT p.id, r.rule_id FROM payments p JOIN rr r ON {_APPLIES}),
  n AS (SELECT a.rule_id AS rule_a, b.rule_id AS rule_b, count(*) AS n FROM h a JOIN h b ON a.id = b.id AND a.rule_id < b.rule_id GROUP BY ALL)
- SELECT a.rule_id AS rule_a, b.rule_id AS rule_b, coalesce(n.n, 0) AS n_payments FROM r a JOIN r b ON a.rule_id < b.rule_id AND a.fee_type = b.fee_type AND a.method = b.method AND (a.card_type IS NULL OR b.card_type IS NULL OR a.card_type = b.card_type) AND (a.i IS NULL OR b.i IS NULL OR a.i = b.i)
+ SELECT a.rule_id AS rule_a, b.rule_id AS rule_b, coalesce(n.n, 0) AS n_payments FROM r a JOIN r b ON a.rule_id < b.rule_id AND ((a.fee_type = b.fee_type AND a.rate_bps > 0 AND b.rate_bps > 0) OR (a.fixed_fee > 0 AND b.fixed_fee > 0)) AND a.method = b.method AND (a.card_type IS NULL OR b.card_type IS NULL OR a.card_type = b.card_type) AND (a.i IS NULL OR b.i IS NULL OR a.i = b.i)
  AND greatest(a.lo, b.lo) < least(a.hi, b.hi) AND greatest(a.f, b.f) < least(a.t, b.t) LEFT JOIN n ON n.rule_a = a.rule_id AND n.rule_b = b.rule_id""")
 def rule_overlap_pairs(d: Derived) -> DataFrame:
     """Rules that could charge one payment twice, and how many payments of the table they do charge twice."""
@@ -274,7 +274,8 @@ def unclaimed_records(d: Derived) -> DataFrame:
 
 @_query("WITH " + _MATCHED + " SELECT l.type, CAST(sum(l.signed_paise) AS BIGINT) AS unclaimed_paise, count(*) AS n FROM ledger l WHERE l.settlement_id IS NULL OR l.settlement_id NOT IN (SELECT settlement_id FROM m WHERE settlement_id IS NOT NULL) GROUP BY ROLLUP (l.type)")
 def unclaimed_total(d: Derived) -> DataFrame:
-    return unclaimed_records(d.spark, d.sf_dir).rollup("type").agg(F.sum("signed_paise").alias("unclaimed_paise"), F.count("*").alias("n"))
+    sums = _ledger(d).groupBy("settlement_id", "type").agg(F.sum("signed_paise").alias("paise"), F.count("*").alias("k"))
+    return ledger.unsettled(sums, _matched(d)).rollup("type").agg(F.sum("paise").alias("unclaimed_paise"), F.sum("k").alias("n"))
 
 
 def _cells(d: Derived) -> DataFrame:

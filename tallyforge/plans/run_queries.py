@@ -46,7 +46,7 @@ def rule_scope_match(d: Derived) -> DataFrame:
 
 @_query(f"""WITH s AS (SELECT *, coalesce(amount_max, 4611686018427387904) AS hi, coalesce(effective_to, DATE '9999-12-31') AS until, replace(mcc_pattern, '*', '') AS stem FROM ({SCOPED}) q)
 , hp AS (SELECT *, {_NETWORK} AS network FROM payments), h AS ({_HITS.format(s='s', p='hp')}), n AS (SELECT a.rule_id AS rule_a, b.rule_id AS rule_b, count(*) AS n FROM h a JOIN h b ON a.id = b.id AND a.rule_id < b.rule_id GROUP BY ALL)
- SELECT a.rule_id AS rule_a, b.rule_id AS rule_b, coalesce(n.n, 0) AS n_payments FROM s a JOIN s b ON a.rule_id < b.rule_id AND a.fee_type = b.fee_type AND a.method = b.method AND coalesce(a.network = b.network, TRUE) AND coalesce(a.card_type = b.card_type, TRUE) AND coalesce(a.is_international = b.is_international, TRUE)
+ SELECT a.rule_id AS rule_a, b.rule_id AS rule_b, coalesce(n.n, 0) AS n_payments FROM s a JOIN s b ON a.rule_id < b.rule_id AND ((a.fee_type = b.fee_type AND a.rate_bps > 0 AND b.rate_bps > 0) OR (a.fixed_fee > 0 AND b.fixed_fee > 0)) AND a.method = b.method AND coalesce(a.network = b.network, TRUE) AND coalesce(a.card_type = b.card_type, TRUE) AND coalesce(a.is_international = b.is_international, TRUE)
  AND coalesce(a.mcc_pattern = b.mcc_pattern OR (a.mcc_pattern LIKE '%*' AND starts_with(b.stem, a.stem)) OR (b.mcc_pattern LIKE '%*' AND starts_with(a.stem, b.stem)), TRUE)
  AND greatest(a.amount_min, b.amount_min) < least(a.hi, b.hi) AND greatest(a.effective_from, b.effective_from) < least(a.until, b.until) LEFT JOIN n ON n.rule_a = a.rule_id AND n.rule_b = b.rule_id""")
 def rule_scope_overlaps(d: Derived) -> DataFrame:

@@ -52,6 +52,53 @@ def _fields(kinds: str) -> list[str]:
     return [*parts, now]
 
 
+def _documents(tables: dict[str, DataFrame], file: str) -> DataFrame:
+    """run and text: the JSON document of each run for one of the input files. The format has one document for a run, so its rows meet in one row."""
+    out = None
+    for name, kinds in SCHEMAS[file].items():
+        parts = []
+        for f in _fields(kinds):
+            column, kind = f.strip().split(" ", 1)
+            money = F.struct(F.col(column.replace("computed_amount", "amount") + "_paise").alias("paise"), "currency") if kind.startswith("struct<paise") else None
+            parts.append((F.col(column) if money is None else money).alias(column))
+        rows = tables[name].groupBy("run").agg(F.array_sort(F.collect_list(F.struct(*parts))).alias(name))
+        out = rows if out is None else out.join(rows, "run", "full_outer")
+    every = [F.coalesce(n, F.array().cast(out.schema[n].dataType)).alias(n) for n in SCHEMAS[file]]
+    return out.select("run", F.to_json(F.struct(*every)).alias("text"))
+
+
+def write(tables: dict[str, DataFrame], path: str, quarantined: DataFrame | None = None) -> None:
+    """Writes the tables of read() as run directories under path, with quarantined.json (rows of quarantined(run, reason, ...)) and
+    manifest.json (how many records and quarantined rows a run has). A run's files appear under their names once all its documents are written."""
+    spark = next(iter(tables.values())).sparkSession
+    texts = None
+    for file in SCHEMAS:
+        rows = _documents(tables, file).withColumn("file", F.lit(file))
+        texts = rows if texts is None else texts.unionByName(rows)
+    counts = None
+    for df in tables.values():
+        counts = df.select("run") if counts is None else counts.unionByName(df.select("run"))
+    counts = counts.groupBy("run").agg(F.count("*").alias("records"))
+    if quarantined is not None:
+        held = quarantined.groupBy("run").agg(F.to_json(F.collect_list(F.struct(*(c for c in quarantined.columns if c != "run")))).alias("text"), F.count("*").alias("n"))
+        texts = texts.unionByName(held.select("run", "text", F.lit("quarantined.json").alias("file")))
+        counts = counts.join(held.select("run", F.col("n").alias("quarantined")), "run", "left").na.fill(0)
+    texts = texts.unionByName(counts.select("run", F.to_json(F.struct(*(c for c in counts.columns))).alias("text"), F.lit("manifest.json").alias("file")))
+    texts.repartition("run", "file").write.mode("overwrite").partitionBy("run", "file").text(f"{path}/_parts")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    here = jvm.org.apache.hadoop.fs.Path(path)
+    fs = here.getFileSystem(conf)
+    for run in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/_parts/run=*")):  # names only: a few files for each run
+        own = jvm.org.apache.hadoop.fs.Path(f"{path}/{run.getPath().getName().removeprefix('run=')}")
+        fs.mkdirs(own)
+        for file in fs.listStatus(run.getPath()):
+            part = next(s.getPath() for s in fs.listStatus(file.getPath()) if s.getPath().getName().startswith("part-"))
+            to = jvm.org.apache.hadoop.fs.Path(own, file.getPath().getName().removeprefix("file="))
+            fs.delete(to, False)
+            fs.rename(part, to)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/_parts"), True)
+
+
 def fingerprints(spark: SparkSession, *paths: str) -> DataFrame:
     """name and SHA-256 of the bytes of each file."""
     files = spark.read.format("binaryFile").load(list(paths))

@@ -3,14 +3,15 @@
 import datetime
 import json
 import random
+import shutil
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import components, decompose, evaluate, ledger, proof, residual, scoring
+from tallyforge.operators import components, contract, decompose, evaluate, ledger, packets, proof, residual, scoring
 from tallyforge.plans import audit
-from tallyforge.sources import run_dir
+from tallyforge.sources import artifacts, run_dir
 from tallyforge.streaming import late
 
 DAY = datetime.date(2026, 1, 1)
@@ -268,13 +269,22 @@ def rules(spark):
     return spark.createDataFrame(RULES, RULE_KIND)
 
 
+@pytest.fixture(scope="module")
+def audited(spark, runs, rules, tmp_path_factory):
+    """Folder, tables and report's hash of the audit of each run and of both."""
+    out = {}
+    for name in ("run-a", "run-b", "run-*"):
+        root = str(tmp_path_factory.mktemp("audit"))
+        out[name] = (root, *audit.audit(spark, root, run_dir.read(spark, f"{runs}/{name}"), rules))
+    return out
+
+
 def everything(done):
     return {n: sorted(map(str, df.collect())) for n, df in done.items()}
 
 
-def test_audit_of_two_runs_is_that_of_each(spark, runs, rules, tmp_path):
-    both, _ = audit.audit(spark, str(tmp_path / "both"), run_dir.read(spark, f"{runs}/run-*"), rules)
-    alone = [everything(audit.audit(spark, str(tmp_path / n), run_dir.read(spark, f"{runs}/{n}"), rules)[0]) for n in ("run-a", "run-b")]
+def test_audit_of_two_runs_is_that_of_each(audited):
+    both, alone = audited["run-*"][1], [everything(audited[n][1]) for n in ("run-a", "run-b")]
     assert everything(both) == {n: sorted(alone[0][n] + alone[1][n]) for n in alone[0]}
     found = {(r.run, r["class"], r.ref_id.split("/")[1], r.impact_paise) for r in both["findings"].collect()}
     assert {("run-a", "fee_overcharge", "P2", 3), ("run-b", "fee_overcharge", "P2", 8), ("run-b", "chargeback_amount_mismatch", "CB1", 700)} <= found
@@ -285,10 +295,10 @@ def test_audit_of_two_runs_is_that_of_each(spark, runs, rules, tmp_path):
     assert {(r.run, r.unexplained_paise) for r in both["totals"].collect()} == {("run-a", 3), ("run-b", 8)}
 
 
-def test_audit_resumes_after_a_death_and_refuses_changes(spark, runs, rules, tmp_path, monkeypatch):
+def test_audit_resumes_after_a_death_and_refuses_changes(spark, runs, rules, audited, tmp_path, monkeypatch):
     tables = run_dir.read(spark, f"{runs}/run-a")
     heads = (audit.inputs_hash(tables), run_dir.table_hash(rules))
-    _, want = audit.audit(spark, str(tmp_path / "whole"), tables, rules)
+    want = audited["run-a"][2]
     root = str(tmp_path / "resumed")
     with monkeypatch.context() as m:
         m.setattr(audit, "verified", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
@@ -309,9 +319,10 @@ def test_audit_resumes_after_a_death_and_refuses_changes(spark, runs, rules, tmp
         audit.audit(spark, root, tables, rules)
 
 
-def test_replay_names_the_row_that_differs(spark, runs, rules, tmp_path):
+def test_replay_names_the_row_that_differs(spark, runs, rules, audited, tmp_path):
     tables, root = run_dir.read(spark, f"{runs}/run-b"), str(tmp_path / "kept")
-    done, _ = audit.audit(spark, root, tables, rules)
+    shutil.copytree(audited["run-b"][0], root)
+    done = audited["run-b"][1]
     same, rows = audit.replay(spark, root, tables, rules, str(tmp_path / "one"))
     assert same and rows.count() == 0
     want = done["findings"].where("ref_id = 'run-b/P2'").first().id
@@ -321,8 +332,8 @@ def test_replay_names_the_row_that_differs(spark, runs, rules, tmp_path):
     assert not same and [(r.tab, r.row, r.side) for r in rows.collect()] == [("findings", want, "both")]
 
 
-def test_explain_reads_few_files(spark, runs, rules, tmp_path):
-    done, _ = audit.audit(spark, str(tmp_path / "kept"), run_dir.read(spark, f"{runs}/run-*"), rules)
+def test_explain_reads_few_files(spark, audited, tmp_path):
+    done = audited["run-*"][1]
     audit.write_lookup(done, str(tmp_path / "lookup"), 8)
     got = audit.explain(spark, str(tmp_path / "lookup"), "payment", "run-a/P2")
     said = [(r.section, json.loads(r.says)) for r in got.collect()]
@@ -337,6 +348,57 @@ def test_explain_reads_few_files(spark, runs, rules, tmp_path):
     assert files(whole.where("type = 'payment' AND id = 'run-a/P2'")) <= 2 < files(whole)
 
 
+def test_run_directories_come_back_as_they_are_written(spark, runs, tmp_path):
+    tables = run_dir.read(spark, f"{runs}/run-*")
+    odd = spark.createDataFrame([("run-a", "unsettled", "P9"), ("run-a", "unsupported_type", "P8")], "run string, reason string, entity_id string")
+    run_dir.write(tables, str(tmp_path), odd)
+    back = run_dir.read(spark, f"{tmp_path}/run-*")
+    for name, df in tables.items():
+        assert sorted(map(str, back[name].select(*df.columns).collect())) == sorted(map(str, df.collect())), name
+    assert {x["entity_id"] for x in json.loads((tmp_path / "run-a" / "quarantined.json").read_text())} == {"P8", "P9"}
+    assert json.loads((tmp_path / "run-a" / "manifest.json").read_text()) == {"run": "run-a", "records": 42, "quarantined": 2}
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["run-a", "run-b"]
+
+
+def test_artifacts_are_pinned_by_their_hash(spark, rules, tmp_path):
+    path = str(tmp_path / "contract.json")
+    version = artifacts.save(rules, path, "contract", ["rule_id"], rounding="half_up")
+    assert artifacts.save(rules.orderBy(F.desc("rule_id")), str(tmp_path / "again.json"), "contract", ["rule_id"], rounding="half_up") == version
+    back, about = artifacts.load(spark, path, "contract")
+    assert back.schema.simpleString() == rules.schema.simpleString() and sorted(map(str, back.collect())) == sorted(map(str, rules.collect()))
+    assert about == {"rounding": "half_up", "sha256": version}
+    with pytest.raises(artifacts.ArtifactError, match="not a calibration"):
+        artifacts.load(spark, path, "calibration")
+    text = (tmp_path / "contract.json").read_text()
+    (tmp_path / "odd.json").write_text(text.replace('"rate_bps": 100', '"rate_bps": 101'))
+    (tmp_path / "cut.json").write_text(text[:40])
+    for name, said in (("odd", "has changed"), ("cut", "is no artifact"), ("none", "no artifact at")):
+        with pytest.raises(artifacts.ArtifactError, match=said):
+            artifacts.load(spark, str(tmp_path / f"{name}.json"), "contract")
+    assert artifacts.seed_of(spark, str(tmp_path)) == 0
+    for body, seed in (('{"seed": 15}', 15), ('{"seed": "x"}', 0), ("[", 0), ("", 0)):
+        (tmp_path / "manifest.json").write_text(body)
+        assert artifacts.seed_of(spark, str(tmp_path)) == seed
+    odd = spark.createDataFrame([(1, None, 'q"\\/\t\n₹\x01')], "b int, a string, c string").select(artifacts.canonical(["b", "a", "c"]).alias("j")).first().j
+    assert odd == json.dumps({"a": None, "b": 1, "c": 'q"\\/\t\n₹\x01'}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def test_packets_cite_each_record_once(spark):
+    members = spark.createDataFrame([("K1", "fee_overcharge", "r1", "F2", 250), ("K1", "fee_overcharge", "r1", "F1", 50), ("K2", "refund_amount_mismatch", None, "F3", 7)], "cluster_id string, class string, rule_id string, id string, impact_paise long")
+    rules = spark.createDataFrame([("r1", 180, 0)], "rule_id string, rate_bps int, fixed_fee int")
+    got = {r.cluster_id: (r.claim, r.rate_bps, r.first_finding, r.first_impact_paise) for r in packets.packets(members, rules).collect()}
+    assert got == {"K1": ("3.00 fee_overcharge across 2 findings", 180, "F1", 50), "K2": ("0.07 refund_amount_mismatch across 1 finding", None, "F3", 7)}
+    cited = spark.createDataFrame([("F1", "fee_line", "b"), ("F2", "fee_line", "a"), ("F2", "fee_line", "b"), ("F3", "refund", "z"), ("F9", "refund", "q")], "finding_id string, type string, id string")
+    rows = sorted((r.cluster_id, r.nth, r.id, r.seen) for r in packets.packet_evidence(members, cited).collect())
+    assert rows == [("K1", 1, "a", 2), ("K1", 2, "b", 1), ("K2", 1, "z", 1)]
+
+
+def test_fixed_parts_overlap_too(spark):
+    kind = "rule_id string, fee_type string, method string, card_type string, is_international boolean, amount_min long, amount_max long, effective_from date, effective_to date, rate_bps int, fixed_fee long, cap long"
+    rows = [("a", "mdr", "card", None, None, 0, None, day(0), None, 100, 0, None), ("b", "surcharge", "card", None, None, 0, None, day(0), None, 50, 10, None), ("c", "mdr", "card", None, None, 0, None, day(0), None, 0, 10, None)]
+    assert [tuple(r) for r in contract.overlaps(spark.createDataFrame(rows, kind)).collect()] == [("b", "c")]
+
+
 # -- streams ----------------------------------------------------------------------------------------------------------
 
 
