@@ -325,8 +325,9 @@ def test_replay_names_the_row_that_differs(spark, runs, rules, audited, tmp_path
     done = audited["run-b"][1]
     same, rows = audit.replay(spark, root, tables, rules, str(tmp_path / "one"))
     assert same and rows.count() == 0
-    want = done["findings"].where("ref_id = 'run-b/P2'").first().id
-    doctored = done["findings"].withColumn("impact_paise", F.col("impact_paise") + (F.col("ref_id") == "run-b/P2").cast("long"))
+    one = "ref_id = 'run-b/P2' AND class = 'fee_overcharge'"
+    want = done["findings"].where(one).first().id
+    doctored = done["findings"].withColumn("impact_paise", F.col("impact_paise") + F.expr(one).cast("long"))
     components.kept(doctored).write.mode("overwrite").parquet(f"{root}/verify/findings")
     same, rows = audit.replay(spark, root, tables, rules, str(tmp_path / "two"))
     assert not same and [(r.tab, r.row, r.side) for r in rows.collect()] == [("findings", want, "both")]
