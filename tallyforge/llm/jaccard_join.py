@@ -53,6 +53,8 @@ SCHEMES = 4
 MINHASHES = 6
 #: Rows of two ids that may be broadcast; beyond it the join shuffles.
 MOST_BROADCAST = 500_000
+#: Signatures that a task holds before it deals them: what bounds a worker's memory there.
+MOST_HELD = 200_000
 #: Elements to a range of a sketch.
 RANGE = 4
 
@@ -342,7 +344,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], percent: int, scheme: int, names
         held.append((value & np.uint64((1 << 48) - 1), node[who], star[who], 1 << role))
         many += len(value)
         yield _packed(names, -1 - int(node[0] % len(names)), np.empty(0, np.uint64), node, star, np.clip(slack, -1, 1 << 30).ravel())
-        if many > 600_000:
+        if many > MOST_HELD:
             yield from flush()
     yield from flush()
 
