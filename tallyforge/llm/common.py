@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,7 @@ SLICE_BYTES = 1 << 20
 BATCH_BYTES = 4 << 20
 
 _MADE: list[str] = []
+_LOADED: list = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +87,41 @@ def sized_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def per_worker(make: Callable) -> Callable:
+    """make, with its results kept by a Python worker until a stage that is lean() and doesn't name it runs there."""
+    _LOADED.append(cache(make))
+    return _LOADED[-1]
+
+
+def let_go(but: tuple[Callable, ...] = ()) -> None:
+    """Drops what per_worker() keeps, but for those functions, and gives memory that is free back to the system."""
+    own = sys.modules.get("tallyforge.llm.common")  # this function may be a shipped copy; what is kept is in the worker's own module, if it has one
+    for kept in own._LOADED if own else ():
+        if kept not in but:
+            kept.cache_clear()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def lean(run: Callable, *needs: Callable) -> Callable:
+    """run for mapInArrow, with the memory of its worker given back before and after; of what per_worker() keeps, needs stay.
+
+    Workers serve the stages of a session in turn. Each would else hold the vocabularies of all of them and the most
+    that any of them took, also while it has no task.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(needs)
+        try:
+            yield from run(batches)
+        finally:
+            let_go(needs)
+
+    return task
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyforge.llm.common import binary_rows, cut, discard, mix, pack6, ragged, raw_text, shingle_sets, shuffle_partitions, sized_broadcast, text_slices, unpack6
+from tallyforge.llm.common import binary_rows, cut, discard, lean, mix, pack6, ragged, raw_text, shingle_sets, shuffle_partitions, sized_broadcast, text_slices, unpack6
 
 PERCENT = 75
 #: Distinct stars of a signature beyond which it counts as no evidence.
@@ -55,6 +55,9 @@ MINHASHES = 6
 MOST_BROADCAST = 500_000
 #: Signatures that a task holds before it deals them: what bounds a worker's memory there.
 MOST_HELD = 200_000
+#: Signatures of a bucket that are compared at once (all those of a value, however many), and bytes of text that are signed at once.
+MOST_COMPARED = 400_000
+SIGNED_BYTES = 1 << 18
 #: Elements to a range of a sketch.
 RANGE = 4
 
@@ -145,7 +148,7 @@ def documents(docs: DataFrame) -> DataFrame:
             lists = pa.FixedSizeListArray.from_arrays(pa.array((keys >> np.uint64(1)).astype(np.int64).ravel()), MINHASHES).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), binary_rows(list(prints), "<u8"), lists, binary_rows(sketches(flat, size), "u1")], names=["doc_id", "n_shingles", "print", "keys", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, print binary, keys array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_shingles long, print binary, keys array<long>, sketch binary")
 
 
 def sketches(flat: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
@@ -190,7 +193,7 @@ def likely(pairs: DataFrame, ends: DataFrame, percent: int) -> DataFrame:
 
     end = lambda c, n, x: ends.select(F.col("node").alias(c), F.col("n_shingles").alias(n), F.col("sketch").alias(x))
     both = pairs.join(end("a", "n", "x"), "a").join(end("b", "m", "y"), "b")
-    return both.select("a", "b", "wide", "n", "m", "x", "y").mapInArrow(run, "a long, b long, wide long")
+    return both.select("a", "b", "wide", "n", "m", "x", "y").mapInArrow(lean(run), "a long, b long, wide long")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -201,7 +204,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), binary_rows(shingle_sets(*raw_text(b.column(1))), "<u8")], names=["node", "items"])
 
     wanted = sized_broadcast(ids.select(F.col("node").alias("doc_id")).distinct(), MOST_BROADCAST)
-    return docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text").mapInArrow(run, "node long, items binary")
+    return docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text").mapInArrow(lean(run), "node long, items binary")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, ends: DataFrame, percent: int) -> DataFrame:
@@ -229,7 +232,7 @@ def verify(pairs: DataFrame, docs: DataFrame, ends: DataFrame, percent: int) ->
     sets = cut(sets_of(docs, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))), "sets")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "wide", "x", "y")
-    found = cut(both.mapInArrow(run, "a long, b long, wide long, size long, lack long, a_only long, b_only long, delta array<long>"), "verified")
+    found = cut(both.mapInArrow(lean(run), "a long, b long, wide long, size long, lack long, a_only long, b_only long, delta array<long>"), "verified")
     discard(sets, pairs)
     return found
 
@@ -338,7 +341,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], percent: int, scheme: int, names
             r = order[edges[k] : edges[k + 1]]
             yield _packed(names, int(k), value[r], nodes[r], stars[r], roles[r])
 
-    for b in text_slices(batches, column=2):
+    for b in text_slices(batches, SIGNED_BYTES, column=2):
         node, star = b.column(0).to_numpy(), b.column(1).to_numpy()
         who, value, role, slack = signatures(shingle_sets(*raw_text(b.column(2))), percent, scheme)
         held.append((value & np.uint64((1 << 48) - 1), node[who], star[who], 1 << role))
@@ -357,31 +360,42 @@ def _candidates(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.Reco
             cols = [np.ascontiguousarray(x[i : i + 100_000], np.int64) for x in (a, b, c, d)]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind), pa.int32()), *map(pa.array, cols)], names=["kind", "a", "b", "c", "d"])
 
-    def of(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def lot(packed: list[tuple], k: int, lots: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of stars, and rows of a hot star with its lost budget, of the k-th of lots of a bucket's values."""
+        held = []
+        for bucket, value, *rest in packed:
+            value = unpack6(value)
+            mine = np.flatnonzero(mix(value) % np.uint64(lots) == k)
+            held.append((value[mine], *(x[mine] for x in _unpacked(bucket, *rest))))
         value, nodes, stars, roles, _ = _first_of_stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
         edge = np.flatnonzero(np.diff(value.view(np.int64), prepend=-1))
         size = np.diff(edge, append=len(value))
         usual = (size > 1) & (size <= hot)
-        pairs = []
-        for k in np.unique(size[usual]):
-            rows = edge[usual & (size == k)]
-            left, right = np.triu_indices(int(k), 1)
-            pairs.append(np.stack([stars[(rows[:, None] + left).ravel()], stars[(rows[:, None] + right).ravel()]], axis=1))
-        if pairs:
-            pair = np.concatenate(pairs)
-            pair.sort(axis=1)
-            pair = np.unique(pair, axis=0)
-            yield from out(0, pair[:, 0], pair[:, 1], pair[:, 0] * 0, pair[:, 0] * 0)
-        if (over := np.flatnonzero(np.repeat(size > hot, size))).size:
-            star, lost = _lost(stars[over], roles[over])
-            yield from out(2, star, lost[:, 0], lost[:, 1], star * 0)
+        pairs = [np.empty((0, 2), np.int64)]
+        for n in np.unique(size[usual]):
+            rows = edge[usual & (size == n)]
+            left, right = np.triu_indices(int(n), 1)
+            pairs.append(np.sort(np.stack([stars[(rows[:, None] + left).ravel()], stars[(rows[:, None] + right).ravel()]], axis=1), axis=1))
+        star, lost = _lost(*(x[np.repeat(size > hot, size)] for x in (stars, roles)))
+        return np.unique(np.concatenate(pairs), axis=0), np.column_stack([star, lost])
+
+    def of(packed: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """What a bucket's rows give, compared in lots of its values, so that memory doesn't grow with the bucket."""
+        lots = max(1, -(-sum(len(x[1]) // 6 for x in packed) // MOST_COMPARED))
+        pairs, over = zip(*(lot(packed, k, lots) for k in range(lots)), strict=True)
+        pair = np.unique(np.concatenate(pairs), axis=0)
+        yield from out(0, pair[:, 0], pair[:, 1], pair[:, 0] * 0, pair[:, 0] * 0)
+        gone = np.concatenate(over)
+        star, at = np.unique(gone[:, 0], return_inverse=True)
+        own, up = (np.bincount(at.ravel(), gone[:, i], len(star)).astype(np.int64) for i in (1, 2))
+        yield from out(2, star, own, up, star * 0)
 
     held: list[tuple] = []
     now = None
     for b in batches:
         for bucket, told, value, *rest in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-            node, star, role = _unpacked(bucket, *rest)
             if bucket < 0:
+                node, star, role = _unpacked(bucket, *rest)
                 two = role.reshape(-1, 2)
                 if told:
                     yield from out(1, node, two[:, 0], two[:, 1], star)
@@ -392,7 +406,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.Reco
                 yield from of(held)
                 held = []
             now = bucket
-            held.append((unpack6(value), node, star, role))
+            held.append((bucket, value, *rest))
     if held:
         yield from of(held)
 
@@ -402,9 +416,9 @@ def _meet(nodes: DataFrame, percent: int, scheme: int, hot: int = HOT) -> tuple[
     spark = nodes.sparkSession
     n = shuffle_partitions(spark)
     names = bucket_names(spark, n)
-    packed = nodes.select("node", "star", "text").mapInArrow(lambda it: _buckets(it, percent, scheme, names, hot), _PACKED)
+    packed = nodes.select("node", "star", "text").mapInArrow(lean(lambda it: _buckets(it, percent, scheme, names, hot)), _PACKED)
     dealt = packed.repartition(n, "place").drop("place").sortWithinPartitions("bucket")
-    found = cut(dealt.mapInArrow(lambda it: _candidates(it, hot), "kind int, a long, b long, c long, d long"), "met")
+    found = cut(dealt.mapInArrow(lean(lambda it: _candidates(it, hot)), "kind int, a long, b long, c long, d long"), "met")
     pairs = found.where("kind = 0").select("a", "b").distinct()
     lost = found.where("kind = 2").groupBy(F.col("a").alias("star")).agg(F.sum("b").alias("lost_own"), F.sum("c").alias("lost_up"))
     have = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("own"), F.col("c").alias("up"), F.col("d").alias("star"))
@@ -475,7 +489,7 @@ def _prefix_pairs(sets: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
                 x = np.frombuffer(items, "<i8")
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), node)), pa.array(x), pa.array(np.full(len(x), len(x)))], names=["node", "item", "n"])
 
-    rows = cut(sets.mapInArrow(run, "node long, item long, n long"), "elements")
+    rows = cut(sets.mapInArrow(lean(run), "node long, item long, n long"), "elements")
     often = rows.groupBy("item").agg(F.count("*").alias("df"))
     first = F.row_number().over(Window.partitionBy("node").orderBy("df", "item"))
     size, place = F.col("n"), F.col("k")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyforge.llm.common import cut, text_slices
+from tallyforge.llm.common import cut, lean, text_slices
 from tallyforge.llm.tokens import byte_tokenizer
 
 FAN = 8
@@ -126,7 +126,7 @@ def tokenise(docs: DataFrame, vocabulary: str, end_id: int, size: int) -> DataFr
                 }
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, bin long, place long, room long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run, byte_tokenizer), "doc_id long, piece int, start long, length long, ids binary, bin long, place long, room long")
 
 
 def merge(bins: DataFrame, size: int, carry: int = CARRY) -> DataFrame:

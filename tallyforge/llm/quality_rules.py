@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 from itertools import count, islice
 
 import numpy as np
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import SPACE, as_bytes, cut, mix, ragged, raw_text, sized_broadcast, text_slices
+from tallyforge.llm.common import SPACE, as_bytes, cut, lean, mix, per_worker, ragged, raw_text, sized_broadcast, text_slices
 from tallyforge.llm.tokens import BYTE_PATTERN
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, n_tokens long, chars_per_token double, byte_share double, token_entropy double, chars_per_pair_token double"
@@ -72,7 +71,7 @@ _SCRIPT_OF[0xE1:0xEE] = 5
 _SCRIPT_OF[0xEE:0xF8] = 6
 
 
-@cache
+@per_worker
 def _processor(model: str):
     """One for each Python worker; the tables of words go with the task, so that later stages have their memory."""
     from sentencepiece import SentencePieceProcessor
@@ -80,7 +79,7 @@ def _processor(model: str):
     return SentencePieceProcessor(model_file=model)
 
 
-@cache
+@per_worker
 def _pairs(path: str):
     """A file of byte-pair ranks (a token in base 64 and its rank on each line); one for each Python worker."""
     import base64
@@ -195,7 +194,7 @@ def measures(docs: DataFrame, model: str, keep: list[str], second: str | None =
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *map(pa.array, out), pairs], names=[*b.schema.names[1:], *(x.split()[0] for x in MEASURES.split(", "))])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), MEASURES])
-    return docs.select("text", *keep).mapInArrow(run, schema)
+    return docs.select("text", *keep).mapInArrow(lean(run, _processor, _pairs), schema)
 
 
 def judge(measured: DataFrame, rules: Rules = Rules()) -> DataFrame:

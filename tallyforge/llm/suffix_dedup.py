@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import as_bytes, cut, mix, pack6, powers, prefix_hash, ragged, raw_text, shuffle_partitions, sized_broadcast, span_hash, text_slices, unpack6
+from tallyforge.llm.common import as_bytes, cut, lean, mix, pack6, powers, prefix_hash, ragged, raw_text, shuffle_partitions, sized_broadcast, span_hash, text_slices, unpack6
 from tallyforge.llm.jaccard_join import bucket_names
 
 LENGTH = 100
@@ -359,18 +359,18 @@ def repeats(docs: DataFrame) -> DataFrame:
     n = shuffle_partitions(spark)
     names = bucket_names(spark, n)
     texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    parsed = texts.mapInArrow(lambda it: _parse(it, names), _PACKED).repartition(n, "place").drop("place").sortWithinPartitions("bucket")
-    met = cut(parsed.mapInArrow(_dictionary, _MET), "dictionary")
+    parsed = texts.mapInArrow(lean(lambda it: _parse(it, names)), _PACKED).repartition(n, "place").drop("place").sortWithinPartitions("bucket")
+    met = cut(parsed.mapInArrow(lean(_dictionary), _MET), "dictionary")
     edge = met.where("kind = 1")
     hot = cut(edge.groupBy("key").agg(F.count("*").alias("often")).where(F.col("often") > HOT).select("key", F.lit(True).alias("hot")), "hot")
     marked = edge.join(sized_broadcast(hot, MOST_BROADCAST), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     edges = marked.groupBy("doc").agg(F.collect_list(F.struct("spot", "n", "rel", "hot")).alias("spans"))
     with_edges = texts.join(sized_broadcast(edges.select("doc"), MOST_BROADCAST), "doc", "left_semi").join(edges, "doc").select("doc", "text", "spans")
-    entries = with_edges.mapInArrow(lambda it: _suffixes(it, names), _ENTRY).repartition(n, "place").drop("place").sortWithinPartitions("core")
-    late = cut(entries.mapInArrow(_sorted_suffixes, _MET), "suffixes")
+    entries = with_edges.mapInArrow(lean(lambda it: _suffixes(it, names)), _ENTRY).repartition(n, "place").drop("place").sortWithinPartitions("core")
+    late = cut(entries.mapInArrow(lean(_sorted_suffixes), _MET), "suffixes")
     spans = met.where("kind = 0").unionByName(late).select("doc", "spot", "n")
     if hot.limit(1).count():
-        windows = cut(with_edges.where(F.exists("spans", lambda x: x["hot"])).mapInArrow(_hashed, "h long, g long, doc long, spot long"), "windows")
+        windows = cut(with_edges.where(F.exists("spans", lambda x: x["hot"])).mapInArrow(lean(_hashed), "h long, g long, doc long, spot long"), "windows")
         first = cut(windows.groupBy("h", "g").agg(F.min(F.struct("doc", "spot")).alias("m"), F.count("*").alias("c")).where("c > 1").select("h", "g", "m"), "first")
         again = windows.join(first, ["h", "g"]).where(F.struct("doc", "spot") != F.col("m")).select("doc", "spot", F.lit(1).alias("n"))
         spans = spans.unionByName(again)
@@ -414,7 +414,7 @@ def _deduped(docs: DataFrame) -> DataFrame:
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, span), pa.array(kept, pa.binary())], names=["_row", "n_bytes", "n_removed", "spans", "kept"])
 
-    done = hit.select("_doc", "_text", "_row", "_spans").mapInArrow(run, f"_row {row_type}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    done = hit.select("_doc", "_text", "_row", "_spans").mapInArrow(lean(run), f"_row {row_type}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
     whole = rows.join(ids, "_doc", "left_anti").select(
         "_row", F.octet_length("_text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.col("_text").cast("binary").alias("kept")
     )
@@ -441,6 +441,6 @@ def keep_first(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), b.column(2)], names=["_new", "_row"])
 
     packed = _deduped(docs).select(F.col("_row.text").alias("text"), "spans", "_row")
-    new = packed.mapInArrow(run, f"_new string, _row {packed.schema['_row'].dataType.simpleString()}")
+    new = packed.mapInArrow(lean(run), f"_new string, _row {packed.schema['_row'].dataType.simpleString()}")
     changed = {"text": F.when(F.col("_row.text").isNotNull(), F.col("_new")).alias("text"), "n_chars": F.length("_new").cast("long").alias("n_chars")}
     return new.select(*(changed.get(c, F.col(f"_row.`{c}`").alias(c)) for c in docs.columns))

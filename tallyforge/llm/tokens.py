@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import json
 from collections import defaultdict
-from functools import cache
 from itertools import chain, count, islice
 
 import numpy as np
 
-from tallyforge.llm.common import ragged
+from tallyforge.llm.common import per_worker, ragged
 
 #: Distinct words kept by a Python worker before its table starts anew.
 MAX_WORDS = 400_000
@@ -26,13 +25,13 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-@cache
+@per_worker
 def word_tokenizer(path: str) -> WordTokenizer:
     """One for each Python worker, with the words that its earlier tasks met."""
     return WordTokenizer(path)
 
 
-@cache
+@per_worker
 def byte_tokenizer(path: str) -> ByteTokenizer:
     """One for each Python worker."""
     return ByteTokenizer(path)

@@ -5,7 +5,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tallyforge.llm import jaccard_join
+from tallyforge.llm import common, jaccard_join
 from tallyforge.llm.common import unpack6
 from tallyforge.operators import components, ledger, proof, scoring
 from tallyforge.plans import proof_queries, queries, run_queries
@@ -120,3 +120,38 @@ def test_signatures_are_dealt_before_many_are_held(monkeypatch):
 
     (few_rows, one), (many_rows, several) = dealt(1 << 30), dealt(500)
     assert one == several and few_rows == 2 and many_rows > 10
+
+
+def test_a_bucket_is_compared_in_lots_of_its_values(monkeypatch):
+    """What a task unpacks and sorts at once doesn't grow with its bucket, and the lots give what the whole gives. (Before, a bucket was compared whole.)"""
+    texts = [" ".join(f"w{(i // 3 * 31 + k) % 997}" for k in range(40 + i % 3)) for i in range(300)]
+    ids = pa.array(range(300), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], names=["node", "star", "text"])
+    packed = [b.drop_columns(["place"]) for b in jaccard_join._buckets(iter([batch]), 75, 0, [0], 2)]
+    sizes = []
+    first = jaccard_join._first_of_stars
+    monkeypatch.setattr(jaccard_join, "_first_of_stars", lambda value, *x: sizes.append(len(value)) or first(value, *x))
+
+    def met(most):
+        monkeypatch.setattr(jaccard_join, "MOST_COMPARED", most)
+        sizes.clear()
+        rows = sorted(tuple(r.values()) for b in jaccard_join._candidates(iter(packed), 2) for r in b.to_pylist())
+        return rows, max(sizes)
+
+    (one, whole), (several, largest) = met(1 << 30), met(200)
+    assert one == several and {r[0] for r in one} == {0, 1, 2} and largest < 400 < whole
+
+
+def test_a_worker_lets_go_of_what_other_stages_loaded(monkeypatch):
+    """Before, each Python worker held the vocabularies of all stages that it had served, until the session's end."""
+    made = []
+    monkeypatch.setattr(common, "_LOADED", [])
+    mine, other = (common.per_worker(lambda n, k=k: made.append(k) or n) for k in "mo")
+    run = lambda it: (b for b in it if mine(1) == 1)
+    mine(1), other(1)
+    assert list(common.lean(run, mine)(iter([1, 2]))) == [1, 2] and made == ["m", "o"]
+    mine(1), other(1)
+    assert made == ["m", "o", "o"]
+    list(common.lean(iter)(iter([])))
+    mine(1)
+    assert made == ["m", "o", "o", "m"]
