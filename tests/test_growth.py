@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import common, jaccard_join
 from tallyforge.llm.common import unpack6
-from tallyforge.operators import components, ledger, proof, scoring
+from tallyforge.operators import components, ledger, proof, scoring, verify
 from tallyforge.plans import proof_queries, queries, run_queries
 from tallyforge.plans.derived import KEPT, TABLES, Derived
 
@@ -155,3 +155,17 @@ def test_a_worker_lets_go_of_what_other_stages_loaded(monkeypatch):
     list(common.lean(iter)(iter([])))
     mine(1)
     assert made == ["m", "o", "o", "m"]
+
+
+def test_findings_write_only_cells_that_differ(spark):
+    """Before, every cell of every payment was written and read again for the few that differ."""
+    d = Derived(spark, SF)
+    apart = queries._apart(d)
+    findings = {tuple(r) for r in queries._findings(d).collect()}
+    assert not d.has("cells") and apart.where("fee_delta = 0 AND tax_delta = 0").count() == 0
+    other = Derived(spark, SF)
+    every = queries._cells(other)
+    want = {tuple(r) for r in every.where("fee_delta <> 0 OR tax_delta <> 0").collect()}
+    assert want and {tuple(r) for r in apart.collect()} == want == {tuple(r) for r in queries._apart(other).collect()} and every.count() > len(want)
+    assert {tuple(r) for r in verify.findings(every, queries._payments(other)).collect()} == findings
+    assert "Exchange" not in plan(queries._apart(other))
